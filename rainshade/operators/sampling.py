@@ -16,7 +16,7 @@ from rainshade import constants as C
 from rainshade.functions import scalars as S
 from rainshade.functions.calendar import drop_leap_day, month_days, shift_years
 from rainshade.functions.draws import Uniform, draw_index, hash_uniform
-from rainshade.operators.joins import inverse_cdf_join
+from rainshade.operators.joins import interval_join, inverse_cdf_join
 
 
 # ---- moving block bootstrap --------------------------------------------------------------------------
@@ -115,52 +115,81 @@ def sim_statistic_rows(sims: DataFrame, fun: Callable[[Column], Column], suffix:
     return rows.groupBy("key", "sim").agg(fun(F.col("value")).alias(suffix))
 
 
+def _value_bin(x: Column, per_efold: int) -> Column:
+    """A bin number that never falls as x rises; depends on x alone."""
+    finite = F.greatest(F.least(x, F.lit(1e300)), F.lit(-1e300))
+    return F.floor(F.signum(finite) * F.log1p(F.abs(finite)) * per_efold).cast("double")
+
+
+def rank_sims(sims: DataFrame, suffix: str, blocks: int = 256, sub: Column | None = None, per_efold: int = 4096) -> tuple:
+    """Number the simulations of each key by their statistic without sorting a key in one task.
+
+    Returns (ranked sims, distinct value counts, bins). Levels: value bin -> (value, sub-block of equal
+    values) -> place; each level is a running sum over a bounded list.
+    """
+    s = F.col(suffix)
+    slim = sims.select("key", "sim", suffix).withColumns({
+        "_b": _value_bin(s, per_efold), "_sub": sub if sub is not None else F.pmod(F.xxhash64("sim"), F.lit(blocks))})
+    groups = slim.groupBy("key", "_b", suffix, "_sub").agg(F.count(F.lit(1)).alias("_c"))
+    bins = groups.groupBy("key", "_b").agg(F.sum("_c").alias("_nb"))
+    by_bin = Window.partitionBy("key").orderBy("_b")
+    bins = bins.select("key", "_b", "_nb",
+                       F.coalesce(F.sum("_nb").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+                       F.coalesce(F.lead("_b").over(by_bin), F.lit(float("inf"))).alias("_next"),
+                       F.sum("_nb").over(Window.partitionBy("key")).alias("_total"))
+    inside = Window.partitionBy("key", "_b").orderBy(suffix, "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("key", "_b", suffix, "_sub").orderBy("sim")) - 1
+    ranked = (slim.withColumn("_p", place).join(starts.drop("_c"), ["key", "_b", suffix, "_sub"])
+              .join(bins.select("key", "_b", "_off"), ["key", "_b"])
+              .select("key", "sim", suffix, (F.col("_off") + F.col("_in") + F.col("_p")).alias("_rank")))
+    return ranked, groups.groupBy("key", "_b", suffix).agg(F.sum("_c").alias("_c")), bins
+
+
 def pull_sims(sims: DataFrame, requests: DataFrame, suffix: str = "mean", seed: int = 1, uniform: Uniform = hash_uniform,
               selection: str = "target", under_level: str = "warn", max_replacement: float = 0.1,
-              blocks: int = 256) -> DataFrame:
+              sub: Column | None = None) -> DataFrame:
     """Draw, with replacement, simulations whose statistic suits each request.
 
     requests is (request, key, n) with target and tol ('target'), low and high ('bounds') or neither
-    ('any'). The result has one row per (request, draw): the statistic row of the chosen simulation and
-    the number of suitable ones in `available`, with `short` where they are too few. Requests without
-    any suitable simulation fail. Candidates are numbered in two levels (block, place in block), so a
-    key with a third of all simulations is not numbered by one task, and draws join on (block, place).
+    ('any'). One row per (request, draw): the chosen sim, its statistic, the number of suitable ones in
+    `available`, and `short` where those are too few. A request without any suitable simulation fails.
+
+    Suitable simulations are a run of ranks by statistic, so a request is never paired with the
+    simulations of its key: its two bounds become two ranks, and a draw is one lookup by (key, rank).
     """
     if under_level not in ("warn", "raise", "pass"):
         raise ValueError("under_level must be warn, raise or pass")
-    s = F.col(suffix)
-    suits = {"target": F.abs(s - F.col("target")) <= F.col("tol") if "tol" in requests.columns else None,
-             "bounds": (s >= F.col("low")) & (s <= F.col("high")) if "low" in requests.columns else None,
-             "any": F.lit(True)}[selection]
-    if suits is None:
-        raise ValueError(f"requests lack the columns for selection {selection}")
-    slim = sims.select("key", "sim", suffix)
-    ok = (requests.join(slim, "key").where(suits)
-          .withColumn("_b", F.pmod(F.xxhash64("sim"), F.lit(blocks))))
-    place = F.row_number().over(Window.partitionBy("request", "_b").orderBy("sim")) - 1
-    ok = ok.withColumn("_i", place)
-    sizes = ok.groupBy("request", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy("request").orderBy("_b")
-    # each block is padded into one list of (upper end, block) per request: at most `blocks` entries
-    run = sizes.withColumn("_end", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    index = run.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("_end", "_b", "_c"))).alias("_ix"),
-                                       F.max("_end").alias("available"))
-    asked = requests.join(index, "request", "left")
+    bounds = {"target": lambda: (F.col("target") - F.col("tol"), F.col("target") + F.col("tol")),
+              "bounds": lambda: (F.col("low"), F.col("high")),
+              "any": lambda: (F.lit(float("-inf")), F.lit(float("inf")))}[selection]()
+    ranked, values, bins = rank_sims(sims, suffix, sub=sub)
+    ends = F.explode(F.array(F.struct(F.lit("a").alias("side"), bounds[0].cast("double").alias("x")),
+                             F.struct(F.lit("z").alias("side"), bounds[1].cast("double").alias("x"))))
+    asked = requests.select("request", "key", "n", ends.alias("_e")).select("request", "key", "n", "_e.*")
+    asked = asked.withColumn("_bx", _value_bin(F.col("x"), 4096))
+    counted = bins.groupBy("key").agg(F.max("_total").alias("_total"), F.min("_b").alias("_first"))
+    placed = interval_join(asked, "_bx", bins.drop("_total"), "_b", "_next", ["key"], how="left")
+    # the bin of the bound itself is counted by its distinct values; all bins before it are whole
+    here = asked.join(values, (asked["key"] == values["key"]) & (asked["_bx"] == values["_b"]), "inner").select(
+        "request", "side", F.when(F.col("side") == "a", F.col(suffix) < F.col("x")).otherwise(F.col(suffix) <= F.col("x")).alias("_ok"), "_c")
+    here = here.groupBy("request", "side").agg(F.sum(F.when(F.col("_ok"), F.col("_c")).otherwise(0)).alias("_part"))
+    joined = placed.join(here, ["request", "side"], "left").join(counted, "key", "left")
+    below = F.when(F.col("_part").isNotNull(), F.coalesce("_off", F.lit(0)) + F.col("_part")).otherwise(
+        F.coalesce(F.col("_off") + F.col("_nb"), F.lit(0)))
+    ranks = joined.groupBy("request", "key", "n").agg(F.max(F.when(F.col("side") == "a", below)).alias("_from"),
+                                                     F.max(F.when(F.col("side") == "z", below)).alias("_to"))
     none = F.raise_error(F.concat(F.lit("no simulations for request "), F.col("request").cast("string"))).cast("long")
-    asked = asked.withColumn("available", F.when(F.col("available").isNull(), none).otherwise(F.col("available")))
+    found = F.col("_to") - F.col("_from")
+    ranks = ranks.withColumn("available", F.when(found > 0, found).otherwise(none))
     short = F.col("available") <= (1 - max_replacement) * F.col("n")
     if under_level == "raise":
         short = F.when(short, F.raise_error(F.lit("too few unique simulations")).cast("boolean")).otherwise(F.lit(False))
     elif under_level == "pass":
         short = F.lit(False)
-    asked = asked.withColumn("short", short)
-    drawn = asked.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    drawn = drawn.withColumn("_k", draw_index(uniform(seed, F.col("request"), F.col("draw")), F.col("available")))
-    hit = F.element_at(F.filter("_ix", lambda e: e["_end"] > F.col("_k")), 1)
-    drawn = drawn.withColumn("_e", hit).select("request", "draw", "available", "short", F.col("_e._b").alias("_b"),
-                                               (F.col("_k") - (F.col("_e._end") - F.col("_e._c"))).alias("_i"))
-    chosen = ok.select("request", "_b", "_i", "key", "sim", suffix)
-    return drawn.join(chosen, ["request", "_b", "_i"]).drop("_b", "_i")
+    drawn = ranks.withColumn("short", short).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    drawn = drawn.withColumn("_rank", F.col("_from") + draw_index(uniform(seed, F.col("request"), F.col("draw")), F.col("available")))
+    return (drawn.select("request", "key", "draw", "available", "short", "_rank").join(ranked, ["key", "_rank"]).drop("_rank"))
 
 
 def stitch_months(stories: DataFrame, pools: DataFrame, realisations: int, seed: int = 1, uniform: Uniform = hash_uniform,

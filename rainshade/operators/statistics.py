@@ -12,6 +12,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 YEAR_LENGTH = 365.25
 
@@ -25,7 +26,9 @@ def harmonic_features(t: Column, day: Column) -> list[Column]:
     return out
 
 
-@F.pandas_udf("array<double>")
+DOUBLES = T.ArrayType(T.DoubleType())
+
+
 def _solve(gram: pd.Series, rhs: pd.Series) -> pd.Series:
     def one(g, b):
         n = len(b)
@@ -41,7 +44,8 @@ def harmonic_fit(df: DataFrame, keys: Sequence[str], value: str, driver: str, da
     sums = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(8) for j in range(8)]
     rhs = [F.sum(F.col(f"_x{i}") * F.col("_y")) for i in range(8)]
     total = named.groupBy(*keys).agg(F.array(*sums).alias("_g"), F.array(*rhs).alias("_b"))
-    return total.select(*keys, _solve("_g", "_b").alias("coefficients"))
+    solve = F.pandas_udf(_solve, DOUBLES)
+    return total.select(*keys, solve("_g", "_b").alias("coefficients"))
 
 
 def detrend_harmonic(df: DataFrame, keys: Sequence[str], value: str, driver: str, day: str, exclude_zero: bool = True,
@@ -181,7 +185,7 @@ def lag_correlation_matrices(df: DataFrame, keys: Sequence[str], order: str, var
     Correlations do not change with z-scores, so the raw values are used. Month-end rows are not paired
     with the next month. Sums combine map-side; the 4 x 4 algebra runs once per key.
     """
-    solve = F.pandas_udf(_model_matrices, "a array<double>, b array<double>")
+    solve = F.pandas_udf(_model_matrices, T.StructType([T.StructField("a", DOUBLES), T.StructField("b", DOUBLES)]))
     w = Window.partitionBy(*keys).orderBy(order)
     led = df.withColumns({f"_n{i}": F.when(~F.col(month_end), F.lead(v).over(w)) for i, v in enumerate(variables)})
     paired = ~F.col(month_end) & F.col("_n0").isNotNull()

@@ -49,11 +49,14 @@ STORY_SCHEMA = T.StructType([
     T.StructField("rest_per", T.DoubleType())])
 
 
-def read_story_dir(spark: SparkSession, path: str, schema: T.StructType = STORY_SCHEMA) -> DataFrame:
-    """One small CSV per story; id and good/bad come from the file name. Spark packs many files per task."""
-    df = spark.read.csv(path, schema=schema, header=True).select("*", F.col("_metadata.file_name").alias("_f"))
-    return df.withColumns({"story_id": F.regexp_replace("_f", r"\.csv$", ""),
-                           "irr_type": F.nullif(F.regexp_extract("_f", "(good|bad)", 1), F.lit(""))}).drop("_f")
+def read_story_dir(spark: SparkSession, path: str, schema: T.StructType = STORY_SCHEMA, pattern: str = r"([^/]+)\.csv$") -> DataFrame:
+    """One small CSV per story; id and good/bad come from the file path. Spark packs many files per task.
+
+    pattern has one group, the id; a folder name such as `story=rsl-000001bad` can carry it as well.
+    """
+    df = spark.read.csv(path, schema=schema, header=True).select(*schema.names, F.regexp_extract(
+        "_metadata.file_path", pattern, 1).alias("story_id"))
+    return df.withColumn("irr_type", F.nullif(F.regexp_extract("story_id", "(good|bad)", 1), F.lit("")))
 
 
 STATES = ("AT,AP", "AT,D", "AT,W", "C,AP", "C,D", "C,W", "H,AP", "H,D", "H,W")
@@ -63,12 +66,19 @@ def _state(label):
     return F.concat_ws("-", S.strip_class(F.split_part(label, F.lit(","), F.lit(1))), S.strip_class(F.split_part(label, F.lit(","), F.lit(2))))
 
 
+MONTH_PATTERN = f"[/=]({'|'.join(MONTH_NAMES)})[_/][^/]*$"
+COMBO_PATTERN = "((?:N?D)-(?:N?D))[^/]*(?:/[^/]*)?$"
+
+
 def read_transitions(spark: SparkSession, path: str, states: Sequence[str] = STATES) -> DataFrame:
-    """Wide monthly matrices to (month, from_state, to_state, p); columns are the from-states."""
+    """Wide monthly matrices to (month, from_state, to_state, p); columns are the from-states.
+
+    The month comes from the file name (Jan_...) or its folder (name=Jan).
+    """
     ids = [f"s{i}" for i in range(len(states))]
     schema = T.StructType([T.StructField("to", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ids]])
-    raw = spark.read.csv(path, schema=schema, header=True, comment="#").select("*", F.col("_metadata.file_name").alias("_f"))
-    month = month_number(F.regexp_extract("_f", f"({'|'.join(MONTH_NAMES)})", 1))
+    raw = spark.read.csv(path, schema=schema, header=True, comment="#").select(*schema.names, F.col("_metadata.file_path").alias("_f"))
+    month = month_number(F.regexp_extract("_f", MONTH_PATTERN, 1))
     long = raw.withColumn("month", month).unpivot(["month", "to"], ids, "_c", "p")
     names = F.create_map(*[F.lit(x) for pair in zip(ids, states) for x in pair])
     return long.select("month", _state(F.element_at(names, F.col("_c"))).alias("from_state"), _state(F.col("to")).alias("to_state"), "p")
@@ -87,8 +97,8 @@ def read_initial(spark: SparkSession, path: str, states: Sequence[str] = STATES)
 def read_quantile_mapper(spark: SparkSession, path: str, months: Sequence[int] = (9, 10, 11, 12, 1, 2, 3, 4)) -> DataFrame:
     """Wide files named by class combo to (combo, q, month, rest); values close to 0 become 1e-8."""
     schema = T.StructType([T.StructField("q", T.DoubleType()), *[T.StructField(f"m{m}", T.DoubleType()) for m in months]])
-    raw = spark.read.csv(path, schema=schema, header=True).select("*", F.col("_metadata.file_name").alias("_f"))
-    long = raw.withColumn("combo", F.regexp_extract("_f", "((?:N?D)-(?:N?D))", 1)).unpivot(
+    raw = spark.read.csv(path, schema=schema, header=True).select(*schema.names, F.col("_metadata.file_path").alias("_f"))
+    long = raw.withColumn("combo", F.regexp_extract("_f", COMBO_PATTERN, 1)).unpivot(
         ["combo", "q"], [f"m{m}" for m in months], "_m", "rest")
     return long.select("combo", "q", F.substring("_m", 2, 2).cast("int").alias("month"),
                        F.when(F.abs("rest") <= 1e-8, 1e-8).otherwise(F.col("rest")).alias("rest"))
