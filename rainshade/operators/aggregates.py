@@ -233,6 +233,7 @@ def exceedance_at(curve: DataFrame, keys: Sequence[str], probs: Sequence[float])
 
 def density_2d(df: DataFrame, x: str, y: str, nbins: int, keys: Sequence[str] = ()) -> DataFrame:
     """(nbins-1)^2 cells between nbins equally spaced edges; share of rows, empty cells left out, last edge closed."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranges = df.groupBy(*keys).agg(*[f(c).alias(f"_{c}_{n}") for c in (x, y) for n, f in (("a", F.min), ("z", F.max))],
                                    F.count(F.lit(1)).alias("_n"))
     m = nbins - 1

@@ -57,7 +57,7 @@ def detrend_harmonic(df: DataFrame, keys: Sequence[str], value: str, driver: str
     joined = df.join(fit.join(last, list(keys)), list(keys))
     moved = F.abs(F.col(value) + F.col("coefficients")[1] * (F.col("_end") - F.col(driver)))
     if cap is not None:
-        moved = F.least(moved, F.lit(cap))
+        moved = F.when(moved > cap, F.lit(float(cap))).otherwise(moved)
     result = F.when(F.col(value) == 0, 0.0).otherwise(moved) if exclude_zero else moved
     return joined.withColumn(out or value, result).drop("coefficients", "_end")
 
@@ -146,7 +146,7 @@ def mutual_info_continuous(df: DataFrame, features: Sequence[str], target: str,
     for c in features:
         a, z = row[f"a_{c}"], row[f"z_{c}"]
         width = (z - a) / bins if a is not None and z > a else 1.0
-        binned[c] = F.least(F.floor((F.col(c) - F.lit(a)) / F.lit(width)), F.lit(bins - 1))
+        binned[c] = F.when(F.col(c).isNotNull(), F.least(F.floor((F.col(c) - F.lit(a)) / F.lit(width)), F.lit(bins - 1)))
     return mutual_info_discrete(df.withColumns(binned), features, target, keys)
 
 

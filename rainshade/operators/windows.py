@@ -122,8 +122,8 @@ def persistence_by_streak(streaks: DataFrame, keys: Sequence[str], state: str, s
     unbroken = n.withColumns({"_rn": F.row_number().over(w) - 1, "_top": top})
     # equal to its own rank means that no smaller value is missing; the greatest value is not counted
     kept = unbroken.where((F.col(streak) == F.col("_rn")) & (F.col(streak) < F.col("_top")))
-    p = F.least(F.lit(1.0), F.lead("n").over(w) / F.col("n"))
-    return kept.withColumn("p", p).where(F.col("p").isNotNull()).drop("_rn", "_top")
+    following = kept.withColumn("_next", F.lead("n").over(w)).where(F.col("_next").isNotNull())
+    return following.withColumn("p", F.least(F.lit(1.0), F.col("_next") / F.col("n"))).drop("_rn", "_top", "_next")
 
 
 def nyear_sequential(df: DataFrame, keys: Sequence[str], year: str, value: str, n: int, fun: Fun = "sum") -> DataFrame:

@@ -105,7 +105,7 @@ class Tables:
         y, m = F.year("o_orderdate"), F.month("o_orderdate")
         g = o.groupBy((F.floor(F.col("o_custkey") / 15)).alias("grp"), y.alias("year"), m.alias("month")).agg(
             binary(F.avg("o_totalprice") / 1000.7).alias("_t"), binary(F.avg(F.col("o_orderkey") % 997)).alias("_p"),
-            (F.min("o_orderkey") % 99 + 1).alias("_q"), binary(F.avg("o_totalprice") / 201.7).alias("pg"))
+            (F.min("o_orderkey") % 99 + 1).alias("_q"), (F.round(F.avg("o_totalprice") / 201.7 * 4, 0) / 4).alias("pg"))
         temp = F.when(F.col("_t") >= 310, "H").when(F.col("_t") <= 190, "C").otherwise("A")
         precip = F.when(F.col("_p") >= 620, "W").when(F.col("_p") <= 380, "D").otherwise("A")
         season = season_year(F.col("year"), F.col("month"))
@@ -155,12 +155,14 @@ class Tables:
 
     @cached_property
     def rest_classes(self) -> DataFrame:
-        """(year, month, precip_class, precip_class_prev, regime) of site 0 by fixed limits on monthly means."""
+        """(year, month, precip_class, precip_class_prev, regime) of site 0 by the distance from the record's mean."""
         from pyspark.sql import Window
         m = self.months.where("site = 0")
-        p = F.when(F.col("rain") <= 3.9, "D").when(F.col("rain") >= 5.1, "W").otherwise("A")
-        t = F.when(F.col("tmean") <= 12.0, "C").when(F.col("tmean") >= 13.5, "H").otherwise("A")
-        w = Window.partitionBy("site").orderBy("year", "month")
+        record = Window.partitionBy("site")
+        rain, tmean = F.col("rain") / F.avg("rain").over(record), F.col("tmean") / F.avg("tmean").over(record)
+        p = F.when(rain <= 0.93, "D").when(rain >= 1.07, "W").otherwise("A")
+        t = F.when(tmean <= 0.99, "C").when(tmean >= 1.01, "H").otherwise("A")
+        w = record.orderBy("year", "month")
         out = m.withColumns({"precip_class": p, "temp_class": t})
         return out.select("year", "month", "temp_class", "precip_class", F.lag("precip_class", 1, "A").over(w).alias("precip_class_prev"),
                           S.regime_index(F.col("temp_class"), F.col("precip_class")).alias("regime"))
@@ -179,7 +181,7 @@ CTES = {
   round((avg((tmax + tmin) / 2)) * 1024, 0) / 1024e0 AS tmean, round((avg(rain)) * 1024, 0) / 1024e0 AS rain, round((avg(pet)) * 1024, 0) / 1024e0 AS pet FROM weather GROUP BY 1, 2, 3)""",
     "stories": """story_agg AS (SELECT o_custkey // 15 AS grp, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
   round((avg(o_totalprice) / 1000.7e0) * 1024, 0) / 1024e0 AS t, round((avg(o_orderkey % 997)) * 1024, 0) / 1024e0 AS p, min(o_orderkey) % 99 + 1 AS q,
-  round((avg(o_totalprice) / 201.7e0) * 1024, 0) / 1024e0 AS pg FROM orders GROUP BY 1, 2, 3),
+  round(avg(o_totalprice) / 201.7e0 * 4, 0) / 4e0 AS pg FROM orders GROUP BY 1, 2, 3),
 stories_c AS (SELECT *, CASE WHEN t >= 310 THEN 'H' WHEN t <= 190 THEN 'C' ELSE 'A' END AS temp_class,
   CASE WHEN p >= 620 THEN 'W' WHEN p <= 380 THEN 'D' ELSE 'A' END AS precip_class,
   year - CASE WHEN month < 7 THEN 1 ELSE 0 END AS season FROM story_agg),
@@ -199,8 +201,9 @@ mapper AS (SELECT combo, CAST(i AS DOUBLE) / 100e0 AS q, month, m * k * CAST(i A
   (VALUES ('D-D', 1e0), ('D-ND', 0.75e0), ('ND-D', 0.5e0), ('ND-ND', 0.25e0)) c(combo, k), range(1, 100) t(i))""",
     "impact": """impact AS (SELECT story_id, irr_type, site, mode, round(-sum(0.3e0 + rest_per / 10e0), 6) AS log10_prob,
   sum(pg) AS pg, count(*) AS n_months FROM stories GROUP BY 1, 2, 3, 4)""",
-    "classes": """cl_base AS (SELECT *, CASE WHEN rain <= 3.9e0 THEN 'D' WHEN rain >= 5.1e0 THEN 'W' ELSE 'A' END AS precip_class,
-  CASE WHEN tmean <= 12.0e0 THEN 'C' WHEN tmean >= 13.5e0 THEN 'H' ELSE 'A' END AS temp_class FROM months WHERE site = 0),
+    "classes": """cl_rel AS (SELECT *, rain / avg(rain) OVER () AS rr, tmean / avg(tmean) OVER () AS tr FROM months WHERE site = 0),
+cl_base AS (SELECT *, CASE WHEN rr <= 0.93e0 THEN 'D' WHEN rr >= 1.07e0 THEN 'W' ELSE 'A' END AS precip_class,
+  CASE WHEN tr <= 0.99e0 THEN 'C' WHEN tr >= 1.01e0 THEN 'H' ELSE 'A' END AS temp_class FROM cl_rel),
 classes AS (SELECT year, month, temp_class, precip_class, lag(precip_class, 1, 'A') OVER (ORDER BY year, month) AS precip_class_prev,
   CASE temp_class WHEN 'C' THEN 0 WHEN 'A' THEN 3 ELSE 6 END + CASE precip_class WHEN 'W' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS regime FROM cl_base)""",
 }
