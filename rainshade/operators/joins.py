@@ -322,3 +322,16 @@ def cdf_value(df: DataFrame, p: str, cdf: DataFrame, cdf_p: str, cdf_x: str, out
     # swapping the weights mirrors the point inside its segment
     mirrored = F.col("y0") + (F.col("width") - offset) * F.col("slope")
     return joined.withColumn(out, F.when(inside, mirrored).otherwise(F.col("y0"))).drop("x0", "y0", "width", "slope")
+
+
+def place_scenarios(scenarios: DataFrame, curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Extra scenarios (label, pg, prob) on an exceedance curve; a missing prob is read from the curve.
+
+    The schema is checked before anything runs.
+    """
+    types = dict(scenarios.dtypes)
+    wrong = [c for c in ("label", "pg", "prob") if types.get(c) != ("string" if c == "label" else "double")]
+    if wrong:
+        raise ValueError(f"scenarios need label string, pg double, prob double; wrong or missing: {wrong}")
+    placed = interp_join(scenarios, "pg", curve.select(*keys, F.col("pg").alias("_g"), F.col("prob").alias("_c")), "_g", "_c", "_p", keys)
+    return placed.withColumn("prob", F.coalesce("prob", "_p")).drop("_p")

@@ -355,17 +355,18 @@ def random_suite(paths: DataFrame, suites: DataFrame, pairs: DataFrame) -> DataF
 
 
 def multi_year_stories(draws: DataFrame, year_sets: Sequence[DataFrame], seed: int = 1, uniform: Uniform = hash_uniform,
-                       draw: str = "draw", story: str = "story_id") -> DataFrame:
+                       draw: str = "draw", story: str = "story_id", block: Callable[[Column], Column] | None = None) -> DataFrame:
     """An independent draw per year slot from that slot's set: ids and log-probabilities per slot, and their sum.
 
-    Each set is numbered in two levels like pull_sims; here a set of stories is (story_id, log10_prob).
+    A set of stories is (story_id, log10_prob); each has the same weight. `block` maps an id to its block
+    in the two-level running sum (a hash by default).
     """
     out = draws
     for i, s in enumerate(year_sets):
         n = s.count()
         picked = out.withColumn("_u", uniform(seed, F.col(draw), F.lit(i)))
         even = s.select(F.col(story).alias(f"id_{i}"), F.col("log10_prob").alias(f"log10_prob_{i}")).withColumn("_w", F.lit(1.0 / n))
-        out = inverse_cdf_join(picked, "_u", even, "_w", f"id_{i}").drop("_u")
+        out = inverse_cdf_join(picked, "_u", even, "_w", f"id_{i}", block=block(F.col(f"id_{i}")) if block else None).drop("_u")
     total = sum((F.col(f"log10_prob_{i}") for i in range(1, len(year_sets))), F.col("log10_prob_0"))
     return out.withColumn("log10_prob", total)
 

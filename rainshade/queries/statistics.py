@@ -1 +1,123 @@
+"""Statistics and ML (M1-M9)."""
 
+from pyspark.sql import functions as F
+
+from rainshade.functions.calendar import date_parts
+from rainshade.operators import statistics as M
+from rainshade.operators import windows as W
+from rainshade.queries.base import query, r, rounded, text_date, with_
+
+
+@query("m1_detrend_harmonic")
+def _(t):
+    from pyspark.sql import Window
+    x = date_parts(t.weather.select("site", "date", "rain", "tmax"))
+    driver = x.groupBy("site", "year").agg(F.avg("tmax").alias("driver"))
+    # the day number of a series is bounded by the calendar
+    w = Window.partitionBy("site").orderBy("date")
+    y = x.join(driver, ["site", "year"]).withColumn("day_no", F.row_number().over(w) - 1)
+    return rounded(text_date(M.detrend_harmonic(y, ["site"], "rain", "driver", "day_no").select("site", "date", "rain"), "date"))
+
+
+@query("m2_linear_fit", with_("weather") + """SELECT site, CAST(month(date) AS INTEGER) AS month, round(regr_slope(tmin, tmax), 6) AS slope, round(regr_intercept(tmin, tmax), 6) AS intercept, round(regr_r2(tmin, tmax), 6) AS r2, count(*) AS n FROM weather GROUP BY 1, 2""")
+def _(t):
+    return rounded(M.linear_fit(date_parts(t.weather), "tmax", "tmin", ["site", "month"]))
+
+
+@query("m2_linear_fit_overall", with_("weather") + "SELECT round(regr_slope(radn, pet), 6) AS slope, round(regr_intercept(radn, pet), 6) AS intercept, round(regr_r2(radn, pet), 6) AS r2, count(*) AS n FROM weather")
+def _(t):
+    return rounded(M.linear_fit(t.weather, "pet", "radn"))
+
+
+def _vectors(t):
+    e = t.table("embeddings")
+    width = 16
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(width)]), [f"x{i}" for i in range(width)]
+
+
+@query("m3_pca_explained")
+def _(t):
+    df, cols = _vectors(t)
+    return rounded(M.pca(df, cols, 5)[1])
+
+
+@query("m3_pca_stories")
+def _(t):
+    f = M.story_features(t.story_months)
+    comps, _ = M.pca(f, [c for c in f.columns if c != "story_id"], 6)
+    return comps.select("story_id", F.posexplode("pcs").alias("component", "score")).select("story_id", "component", r(F.abs("score"), 4).alias("score"))
+
+
+@query("m4_kmeans")
+def _(t):
+    df, cols = _vectors(t)
+    return M.kmeans(M.pca(df, cols, 3)[0], 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m4_kmeans_sweep")
+def _(t):
+    df, cols = _vectors(t)
+    return M.kmeans_sweep(M.pca(df, cols, 3)[0], range(5, 8))
+
+
+@query("m5_hierarchical_clusters")
+def _(t):
+    df, cols = _vectors(t)
+    return M.hierarchical_clusters(M.pca(df, cols, 8)[0], 6).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _mi_sql(features, y: str, source: str, keys: str = "") -> str:
+    k = f"{keys}, " if keys else ""
+    g = f"{keys}, feature" if keys else "feature"
+    return f""", l AS ({' UNION ALL '.join(f"SELECT {k}'{f}' AS feature, CAST({e} AS VARCHAR) AS x, {y} AS y FROM {source}" for f, e in features)}),
+pc AS (SELECT {k}feature, x, y, CAST(count(*) AS DOUBLE) AS c FROM l GROUP BY ALL), tm AS (SELECT {k}feature, c / sum(c) OVER (PARTITION BY {g}) * ln(c * sum(c) OVER (PARTITION BY {g}) / (sum(c) OVER (PARTITION BY {g}, x) * sum(c) OVER (PARTITION BY {g}, y))) AS v FROM pc)
+SELECT {k}feature, round(sum(v), 6) AS mi FROM tm GROUP BY ALL"""
+
+
+@query("m6_mutual_info_discrete", with_("stories") + _mi_sql([("precip_class", "precip_class"), ("irr_type", "irr_type"), ("prev", "grp % 3")], "temp_class", "stories", "month"))
+def _(t):
+    x = t.story_months.withColumn("prev", F.col("grp") % 3).select("month", "precip_class", "irr_type", F.col("prev").cast("string").alias("prev"), "temp_class")
+    # class names stay text, so there is nothing negative to fold
+    return rounded(M.mutual_info_discrete(x, ["precip_class", "irr_type", "prev"], "temp_class", ["month"]))
+
+
+@query("m6_mutual_info_folded", """WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 - 1 < 0 THEN 0 ELSE o_orderkey % 3 - 1 END AS y, CASE WHEN o_custkey % 5 - 2 < 0 THEN 0 ELSE o_custkey % 5 - 2 END AS a FROM orders)""" + _mi_sql([("a", "a")], "y", "c"))
+def _(t):
+    x = t.table("orders").select((F.col("o_orderkey") % 3 - 1).alias("y"), (F.col("o_custkey") % 5 - 2).alias("a"))
+    return rounded(M.mutual_info_discrete(x, ["a"], "y", fold_negative=True))
+
+
+@query("m7_mutual_info_continuous", """WITH b AS (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS z FROM lineitem), c AS (SELECT l_returnflag AS y, least(floor((l_extendedprice - a) / ((z - a) / 10)), 9) AS p FROM lineitem, b)""" + _mi_sql([("l_extendedprice", "p")], "y", "c"))
+def _(t):
+    return rounded(M.mutual_info_continuous(t.table("lineitem").select("l_extendedprice", "l_returnflag"), ["l_extendedprice"], "l_returnflag"))
+
+
+@query("m8_t_test", with_("weather") + """, a AS (SELECT site, year(date) AS y, sum(rain) AS v FROM weather GROUP BY 1, 2), s AS (SELECT avg(v) FILTER (site = 0) AS ma, avg(v) FILTER (site = 1) AS mb, var_samp(v) FILTER (site = 0) AS va, var_samp(v) FILTER (site = 1) AS vb, count(*) FILTER (site = 0) AS na, count(*) FILTER (site = 1) AS nb FROM a)
+SELECT round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 6) AS t, na + nb - 2 AS df, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b FROM s""")
+def _(t):
+    a = t.weather.groupBy("site", F.year("date").alias("year")).agg(F.sum("rain").alias("v"))
+    return rounded(M.t_test(a, "v", "site", 0, 1))
+
+
+VARS = ("tmax", "tmin", "radn", "pet")
+
+
+def _matrices(t):
+    x = W.last_day_flag(t.weather, ["site"])
+    return M.lag_correlation_matrices(x, ["site"], "date", VARS)
+
+
+_END = "lead(month(date)) OVER (PARTITION BY site ORDER BY date) IS DISTINCT FROM month(date)"
+
+
+@query("m9_lag_correlations", with_("weather") + ", x AS (SELECT site, " + ", ".join(VARS) + "".join(f", CASE WHEN NOT {_END} THEN lead({v}) OVER (PARTITION BY site ORDER BY date) END AS n_{v}" for v in VARS)
+       + f", NOT {_END} AS pair FROM weather) SELECT site, " + ", ".join(f"round(corr({a}, {b}), 6) AS m0_{i}{j}, round(corr(n_{a}, {b}) FILTER (pair), 6) AS m1_{i}{j}" for i, a in enumerate(VARS) for j, b in enumerate(VARS)) + " FROM x GROUP BY 1")
+def _(t):
+    m = _matrices(t)
+    cells = [r(F.col(f"m{k}")[4 * i + j]).alias(f"m{k}_{i}{j}") for k in (0, 1) for i in range(4) for j in range(4)]
+    return m.select("site", *cells)
+
+
+@query("m9_lag_model")
+def _(t):
+    return _matrices(t).select("site", F.posexplode("a").alias("cell", "a")).withColumn("a", F.round("a", 5))
