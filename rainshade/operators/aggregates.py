@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rainshade.constants import RECORD_YEARS, SITE_MODES, TARGET_RANGES
 from rainshade.functions import scalars as S
 from rainshade.functions.calendar import month_days
-from rainshade.operators.joins import interp_join
+from rainshade.operators.joins import interp_join, lookup_side
 from rainshade.operators.shape import long_to_wide
 
 Agg = Callable[[Column], Column]
@@ -247,9 +247,9 @@ def density_2d(df: DataFrame, x: str, y: str, nbins: int, keys: Sequence[str] =
 
 
 def attach_small(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Put a per-key row beside each row; without keys the single row is read as a scalar subquery result."""
+    """Put a per-key row beside each row; without keys the single row becomes literals."""
     if keys:
-        return df.join(per_key, list(keys))
+        return df.join(lookup_side(per_key), list(keys))
     row = per_key.first()
     return df.withColumns({c: F.lit(row[c]) for c in per_key.columns})
 
@@ -347,7 +347,7 @@ def bias_ratio(hist: DataFrame, modelled: DataFrame, keys: Sequence[str], value:
 
 
 def apply_bias(df: DataFrame, ratio: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.join(ratio, list(keys)).withColumn(value, F.col(value) * F.col("ratio")).drop("ratio")
+    return df.join(lookup_side(ratio), list(keys)).withColumn(value, F.col(value) * F.col("ratio")).drop("ratio")
 
 
 def total_combinations(options: DataFrame, count: str = "n") -> DataFrame:

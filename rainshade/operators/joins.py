@@ -1,9 +1,9 @@
 """Joins: keyed, spine, nearest, interpolating and interval joins.
 
-No join here carries a broadcast hint. Small tables are broadcast by Spark itself when their size is
-below spark.sql.autoBroadcastJoinThreshold (or AQE measures it below); larger ones are shuffled, and
-AQE splits skewed partitions. Interval lookups are equi joins on a cell number plus a residual filter,
-never a product of both sides.
+A lookup table is read once with a row limit (`resident`). Below the limit it becomes local rows with a
+broadcast hint, so a fact table is never shuffled to meet it; above it the table stays distributed, the
+join is a shuffled one and AQE splits skewed partitions. Interval lookups are equi joins on a cell number
+plus a residual filter, never a product of both sides.
 """
 
 from __future__ import annotations
@@ -18,6 +18,26 @@ from rainshade.functions import scalars as S
 from rainshade.functions.calendar import drop_leap_day
 
 INF = float("inf")
+MAX_RESIDENT_ROWS = 200_000
+MAX_RESIDENT_BYTES = 64 * 2 ** 20
+MAX_CELL_ROWS = 1_000_000
+
+
+def resident(table: DataFrame, max_rows: int = MAX_RESIDENT_ROWS) -> tuple[DataFrame, int | None]:
+    """(table as local rows, row count) when it is small, else (table, None).
+
+    At most max_rows + 1 rows reach the driver. Give a lower max_rows where a row carries an array.
+    """
+    rows = table.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows or rows.nbytes > MAX_RESIDENT_BYTES:
+        return table, None
+    return table.sparkSession.createDataFrame(rows, table.schema), rows.num_rows
+
+
+def lookup_side(table: DataFrame, max_rows: int = MAX_RESIDENT_ROWS) -> DataFrame:
+    """The lookup side of a join: broadcast when its checked size allows, as it is otherwise."""
+    local, n = resident(table, max_rows)
+    return local if n is None else F.broadcast(local)
 
 
 def keyed_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -33,7 +53,7 @@ def events_with_daily_mean(events: DataFrame, daily: DataFrame, keys: Sequence[s
 
 def strict_lookup(df: DataFrame, table: DataFrame, on: Sequence[str], value: str) -> DataFrame:
     """Left join that fails the job when a key has no row in the table."""
-    joined = df.join(table.withColumn("_hit", F.lit(True)), list(on), "left")
+    joined = df.join(lookup_side(table.withColumn("_hit", F.lit(True))), list(on), "left")
     message = F.concat(F.lit(f"no {value} for "), F.to_json(F.struct(*on)))
     checked = F.when(F.col("_hit"), F.col(value)).otherwise(F.raise_error(message).cast(table.schema[value].dataType))
     return joined.withColumn(value, checked).drop("_hit")
@@ -41,7 +61,7 @@ def strict_lookup(df: DataFrame, table: DataFrame, on: Sequence[str], value: str
 
 def replace_lookup(df: DataFrame, table: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Left join where an absent key keeps the key value itself."""
-    return (df.join(table.select(key, F.col(value).alias("_v"), F.lit(True).alias("_hit")), key, "left")
+    return (df.join(lookup_side(table.select(key, F.col(value).alias("_v"), F.lit(True).alias("_hit"))), key, "left")
             .withColumn(out, F.when(F.col("_hit"), F.col("_v")).otherwise(F.col(key))).drop("_v", "_hit"))
 
 
@@ -123,15 +143,18 @@ def interval_join(df: DataFrame, x: str, table: DataFrame, low: str, high: str,
     """Join each row to the table interval [low, high) that holds x, within equal keys.
 
     The x axis is cut into equal cells over `domain`; each interval is listed once per cell it touches
-    (its count is at most intervals + cells per key), then the lookup is a hash join on (keys, cell)
-    with a residual range filter. Infinite ends are allowed and are clamped to the end cells.
+    (at most intervals + cells per key, kept under a million rows for a broadcast), then the lookup is a
+    hash join on (keys, cell) with a residual range filter. Infinite ends are clamped to the end cells.
     """
+    table, n = resident(table)
     domain = domain or table_domain(table, low, high)
+    if n is not None and keys:
+        cells = max(1, min(cells, MAX_CELL_ROWS // max(table.select(*keys).distinct().count(), 1)))
     listed = table.withColumn("_cell", F.explode(F.sequence(
         _cell(F.col(low), domain, cells), _cell(F.col(high), domain, cells))))
     listed = listed.withColumnsRenamed({low: "_low", high: "_high"})
     probe = df.withColumn("_cell", _cell(F.col(x), domain, cells)).alias("p")
-    t = listed.alias("t")
+    t = (listed if n is None else F.broadcast(listed)).alias("t")
     cond = (F.col("p._cell") == F.col("t._cell")) & (F.col(f"p.{x}") >= F.col("t._low")) & (F.col(f"p.{x}") < F.col("t._high"))
     for k in keys:
         cond = cond & (F.col(f"p.{k}") == F.col(f"t.{k}"))
@@ -235,7 +258,7 @@ def map_storyline_rest(stories: DataFrame, mapper: DataFrame, q: str = "rest", o
              .withColumns({"combo": S.combo_key(F.col("precip_class_prev"), F.col("precip_class")),
                            "_q": F.bround(F.col(q) * 100, 0).cast("int")}))
     table = mapper.select("combo", F.bround(F.col("q") * 100, 0).cast("int").alias("_q"), "month", F.col("rest").alias("_r"))
-    joined = keyed.join(table, ["combo", "_q", "month"], "left")
+    joined = keyed.join(lookup_side(table), ["combo", "_q", "month"], "left")
     return joined.withColumn(out, F.when(F.col("month").isin(*UNMAPPED_MONTHS), 0.0).otherwise(F.col("_r"))).drop("_q", "_r")
 
 
@@ -259,7 +282,7 @@ def transition_join(stories: DataFrame, transitions: DataFrame, story: str = "st
     w = Window.partitionBy(story).orderBy(seq)
     steps = stories.withColumn("next_state", F.lead("state").over(w)).where(F.col("next_state").isNotNull())
     table = transitions.select("month", F.col("from_state").alias("state"), F.col("to_state").alias("next_state"), "p")
-    return steps.join(table, ["month", "state", "next_state"], "left")
+    return steps.join(lookup_side(table), ["month", "state", "next_state"], "left")
 
 
 def cumulative_intervals(items: DataFrame, weight: str, order: str, keys: Sequence[str] = (),

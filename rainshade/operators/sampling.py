@@ -16,7 +16,10 @@ from rainshade import constants as C
 from rainshade.functions import scalars as S
 from rainshade.functions.calendar import drop_leap_day, month_days, shift_years
 from rainshade.functions.draws import Uniform, draw_index, hash_uniform
-from rainshade.operators.joins import interval_join, inverse_cdf_join
+from rainshade.operators.joins import interval_join, inverse_cdf_join, lookup_side, resident
+
+
+MAX_ARRAYS = 2000  # rows that carry a whole record, at most about 1,500 values each
 
 
 # ---- moving block bootstrap --------------------------------------------------------------------------
@@ -85,7 +88,7 @@ def moving_block_bootstrap(arrays: DataFrame, sims: DataFrame, kind: str, block,
     (the last legal start is left out unless asked for). The record joins by key (few rows), then slices
     are cut and joined inside the row: no explosion, no shuffle of simulations.
     """
-    joined = sims.join(arrays, "key")
+    joined = sims.join(lookup_side(arrays, MAX_ARRAYS), "key")
     n = F.size("record")
     length = F.lit(sim_len) if isinstance(sim_len, int) else (n if sim_len is None else sim_len)
     group = F.pmod(F.col("sim"), F.lit(n_sizes))
@@ -203,9 +206,9 @@ def stitch_months(stories: DataFrame, pools: DataFrame, realisations: int, seed:
     dry = asked.where(F.col("month").isin(*dry_months))
     wet = asked.where(~F.col("month").isin(*dry_months))
     sizes = pools.groupBy("key").agg(F.max("n").alias("n"))
-    picked = (wet.join(sizes, "key").withColumn("member", draw_index(
+    picked = (wet.join(lookup_side(sizes), "key").withColumn("member", draw_index(
         uniform(seed, F.col("story_id"), F.col("seq"), F.col("realisation")), F.col("n")))
-        .join(pools.drop("n"), ["key", "member"]))
+        .join(lookup_side(pools.drop("n"), MAX_ARRAYS), ["key", "member"]))
     zeros = dry.withColumn("values", F.array_repeat(F.lit(0.0), month_days(F.col("month"))))
     cols = ["story_id", "realisation", "seq", "values"]
     both = picked.select(*cols).unionByName(zeros.select(*cols))
@@ -245,16 +248,19 @@ def year_index(years: DataFrame, year: str = "water_year", keys: Sequence[str] =
 def bootstrap_years(draws: DataFrame, annual: DataFrame, nyr: int, means: Sequence[str] = (), sums: Sequence[str] = (),
                     year: str = "water_year", keys: Sequence[str] = (), seed: int = 1, uniform: Uniform = hash_uniform,
                     draw: str = "draw", summarise: bool = True) -> DataFrame:
-    """Uniform draws of nyr water years: means of flows and takes, sums of growth per draw (or the picks)."""
+    """Uniform draws of nyr water years: means of flows and takes, sums of growth per draw (or the picks).
+
+    With keys, draws has one row per (draw, keys).
+    """
     indexed = year_index(annual, year, keys)
     n_rows = indexed.select(*keys, "_n").distinct()
     slots = draws.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(nyr - 1))))
     if keys:
-        slots = slots.join(n_rows, list(keys))
+        slots = slots.join(lookup_side(n_rows), list(keys))
     else:
         slots = slots.withColumn("_n", F.lit(n_rows.first()["_n"]))
     picked = slots.withColumn("_i", draw_index(uniform(seed, *[F.col(k) for k in keys], F.col(draw), F.col("slot")), F.col("_n")))
-    joined = picked.drop("_n").join(indexed.drop("_n"), [*keys, "_i"]).drop("_i")
+    joined = picked.drop("_n").join(lookup_side(indexed.drop("_n")), [*keys, "_i"]).drop("_i")
     if not summarise:
         return joined
     return joined.groupBy(*keys, draw).agg(*[F.avg(c).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums])
@@ -262,17 +268,20 @@ def bootstrap_years(draws: DataFrame, annual: DataFrame, nyr: int, means: Sequen
 
 def draw_to_daily(picks: DataFrame, daily: DataFrame, year: str = "water_year") -> DataFrame:
     """Expand the picks of a draw back to its daily rows, year numbered by slot."""
-    return picks.select("draw", "slot", year).join(daily, year)
+    return picks.select("draw", "slot", year).join(lookup_side(daily), year)
+
+
+MAX_STATES = 1000
 
 
-def transition_arrays(transitions: DataFrame) -> DataFrame:
-    """(month, from_state) -> sorted array of (upper end, to_state): nine entries per row."""
-    w = Window.partitionBy("month", "from_state").orderBy("to_state").rowsBetween(Window.unboundedPreceding, 0)
-    cum = transitions.where(F.col("p") > 0).withColumn("_hi", F.sum("p").over(w))
-    total = Window.partitionBy("month", "from_state")
-    cum = cum.withColumn("_hi", F.when(F.col("to_state") == F.max("to_state").over(total), 2.0)
-                         .otherwise(F.col("_hi") / F.sum("p").over(total)))
-    return cum.groupBy("month", "from_state").agg(F.array_sort(F.collect_list(F.struct("_hi", "to_state"))).alias("_steps"))
+def transition_intervals(transitions: DataFrame) -> DataFrame:
+    """(month, from_state, to_state) with the interval [_lo, _hi) of a uniform that takes this step."""
+    group = Window.partitionBy("month", "from_state")
+    order = group.orderBy("to_state")
+    run = F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("p").over(group)
+    cum = transitions.where(F.col("p") > 0).withColumn("_run", run)
+    return cum.select("month", "from_state", "to_state", F.coalesce(F.lag("_run").over(order), F.lit(0.0)).alias("_lo"),
+                      F.when(F.lead("_run").over(order).isNull(), 2.0).otherwise(F.col("_run")).alias("_hi"))
 
 
 def markov_paths(sims: DataFrame, transitions: DataFrame, start: str = "A-A", seed: int = 1, uniform: Uniform = hash_uniform,
@@ -280,18 +289,25 @@ def markov_paths(sims: DataFrame, transitions: DataFrame, start: str = "A-A", se
                  sim: str = "sim") -> DataFrame:
     """12-month state paths from July: each step by the transition column of the month it leaves.
 
-    Eleven lookups in a table of at most 108 rows, all in one stage. Duplicate paths keep their smallest
-    sim; with n, the n smallest sims are kept and too few unique paths are an error, so give more sims than n.
+    Eleven lookups by (state, interval) in a table of at most 972 rows, all in one stage. Duplicate paths
+    keep their smallest sim (combined map-side); with n, the n smallest sims are kept and too few unique
+    paths are an error, so give more sims than n.
     """
-    table = transition_arrays(transitions)
-    paths = sims.withColumn("states", F.array(F.lit(start))).withColumn("_s", F.lit(start))
-    for i, m in enumerate(months):
-        step = table.where(F.col("month") == m).select(F.col("from_state").alias("_s"), "_steps")
-        u = uniform(seed, F.col(sim), F.lit(i))
-        paths = (paths.join(step, "_s").withColumn("_u", u)
-                 .withColumn("_s", F.element_at(F.filter("_steps", lambda e: e["_hi"] > F.col("_u")), 1)["to_state"])
-                 .withColumn("states", F.concat("states", F.array("_s"))).drop("_steps", "_u"))
-    paths = paths.drop("_s")
+    table, size = resident(transition_intervals(transitions))
+    first = table.where((F.col("month") == months[0]) & (F.col("from_state") == start)).orderBy("_lo").limit(MAX_STATES).collect()
+    if not first:
+        raise ValueError(f"no transition from {start} in month {months[0]}")
+    # the first step leaves one known state, so its few ends are literals
+    ends = [(r["to_state"], min(r["_hi"], 1.0) - r["_lo"]) for r in first]
+    opening = F.transform(F.array(uniform(seed, F.col(sim), F.lit(0))), lambda u: weighted_choice(u, [e for e, _ in ends], [p for _, p in ends]))
+    paths = sims.withColumns({"_s0": F.lit(start), "_s1": opening[0]})
+    for i, m in list(enumerate(months))[1:]:
+        step = table.where(F.col("month") == m).select(F.col("from_state").alias("_from"), F.col("to_state").alias(f"_s{i + 1}"), "_lo", "_hi")
+        step = step if size is None else F.broadcast(step)
+        paths = paths.withColumn("_u", uniform(seed, F.col(sim), F.lit(i))).join(
+            step, (F.col(f"_s{i}") == F.col("_from")) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_from", "_lo", "_hi", "_u")
+    steps = [f"_s{i}" for i in range(len(months) + 1)]
+    paths = paths.withColumn("states", F.array(*steps)).drop(*steps)
     if not unique:
         return paths
     others = [c for c in paths.columns if c not in ("states", sim)]
@@ -319,22 +335,20 @@ def weighted_choice(u: Column, options: Sequence, probs: Sequence[float]) -> Col
 def irrigation_suites(sims: DataFrame, bad: bool = True, seed: int = 1, uniform: Uniform = hash_uniform, sim: str = "sim") -> DataFrame:
     """12 restriction quantiles per sim: months 3-10 of the season drawn, the others 0."""
     options = [q / 100 for q in (C.BAD_QUANTILES if bad else C.GOOD_QUANTILES)]
-    picks = F.array(*[weighted_choice(uniform(seed, F.col(sim), F.lit(i)), options, C.QUANTILE_PROBABILITIES)
-                      if 2 <= i < 10 else F.lit(0.0) for i in range(12)])
-    return sims.withColumn("rest", picks)
+    # the lambda binds each uniform once, so it is not computed again for every edge
+    us = F.array(*[uniform(seed, F.col(sim), F.lit(i)) for i in range(2, 10)])
+    drawn = F.transform(us, lambda u: weighted_choice(u, options, C.QUANTILE_PROBABILITIES))
+    outside = F.array(F.lit(0.0), F.lit(0.0))
+    return sims.withColumn("rest", F.concat(outside, drawn, outside))
 
 
 def frequency_paths(sims: DataFrame, frequency: DataFrame, seed: int = 1, uniform: Uniform = hash_uniform, sim: str = "sim") -> DataFrame:
     """Independent month states by past frequency (normalised per month): rows (sim, month, state)."""
-    w = Window.partitionBy("month").orderBy("state").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy("month")
-    cum = frequency.where(F.col("freq") > 0).withColumn("_hi", F.when(
-        F.col("state") == F.max("state").over(total), 2.0).otherwise(F.sum("freq").over(w) / F.sum("freq").over(total)))
-    table = cum.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("_hi", "state"))).alias("_steps"))
+    as_steps = frequency.select("month", F.lit("-").alias("from_state"), F.col("state").alias("to_state"), F.col("freq").alias("p"))
+    table = transition_intervals(as_steps).select(F.col("month").alias("_m"), F.col("to_state").alias("state"), "_lo", "_hi")
     months = F.explode(F.array(*[F.lit(m) for m in (7, 8, 9, 10, 11, 12, 1, 2, 3, 4, 5, 6)]))
     drawn = sims.withColumn("month", months).withColumn("_u", uniform(seed, F.col(sim), F.col("month")))
-    return (drawn.join(table, "month").withColumn("state", F.element_at(
-        F.filter("_steps", lambda e: e["_hi"] > F.col("_u")), 1)["state"]).drop("_steps", "_u"))
+    return drawn.join(lookup_side(table), (F.col("month") == F.col("_m")) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_m", "_lo", "_hi", "_u")
 
 
 def random_suite(paths: DataFrame, suites: DataFrame, pairs: DataFrame) -> DataFrame:

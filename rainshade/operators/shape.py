@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rainshade import constants as C
 from rainshade.functions import scalars as S
 from rainshade.functions.calendar import lookup, month_days
+from rainshade.operators.joins import lookup_side
 
 # Unit conversions, source unit -> (factor, offset).
 UNITS = {"kelvin": (1.0, -273.15), "kg_m2_s": (86400.0, 0.0), "w_m2": (86400e-6, 0.0)}
@@ -68,7 +69,7 @@ def threshold_grid(df: DataFrame, keys: Sequence[str], grid: Sequence[tuple[str,
 def monthly_threshold(df: DataFrame, limits: DataFrame, candidates: Sequence[str], month: str = "month") -> DataFrame:
     """Join limits (month, var, threshold, ndays) and flag by the variable that month tests."""
     value = F.coalesce(*[F.when(F.col("var") == v, F.col(v)) for v in candidates])
-    return df.join(limits, month).withColumn("day_flag", value >= F.col("threshold"))
+    return df.join(lookup_side(limits), month).withColumn("day_flag", value >= F.col("threshold"))
 
 
 def bounded_suite(df: DataFrame, bounds: DataFrame, story: str = "story_id") -> DataFrame:
@@ -80,7 +81,7 @@ def bounded_suite(df: DataFrame, bounds: DataFrame, story: str = "story_id") ->
     n_bounds = bounds.count()
     inside = ((F.col("low").isNull() | (F.col("value") >= F.col("low")))
               & (F.col("high").isNull() | (F.col("value") <= F.col("high"))) & F.col("value").isNotNull())
-    return (df.join(bounds, ["site", "mode", "period"]).groupBy(story)
+    return (df.join(lookup_side(bounds), ["site", "mode", "period"]).groupBy(story)
             .agg(F.count_if(inside).alias("_ok")).where(F.col("_ok") == n_bounds).drop("_ok"))
 
 
@@ -191,7 +192,7 @@ def parse_tuple(text: Column) -> tuple[Column, Column]:
 def filter_month_regime(daily: DataFrame, classes: DataFrame, month: int = 0, regime: int = 0,
                         same_rain_class: bool = False) -> DataFrame:
     """Daily rows whose (year, month) class is the regime; 0 = all; optionally the 3 regimes of its rain class."""
-    out = daily.join(classes.select("year", "month", "regime"), ["year", "month"])
+    out = daily.join(lookup_side(classes.select("year", "month", "regime")), ["year", "month"])
     if month:
         out = out.where(F.col("month") == month)
     if regime:

@@ -80,9 +80,11 @@ def story_features(stories: DataFrame, story: str = "story_id") -> DataFrame:
 
 def pca(df: DataFrame, columns: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
     """Centred, unscaled components: (rows with an array `pcs`, explained variance ratio and its running sum)."""
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="_raw").transform(df)
+    assembled = VectorAssembler(inputCols=list(columns), outputCol="_raw").transform(df).persist()
+    # both fits read the assembled rows; later stages recompute them, nothing stays pinned
     centred = StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=False).fit(assembled).transform(assembled)
     model = PCA(k=min(k, len(columns)), inputCol="_centred", outputCol="_pcs").fit(centred)
+    assembled.unpersist()
     ratio = [float(v) for v in model.explainedVariance]
     rows = [(i + 1, r, float(sum(ratio[:i + 1]))) for i, r in enumerate(ratio)]
     explained = df.sparkSession.createDataFrame(rows, "component int, ratio double, cumulative double")
@@ -91,17 +93,21 @@ def pca(df: DataFrame, columns: Sequence[str], k: int) -> tuple[DataFrame, DataF
 
 def kmeans(components: DataFrame, k: int, n_pcs: int = 3, seed: int = 1) -> DataFrame:
     """k-means clusters on the first components."""
+    vec = _component_vectors(components, n_pcs).persist()
+    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vec)
+    vec.unpersist()
+    return model.transform(vec).drop("_v")
+
+
+def _component_vectors(components: DataFrame, n_pcs: int, offset: float = 0.0) -> DataFrame:
     cols = [f"_p{i}" for i in range(n_pcs)]
-    wide = components.withColumns({c: F.col("pcs")[i] for i, c in enumerate(cols)})
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(wide)
-    return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vec).transform(vec).drop("_v", *cols)
+    wide = components.withColumns({c: F.col("pcs")[i] + offset for i, c in enumerate(cols)})
+    return VectorAssembler(inputCols=cols, outputCol="_v").transform(wide).drop(*cols)
 
 
 def kmeans_sweep(components: DataFrame, ks: Sequence[int] = range(5, 15), n_pcs: int = 3, seed: int = 1) -> DataFrame:
     """Training cost of each k; the assembled components are read once and kept for all fits."""
-    cols = [f"_p{i}" for i in range(n_pcs)]
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(
-        components.select(*[F.col("pcs")[i].alias(c) for i, c in enumerate(cols)])).persist()
+    vec = _component_vectors(components, n_pcs).select("_v").persist()
     rows = []
     for k in ks:
         model = KMeans(k=k, seed=seed, featuresCol="_v").fit(vec)
@@ -111,12 +117,16 @@ def kmeans_sweep(components: DataFrame, ks: Sequence[int] = range(5, 15), n_pcs:
 
 
 def hierarchical_clusters(components: DataFrame, k: int, n_pcs: int = 15, seed: int = 1) -> DataFrame:
-    """Divisive clusters on up to 15 components: linear in rows where an agglomerative tree is quadratic."""
+    """Divisive clusters on up to 15 components: linear in rows where an agglomerative tree is quadratic.
+
+    Components are centred on 0, and Spark splits a cluster by a step proportional to its centre's length,
+    so all are moved by the same constant first; distances do not change.
+    """
     width = len(components.select("pcs").first()["pcs"])
-    cols = [f"_p{i}" for i in range(min(n_pcs, width))]
-    wide = components.withColumns({c: F.col("pcs")[i] for i, c in enumerate(cols)})
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(wide)
-    return BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vec).transform(vec).drop("_v", *cols)
+    vec = _component_vectors(components, min(n_pcs, width), 1.0).persist()
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vec)
+    vec.unpersist()
+    return model.transform(vec).drop("_v")
 
 
 def mutual_info_discrete(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (),

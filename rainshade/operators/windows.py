@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainshade.functions.calendar import month_days
-from rainshade.operators.aggregates import resolve
+from rainshade.operators.aggregates import attach_small, resolve
+from rainshade.operators.joins import interp_join, lookup_side
 
 Fun = str | Callable[[Column], Column]
 
@@ -61,7 +62,7 @@ def fill(df: DataFrame, keys: Sequence[str], order: str, value: str, how: str =
 def cumulative_anomaly(sim: DataFrame, base: DataFrame, keys: Sequence[str], on: Sequence[str], order: str,
                        value: str, days: bool = True) -> DataFrame:
     """Anomaly to a baseline and its running sum (x month length), nulls skipped, per realisation."""
-    joined = sim.join(base.select(*on, F.col(value).alias("_base")), list(on), "left")
+    joined = sim.join(lookup_side(base.select(*on, F.col(value).alias("_base"))), list(on), "left")
     anomaly = F.col(value) - F.col("_base")
     weight = month_days(F.col("month")) if days else F.lit(1)
     out = joined.withColumn("anomaly", anomaly)
@@ -201,7 +202,7 @@ def anomaly(df: DataFrame, keys: Sequence[str], value: str, fun: str = "mean", y
     """
     base = F.when(F.col(year).between(*years), F.col(value)) if years else F.col(value)
     level = df.groupBy(*keys).agg(resolve(fun)(base).alias("_level"))
-    joined = df.join(level, list(keys))
+    joined = attach_small(df, level, keys)
     diff = F.col(value) - F.col("_level")
     return joined.withColumns({out: diff, f"{out}_rel": F.try_divide(diff, F.col("_level"))}).drop("_level")
 
@@ -228,7 +229,7 @@ def resample(df: DataFrame, keys: Sequence[str], date: str, value: str, freq: st
     if freq[-1] != "D" or n < 1:
         raise ValueError(f"unknown frequency {freq}")
     start = df.groupBy(*keys).agg(F.min(date).alias("_s"))
-    joined = df.join(start, list(keys))
+    joined = attach_small(df, start, keys)
     k = F.floor(F.date_diff(F.col(date), F.col("_s")) / n).cast("int") * n
     return joined.groupBy(*keys, F.date_add("_s", k).alias("period")).agg(resolve(fun)(F.col(value)).alias(value))
 
@@ -248,7 +249,6 @@ def interpolate_linear(df: DataFrame, keys: Sequence[str], order: str, value: st
 
 def annual_to_daily(annual: DataFrame, year: str, value: str, first_year: int, last_year: int, n: int) -> DataFrame:
     """Annual means placed mid-year, evaluated at n evenly spaced points from the start of the second year on."""
-    from rainshade.operators.joins import interp_join
     start, stop = first_year + 1.0, last_year - 1.0 / 365
     curve = annual.where(F.col(year).between(first_year, last_year)).select((F.col(year) + 0.5).alias("at"), value)
     points = annual.sparkSession.range(n).select(F.col("id").alias("day_no"),

@@ -84,17 +84,18 @@ def eco_scores(stats: DataFrame, weightings: Sequence[str] = tuple(C.WEIGHTINGS)
     A pure projection of the wide statistics: weights and ranges are literals, so nothing is joined.
     """
     ranges = baseline or dict(zip(C.SCORED_STATISTICS, C.BASELINE_RANGES))
+    scored = stats.select(*scenario, "hydro_year", *[
+        S.score(F.col(s).cast("double"), F.lit(float(ranges[s][0])), F.lit(float(ranges[s][1])), F.lit(s in C.HIGHER_IS_BETTER)).alias(s)
+        for s in C.SCORED_STATISTICS])
     parts = []
     for name in weightings:
         if name not in C.WEIGHTINGS:
             raise ValueError(f"weighting must be one of {sorted(C.WEIGHTINGS)}, got {name}")
         total = F.lit(0.0)
         for stat, weight in zip(C.SCORED_STATISTICS, C.WEIGHTINGS[name]):
-            low, high = ranges[stat]
-            total = total + F.lit(float(weight)) * S.score(F.col(stat).cast("double"), F.lit(float(low)), F.lit(float(high)),
-                                                           F.lit(stat in C.HIGHER_IS_BETTER))
+            total = total + F.lit(float(weight)) * F.col(stat)
         parts.append(F.struct(F.lit(name).alias("weighting"), (total / len(C.SCORED_STATISTICS)).alias("score")))
-    return stats.select(*scenario, "hydro_year", F.explode(F.array(*parts)).alias("_s")).select(*scenario, "hydro_year", "_s.*")
+    return scored.select(*scenario, "hydro_year", F.explode(F.array(*parts)).alias("_s")).select(*scenario, "hydro_year", "_s.*")
 
 
 def mean_scores(scores: DataFrame, scenario: Sequence[str] = ("scenario",)) -> DataFrame:

@@ -24,23 +24,37 @@ def story_log10_prob(stories: DataFrame, transitions: DataFrame, initial: DataFr
     The last row's restriction never counts; a step with probability 0 gives -inf and is kept. A state or
     step that is missing from its table fails the job. One window and one aggregation on the story key.
     """
-    rows = stories.withColumns({"state": S.state_key(S.strip_class(F.col("temp_class")), S.strip_class(F.col("precip_class"))),
-                                "_t": F.col("year") * 12 + F.col("month")})
+    weather, tail = _probability_terms(irr_prob_from_zero)
+    total = weather + tail if add_irr_prob else weather
+    return _story_steps(stories, transitions, initial, story).groupBy(story).agg(F.sum(total).alias("log10_prob"))
+
+
+def story_log10_probs(stories: DataFrame, transitions: DataFrame, initial: DataFrame, irr_prob_from_zero: bool = False,
+                      story: str = "story_id") -> DataFrame:
+    """Irrigated and dryland log-probability of each story in one pass."""
+    weather, tail = _probability_terms(irr_prob_from_zero)
+    return _story_steps(stories, transitions, initial, story).groupBy(story).agg(
+        F.sum(weather + tail).alias("log10_prob_irrigated"), F.sum(weather).alias("log10_prob_dryland"))
+
+
+def _story_steps(stories: DataFrame, transitions: DataFrame, initial: DataFrame, story: str) -> DataFrame:
+    """Each month beside its successor, the probability of that step and of its own state."""
+    rows = stories.select(story, "month", "rest", "rest_per", (F.col("year") * 12 + F.col("month")).alias("_t"),
+                          S.state_key(S.strip_class(F.col("temp_class")), S.strip_class(F.col("precip_class"))).alias("state"))
     w = Window.partitionBy(story).orderBy("_t")
     steps = rows.withColumns({"next_state": F.lead("state").over(w), "_first": F.row_number().over(w) == 1})
     trans = transitions.select("month", F.col("from_state").alias("state"), F.col("to_state").alias("next_state"), F.col("p").alias("_p"))
     first = initial.select("month", "state", F.col("p").alias("_p0"))
-    joined = steps.join(trans, ["month", "state", "next_state"], "left").join(first, ["month", "state"], "left")
+    return steps.join(J.lookup_side(trans), ["month", "state", "next_state"], "left").join(J.lookup_side(first), ["month", "state"], "left")
+
 
+def _probability_terms(from_zero: bool) -> tuple[Column, Column]:
     def needed(p: str) -> Column:
         missing = F.concat(F.lit("no probability for "), F.to_json(F.struct("month", "state", "next_state")))
         return S.log10_safe(F.coalesce(F.col(p), F.raise_error(missing).cast("double")))
     counted = F.col("next_state").isNotNull() & ~F.col("month").isin(*C.SKIPPED_TRANSITION_MONTHS)
-    step = F.when(counted, needed("_p")).otherwise(0.0)
-    if add_irr_prob:
-        step = step + F.when(counted, S.tail_prob(F.col("rest"), F.col("rest_per"), irr_prob_from_zero)).otherwise(0.0)
-    start = F.when(F.col("_first"), needed("_p0")).otherwise(0.0)
-    return joined.groupBy(story).agg(F.sum(start + step).alias("log10_prob"))
+    weather = F.when(F.col("_first"), needed("_p0")).otherwise(0.0) + F.when(counted, needed("_p")).otherwise(0.0)
+    return weather, F.when(counted, S.tail_prob(F.col("rest"), F.col("rest_per"), from_zero)).otherwise(0.0)
 
 
 def recalc_story_prob(stories: DataFrame, weather_prob: DataFrame, mappers: DataFrame, story: str = "story_id") -> DataFrame:
@@ -73,7 +87,7 @@ def invalid_stories(stories: DataFrame, acceptable: DataFrame, story: str = "sto
     missing or doubled, no restriction in 6-8, class pair seen in that month.
     """
     seen = acceptable.select("state", "month", F.lit(True).alias("_seen"))
-    rows = stories.withColumn("state", S.state_key(F.col("temp_class"), F.col("precip_class"))).join(seen, ["state", "month"], "left")
+    rows = stories.withColumn("state", S.state_key(F.col("temp_class"), F.col("precip_class"))).join(J.lookup_side(seen), ["state", "month"], "left")
     t = F.col("year") * 12 + F.col("month")
     flags = rows.groupBy(story).agg(
         F.bool_or(~F.coalesce(F.col("temp_class").isin("C", "A", "H") & F.col("precip_class").isin("W", "A", "D"), F.lit(False))).alias("bad_class"),

@@ -152,9 +152,12 @@ TAIL = " + CASE WHEN rest = 0 THEN 0e0 ELSE log10(0.5e0 - abs(0.5e0 - rest_per))
 
 @query("e3_story_log10_prob", with_("stories", "transitions", "initial", extra=E3) + f"SELECT story_id, round(sum({STEP.format(tail=TAIL)}), 6) AS log10_prob_irrigated, round(sum({STEP.format(tail='')}), 6) AS log10_prob_dryland FROM e3p GROUP BY 1")
 def _(t):
-    a = ST.story_log10_prob(t.story_months, t.transitions, t.initial).withColumnRenamed("log10_prob", "log10_prob_irrigated")
-    b = ST.story_log10_prob(t.story_months, t.transitions, t.initial, add_irr_prob=False).withColumnRenamed("log10_prob", "log10_prob_dryland")
-    return rounded(a.join(b, "story_id"))
+    return rounded(ST.story_log10_probs(t.story_months, t.transitions, t.initial))
+
+
+@query("e3_story_log10_prob_from_zero", with_("stories", "transitions", "initial", extra=E3) + f"SELECT story_id, round(sum({STEP.format(tail=' + CASE WHEN rest = 0 THEN 0e0 ELSE log10(1e0 - rest_per) END')}), 6) AS log10_prob FROM e3p GROUP BY 1")
+def _(t):
+    return rounded(ST.story_log10_prob(t.story_months, t.transitions, t.initial, irr_prob_from_zero=True))
 
 
 @query("e4_recalc_story_prob", with_("stories", "impact", "mapper") + """, mp AS (SELECT regime, combo, month, q, rest * f AS rest FROM mapper, (VALUES ('current', 1e0), ('eco_both', 0.75e0)) v(regime, f)),
@@ -459,7 +462,7 @@ sq AS (SELECT dd.site, dd.mode, round(sum(pg_yr1 / 1000), 9) AS s FROM dd JOIN i
 def _(t):
     draws = t.table("customer").select(F.col("c_custkey").alias("draw")).withColumn("_s", F.explode(F.array(*[F.struct(F.lit(s).alias("site"), F.lit(m).alias("mode")) for s, m in
         (("oxford", "dryland"), ("eyrewell", "irrigated"), ("oxford", "irrigated"))]))).select("draw", "_s.*")
-    return rounded(G.historic_exceedance(_annual(t), ["site", "mode"], 3, False, draws.select("draw").distinct(), step=0.5, seed=15, uniform=md5_uniform))
+    return rounded(G.historic_exceedance(_annual(t), ["site", "mode"], 3, False, draws, step=0.5, seed=15, uniform=md5_uniform))
 
 
 @query("e22_original_and_corrected", with_("stories", extra=f"fx AS (SELECT story_id, site, mode, 'corrected' AS version, {CORRECTION} AS v FROM stories UNION ALL SELECT story_id, site, mode, 'original', pg FROM stories)") + "SELECT story_id, site, mode, version, round(sum(v), 4) AS pg_yr1 FROM fx GROUP BY 1, 2, 3, 4")
@@ -493,10 +496,10 @@ def _(t):
 @query("e24_rain_cdf", with_("weather", "classes", extra="""j AS (SELECT c.month, c.regime, rain FROM weather w JOIN classes c ON c.year = year(w.date) AND c.month = month(w.date) WHERE site = 0 AND rain <> 0), b0 AS (SELECT month, regime, min(rain) AS a, max(rain) AS z, count(*) AS n FROM j GROUP BY 1, 2),
 b AS (SELECT month, regime, CASE WHEN a = z THEN a - 0.5e0 ELSE a END AS a, CASE WHEN a = z THEN z + 0.5e0 ELSE z END AS z, n FROM b0),
 c AS (SELECT j.month, j.regime, CAST(least(floor((rain - a) / (z - a) * 50), 49) AS INTEGER) AS bin, count(*) AS c FROM j JOIN b ON b.month = j.month AND b.regime = j.regime GROUP BY 1, 2, 3), g AS (SELECT *, unnest(range(0, 50)) AS bin FROM b)""") + """
-SELECT g.month, g.regime, CAST(g.bin AS INTEGER) AS bin, round(a + (g.bin + 0.5e0) * ((z - a) / 50), 9) AS centre, round(CAST(sum(coalesce(c, 0)) OVER (PARTITION BY g.month, g.regime ORDER BY g.bin) AS DOUBLE) / n, 8) AS cdf FROM g LEFT JOIN c ON c.month = g.month AND c.regime = g.regime AND c.bin = g.bin""")
+SELECT g.month, g.regime, CAST(g.bin AS INTEGER) AS bin, a + (g.bin + 0.5e0) * ((z - a) / 50) AS centre, round(CAST(sum(coalesce(c, 0)) OVER (PARTITION BY g.month, g.regime ORDER BY g.bin) AS DOUBLE) / n, 8) AS cdf FROM g LEFT JOIN c ON c.month = g.month AND c.regime = g.regime AND c.bin = g.bin""")
 def _(t):
     x = _weather_stats(t)["rain_cdf"]
-    return x.withColumns({"centre": F.round("centre", 9), "cdf": F.round("cdf", 8)})
+    return x.withColumn("cdf", F.round("cdf", 8))
 
 
 @query("e24_variable_cdf")
