@@ -49,41 +49,54 @@ def agg_map(df: DataFrame, keys: Sequence[str], how: dict[str, str], date: str =
     return df.groupBy(*keys).agg(*[one(c, f) for c, f in how.items()])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-              bins_per_efold: int = 4096) -> DataFrame:
-    """Exact linear-interpolated quantiles per key as rows (keys, q, value), for groups of any size.
+def value_bin(x: Column, per_efold: int = 4096) -> Column:
+    """A bin number that never falls as x rises and depends on x alone; never null."""
+    finite = F.greatest(F.least(x, F.lit(1e300)), F.lit(-1e300))
+    return F.coalesce(F.floor(F.signum(finite) * F.log1p(F.abs(finite)) * per_efold).cast("long"), F.lit(0))
+
+
+def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, wanted: Callable[[Column, Column, Column], Column] | None = None,
+                  bins_per_efold: int = 4096) -> DataFrame:
+    """Distinct values per key with their zero-based rank range [_lo, _hi) and the key's size _n, for groups of any size.
 
     1. Count equal values per key (combined map-side). 2. Sum the counts in bins that are a monotone
     function of the value alone, and rank the bins per key: a few ten thousand rows at most. 3. Rank
-    values inside their own (key, bin) only and keep the one or two that each quantile needs.
+    values inside their own (key, bin) only. With `wanted(start, end, n)` only bins that satisfy it go on
+    to step 3, so most values never reach the sort.
     """
     v = F.col(value).cast("double")
-    b = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * bins_per_efold).cast("long")
     counts = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, (v + F.lit(0.0)).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", b))
+              .agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_bin(F.col("_v"), bins_per_efold)))
     per_bin = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
     order = Window.partitionBy(*keys).orderBy("_b")
     offsets = per_bin.select(
         *keys, "_b", F.coalesce(F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_s").over(Window.partitionBy(*keys)).alias("_n"), "_s")
+    if wanted is not None:
+        offsets = offsets.where(wanted(F.col("_off"), F.col("_off") + F.col("_s"), F.col("_n")))
+    near = counts.join(offsets.drop("_s"), [*keys, "_b"])
+    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hi = F.col("_off") + F.sum("_c").over(inner)
+    return near.select(*keys, "_v", "_c", "_n", hi.alias("_hi")).withColumn("_lo", F.col("_hi") - F.col("_c"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per key as rows (keys, q, value), for groups of any size."""
     wanted = F.array(*[F.lit(float(q)) for q in probs])
 
-    def position(q: Column) -> Column:
-        return q * (F.col("_n") - 1)
+    def position(q: Column, n: Column) -> Column:
+        return q * (n - 1)
 
-    # only bins that hold a wanted rank go on, so most values never reach the sort
-    holds = F.exists(wanted, lambda q: (F.floor(position(q)) < F.col("_off") + F.col("_s"))
-                     & (F.ceil(position(q)) >= F.col("_off")))
-    near = counts.join(offsets.where(holds).drop("_s"), [*keys, "_b"])
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = near.withColumn("_hi", F.col("_off") + F.sum("_c").over(inner)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    ranked = ranked_counts(df, keys, value, lambda start, end, n: F.exists(
+        wanted, lambda q: (F.floor(position(q, n)) < end) & (F.ceil(position(q, n)) >= start)))
 
     def inside(rank: Column) -> Column:
         return (rank >= F.col("_lo")) & (rank < F.col("_hi"))
 
-    hits = F.filter(wanted, lambda q: inside(F.floor(position(q))) | inside(F.ceil(position(q))))
+    n = F.col("_n")
+    hits = F.filter(wanted, lambda q: inside(F.floor(position(q, n))) | inside(F.ceil(position(q, n))))
     rows = ranked.where(F.size(hits) > 0).withColumn("q", F.explode(hits))
-    pos = position(F.col("q"))
+    pos = position(F.col("q"), n)
     picked = rows.groupBy(*keys, "q").agg(
         F.max(F.when(inside(F.floor(pos)), F.col("_v"))).alias("_a"),
         F.max(F.when(inside(F.ceil(pos)), F.col("_v"))).alias("_z"), F.max(pos - F.floor(pos)).alias("_f"))

@@ -16,7 +16,8 @@ from rainshade import constants as C
 from rainshade.functions import scalars as S
 from rainshade.functions.calendar import drop_leap_day, month_days, shift_years
 from rainshade.functions.draws import Uniform, draw_index, hash_uniform
-from rainshade.operators.joins import interval_join, inverse_cdf_join, lookup_side, resident
+from rainshade.operators.aggregates import value_bin
+from rainshade.operators.joins import inverse_cdf_join, lookup_side, resident
 
 
 MAX_ARRAYS = 2000  # rows that carry a whole record, at most about 1,500 values each
@@ -118,35 +119,32 @@ def sim_statistic_rows(sims: DataFrame, fun: Callable[[Column], Column], suffix:
     return rows.groupBy("key", "sim").agg(fun(F.col("value")).alias(suffix))
 
 
-def _value_bin(x: Column, per_efold: int) -> Column:
-    """A bin number that never falls as x rises; depends on x alone."""
-    finite = F.greatest(F.least(x, F.lit(1e300)), F.lit(-1e300))
-    return F.floor(F.signum(finite) * F.log1p(F.abs(finite)) * per_efold).cast("double")
+def rank_sims(sims: DataFrame, suffix: str, bounds: DataFrame, blocks: int = 256, sub: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Number the simulations of each key by their statistic, and count those below each bound.
 
-
-def rank_sims(sims: DataFrame, suffix: str, blocks: int = 256, sub: Column | None = None, per_efold: int = 4096) -> tuple:
-    """Number the simulations of each key by their statistic without sorting a key in one task.
-
-    Returns (ranked sims, distinct value counts, bins). Levels: value bin -> (value, sub-block of equal
-    values) -> place; each level is a running sum over a bounded list.
+    bounds is (key, side, x): side 'a' counts statistics < x, side 'z' statistics <= x. Returns
+    (sims with _rank, bounds with _count). Levels: value bin -> (value, sub-block of equal values) ->
+    place; each level is a running sum over a bounded list. Bounds are rows of weight 0 in the same
+    running sums, so no bound is paired with a simulation.
     """
-    s = F.col(suffix)
     slim = sims.select("key", "sim", suffix).withColumns({
-        "_b": _value_bin(s, per_efold), "_sub": sub if sub is not None else F.pmod(F.xxhash64("sim"), F.lit(blocks))})
-    groups = slim.groupBy("key", "_b", suffix, "_sub").agg(F.count(F.lit(1)).alias("_c"))
-    bins = groups.groupBy("key", "_b").agg(F.sum("_c").alias("_nb"))
-    by_bin = Window.partitionBy("key").orderBy("_b")
-    bins = bins.select("key", "_b", "_nb",
-                       F.coalesce(F.sum("_nb").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-                       F.coalesce(F.lead("_b").over(by_bin), F.lit(float("inf"))).alias("_next"),
-                       F.sum("_nb").over(Window.partitionBy("key")).alias("_total"))
-    inside = Window.partitionBy("key", "_b").orderBy(suffix, "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+        "_b": value_bin(F.col(suffix)), "_sub": (sub if sub is not None else F.pmod(F.xxhash64("sim"), F.lit(blocks))).cast("long")})
+    groups = slim.groupBy("key", "_b", F.col(suffix).alias("_x"), "_sub").agg(F.count(F.lit(1)).alias("_c"))
+    marks = bounds.select("key", value_bin(F.col("x")).alias("_b"), F.col("x").alias("_x"), "side")
+    # before the values it equals for '<', after them for '<='
+    rows = groups.withColumns({"side": F.lit(None).cast("string"), "_place": F.lit(1)}).unionByName(marks.withColumns({
+        "_sub": F.lit(0).cast("long"), "_c": F.lit(0).cast("long"), "_place": F.when(F.col("side") == "a", 0).otherwise(2)}))
+    bins = rows.groupBy("key", "_b").agg(F.sum("_c").alias("_nb"))
+    before = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bins.select("key", "_b", F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("key", "_b").orderBy("_x", "_place", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (rows.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(offsets, ["key", "_b"])
+              .withColumn("_start", F.col("_off") + F.col("_in")))
     place = F.row_number().over(Window.partitionBy("key", "_b", suffix, "_sub").orderBy("sim")) - 1
-    ranked = (slim.withColumn("_p", place).join(starts.drop("_c"), ["key", "_b", suffix, "_sub"])
-              .join(bins.select("key", "_b", "_off"), ["key", "_b"])
-              .select("key", "sim", suffix, (F.col("_off") + F.col("_in") + F.col("_p")).alias("_rank")))
-    return ranked, groups.groupBy("key", "_b", suffix).agg(F.sum("_c").alias("_c")), bins
+    groups_at = starts.where(F.col("side").isNull()).select("key", "_b", F.col("_x").alias(suffix), "_sub", "_start")
+    ranked = (slim.withColumn("_p", place).join(groups_at, ["key", "_b", suffix, "_sub"])
+              .select("key", "sim", suffix, (F.col("_start") + F.col("_p")).alias("_rank")))
+    return ranked, starts.where(F.col("side").isNotNull()).select("key", "side", F.col("_x").alias("x"), F.col("_start").alias("_count"))
 
 
 def pull_sims(sims: DataFrame, requests: DataFrame, suffix: str = "mean", seed: int = 1, uniform: Uniform = hash_uniform,
@@ -158,30 +156,22 @@ def pull_sims(sims: DataFrame, requests: DataFrame, suffix: str = "mean", seed:
     ('any'). One row per (request, draw): the chosen sim, its statistic, the number of suitable ones in
     `available`, and `short` where those are too few. A request without any suitable simulation fails.
 
-    Suitable simulations are a run of ranks by statistic, so a request is never paired with the
-    simulations of its key: its two bounds become two ranks, and a draw is one lookup by (key, rank).
+    Suitable simulations are a run of ranks by statistic: a request's two bounds become two ranks, and a
+    draw is one lookup by (key, rank). Requests with equal bounds share them, so a hot target costs nothing.
     """
     if under_level not in ("warn", "raise", "pass"):
         raise ValueError("under_level must be warn, raise or pass")
-    bounds = {"target": lambda: (F.col("target") - F.col("tol"), F.col("target") + F.col("tol")),
-              "bounds": lambda: (F.col("low"), F.col("high")),
-              "any": lambda: (F.lit(float("-inf")), F.lit(float("inf")))}[selection]()
-    ranked, values, bins = rank_sims(sims, suffix, sub=sub)
-    ends = F.explode(F.array(F.struct(F.lit("a").alias("side"), bounds[0].cast("double").alias("x")),
-                             F.struct(F.lit("z").alias("side"), bounds[1].cast("double").alias("x"))))
-    asked = requests.select("request", "key", "n", ends.alias("_e")).select("request", "key", "n", "_e.*")
-    asked = asked.withColumn("_bx", _value_bin(F.col("x"), 4096))
-    counted = bins.groupBy("key").agg(F.max("_total").alias("_total"), F.min("_b").alias("_first"))
-    placed = interval_join(asked, "_bx", bins.drop("_total"), "_b", "_next", ["key"], how="left")
-    # the bin of the bound itself is counted by its distinct values; all bins before it are whole
-    here = asked.join(values, (asked["key"] == values["key"]) & (asked["_bx"] == values["_b"]), "inner").select(
-        "request", "side", F.when(F.col("side") == "a", F.col(suffix) < F.col("x")).otherwise(F.col(suffix) <= F.col("x")).alias("_ok"), "_c")
-    here = here.groupBy("request", "side").agg(F.sum(F.when(F.col("_ok"), F.col("_c")).otherwise(0)).alias("_part"))
-    joined = placed.join(here, ["request", "side"], "left").join(counted, "key", "left")
-    below = F.when(F.col("_part").isNotNull(), F.coalesce("_off", F.lit(0)) + F.col("_part")).otherwise(
-        F.coalesce(F.col("_off") + F.col("_nb"), F.lit(0)))
-    ranks = joined.groupBy("request", "key", "n").agg(F.max(F.when(F.col("side") == "a", below)).alias("_from"),
-                                                     F.max(F.when(F.col("side") == "z", below)).alias("_to"))
+    low, high = {"target": lambda: (F.col("target") - F.col("tol"), F.col("target") + F.col("tol")),
+                 "bounds": lambda: (F.col("low"), F.col("high")),
+                 "any": lambda: (F.lit(-1e300), F.lit(1e300))}[selection]()
+    asked = requests.select("request", "key", "n", low.cast("double").alias("_low"), high.cast("double").alias("_high"))
+    ends = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("_low").alias("x")), F.struct(F.lit("z").alias("side"), F.col("_high").alias("x"))))
+    bounds = asked.select("key", ends.alias("_e")).select("key", "_e.*").distinct()
+    ranked, counts = rank_sims(sims, suffix, bounds, sub=sub)
+
+    def count_of(side: str, x: str, out: str) -> DataFrame:
+        return lookup_side(counts.where(F.col("side") == side).select("key", F.col("x").alias(x), F.col("_count").alias(out)))
+    ranks = asked.join(count_of("a", "_low", "_from"), ["key", "_low"]).join(count_of("z", "_high", "_to"), ["key", "_high"])
     none = F.raise_error(F.concat(F.lit("no simulations for request "), F.col("request").cast("string"))).cast("long")
     found = F.col("_to") - F.col("_from")
     ranks = ranks.withColumn("available", F.when(found > 0, found).otherwise(none))

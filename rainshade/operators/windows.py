@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainshade.functions.calendar import month_days
-from rainshade.operators.aggregates import attach_small, resolve
+from rainshade.operators.aggregates import attach_small, ranked_counts, resolve
 from rainshade.operators.joins import interp_join, lookup_side
 
 Fun = str | Callable[[Column], Column]
@@ -142,18 +142,13 @@ def nyear_chunks(df: DataFrame, keys: Sequence[str], year: str, value: str, n: i
 def flow_duration(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Values in ascending order beside the reversed average ranks as 100 x rank / (n + 1).
 
-    Equal values are counted first; a value's rank block gives its own average rank and, mirrored, the
-    average rank of the value at the opposite end, so the pairing needs one row per distinct value run.
+    Equal values share one rank range; a range gives its own average rank and, mirrored, the average rank
+    of the value at the opposite end. Ranks come from `ranked_counts`, so a key of any size is spread out.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = F.sum("_c").over(Window.partitionBy(*keys))
-    hi = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select(*keys, value, "_c", n.alias("_n"), hi.alias("_hi"), (hi - F.col("_c")).alias("_lo"))
+    ranked = ranked_counts(df, keys, value)
     rows = ranked.withColumn("order", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))))
-    ranks = rows.select(*keys, (F.col("_n") + 1 - F.col("order")).alias("order"),
-                        ((F.col("_lo") + 1 + F.col("_hi")) / 2).alias("_rank"))
-    return (rows.select(*keys, "order", value, "_n").join(ranks, [*keys, "order"])
+    ranks = rows.select(*keys, (F.col("_n") + 1 - F.col("order")).alias("order"), ((F.col("_lo") + 1 + F.col("_hi")) / 2).alias("_rank"))
+    return (rows.select(*keys, "order", F.col("_v").alias(value), "_n").join(ranks, [*keys, "order"])
             .select(*keys, "order", value, (100 * F.col("_rank") / (F.col("_n") + 1)).alias("exceedance")))
 
 
@@ -161,21 +156,18 @@ def percentile_of_score(df: DataFrame, keys: Sequence[str], value: str, threshol
     """Mean-rank percentile of a threshold per key and |threshold - value at that percentile|.
 
     percentile = (count below + count at or below + [threshold present]) x 50 / n. The value at the
-    percentile needs two order statistics, read from counts per distinct value of the key.
+    percentile needs two order statistics, found by rank among the distinct values of the key.
     """
     v, t = F.col(value), F.lit(float(threshold))
     totals = (df.where(v.isNotNull()).groupBy(*keys)
-              .agg(F.count_if(v < t).alias("_lt"), F.count_if(v <= t).alias("_le"), F.count(F.lit(1)).alias("_n")))
+              .agg(F.count_if(v < t).alias("_lt"), F.count_if(v <= t).alias("_le"), F.count(F.lit(1)).alias("_m")))
     present = (F.col("_le") > F.col("_lt")).cast("int")
-    out = totals.withColumn("percentile", (F.col("_lt") + F.col("_le") + present) * 50.0 / F.col("_n"))
+    out = totals.withColumn("percentile", (F.col("_lt") + F.col("_le") + present) * 50.0 / F.col("_m"))
     if not nearest:
         return out.select(*keys, "percentile")
-    pos = F.col("percentile") / 100 * (F.col("_n") - 1)
+    pos = F.col("percentile") / 100 * (F.col("_m") - 1)
     wanted = out.select(*keys, "percentile", F.floor(pos).alias("_k"), F.ceil(pos).alias("_k2"), (pos - F.floor(pos)).alias("_f"))
-    counts = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    joined = ranked.join(wanted, list(keys))
+    joined = attach_small(ranked_counts(df, keys, value), wanted, keys)
 
     def at(k: str) -> Column:
         return F.max(F.when((F.col(k) >= F.col("_lo")) & (F.col(k) < F.col("_hi")), F.col("_v")))

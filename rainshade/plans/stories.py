@@ -166,15 +166,15 @@ def unique_event_impact(events: DataFrame, base_state: str = "A-A") -> DataFrame
     """Growth of single-month events by months since the event, minus the base event of the same month.
 
     events is (event, month0, state, rest, seq, value); the base is the A-A event of that month with
-    rest 50, or 0 in months 5-8. A window over (month0, months since) reads the base without a self join.
+    rest 50, or 0 in months 5-8. The base is one value per (month0, months since), a few hundred at most.
     """
     starts = Window.partitionBy("event")
     since = events.withColumn("since", F.col("seq") - F.min("seq").over(starts))
     base_rest = F.when(F.col("month0").isin(*C.UNMAPPED_MONTHS), 0).otherwise(50)
     is_base = (F.col("state") == base_state) & (F.col("rest") == base_rest)
-    w = Window.partitionBy("month0", "since")
-    base = F.max(F.when(is_base, F.col("value"))).over(w)
-    return since.select("event", "month0", "state", "rest", "since", (F.col("value") - base).alias("impact"))
+    base = since.groupBy("month0", "since").agg(F.max(F.when(is_base, F.col("value"))).alias("_base"))
+    return since.join(J.lookup_side(base), ["month0", "since"]).select(
+        "event", "month0", "state", "rest", "since", (F.col("value") - F.col("_base")).alias("impact"))
 
 
 def verify_realisations(months: DataFrame, story: DataFrame, limits: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ def _(t):
     return rounded(spread.join(high, ["key", "sim"]).select("sim", "key", "spread", "high"))
 
 
-@query("x2_realisation_aggregator", with_("stories") + "SELECT site, mode, month, round(median(pg), 6) AS pg FROM stories GROUP BY 1, 2, 3")
+@query("x2_realisation_aggregator", with_("stories") + "SELECT site, mode, month, round(sqrt(avg(pg * pg)), 6) AS pg FROM stories GROUP BY 1, 2, 3")
 def _(t):
-    return rounded(site_mode_table(t.story_months, ["pg"], F.median, ["site", "mode", "month"]))
+    return rounded(site_mode_table(t.story_months, ["pg"], lambda c: F.sqrt(F.avg(c * c)), ["site", "mode", "month"]))
 
 
 @query("x3_resample_function", with_("weather") + "SELECT site, CAST(CAST(date_trunc('month', date) AS DATE) AS VARCHAR) AS period, round(sum(rain), 6) AS rain FROM weather GROUP BY 1, 2")
