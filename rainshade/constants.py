@@ -134,6 +134,10 @@ DRYLAND_WEED = {1: 0.42, 2: 0.30, 3: 0.27, 4: 0.25, 5: 0.27, 6: 0.20,
                 7: 0.20, 8: 0.20, 9: 0.13, 10: 0.22, 11: 0.53, 12: 0.60}
 RESEED_RULE = {("dryland", "oxford"): (0.059, 0.090), ("irrigated", "eyrewell"): (0.696, 0.727),
                ("irrigated", "oxford"): (0.678, 0.704)}
+# store modes reseed at shares of their own basal cover, by (mode, site)
+STORE_BASAL = {("store400", "eyrewell"): 0.7574, ("store400", "oxford"): 0.7227, ("store600", "eyrewell"): 0.7638,
+               ("store600", "oxford"): 0.7289, ("store800", "eyrewell"): 0.7662, ("store800", "oxford"): 0.7329}
+STORE_RESEED_SHARES = (0.935, 0.9735)
 MAX_IRRIGATION = 5.0
 
 # Restriction quantiles (%) of the random suites and their probabilities.
@@ -144,6 +148,8 @@ EVENT_QUANTILES = (50, 60, 75, 80, 90, 95, 99)
 
 # Days with rain that make a wet month (99 = never), dry thresholds and day counts.
 WET_DAYS_LIMIT = {1: 99, 2: 99, 3: 99, 4: 99, 5: 14, 6: 11, 7: 11, 8: 13, 9: 13, 10: 99, 11: 99, 12: 99}
+ROLLING_DRY_LIMITS = {4: 15, 5: 10, 8: 5, 9: 10}  # 10-day rain (mm) by month, other months never
+ROLLING_DRY_EASED = (0, 3, 5, 10)
 HOT_THRESHOLDS = (20, 25, 28, 30, 35)
 COLD_THRESHOLDS = (0, 5, 7, 10, 12)
 DRY_ANOMALIES = (-5, -10, -12, -15, -17, -20)

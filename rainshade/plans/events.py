@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from rainshade import constants as C
 from rainshade.functions import scalars as S
-from rainshade.functions.calendar import date_parts, lookup
+from rainshade.functions.calendar import date_parts, lookup, month_days
 from rainshade.operators import aggregates as A
 from rainshade.operators import windows as W
 from rainshade.operators.folds import soil_moisture_anomaly, soil_moisture_deficit_monthly
+from rainshade.operators.joins import lookup_side
+from rainshade.operators.ranking import intersect_months, joint_probability
 from rainshade.operators.shape import threshold_grid
 
 
@@ -52,9 +54,10 @@ def classify_months(weather: DataFrame, limits: DataFrame | None = None, keys: S
 
 
 def add_restriction(classes: DataFrame, rest_daily: DataFrame, value: str = "f_rest") -> DataFrame:
-    """Monthly restriction mean and running season sum beside the classes."""
-    months = date_parts(rest_daily).groupBy("year", "month").agg(F.avg(value).alias("rest"), F.sum(value).alias("rest_cum"))
-    return classes.join(months, ["year", "month"], "left").na.fill(0.0, ["rest", "rest_cum"])
+    """Monthly restriction sum and its fraction of the fixed month length beside the classes; no record gives 0."""
+    months = date_parts(rest_daily).groupBy("year", "month").agg(F.sum(value).alias("rest_cum"))
+    joined = classes.join(lookup_side(months), ["year", "month"], "left").na.fill(0.0, ["rest_cum"])
+    return joined.withColumn("rest", F.col("rest_cum") / month_days(F.col("month")))
 
 
 # ---- recurrence ----------------------------------------------------------------------------------------
@@ -107,13 +110,21 @@ def wet_day_recurrence(daily: DataFrame, limits: dict[int, int] | None = None, y
     return recurrence(flags, None, years)
 
 
-def rolling_dry_recurrence(daily: DataFrame, day_limits: dict[str, int], keys: Sequence[str] = (), window: int = 10,
-                           rain_limit: float = 10.0, years: int = C.RECORD_YEARS) -> DataFrame:
-    """Months with enough days whose trailing rain sum is below a limit."""
+def rolling_dry_recurrence(daily: DataFrame, day_limits: dict[str, dict[int, int]], rain_limits: dict[str, dict[int, float]] | None = None,
+                           keys: Sequence[str] = (), window: int = 10, years: int = C.RECORD_YEARS) -> DataFrame:
+    """Months with enough days whose trailing rain sum is at or below the month's limit.
+
+    Both limits are by name and month; an event is named `<rain limit>_<day limit>`. A month without a
+    rain limit can never be dry.
+    """
+    rain_limits = rain_limits or {f"first-{k}" if k else "first": {m: v - k for m, v in C.ROLLING_DRY_LIMITS.items()} for k in C.ROLLING_DRY_EASED}
     rolled = W.rolling(daily, keys, "date", "rain", window, "sum", "_roll")
-    days = rolled.groupBy("year", "month").agg(F.count_if(F.col("_roll") <= rain_limit).alias("days"))
-    events = F.explode(F.array(*[F.struct(F.lit(k).alias("event"), F.lit(v).alias("nd")) for k, v in day_limits.items()]))
-    flags = days.withColumn("_e", events).select("year", "month", "_e.event", (F.col("days") >= F.col("_e.nd")).alias("flag"))
+    month = F.col("month")
+    counts = rolled.groupBy("year", "month").agg(*[
+        F.count_if(F.col("_roll") <= lookup({m: float(v) for m, v in lim.items()}, month)).alias(f"_{i}") for i, lim in enumerate(rain_limits.values())])
+    pairs = [F.struct(F.lit(f"{r}_{d}").alias("event"), (F.col(f"_{i}") >= lookup(nd, month)).alias("flag"))
+             for i, r in enumerate(rain_limits) for d, nd in day_limits.items()]
+    flags = counts.select("year", "month", F.explode(F.array(*pairs)).alias("_e")).select("year", "month", "_e.event", F.coalesce("_e.flag", F.lit(False)).alias("flag"))
     return recurrence(flags, None, years)
 
 
@@ -142,6 +153,13 @@ def spell_recurrence(daily: DataFrame, thresholds: dict[str, float] | None = Non
     return recurrence(flags, None, years)
 
 
+def joint_recurrence(events: DataFrame, left: Sequence[str], right: Sequence[str], growth: DataFrame, years: int = C.RECORD_YEARS) -> DataFrame:
+    """Per pair of definitions and month: probability that both occur, and the growth anomalies of those months."""
+    pairs = intersect_months(events, left, right)
+    hits = pairs.join(lookup_side(growth), ["year", "month"])
+    return joint_probability(pairs, years).join(A.describe_by(hits, ["left", "right", "month"], "anomaly"), ["left", "right", "month"], "left")
+
+
 def growth_anomaly_on(events: DataFrame, growth: DataFrame) -> DataFrame:
     """Describe of growth anomalies per month over listed (month, year)."""
     hits = growth.join(events.select("month", "year").distinct(), ["month", "year"], "left_semi")

@@ -45,6 +45,15 @@ def model_input(weather: DataFrame, restriction: DataFrame | None, mode: str, ke
                        zero.alias("external_inflow"))
 
 
+def reseed_rule(mode: str, site: str) -> tuple[float, float]:
+    """(trigger, basal cover after reseeding) of a site-mode."""
+    if (mode, site) in C.STORE_BASAL:
+        return tuple(C.STORE_BASAL[mode, site] * share for share in C.STORE_RESEED_SHARES)
+    if (mode, site) not in C.RESEED_RULE:
+        raise ValueError(f"no reseed rule for {mode} at {site}")
+    return C.RESEED_RULE[mode, site]
+
+
 def harvest_calendar(days: DataFrame, mode: str, site: str, keys: Sequence[str] = (), fix_leap: bool = True) -> DataFrame:
     """Harvest trigger, target, weed fraction and reseed limits for every day of a series.
 
@@ -75,7 +84,7 @@ def harvest_calendar(days: DataFrame, mode: str, site: str, keys: Sequence[str]
         trig = F.when(summer, C.DRYLAND_SUMMER_TRIGGER_TARGET[0]).otherwise(C.DRYLAND_TRIGGER_TARGET[0])
         targ = F.when(summer, C.DRYLAND_SUMMER_TRIGGER_TARGET[1]).otherwise(C.DRYLAND_TRIGGER_TARGET[1])
         weed = lookup(C.DRYLAND_WEED, month)
-    rule = C.RESEED_RULE.get((mode, site)) or C.RESEED_RULE[("irrigated", site)]
+    rule = reseed_rule(mode, site)
     reseed = F.dayofyear("date") == C.RESEED_DOY
     return rows.select(*keys, "date", F.year("date").alias("year"), F.dayofyear("date").alias("doy"), F.lit(1.0).alias("frac_harv"),
                        F.when(harvest, trig).otherwise(-1).alias("harv_trig"), F.when(harvest, targ).otherwise(0).alias("harv_targ"),

@@ -113,12 +113,13 @@ def _(t):
 
 
 @query("e2_rolling_dry", with_("weather") + f""", w AS (SELECT date, CASE WHEN count(*) OVER x >= 10 THEN sum(rain) OVER x END AS v FROM weather WHERE site = 0 WINDOW x AS (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
-d AS (SELECT year(date) AS y, month(date) AS m, count(*) FILTER (v <= 25) AS d FROM w GROUP BY 1, 2), f AS (SELECT m, event, d >= nd AS flag FROM d, (VALUES ('ndays5', 5), ('ndays10', 10), ('ndays15', 15), ('ndays20', 20)) q(event, nd)),
+d AS (SELECT year(date) AS y, month(date) AS m, count(*) FILTER (v <= 20 + 2 * month(date)) AS d1, count(*) FILTER (v <= 30 AND month(date) <> 7) AS d2 FROM w GROUP BY 1, 2), f AS (SELECT m, k || '_' || event AS event, CASE k WHEN 'flat' THEN d2 ELSE d1 END >= nd AS flag FROM d, (VALUES ('ndays5', 5), ('ndays10', 10), ('ndays15', 15), ('ndays20', 20)) q(event, nd), (VALUES ('season'), ('flat')) r(k)),
 p AS (SELECT event, m, count(*) FILTER (flag) AS s, avg(CASE WHEN flag THEN 1e0 ELSE 0e0 END) AS p FROM f GROUP BY 1, 2), k AS (SELECT *, min(s) OVER (PARTITION BY event) AS lo, max(s) OVER (PARTITION BY event) AS hi FROM p)
 SELECT event, CAST(m AS INTEGER) AS month, s AS sum, round(p, 6) AS prob FROM k WHERE NOT (lo = {YEARS} OR hi = 0)""")
 def _(t):
-    days = {f"ndays{n}": n for n in (5, 10, 15, 20)}
-    return rounded(EV.rolling_dry_recurrence(_site0(t), days, ["site"], rain_limit=25.0, years=YEARS))
+    days = {f"ndays{n}": {m: n for m in range(1, 13)} for n in (5, 10, 15, 20)}
+    rain = {"season": {m: 20 + 2 * m for m in range(1, 13)}, "flat": {m: 30 for m in range(1, 13) if m != 7}}
+    return rounded(EV.rolling_dry_recurrence(_site0(t), days, rain, ["site"], years=YEARS))
 
 
 @query("e2_cumulative_restriction", with_("rest") + f""", d AS (SELECT year(date) AS y, month(date) AS m, sum(f_rest) AS v FROM rest GROUP BY 1, 2), f AS (SELECT m, printf('%02d', CAST(nd AS INTEGER)) AS event, v >= nd AS flag FROM d, (SELECT unnest([1,5,7,10,14,21,25,29]) AS nd)),
@@ -136,6 +137,15 @@ def _(t):
     return rounded(EV.spell_recurrence(date_parts(t.rest), {"half": 0.5}, years=YEARS))
 
 
+@query("e2_joint", with_("weather", "classes", extra=EVENTS3) + """, g AS (SELECT year(date) AS y, month(date) AS m, avg(radn) AS v FROM weather WHERE site = 0 GROUP BY 1, 2), ga AS (SELECT y, m, v - avg(v) OVER (PARTITION BY m) AS a FROM g)
+SELECT p.event AS left, q.event AS right, p.month, round(count(*) / 48e0, 6) AS prob, count(a) AS count, round(avg(a), 6) AS mean, round(quantile_cont(a, 0.75), 6) AS p75 FROM ev p JOIN ev q ON p.year = q.year AND p.month = q.month AND p.event = 'hot' AND q.event IN ('dry', 'wet')
+LEFT JOIN ga ON ga.y = p.year AND ga.m = p.month GROUP BY 1, 2, 3""")
+def _(t):
+    g = _site0(t).groupBy("year", "month").agg(F.avg("radn").alias("v"))
+    g = W.anomaly(g, ["month"], "v").select("year", "month", "anomaly")
+    return rounded(EV.joint_recurrence(events3(t), ["hot"], ["dry", "wet"], g).select("left", "right", "month", "prob", "count", "mean", "p75"))
+
+
 @query("e2_growth_on_event", with_("weather", "classes", extra=EVENTS3) + """, g AS (SELECT year(date) AS y, month(date) AS m, avg(radn) AS v FROM weather WHERE site = 0 GROUP BY 1, 2), ga AS (SELECT y, m, v - avg(v) OVER (PARTITION BY m) AS a FROM g)
 SELECT CAST(m AS INTEGER) AS month, count(*) AS count, round(avg(a), 6) AS mean, round(min(a), 6) AS min, round(quantile_cont(a, 0.5), 6) AS p50, round(max(a), 6) AS max FROM ga WHERE EXISTS (SELECT 1 FROM ev WHERE ev.year = y AND ev.month = m AND event = 'hot') GROUP BY 1""")
 def _(t):
@@ -424,13 +434,12 @@ def _(t):
     return ST.options_text(A.state_frequency(t.story_months))
 
 
-@query("e21_historic_storylines", with_("classes", "rest", "mapper") + """, rm AS (SELECT year(date) AS y, month(date) AS m, avg(f_rest) AS rest FROM rest GROUP BY 1, 2), c AS (SELECT c.*, round_even(rm.rest, 2) AS rest, year - CASE WHEN month < 7 THEN 1 ELSE 0 END AS season FROM classes c JOIN rm ON rm.y = c.year AND rm.m = c.month),
+@query("e21_historic_storylines", with_("classes", "rest", "mapper") + """, rm AS (SELECT year(date) AS y, month(date) AS m, sum(f_rest) / max(CASE WHEN month(date) = 2 THEN 28 WHEN month(date) IN (4,6,9,11) THEN 30 ELSE 31 END) AS rest FROM rest GROUP BY 1, 2), c AS (SELECT c.*, round_even(rm.rest, 2) AS rest, year - CASE WHEN month < 7 THEN 1 ELSE 0 END AS season FROM classes c JOIN rm ON rm.y = c.year AND rm.m = c.month),
 f AS (SELECT *, count(*) OVER (PARTITION BY season) AS n, CASE precip_class_prev WHEN 'D' THEN 'D' ELSE 'ND' END || '-' || CASE precip_class WHEN 'D' THEN 'D' ELSE 'ND' END AS combo FROM c)
 SELECT 'hist-' || season AS story_id, year, f.month, any_value(precip_class) AS precip_class, any_value(f.rest) AS rest, CASE WHEN f.month IN (5,6,7,8) THEN 1e0 ELSE arg_min(m.q, (round(abs(round(m.rest, 12) - f.rest), 12), round(abs(0.5 - m.q), 12), m.q)) END AS rest_per
 FROM f LEFT JOIN mapper m ON m.combo = f.combo AND m.month = f.month WHERE n = 12 GROUP BY season, year, f.month""")
 def _(t):
-    rest = date_parts(t.rest).groupBy("year", "month").agg(F.avg("f_rest").alias("rest"))
-    classes = t.rest_classes.drop("precip_class_prev").join(rest, ["year", "month"])
+    classes = EV.add_restriction(t.rest_classes.drop("precip_class_prev"), t.rest)
     x = ST.quantify_storylines(ST.historic_storylines(classes, 1994, 2001), t.mapper)
     return x.select("story_id", "year", "month", "precip_class", "rest", "rest_per")
 
