@@ -235,12 +235,12 @@ def _(t):
     return rounded(A.most_probable(t.impact.withColumnRenamed("pg", "pg_yr1"), t.story_months, ranges))
 
 
-@query("a26_bias_ratio", with_("stories", extra="""h AS (SELECT month, avg(pg) AS v FROM stories WHERE grp % 2 = 0 GROUP BY 1), m AS (SELECT month, avg(pg) AS v FROM stories WHERE grp % 2 = 1 GROUP BY 1)""") + """
-SELECT story_id, s.month, round(pg * (h.v / m.v), 6) AS pg FROM stories s JOIN h ON h.month = s.month JOIN m ON m.month = s.month WHERE grp % 2 = 1""")
+@query("a26_bias_ratio", with_("stories", extra="""h AS (SELECT month, avg(pg) AS v FROM stories WHERE irr_type = 'good' GROUP BY 1), m AS (SELECT month, avg(pg) AS v FROM stories WHERE irr_type = 'bad' GROUP BY 1)""") + """
+SELECT story_id, s.month, round(pg * (h.v / m.v), 6) AS pg FROM stories s JOIN h ON h.month = s.month JOIN m ON m.month = s.month WHERE irr_type = 'bad'""")
 def _(t):
     s = t.story_months
-    ratio = A.bias_ratio(s.where("grp % 2 = 0"), s.where("grp % 2 = 1"), ["month"], "pg")
-    return rounded(A.apply_bias(s.where("grp % 2 = 1"), ratio, ["month"], "pg").select("story_id", "month", "pg"))
+    ratio = A.bias_ratio(s.where("irr_type = 'good'"), s.where("irr_type = 'bad'"), ["month"], "pg")
+    return rounded(A.apply_bias(s.where("irr_type = 'bad'"), ratio, ["month"], "pg").select("story_id", "month", "pg"))
 
 
 @query("a27_total_combinations", with_("stories") + ", o AS (SELECT month, count(DISTINCT precip_class) AS n FROM stories GROUP BY 1) SELECT CAST(product(n) AS DOUBLE) AS total FROM o")
@@ -272,11 +272,11 @@ def _(t):
     return rounded(A.quantile_by(date_parts(t.flow), ["year", "month"], "flow"))
 
 
-@query("a32_scenario_summary", with_("impact") + """, x AS (SELECT site, mode, pg / 1000 AS v FROM impact WHERE story_id % 3 = 1)
+@query("a32_scenario_summary", with_("impact") + """, x AS (SELECT site, mode, pg / 1000 AS v FROM impact WHERE irr_type = 'good')
 SELECT site, mode, count(*) AS count, round_even(avg(v), 2) AS mean, round_even(stddev_samp(v), 2) AS std, round_even(min(v), 2) AS min, round_even(quantile_cont(v, 0.25), 2) AS p25, round_even(quantile_cont(v, 0.5), 2) AS p50,
  round_even(quantile_cont(v, 0.75), 2) AS p75, round_even(max(v), 2) AS max FROM x GROUP BY 1, 2""")
 def _(t):
-    ids = t.impact.where(F.col("story_id") % 3 == 1).select("story_id")
+    ids = t.impact.where("irr_type = 'good'").select("story_id")
     return A.scenario_summary(t.impact, ids, ["site", "mode"])
 
 

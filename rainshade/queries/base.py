@@ -76,8 +76,16 @@ class Tables:
     @cached_property
     def weather(self) -> DataFrame:
         """Daily weather per site 0..2."""
+        return self._daily_weather((F.col("l_suppkey") % 3).cast("int").alias("site"))
+
+    @cached_property
+    def record(self) -> DataFrame:
+        """Daily weather of the whole area as one record."""
+        return self._daily_weather()
+
+    def _daily_weather(self, *keys: Column) -> DataFrame:
         x = self.table("lineitem")
-        return x.groupBy((F.col("l_suppkey") % 3).cast("int").alias("site"), F.to_date("l_shipdate").alias("date")).agg(
+        return x.groupBy(*keys, F.to_date("l_shipdate").alias("date")).agg(
             binary(F.greatest(F.avg("l_quantity") - 25.03, F.lit(0.0)) * 1.7013197).alias("rain"),
             binary(F.avg("l_discount") * 61.7301937).alias("pet"),
             binary(F.max("l_extendedprice") / 7001.3 + 11.3).alias("tmax"),
@@ -155,10 +163,12 @@ class Tables:
 
     @cached_property
     def rest_classes(self) -> DataFrame:
-        """(year, month, precip_class, precip_class_prev, regime) of site 0 by the distance from the record's mean."""
+        """(year, month, temp_class, precip_class, precip_class_prev, regime) by the distance from the record's mean."""
         from pyspark.sql import Window
-        m = self.months.where("site = 0")
-        record = Window.partitionBy("site")
+        m = self.record.groupBy(F.year("date").alias("year"), F.month("date").alias("month")).agg(
+            binary(F.avg((F.col("tmax") + F.col("tmin")) / 2)).alias("tmean"), binary(F.avg("rain")).alias("rain"))
+        # one row per month of one record
+        record = Window.partitionBy(F.lit(1))
         rain, tmean = F.col("rain") / F.avg("rain").over(record), F.col("tmean") / F.avg("tmean").over(record)
         p = F.when(rain <= 0.93, "D").when(rain >= 1.07, "W").otherwise("A")
         t = F.when(tmean <= 0.99, "C").when(tmean >= 1.01, "H").otherwise("A")
@@ -175,6 +185,12 @@ CTES = {
   round((greatest(avg(l_quantity) - 25.03e0, 0e0) * 1.7013197e0) * 1024, 0) / 1024e0 AS rain, round((avg(l_discount) * 61.7301937e0) * 1024, 0) / 1024e0 AS pet,
   round((max(l_extendedprice) / 7001.3e0 + 11.3e0) * 1024, 0) / 1024e0 AS tmax, round((min(l_extendedprice) / 3001.7e0) * 1024, 0) / 1024e0 AS tmin,
   round((avg(l_extendedprice) / 3007.3e0) * 1024, 0) / 1024e0 AS radn FROM lineitem GROUP BY 1, 2)""",
+    "record": """record AS (SELECT CAST(l_shipdate AS DATE) AS date,
+  round((greatest(avg(l_quantity) - 25.03e0, 0e0) * 1.7013197e0) * 1024, 0) / 1024e0 AS rain, round((avg(l_discount) * 61.7301937e0) * 1024, 0) / 1024e0 AS pet,
+  round((max(l_extendedprice) / 7001.3e0 + 11.3e0) * 1024, 0) / 1024e0 AS tmax, round((min(l_extendedprice) / 3001.7e0) * 1024, 0) / 1024e0 AS tmin,
+  round((avg(l_extendedprice) / 3007.3e0) * 1024, 0) / 1024e0 AS radn FROM lineitem GROUP BY 1)""",
+    "rmonths": """rmonths AS (SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
+  round((avg((tmax + tmin) / 2)) * 1024, 0) / 1024e0 AS tmean, round((avg(rain)) * 1024, 0) / 1024e0 AS rain FROM record GROUP BY 1, 2)""",
     "rest": """rest AS (SELECT CAST(l_shipdate AS DATE) AS date, round((avg(l_discount) * 9.9731123e0) * 1024, 0) / 1024e0 AS f_rest
   FROM lineitem GROUP BY 1)""",
     "months": """months AS (SELECT site, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
@@ -201,14 +217,14 @@ mapper AS (SELECT combo, CAST(i AS DOUBLE) / 100e0 AS q, month, m * k * CAST(i A
   (VALUES ('D-D', 1e0), ('D-ND', 0.75e0), ('ND-D', 0.5e0), ('ND-ND', 0.25e0)) c(combo, k), range(1, 100) t(i))""",
     "impact": """impact AS (SELECT story_id, irr_type, site, mode, round(-sum(0.3e0 + rest_per / 10e0), 6) AS log10_prob,
   sum(pg) AS pg, count(*) AS n_months FROM stories GROUP BY 1, 2, 3, 4)""",
-    "classes": """cl_rel AS (SELECT *, rain / avg(rain) OVER () AS rr, tmean / avg(tmean) OVER () AS tr FROM months WHERE site = 0),
+    "classes": """cl_rel AS (SELECT *, rain / avg(rain) OVER () AS rr, tmean / avg(tmean) OVER () AS tr FROM rmonths),
 cl_base AS (SELECT *, CASE WHEN rr <= 0.93e0 THEN 'D' WHEN rr >= 1.07e0 THEN 'W' ELSE 'A' END AS precip_class,
   CASE WHEN tr <= 0.99e0 THEN 'C' WHEN tr >= 1.01e0 THEN 'H' ELSE 'A' END AS temp_class FROM cl_rel),
 classes AS (SELECT year, month, temp_class, precip_class, lag(precip_class, 1, 'A') OVER (ORDER BY year, month) AS precip_class_prev,
   CASE temp_class WHEN 'C' THEN 0 WHEN 'A' THEN 3 ELSE 6 END + CASE precip_class WHEN 'W' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS regime FROM cl_base)""",
 }
 NEEDS = {"months": ("weather",), "transitions": ("stories",), "initial": ("stories",), "mapper": ("rest",), "impact": ("stories",),
-         "classes": ("months",)}
+         "classes": ("rmonths",), "rmonths": ("record",)}
 
 
 def with_(*names: str, extra: str = "", recursive: bool = False) -> str:

@@ -41,7 +41,7 @@ def _(t):
 
 
 def _recur_sql(grid: list[tuple[str, str]], ndays, source: str, pre: str = "") -> str:
-    """Check SQL of event recurrence over one site: daily flags, monthly counts, probability, degenerate criteria dropped."""
+    """Check SQL of event recurrence over one record: daily flags, monthly counts, probability, degenerate criteria dropped."""
     days = ", ".join(f"count(*) FILTER ({cond}) AS c{i}" for i, (_, cond) in enumerate(grid))
     long = " UNION ALL ".join(f"SELECT y, m, '{name}' AS k, c{i} AS d FROM dc" for i, (name, _) in enumerate(grid))
     return f"""{pre}dc AS (SELECT year(date) AS y, month(date) AS m, {days} FROM {source} GROUP BY 1, 2), lg AS ({long}),
@@ -50,52 +50,54 @@ pr AS (SELECT event, m, count(*) FILTER (flag) AS s, avg(CASE WHEN flag THEN 1e0
 kp AS (SELECT *, min(s) OVER (PARTITION BY event) AS lo, max(s) OVER (PARTITION BY event) AS hi FROM pr)"""
 
 
+# the folds are keyed by site, so the record stands as one
+ONE_SITE = "weather AS (SELECT 0 AS site, * FROM record),\n"
 KEEP = f"SELECT event, CAST(m AS INTEGER) AS month, s AS sum, round(p, 6) AS prob FROM kp WHERE NOT (lo = {YEARS} OR hi = 0)"
 HOT = [(f"d_{v}_{k:02d}", f"{e} >= {k}") for k in C.HOT_THRESHOLDS for v, e in (("tmax", "tmax"), ("tmean", "(tmax + tmin) / 2"))]
 
 
-def _site0(t):
-    x = date_parts(t.weather.where("site = 0"))
+def _record(t):
+    x = date_parts(t.record)
     return x.withColumn("tmean", (F.col("tmax") + F.col("tmin")) / 2)
 
 
-@query("e2_hot", with_("weather", extra=_recur_sql(HOT, (3, 5, 7, 10, 14), "(SELECT * FROM weather WHERE site = 0)")) + KEEP)
+@query("e2_hot", with_("record", extra=_recur_sql(HOT, (3, 5, 7, 10, 14), "record")) + KEEP)
 def _(t):
-    return rounded(EV.event_recurrence(_site0(t), "hot", years=YEARS))
+    return rounded(EV.event_recurrence(_record(t), "hot", years=YEARS))
 
 
-@query("e2_hot_with_growth", with_("weather", extra=_recur_sql(HOT, (3, 5, 7, 10, 14), "(SELECT * FROM weather WHERE site = 0)")) + f""", g AS (SELECT year(date) AS y, month(date) AS m, avg(radn) AS v FROM weather WHERE site = 0 GROUP BY 1, 2), ga AS (SELECT y, m, v - avg(v) OVER (PARTITION BY m) AS a FROM g)
+@query("e2_hot_with_growth", with_("record", extra=_recur_sql(HOT, (3, 5, 7, 10, 14), "record")) + f""", g AS (SELECT year(date) AS y, month(date) AS m, avg(radn) AS v FROM record GROUP BY 1, 2), ga AS (SELECT y, m, v - avg(v) OVER (PARTITION BY m) AS a FROM g)
 SELECT kp.event, CAST(kp.m AS INTEGER) AS month, s AS sum, count(a) AS count, round(avg(a), 6) AS mean, round(quantile_cont(a, 0.5), 6) AS p50 FROM kp LEFT JOIN fl ON fl.event = kp.event AND fl.m = kp.m AND fl.flag LEFT JOIN ga ON ga.y = fl.y AND ga.m = fl.m WHERE NOT (lo = {YEARS} OR hi = 0) GROUP BY 1, 2, 3""")
 def _(t):
-    x = _site0(t)
+    x = _record(t)
     g = x.groupBy("year", "month").agg(F.avg("radn").alias("v"))
     g = W.anomaly(g, ["month"], "v").select("year", "month", "anomaly")
     out = EV.event_recurrence(x, "hot", g, YEARS)
     return rounded(out.select("event", "month", "sum", F.coalesce("count", F.lit(0)).alias("count"), "mean", "p50"))
 
 
-COLD = "cd AS (SELECT date, CASE WHEN count(*) OVER w >= 3 THEN avg((tmax + tmin) / 2 - 4) OVER w END AS t3 FROM weather WHERE site = 0 WINDOW w AS (ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), "
+COLD = "cd AS (SELECT date, CASE WHEN count(*) OVER w >= 3 THEN avg((tmax + tmin) / 2 - 4) OVER w END AS t3 FROM record WINDOW w AS (ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), "
 
 
-@query("e2_cold", with_("weather", extra=_recur_sql([(f"d_tmean_{k:02d}", f"t3 <= {k}") for k in C.COLD_THRESHOLDS], (3, 5, 7, 10, 14), "cd", COLD)) + KEEP)
+@query("e2_cold", with_("record", extra=_recur_sql([(f"d_tmean_{k:02d}", f"t3 <= {k}") for k in C.COLD_THRESHOLDS], (3, 5, 7, 10, 14), "cd", COLD)) + KEEP)
 def _(t):
-    return rounded(EV.event_recurrence(_site0(t).withColumn("tmean", F.col("tmean") - 4), "cold", years=YEARS))
+    return rounded(EV.event_recurrence(_record(t).withColumn("tmean", F.col("tmean") - 4), "cold", years=YEARS))
 
 
-def _smd0(t):
-    smd = Q.soil_moisture_deficit_monthly(t.weather.where("site = 0"), ["site"])
+def _smd(t):
+    smd = Q.soil_moisture_deficit_monthly(t.record.withColumn("site", F.lit(0)), ["site"])
     return date_parts(Q.soil_moisture_anomaly(smd, ["site"], years=None).select("site", "date", "smd", "sma"))
 
 
-@query("e2_dry", with_("weather", extra=Q2 + ",\n" + SMA + ",\n" + _recur_sql([(f"d_smd{s:03d}_sma{a:02d}", f"smd <= {s} AND sma <= {a}") for s, a in ((0, -20), (-110, 0), (-110, -20))], (5, 7, 10, 14), "(SELECT * FROM sma WHERE site = 0)"), recursive=True)
+@query("e2_dry", with_("record", extra=ONE_SITE + Q2 + ",\n" + SMA + ",\n" + _recur_sql([(f"d_smd{s:03d}_sma{a:02d}", f"smd <= {s} AND sma <= {a}") for s, a in ((0, -20), (-110, 0), (-110, -20))], (5, 7, 10, 14), "sma"), recursive=True)
        + KEEP)
 def _(t):
-    return rounded(EV.event_recurrence(_smd0(t), "dry", years=YEARS))
+    return rounded(EV.event_recurrence(_smd(t), "dry", years=YEARS))
 
 
-@query("e2_monthly_dry", with_("weather", extra=Q2 + ",\n" + SMA + ",\n" + _recur_sql([(f"d_smd000_sma{a:02d}", f"smd <= 0 AND sma <= {a}") for a in C.DRY_ANOMALIES], (5, 7, 10, 14), "(SELECT * FROM sma WHERE site = 0)"), recursive=True) + KEEP)
+@query("e2_monthly_dry", with_("record", extra=ONE_SITE + Q2 + ",\n" + SMA + ",\n" + _recur_sql([(f"d_smd000_sma{a:02d}", f"smd <= 0 AND sma <= {a}") for a in C.DRY_ANOMALIES], (5, 7, 10, 14), "sma"), recursive=True) + KEEP)
 def _(t):
-    return rounded(EV.event_recurrence(_smd0(t), "monthly_dry", years=YEARS))
+    return rounded(EV.event_recurrence(_smd(t), "monthly_dry", years=YEARS))
 
 
 @query("e2_restriction", with_("rest", extra=_recur_sql([(f"d_>{n}_rest", f"f_rest >= {v}e0") for n, v in (("half", 0.5), ("3/4", 0.75), ("full", 1.0))], (1, 5, 7, 10, 14), "rest")) + KEEP)
@@ -106,20 +108,20 @@ def _(t):
 WET = {m: 14 + m % 4 for m in range(1, 13)}
 
 
-@query("e2_wet_days", with_("weather") + f""", d AS (SELECT year(date) AS y, month(date) AS m, count(*) FILTER (rain > 0.01e0) AS d FROM weather WHERE site = 0 GROUP BY 1, 2)
+@query("e2_wet_days", with_("record") + f""", d AS (SELECT year(date) AS y, month(date) AS m, count(*) FILTER (rain > 0.01e0) AS d FROM record GROUP BY 1, 2)
 SELECT 'org' AS event, CAST(m AS INTEGER) AS month, count(*) FILTER (d >= 14 + m % 4) AS sum, round(avg(CASE WHEN d >= 14 + m % 4 THEN 1e0 ELSE 0e0 END), 6) AS prob FROM d GROUP BY 2""")
 def _(t):
-    return rounded(EV.wet_day_recurrence(_site0(t), WET, YEARS))
+    return rounded(EV.wet_day_recurrence(_record(t), WET, YEARS))
 
 
-@query("e2_rolling_dry", with_("weather") + f""", w AS (SELECT date, CASE WHEN count(*) OVER x >= 10 THEN sum(rain) OVER x END AS v FROM weather WHERE site = 0 WINDOW x AS (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+@query("e2_rolling_dry", with_("record") + f""", w AS (SELECT date, CASE WHEN count(*) OVER x >= 10 THEN sum(rain) OVER x END AS v FROM record WINDOW x AS (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 d AS (SELECT year(date) AS y, month(date) AS m, count(*) FILTER (v <= 20 + 2 * month(date)) AS d1, count(*) FILTER (v <= 30 AND month(date) <> 7) AS d2 FROM w GROUP BY 1, 2), f AS (SELECT m, k || '_' || event AS event, CASE k WHEN 'flat' THEN d2 ELSE d1 END >= nd AS flag FROM d, (VALUES ('ndays5', 5), ('ndays10', 10), ('ndays15', 15), ('ndays20', 20)) q(event, nd), (VALUES ('season'), ('flat')) r(k)),
 p AS (SELECT event, m, count(*) FILTER (flag) AS s, avg(CASE WHEN flag THEN 1e0 ELSE 0e0 END) AS p FROM f GROUP BY 1, 2), k AS (SELECT *, min(s) OVER (PARTITION BY event) AS lo, max(s) OVER (PARTITION BY event) AS hi FROM p)
 SELECT event, CAST(m AS INTEGER) AS month, s AS sum, round(p, 6) AS prob FROM k WHERE NOT (lo = {YEARS} OR hi = 0)""")
 def _(t):
     days = {f"ndays{n}": {m: n for m in range(1, 13)} for n in (5, 10, 15, 20)}
     rain = {"season": {m: 20 + 2 * m for m in range(1, 13)}, "flat": {m: 30 for m in range(1, 13) if m != 7}}
-    return rounded(EV.rolling_dry_recurrence(_site0(t), days, rain, ["site"], years=YEARS))
+    return rounded(EV.rolling_dry_recurrence(_record(t), days, rain, years=YEARS))
 
 
 @query("e2_cumulative_restriction", with_("rest") + f""", d AS (SELECT year(date) AS y, month(date) AS m, sum(f_rest) AS v FROM rest GROUP BY 1, 2), f AS (SELECT m, printf('%02d', CAST(nd AS INTEGER)) AS event, v >= nd AS flag FROM d, (SELECT unnest([1,5,7,10,14,21,25,29]) AS nd)),
@@ -137,19 +139,19 @@ def _(t):
     return rounded(EV.spell_recurrence(date_parts(t.rest), {"half": 0.5}, years=YEARS))
 
 
-@query("e2_joint", with_("weather", "classes", extra=EVENTS3) + """, g AS (SELECT year(date) AS y, month(date) AS m, avg(radn) AS v FROM weather WHERE site = 0 GROUP BY 1, 2), ga AS (SELECT y, m, v - avg(v) OVER (PARTITION BY m) AS a FROM g)
+@query("e2_joint", with_("record", "classes", extra=EVENTS3) + """, g AS (SELECT year(date) AS y, month(date) AS m, avg(radn) AS v FROM record GROUP BY 1, 2), ga AS (SELECT y, m, v - avg(v) OVER (PARTITION BY m) AS a FROM g)
 SELECT p.event AS left, q.event AS right, p.month, round(count(*) / 48e0, 6) AS prob, count(a) AS count, round(avg(a), 6) AS mean, round(quantile_cont(a, 0.75), 6) AS p75 FROM ev p JOIN ev q ON p.year = q.year AND p.month = q.month AND p.event = 'hot' AND q.event IN ('dry', 'wet')
 LEFT JOIN ga ON ga.y = p.year AND ga.m = p.month GROUP BY 1, 2, 3""")
 def _(t):
-    g = _site0(t).groupBy("year", "month").agg(F.avg("radn").alias("v"))
+    g = _record(t).groupBy("year", "month").agg(F.avg("radn").alias("v"))
     g = W.anomaly(g, ["month"], "v").select("year", "month", "anomaly")
     return rounded(EV.joint_recurrence(events3(t), ["hot"], ["dry", "wet"], g).select("left", "right", "month", "prob", "count", "mean", "p75"))
 
 
-@query("e2_growth_on_event", with_("weather", "classes", extra=EVENTS3) + """, g AS (SELECT year(date) AS y, month(date) AS m, avg(radn) AS v FROM weather WHERE site = 0 GROUP BY 1, 2), ga AS (SELECT y, m, v - avg(v) OVER (PARTITION BY m) AS a FROM g)
+@query("e2_growth_on_event", with_("record", "classes", extra=EVENTS3) + """, g AS (SELECT year(date) AS y, month(date) AS m, avg(radn) AS v FROM record GROUP BY 1, 2), ga AS (SELECT y, m, v - avg(v) OVER (PARTITION BY m) AS a FROM g)
 SELECT CAST(m AS INTEGER) AS month, count(*) AS count, round(avg(a), 6) AS mean, round(min(a), 6) AS min, round(quantile_cont(a, 0.5), 6) AS p50, round(max(a), 6) AS max FROM ga WHERE EXISTS (SELECT 1 FROM ev WHERE ev.year = y AND ev.month = m AND event = 'hot') GROUP BY 1""")
 def _(t):
-    g = _site0(t).groupBy("year", "month").agg(F.avg("radn").alias("v"))
+    g = _record(t).groupBy("year", "month").agg(F.avg("radn").alias("v"))
     g = W.anomaly(g, ["month"], "v").select("year", "month", "anomaly")
     return rounded(EV.growth_anomaly_on(events3(t).where("event = 'hot'"), g).select("month", "count", "mean", "min", "p50", "max"))
 
@@ -183,12 +185,12 @@ def _(t):
     return rounded(ST.recalc_story_prob(t.story_months, t.impact.select("story_id", "log10_prob"), mappers), 5)
 
 
-@query("e5_invalid_stories", with_("stories") + """, acc AS (SELECT DISTINCT state, month FROM stories WHERE irr_type = 'good' AND grp % 4 = 0), s AS (SELECT s.*, acc.state IS NOT NULL AS seen, year * 12 + s.month AS t FROM stories s LEFT JOIN acc ON acc.state = s.state AND acc.month = s.month),
+@query("e5_invalid_stories", with_("stories") + """, acc AS (SELECT DISTINCT state, month FROM stories WHERE year < 1997), s AS (SELECT s.*, acc.state IS NOT NULL AS seen, year * 12 + s.month AS t FROM stories s LEFT JOIN acc ON acc.state = s.state AND acc.month = s.month),
 f AS (SELECT story_id, false AS bad_class, bool_or(rest NOT BETWEEN 0 AND 1) AS bad_rest, arg_min(month, t) <> 7 AS bad_start, max(t) - min(t) + 1 <> count(*) AS bad_dates, bool_or(month IN (6,7,8) AND rest <> 0) AS bad_winter, bool_or(NOT seen) AS bad_state FROM s GROUP BY 1)
 SELECT story_id, CAST(bad_class AS INTEGER) AS bad_class, CAST(bad_rest AS INTEGER) AS bad_rest, CAST(bad_start AS INTEGER) AS bad_start, CAST(bad_dates AS INTEGER) AS bad_dates, CAST(bad_winter AS INTEGER) AS bad_winter, CAST(bad_state AS INTEGER) AS bad_state FROM f
 WHERE bad_rest OR bad_start OR bad_dates OR bad_winter OR bad_state""")
 def _(t):
-    acc = t.story_months.where("irr_type = 'good' AND grp % 4 = 0").select("state", "month").distinct()
+    acc = t.story_months.where("year < 1997").select("state", "month").distinct()
     x = ST.invalid_stories(t.story_months, acc)
     return x.select("story_id", *[F.col(c).cast("int").alias(c) for c in x.columns if c.startswith("bad_")])
 
@@ -222,13 +224,13 @@ def _(t):
 
 
 SPINE = """sd AS (SELECT CAST(unnest(generate_series(DATE '1995-07-01', DATE '2001-06-30', INTERVAL 1 DAY)) AS DATE) AS date),
-sp AS (SELECT sd.date, last_value(f.flow IGNORE NULLS) OVER w AS flow, last_value(t.tmax IGNORE NULLS) OVER w AS temp FROM sd LEFT JOIN flow f ON f.date = sd.date LEFT JOIN (SELECT date, tmax FROM weather WHERE site = 0) t ON t.date = sd.date WINDOW w AS (ORDER BY sd.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sp AS (SELECT sd.date, last_value(f.flow IGNORE NULLS) OVER w AS flow, last_value(t.tmax IGNORE NULLS) OVER w AS temp FROM sd LEFT JOIN flow f ON f.date = sd.date LEFT JOIN record t ON t.date = sd.date WINDOW w AS (ORDER BY sd.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 sc AS (SELECT scenario, date, flow * k AS flow, temp FROM sp, (VALUES ('low', 0.75e0), ('high', 1.25e0)) v(scenario, k))"""
 
 
 def _scenarios(t):
     """Two full daily scenarios from July 1995 to June 2001: gaps take the last known value."""
-    both = t.flow.select("date", "flow").join(t.weather.where("site = 0").select("date", F.col("tmax").alias("temp")), "date", "full")
+    both = t.flow.select("date", "flow").join(t.record.select("date", F.col("tmax").alias("temp")), "date", "full")
     full = J.date_spine(both.where(F.col("date").between("1995-07-01", "2001-06-30")), [], "date", "1995-07-01", "2001-06-30")
     full = W.fill(W.fill(full, [], "date", "flow"), [], "date", "temp")
     ks = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(k).alias("k")) for n, k in (("low", 0.75), ("high", 1.25))]))
@@ -252,7 +254,7 @@ _INTS = ["n_days", "days_below_malf", "days_below_flow_limit", "days_above_maf",
 _REALS = ["alf", "median_flow", "max_flow", "malf_anomaly", "maf_anomaly", *[f"{n}_wua" for n in C.HABITAT_COEFFICIENTS]]
 
 
-@query("e8_hydro_year_stats", with_("flow", "weather", extra=SPINE + ",\n" + E8) + f"SELECT scenario, hydro_year, {', '.join(_INTS)}, {', '.join(f'round({c}, 5) AS {c}' for c in _REALS)} FROM stt")
+@query("e8_hydro_year_stats", with_("flow", "record", extra=SPINE + ",\n" + E8) + f"SELECT scenario, hydro_year, {', '.join(_INTS)}, {', '.join(f'round({c}, 5) AS {c}' for c in _REALS)} FROM stt")
 def _(t):
     x = RV.hydro_year_stats(_scenarios(t), slope=SLOPE, intercept=CUT)
     return rounded(x.select("scenario", "hydro_year", *_INTS, *_REALS), 5)
@@ -268,12 +270,12 @@ E9 = ",\nsco AS (SELECT scenario, hydro_year, " + ", ".join(f"{_score_sql(s)} AS
     f"SELECT scenario, hydro_year, '{n}' AS weighting, ({' + '.join(f'x{i} * {float(w)}e0' for i, w in enumerate(ws))}) / 22 AS score FROM sco" for n, ws in C.WEIGHTINGS.items()) + ")"
 
 
-@query("e9_eco_scores", with_("flow", "weather", extra=SPINE + ",\n" + E8 + E9) + "SELECT scenario, hydro_year, weighting, round(score, 6) AS score FROM ws")
+@query("e9_eco_scores", with_("flow", "record", extra=SPINE + ",\n" + E8 + E9) + "SELECT scenario, hydro_year, weighting, round(score, 6) AS score FROM ws")
 def _(t):
     return rounded(RV.eco_scores(RV.hydro_year_stats(_scenarios(t), slope=SLOPE, intercept=CUT)))
 
 
-@query("e9_mean_scores", with_("flow", "weather", extra=SPINE + ",\n" + E8 + E9) + "SELECT scenario, weighting, round(avg(score), 6) AS score FROM ws GROUP BY 1, 2")
+@query("e9_mean_scores", with_("flow", "record", extra=SPINE + ",\n" + E8 + E9) + "SELECT scenario, weighting, round(avg(score), 6) AS score FROM ws GROUP BY 1, 2")
 def _(t):
     return rounded(RV.mean_scores(RV.eco_scores(RV.hydro_year_stats(_scenarios(t), slope=SLOPE, intercept=CUT))))
 
@@ -284,13 +286,13 @@ sm AS (SELECT scenario, alf, CASE WHEN count(*) OVER b >= 2 THEN sum(alf) OVER b
 rp AS (SELECT scenario, avg(alf) AS malf, min(alf) AS w1, min(s2) AS w2, min(s3) AS w3 FROM sm GROUP BY 1)"""
 
 
-@query("e10_low_flow_report", with_("flow", "weather", extra=SPINE + ",\n" + E10) + """SELECT rp.scenario, round(malf, 6) AS malf, round(w1, 6) AS worst_1, round(w2, 6) AS worst_2, round(w3, 6) AS worst_3, round(malf - w1, 6) AS anomaly_1, round(malf - w2, 6) AS anomaly_2, round(malf - w3, 6) AS anomaly_3,
+@query("e10_low_flow_report", with_("flow", "record", extra=SPINE + ",\n" + E10) + """SELECT rp.scenario, round(malf, 6) AS malf, round(w1, 6) AS worst_1, round(w2, 6) AS worst_2, round(w3, 6) AS worst_3, round(malf - w1, 6) AS anomaly_1, round(malf - w2, 6) AS anomaly_2, round(malf - w3, 6) AS anomaly_3,
  round(m, 6) AS median_flow, s AS stress_days FROM rp JOIN (SELECT scenario, median(flow) AS m, count(*) FILTER (flow < 50) AS s FROM sc GROUP BY 1) x ON x.scenario = rp.scenario""")
 def _(t):
     return rounded(RV.low_flow_report(_scenarios(t), ["scenario"]))
 
 
-@query("e10_low_flow_years", with_("flow", "weather", extra=SPINE + ",\n" + E10) + """, sr AS (SELECT *, row_number() OVER (PARTITION BY scenario, hydro_year ORDER BY date) AS rn FROM h), sg AS (SELECT *, rn - row_number() OVER (PARTITION BY scenario, hydro_year ORDER BY date) AS g FROM sr WHERE flow <= 50),
+@query("e10_low_flow_years", with_("flow", "record", extra=SPINE + ",\n" + E10) + """, sr AS (SELECT *, row_number() OVER (PARTITION BY scenario, hydro_year ORDER BY date) AS rn FROM h), sg AS (SELECT *, rn - row_number() OVER (PARTITION BY scenario, hydro_year ORDER BY date) AS g FROM sr WHERE flow <= 50),
 sl AS (SELECT scenario, hydro_year, g, count(*) AS n FROM sg GROUP BY 1, 2, 3), sx AS (SELECT scenario, hydro_year, count(*) FILTER (n > 1) AS c, coalesce(array_to_string(list_sort(list(n) FILTER (n > 1)), ','), '') AS l FROM sl GROUP BY 1, 2),
 d AS (SELECT h.scenario, hydro_year, count(*) FILTER (flow < malf) AS days_below_malf, count(*) FILTER (flow < 50) AS stress_days FROM h JOIN rp ON rp.scenario = h.scenario GROUP BY 1, 2)
 SELECT d.*, c AS n_spells, l AS lengths FROM d LEFT JOIN sx ON sx.scenario = d.scenario AND sx.hydro_year = d.hydro_year""")
@@ -348,19 +350,19 @@ def _(t):
 
 
 FULLW = """fd AS (SELECT CAST(unnest(generate_series(DATE '1995-01-05', DATE '2001-10-31', INTERVAL 1 DAY)) AS DATE) AS date),
-fw AS (SELECT fd.date, last_value(w.tmax IGNORE NULLS) OVER x AS tmax, last_value(w.rain IGNORE NULLS) OVER x AS rain, last_value(w.radn IGNORE NULLS) OVER x AS radn, last_value(r.f_rest IGNORE NULLS) OVER x AS f_rest FROM fd LEFT JOIN (SELECT * FROM weather WHERE site = 0) w ON w.date = fd.date LEFT JOIN rest r ON r.date = fd.date
+fw AS (SELECT fd.date, last_value(w.tmax IGNORE NULLS) OVER x AS tmax, last_value(w.rain IGNORE NULLS) OVER x AS rain, last_value(w.radn IGNORE NULLS) OVER x AS radn, last_value(r.f_rest IGNORE NULLS) OVER x AS f_rest FROM fd LEFT JOIN record w ON w.date = fd.date LEFT JOIN rest r ON r.date = fd.date
   WINDOW x AS (ORDER BY fd.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
 def _full_weather(t):
-    w = t.weather.where("site = 0").join(t.rest, "date", "full").where(F.col("date").between("1995-01-05", "2001-10-31"))
+    w = t.record.join(t.rest, "date", "full").where(F.col("date").between("1995-01-05", "2001-10-31"))
     full = J.date_spine(w, [], "date", "1995-01-05", "2001-10-31")
     for c in ("rain", "pet", "tmax", "tmin", "radn", "f_rest"):
         full = W.fill(full, [], "date", c)
-    return date_parts(full.drop("site"))
+    return date_parts(full)
 
 
-@query("e15_model_input", with_("weather", "rest", extra=FULLW) + """SELECT CAST(date AS VARCHAR) AS date, round(tmax, 6) AS tmax, round(rain, 6) AS rain, round(CASE WHEN dayofyear(date) <= 121 OR dayofyear(date) >= 244 THEN 5 * (1 - f_rest) ELSE 0e0 END, 6) AS max_irr,
+@query("e15_model_input", with_("record", "rest", extra=FULLW) + """SELECT CAST(date AS VARCHAR) AS date, round(tmax, 6) AS tmax, round(rain, 6) AS rain, round(CASE WHEN dayofyear(date) <= 121 OR dayofyear(date) >= 244 THEN 5 * (1 - f_rest) ELSE 0e0 END, 6) AS max_irr,
  CASE WHEN month(date) IN (12,1,2) THEN 0.75e0 ELSE 0.6e0 END AS irr_trig, CASE WHEN month(date) IN (12,1,2) THEN 0.9e0 ELSE 0.75e0 END AS irr_targ FROM fw WHERE NOT (month(date) = 2 AND day(date) = 29)""")
 def _(t):
     full = _full_weather(t)
@@ -491,10 +493,10 @@ def _(t):
 
 
 def _weather_stats(t):
-    return WX.weather_statistics(t.weather.where("site = 0").drop("site"), t.rest_classes, rain_bins=50)
+    return WX.weather_statistics(t.record, t.rest_classes, rain_bins=50)
 
 
-@query("e24_persistence", with_("weather", "classes", extra="""f AS (SELECT date, rain = 0 AS dry FROM weather WHERE site = 0), c AS (SELECT *, CASE WHEN lag(dry) OVER (ORDER BY date) <> dry THEN 1 ELSE 0 END AS ch FROM f),
+@query("e24_persistence", with_("record", "classes", extra="""f AS (SELECT date, rain = 0 AS dry FROM record), c AS (SELECT *, CASE WHEN lag(dry) OVER (ORDER BY date) <> dry THEN 1 ELSE 0 END AS ch FROM f),
 sp AS (SELECT *, sum(ch) OVER (ORDER BY date) AS spell FROM c), st AS (SELECT *, row_number() OVER (PARTITION BY spell ORDER BY date) - 1 AS streak FROM sp), j AS (SELECT c.month, c.regime, dry, streak FROM st JOIN classes c ON c.year = year(date) AND c.month = month(date)),
 n AS (SELECT month, regime, dry, streak, count(*) AS n FROM j GROUP BY ALL), k AS (SELECT *, row_number() OVER w - 1 AS rn, max(streak) OVER (PARTITION BY month, regime, dry) AS top FROM n WINDOW w AS (PARTITION BY month, regime, dry ORDER BY streak)), u AS (SELECT * FROM k WHERE streak = rn AND streak < top)""") + """
 SELECT month, regime, CAST(dry AS INTEGER) AS dry, CAST(streak AS INTEGER) AS streak, n, round(least(1e0, nx / CAST(n AS DOUBLE)), 6) AS p FROM (SELECT *, lead(n) OVER (PARTITION BY month, regime, dry ORDER BY streak) AS nx FROM u) WHERE nx IS NOT NULL""")
@@ -502,7 +504,7 @@ def _(t):
     return rounded(_weather_stats(t)["persistence"].withColumn("dry", F.col("dry").cast("int")))
 
 
-@query("e24_rain_cdf", with_("weather", "classes", extra="""j AS (SELECT c.month, c.regime, rain FROM weather w JOIN classes c ON c.year = year(w.date) AND c.month = month(w.date) WHERE site = 0 AND rain <> 0), b0 AS (SELECT month, regime, min(rain) AS a, max(rain) AS z, count(*) AS n FROM j GROUP BY 1, 2),
+@query("e24_rain_cdf", with_("record", "classes", extra="""j AS (SELECT c.month, c.regime, rain FROM record w JOIN classes c ON c.year = year(w.date) AND c.month = month(w.date) WHERE rain <> 0), b0 AS (SELECT month, regime, min(rain) AS a, max(rain) AS z, count(*) AS n FROM j GROUP BY 1, 2),
 b AS (SELECT month, regime, CASE WHEN a = z THEN a - 0.5e0 ELSE a END AS a, CASE WHEN a = z THEN z + 0.5e0 ELSE z END AS z, n FROM b0),
 c AS (SELECT j.month, j.regime, CAST(least(floor((rain - a) / (z - a) * 50), 49) AS INTEGER) AS bin, count(*) AS c FROM j JOIN b ON b.month = j.month AND b.regime = j.regime GROUP BY 1, 2, 3), g AS (SELECT *, unnest(range(0, 50)) AS bin FROM b)""") + """
 SELECT g.month, g.regime, CAST(g.bin AS INTEGER) AS bin, a + (g.bin + 0.5e0) * ((z - a) / 50) AS centre, round(CAST(sum(coalesce(c, 0)) OVER (PARTITION BY g.month, g.regime ORDER BY g.bin) AS DOUBLE) / n, 8) AS cdf FROM g LEFT JOIN c ON c.month = g.month AND c.regime = g.regime AND c.bin = g.bin""")

@@ -158,11 +158,11 @@ def _(t):
     return J.inverse_cdf_join(d, "u", items, "w", "story_id", block=block).select("o_orderkey", "story_id")
 
 
-@query("j16_circular_window_join", with_("weather") + """, d AS (SELECT dayofyear(date) - CASE WHEN dayofyear(last_day(make_date(year(date), 2, 1))) = 60 AND month(date) > 2 THEN 1 ELSE 0 END AS doy, tmax
-  FROM weather WHERE site = 0 AND NOT (month(date) = 2 AND day(date) = 29) AND month(date) IN (12, 1, 2))
+@query("j16_circular_window_join", with_("record") + """, d AS (SELECT dayofyear(date) - CASE WHEN dayofyear(last_day(make_date(year(date), 2, 1))) = 60 AND month(date) > 2 THEN 1 ELSE 0 END AS doy, tmax
+  FROM record WHERE NOT (month(date) = 2 AND day(date) = 29) AND month(date) IN (12, 1, 2))
 SELECT CAST((doy - 1 + o + 365) % 365 + 1 AS INTEGER) AS target_doy, count(*) AS n, round(avg(tmax), 6) AS tmax FROM d, range(-5, 6) x(o) GROUP BY 1""")
 def _(t):
-    x = t.weather.where("site = 0").where(F.month("date").isin(12, 1, 2) & ~((F.month("date") == 2) & (F.dayofmonth("date") == 29)))
+    x = t.record.where(F.month("date").isin(12, 1, 2) & ~((F.month("date") == 2) & (F.dayofmonth("date") == 29)))
     y = J.circular_window_join(x.withColumn("doy", nonleap_doy(F.col("date"))))
     return rounded(y.groupBy("target_doy").agg(F.count(F.lit(1)).alias("n"), F.avg("tmax").alias("tmax")))
 

@@ -206,8 +206,8 @@ def _(t):
     return rounded(P.clean_restriction(x))
 
 
-@query("p25_filter_month_regime", with_("weather", "classes") + """SELECT CAST(date AS VARCHAR) AS date, rain FROM weather w JOIN classes c ON year(w.date) = c.year AND month(w.date) = c.month
-WHERE site = 0 AND c.month = 3 AND c.regime % 3 = 5 % 3""")
+@query("p25_filter_month_regime", with_("record", "classes") + """SELECT CAST(date AS VARCHAR) AS date, rain FROM record w JOIN classes c ON year(w.date) = c.year AND month(w.date) = c.month
+WHERE c.month = 3 AND c.regime % 3 = 5 % 3""")
 def _(t):
-    daily = D.date_parts(t.weather.where("site = 0"))
+    daily = D.date_parts(t.record)
     return text_date(P.filter_month_regime(daily, t.rest_classes, 3, 5, same_rain_class=True).select("date", "rain"), "date")

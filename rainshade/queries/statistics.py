@@ -31,7 +31,7 @@ def _(t):
 
 def _vectors(t):
     e = t.table("embeddings")
-    width = 16
+    width = len(e.select("embedding").first()["embedding"])
     return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(width)]), [f"x{i}" for i in range(width)]
 
 
