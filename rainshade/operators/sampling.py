@@ -158,6 +158,7 @@ def pull_sims(sims: DataFrame, requests: DataFrame, suffix: str = "mean", seed:
 
     Suitable simulations are a run of ranks by statistic: a request's two bounds become two ranks, and a
     draw is one lookup by (key, rank). Requests with equal bounds share them, so a hot target costs nothing.
+    Store the statistics as a table first: they are read once for the ranks and once for the draws.
     """
     if under_level not in ("warn", "raise", "pass"):
         raise ValueError("under_level must be warn, raise or pass")
@@ -168,9 +169,11 @@ def pull_sims(sims: DataFrame, requests: DataFrame, suffix: str = "mean", seed:
     ends = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("_low").alias("x")), F.struct(F.lit("z").alias("side"), F.col("_high").alias("x"))))
     bounds = asked.select("key", ends.alias("_e")).select("key", "_e.*").distinct()
     ranked, counts = rank_sims(sims, suffix, bounds, sub=sub)
+    counts, size = resident(counts)
 
     def count_of(side: str, x: str, out: str) -> DataFrame:
-        return lookup_side(counts.where(F.col("side") == side).select("key", F.col("x").alias(x), F.col("_count").alias(out)))
+        one = counts.where(F.col("side") == side).select("key", F.col("x").alias(x), F.col("_count").alias(out))
+        return one if size is None else F.broadcast(one)
     ranks = asked.join(count_of("a", "_low", "_from"), ["key", "_low"]).join(count_of("z", "_high", "_to"), ["key", "_high"])
     none = F.raise_error(F.concat(F.lit("no simulations for request "), F.col("request").cast("string"))).cast("long")
     found = F.col("_to") - F.col("_from")

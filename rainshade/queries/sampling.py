@@ -8,7 +8,7 @@ from rainshade.functions.calendar import water_year
 from rainshade.functions.draws import md5_uniform
 from rainshade.operators import joins as J
 from rainshade.operators import sampling as R
-from rainshade.queries.base import query, r, rounded, with_
+from rainshade.queries.base import query, r, rounded, scratch, with_
 from rainshade.queries.joins import u_sql
 
 LEN = "CASE WHEN {m} = 2 THEN 28 WHEN {m} IN (4,6,9,11) THEN 30 ELSE 31 END"
@@ -59,13 +59,16 @@ ok AS (SELECT request, sim, mean, row_number() OVER (PARTITION BY request ORDER
 av AS (SELECT DISTINCT request, n FROM ok), dr AS (SELECT request, n, d, CAST(least(floor({u_sql(9, 'request', 'd')} * n), n - 1) AS BIGINT) AS k FROM av, range(0, 3) t(d))"""
 
 
-@query("r3_pull_sims", with_("rest", "classes", extra=INPUTS + ",\n" + SIMS + ",\n" + PULL) + "SELECT dr.request, CAST(d AS INTEGER) AS draw, dr.n AS available, CAST(dr.n <= 0.9e0 * 3 AS INTEGER) AS short, sim, round(mean, 6) AS mean FROM dr JOIN ok ON ok.request = dr.request AND ok.k = dr.k")
+@query("r3_pull_sims", with_("rest", "classes", extra=INPUTS + ",\n" + SIMS + ",\n" + PULL) + "SELECT dr.request, CAST(d AS INTEGER) AS draw, dr.n AS available, CAST(dr.n <= 0.9e0 * 3 AS INTEGER) AS short, sim, mean FROM dr JOIN ok ON ok.request = dr.request AND ok.k = dr.k")
 def _(t):
-    stats = R.sim_statistic(sims(t))
+    # the statistic is stored once, so neither pass makes the simulations again
+    path = scratch(t.spark)
+    R.sim_statistic(sims(t)).select("key", "sim", "mean").write.parquet(path)
+    stats = t.spark.read.parquet(path)
     req = t.table("customer").select(F.col("c_custkey").alias("request"), F.format_string("m%02d-ND", (F.col("c_custkey") % 12 + 1).cast("int")).alias("key"),
                                      F.lit(3).alias("n"), (F.lit(0.48) + (F.col("c_custkey") % 5) / 100).alias("target"), F.lit(0.05).alias("tol"))
     out = R.pull_sims(stats, req, seed=9, uniform=md5_uniform, sub=F.floor(F.col("sim") / 1000))
-    return rounded(out.select("request", "draw", "available", F.col("short").cast("int").alias("short"), "sim", "mean"))
+    return out.select("request", "draw", "available", F.col("short").cast("int").alias("short"), "sim", "mean")
 
 
 POOL = f"""pm AS (SELECT key, year(date) AS y, list(v ORDER BY date) AS a FROM inp GROUP BY 1, 2), pool AS (SELECT key, a, row_number() OVER (PARTITION BY key ORDER BY y) - 1 AS member, count(*) OVER (PARTITION BY key) AS n FROM pm)"""
