@@ -445,3 +445,14 @@ def test_intersections_and_compare(spark):
     a = spark.createDataFrame([(1, 1.0), (2, None)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.0)], "k int, v double")
     assert {r["k"]: r["v_changed"] for r in T.compare_tables(a, b, ["k"], ["v"]).collect()} == {1: False, 2: False, 3: True}
+
+
+def test_task_functions_run_without_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps((Q._bucket, M._solve)))
+    code = "import pickle, pandas as pd, numpy as np; b, s = pickle.load(open('f.bin', 'rb')); print(b(np.array([1.0]), np.array([2.0]), 150.0, 1.0, 0.0073, 1.0)[2], s(pd.Series([[1.0]]), pd.Series([[3.0]]))[0])"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert out.returncode == 0 and "[2.0] [3.]" in out.stdout, out.stderr
