@@ -2,50 +2,72 @@
 
 Terms are lower-case words weighted by their count. For sample k of a term of weight w, with r and c from Gamma(2, 1) and
 beta from U(0, 1), all fixed by a hash of (term, k): t = floor(ln w / r + beta) and ln a = ln c - r * (t - beta + 1).
+Gamma values are read from STEPS equally likely quantiles, so a row needs one hash and no logarithm per sample.
 The pair (term, t) of the smallest a is the sample; two documents agree in it with the probability
 sum(min) / sum(max) of their weights, the generalised Jaccard similarity.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rainshade.llm.common import keyed_texts, stored
+from rainshade.llm.common import WHITE, keyed_texts, stored
 
 SAMPLES = 32
 EMPTY = 2 ** 63 - 1
+STEPS = 1024
 
 
 def words(text: Column) -> Column:
-    """Lower-case words between white space."""
-    return F.filter(F.split(F.lower(text), "[ \\t-\\r]+"), lambda w: w != "")
+    """Lower-case words between white space; an empty string stands where two white-space characters meet."""
+    text = F.lower(text)
+    for c in WHITE[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(text, " ")
 
 
-def _uniform(h: Column, shift: int) -> Column:
-    """32 of the hash's bits as a number in (0, 1)."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * F.lit(2.0 ** -32)
+def gamma_quantiles(steps: int = STEPS) -> list[float]:
+    """Gamma(2, 1) at the middles of equally likely steps: 1 - (1 + x) e^-x = p by Newton's method."""
+    out, x = [], 0.01
+    for i in range(steps):
+        p = (i + 0.5) / steps
+        for _ in range(60):
+            x = max(x - (1 - (1 + x) * math.exp(-x) - p) / max(x * math.exp(-x), 1e-12), x / 4)
+        out.append(x)
+    return out
 
 
-def _sample(term: str, log_weight: str, k: int) -> Column:
-    """ln a in the high half and a hash of (term, t) in the low half of one long, so that min() picks the sample."""
-    h1, h2, h3 = (F.xxhash64(F.col(term), F.lit(3 * k + i)) for i in range(3))
-    r = -F.log(_uniform(h1, 0) * _uniform(h1, 32))
-    log_c = F.log(-F.log(_uniform(h2, 0) * _uniform(h2, 32)))
-    beta = _uniform(h3, 0)
-    t = F.floor(F.col(log_weight) / r + beta)
+def _constants(values: list[float]) -> Column:
+    """A foldable array column, which is one literal in the plan."""
+    return F.from_json(F.lit("[" + ",".join(f"{x:.12g}" for x in values) + "]"), "array<double>")
+
+
+def _sample(term: Column, log_weight: Column, k: int, r_table: Column, log_c_table: Column) -> Column:
+    """ln a in the high half and a hash of (term, t) in the low half of one long, so that min() picks the sample.
+
+    One hash of (term, k) gives r and ln c by their quantile steps and beta from 32 other bits.
+    """
+    h = F.xxhash64(term, F.lit(k))
+    r = F.get(r_table, F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(STEPS - 1)).cast("int"))
+    log_c = F.get(log_c_table, F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(STEPS - 1)).cast("int"))
+    beta = h.bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(2.0 ** -32)
+    t = F.floor(log_weight / r + beta)
     log_a = log_c - r * (t - beta + 1)
-    # fixed point: 2^-24 steps; ln a lies far inside +-127 for any r that 64 bits can give
-    high = F.greatest(F.least(log_a, F.lit(127.0)), F.lit(-127.0)) * F.lit(2.0 ** 24)
-    return F.shiftleft(high.cast("long"), 32) + F.xxhash64(F.col(term), t).bitwiseAND(F.lit(0xFFFFFFFF))
+    # fixed point in steps of 2^-24: ln a stays inside +-127 for weights up to e^100
+    return F.shiftleft((log_a * F.lit(2.0 ** 24)).cast("long"), 32) + term.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _minima(counted: DataFrame, keys: list[str], samples: int) -> DataFrame:
     """keys + s0..s{n-1}: the smallest sample of every (keys) group over rows of (_term, _weight)."""
+    gamma = gamma_quantiles()
+    r, log_c = _constants(gamma), _constants([math.log(x) for x in gamma])
+    # the logarithm of weight 0 is null, which min() passes over
     logged = counted.withColumn("_lw", F.log(F.col("_weight").cast("double")))
-    return logged.groupBy(*keys).agg(*[F.min(_sample("_term", "_lw", k)).alias(f"s{k}") for k in range(samples)])
+    return logged.groupBy(*keys).agg(*[F.min(_sample(F.col("_term"), F.col("_lw"), k, r, log_c)).alias(f"s{k}") for k in range(samples)])
 
 
 def fingerprint_text(samples: list[Column]) -> Column:
@@ -73,8 +95,9 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     keys = ["_id", "version"]
     dealt = _row_keys(docs, id_col, text_col).repartition(*keys).dropDuplicates(keys)
-    terms = dealt.select(*keys, "doc_id", F.explode_outer(words(F.col("text"))).alias("_word")).withColumn("_term", F.xxhash64("_word"))
-    counted = terms.groupBy(*keys, "doc_id", "_term").agg(F.count("_word").alias("_weight"))
+    terms = dealt.select(*keys, "doc_id", F.explode(words(F.col("text"))).alias("_word")).select(
+        *keys, "doc_id", F.xxhash64("_word").alias("_term"), (F.col("_word") != "").cast("int").alias("n"))
+    counted = terms.groupBy(*keys, "doc_id", "_term").agg(F.sum("n").alias("_weight"))
     signed = _minima(counted, [*keys, "doc_id"], samples)
     return signed.select("doc_id", "version", fingerprint_text([F.col(f"s{k}") for k in range(samples)]).alias("fingerprint"))
 
@@ -124,8 +147,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tail = lambda a: F.slice(F.col(a), F.col("c") + 1, F.greatest(F.size(a) - F.col("c"), F.lit(0)))
     parts = F.array(F.struct(F.lit(3).alias("side"), F.slice("w", F.lit(1), F.col("c")).alias("words")),
                     F.struct(F.lit(1).alias("side"), tail("w").alias("words")), F.struct(F.lit(2).alias("side"), tail("e").alias("words")))
-    terms = (listed.select(*keys, "rows", "sha", F.inline(parts)).select(*keys, "rows", "sha", "side", F.explode_outer("words").alias("_word"))
-             .select(*keys, "rows", "sha", "side", F.xxhash64("_word").alias("_term"), F.col("_word").isNotNull().cast("int").alias("n")))
+    terms = (listed.select(*keys, "rows", "sha", F.inline(parts)).select(*keys, "rows", "sha", "side", F.explode("words").alias("_word"))
+             .select(*keys, "rows", "sha", "side", F.xxhash64("_word").alias("_term"), (F.col("_word") != "").cast("int").alias("n")))
     counted = terms.groupBy(*keys, "sha", "rows", "_term").agg(F.sum(F.col("n") * F.col("side").bitwiseAND(F.lit(1))).alias("n1"),
                                                        F.sum(F.col("n") * F.shiftright("side", 1)).alias("n2"))
     # a term of equal weight in both texts is sampled once for both

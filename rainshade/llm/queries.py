@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rainshade.llm.common import keyed_texts, same_document, without_white
 from rainshade.llm.exact import exact_duplicates
 from rainshade.llm.fingerprints import edited_fingerprints
+from rainshade.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +44,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 @_query
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents")).drop("version")
+
+
+@_query
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
