@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rainshade.llm.common import keyed_texts, same_document, without_white
 from rainshade.llm.exact import exact_duplicates
+from rainshade.llm import mixing, quality
 from rainshade.llm.fingerprints import edited_fingerprints
 from rainshade.llm.simhash import near_duplicates
 
@@ -49,3 +50,61 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@_query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")), n_grades=3)
+    scored = quality.scored(docs, model, grade=2)
+    return scored.select("doc_id", F.round("_quality.expected_grade", 6).alias("expected_grade"), F.round("_quality.tail_probability", 6).alias("tail_probability"),
+                         quality.selected().alias("selected"))
+
+
+@_query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "_mix.source", "_mix.lang", "_mix.topic", "_mix.n_tokens", F.round("_mix.probability", 9).alias("probability"), "_mix.sampled")
+
+
+def _mixing_sql() -> str:
+    """The same raking pass by pass, with the scale found in the order of falling rates."""
+    parts = [r"""
+t AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
+             len(list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]'), lambda x: x <> '')) AS n_tokens FROM documents)""",
+             """
+d AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN contains(lower(text), 'licens') OR contains(lower(text), 'copyright') THEN 'legal'
+             WHEN contains(text, '@') THEN 'contact' WHEN 10 * (length(text) - length(replace(text, '|', ''))) > n_tokens THEN 'tabular'
+             WHEN n_tokens < 50 THEN 'brief' WHEN n_tokens > 1000 THEN 'long' ELSE 'prose' END AS topic FROM t)""",
+             """
+cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)"""]
+    for dim, power in mixing.TEMPER.items():
+        parts.append(f"""
+to_{dim} AS (SELECT {dim}, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) OVER () AS share FROM cells GROUP BY {dim})""")
+    last, n = "start", 0
+    parts.append("""
+start AS (SELECT source, lang, topic, tokens, tokens AS weight FROM cells)""")
+    for _ in range(mixing.PASSES):
+        for dim in mixing.TEMPER:
+            n += 1
+            parts.append(f"""
+p{n} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, CASE WHEN sum(weight) OVER (PARTITION BY c.{dim}) > 0
+     THEN weight * share / sum(weight) OVER (PARTITION BY c.{dim}) ELSE 0 END AS weight FROM {last} c JOIN to_{dim} s ON c.{dim} = s.{dim})""")
+            last = f"p{n}"
+    parts.append(f"""
+r AS (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS rate FROM {last})""")
+    parts.append(f"""
+k AS (SELECT *, row_number() OVER (ORDER BY rate DESC, source, lang, topic) AS no,
+             ({mixing.KEEP} * sum(tokens) OVER () - coalesce(sum(tokens) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS scale
+      FROM r WINDOW before AS (ORDER BY rate DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+    parts.append("""
+prob AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, rate * (SELECT arg_min(scale, no) FROM k WHERE rate * scale < 1)) ELSE 1.0 END AS probability FROM r)""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT doc_id, source, lang, topic, n_tokens, round(probability, 9) AS probability,
+       ('0x' || md5('{mixing.SEED}|' || doc_id::VARCHAR)[1:13])::UBIGINT * pow(16.0, -13) < probability AS sampled
+FROM d JOIN prob USING (source, lang, topic)
+"""
+
+
+ORACLES["op6_source_mixing"] = _mixing_sql()
