@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainshade.llm.common import keyed_texts, same_document, without_white
 from rainshade.llm.exact import exact_duplicates
-from rainshade.llm import mixing, quality
+from rainshade.llm import mixing, packing, quality
 from rainshade.llm.fingerprints import edited_fingerprints
 from rainshade.llm.simhash import near_duplicates
 
@@ -108,3 +109,8 @@ FROM d JOIN prob USING (source, lang, topic)
 
 
 ORACLES["op6_source_mixing"] = _mixing_sql()
+
+
+@_query
+def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
