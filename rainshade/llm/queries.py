@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rainshade.llm.common import keyed_texts, same_document, without_white
 from rainshade.llm.exact import exact_duplicates
-from rainshade.llm import mixing, packing, quality
+from rainshade.llm import licenses, mixing, packing, quality
 from rainshade.llm.fingerprints import edited_fingerprints
 from rainshade.llm.simhash import near_duplicates
 
@@ -114,3 +114,9 @@ ORACLES["op6_source_mixing"] = _mixing_sql()
 @_query
 def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = licenses.paragraphs(table(spark, sf_dir, "documents"))
+    return licenses.scan(lines, licenses.fit(spark, lines))
