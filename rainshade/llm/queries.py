@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rainshade.llm.common import keyed_texts, same_document, without_white
 from rainshade.llm.exact import exact_duplicates
-from rainshade.llm import licenses, mixing, packing, quality
+from rainshade.llm import licenses, lines, mixing, packing, quality
 from rainshade.llm.fingerprints import edited_fingerprints
 from rainshade.llm.simhash import near_duplicates
 
@@ -118,5 +118,11 @@ def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = licenses.paragraphs(table(spark, sf_dir, "documents"))
-    return licenses.scan(lines, licenses.fit(spark, lines))
+    paragraphs = licenses.paragraphs(table(spark, sf_dir, "documents"))
+    return licenses.scan(paragraphs, licenses.fit(spark, paragraphs))
+
+
+@_query
+def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "n_removed_bytes", F.sha2("text", 256).alias("kept_sha256"))
