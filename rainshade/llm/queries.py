@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rainshade.llm.common import keyed_texts, same_document, without_white
 from rainshade.llm.exact import exact_duplicates
-from rainshade.llm import licenses, lines, mixing, packing, quality
+from rainshade.llm import html, licenses, lines, mixing, packing, quality
 from rainshade.llm.fingerprints import edited_fingerprints
 from rainshade.llm.simhash import near_duplicates
 
@@ -126,3 +126,8 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.remove_repeated_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "n_removed_bytes", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
