@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rainshade.llm.common import keyed_texts, same_document, without_white
 from rainshade.llm.exact import exact_duplicates
-from rainshade.llm import html, licenses, lines, mixing, packing, quality
+from rainshade.llm import html, licenses, lines, mixing, packing, quality, suffixes
 from rainshade.llm.fingerprints import edited_fingerprints
 from rainshade.llm.simhash import near_duplicates
 
@@ -131,3 +131,9 @@ def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("content", 256).alias("kept_sha256"))
