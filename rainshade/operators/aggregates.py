@@ -49,6 +49,9 @@ def agg_map(df: DataFrame, keys: Sequence[str], how: dict[str, str], date: str =
     return df.groupBy(*keys).agg(*[one(c, f) for c, f in how.items()])
 
 
+FINE = 4096
+
+
 def value_bin(x: Column, per_efold: int = 4096) -> Column:
     """A bin number that never falls as x rises and depends on x alone; never null."""
     finite = F.greatest(F.least(x, F.lit(1e300)), F.lit(-1e300))
@@ -59,24 +62,33 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, wanted: Callab
                   bins_per_efold: int = 4096) -> DataFrame:
     """Distinct values per key with their zero-based rank range [_lo, _hi) and the key's size _n, for groups of any size.
 
-    1. Count equal values per key (combined map-side). 2. Sum the counts in bins that are a monotone
-    function of the value alone, and rank the bins per key: a few ten thousand rows at most. 3. Rank
-    values inside their own (key, bin) only. With `wanted(start, end, n)` only bins that satisfy it go on
-    to step 3, so most values never reach the sort.
+    1. Count equal values per key (combined map-side). 2. Sum the counts in bins that are a monotone function of the value alone, and
+    rank the bins per key: a few ten thousand rows at most. 3. Cut each bin into FINE equal parts between its own least and greatest value, so
+    values that lie close together are spread out as well, and rank the parts. 4. Rank values inside their own part only. With
+    `wanted(start, end, n)` only bins and parts that satisfy it go on, so most values never reach the sort.
     """
     v = F.col(value).cast("double")
     counts = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, (v + F.lit(0.0)).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_bin(F.col("_v"), bins_per_efold)))
-    per_bin = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
-    order = Window.partitionBy(*keys).orderBy("_b")
-    offsets = per_bin.select(
-        *keys, "_b", F.coalesce(F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_s").over(Window.partitionBy(*keys)).alias("_n"), "_s")
-    if wanted is not None:
-        offsets = offsets.where(wanted(F.col("_off"), F.col("_off") + F.col("_s"), F.col("_n")))
-    near = counts.join(offsets.drop("_s"), [*keys, "_b"])
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hi = F.col("_off") + F.sum("_c").over(inner)
+
+    def offsets(sums: DataFrame, within: Sequence[str], by: str, before: Column) -> DataFrame:
+        run = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return sums.withColumn("_off", before + F.coalesce(F.sum("_s").over(run), F.lit(0)))
+
+    def needed(sums: DataFrame) -> DataFrame:
+        return sums if wanted is None else sums.where(wanted(F.col("_off"), F.col("_off") + F.col("_s"), F.col("_n")))
+
+    bins = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    bins = offsets(bins, keys, "_b", F.lit(0)).withColumn("_n", F.sum("_s").over(Window.partitionBy(*keys)))
+    in_bins = counts.join(needed(bins).drop("_s"), [*keys, "_b"])
+    width = F.col("_most") - F.col("_least")
+    part = F.when(width > 0, F.floor(F.least((F.col("_v") - F.col("_least")) / width * FINE, F.lit(FINE - 1.0)))).otherwise(F.lit(0)).cast("int")
+    in_bins = in_bins.withColumn("_p", F.coalesce(part, F.lit(0)))
+    parts = in_bins.groupBy(*keys, "_b", "_p").agg(F.sum("_c").alias("_s"), F.first("_off").alias("_from"), F.first("_n").alias("_n"))
+    parts = needed(offsets(parts, [*keys, "_b"], "_p", F.col("_from"))).select(*keys, "_b", "_p", F.col("_off").alias("_start"))
+    near = in_bins.join(parts, [*keys, "_b", "_p"])
+    inner = Window.partitionBy(*keys, "_b", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hi = F.col("_start") + F.sum("_c").over(inner)
     return near.select(*keys, "_v", "_c", "_n", hi.alias("_hi")).withColumn("_lo", F.col("_hi") - F.col("_c"))
 
 
@@ -241,7 +253,7 @@ def exceedance_at(curve: DataFrame, keys: Sequence[str], probs: Sequence[float])
     outside = (F.col("prob") < F.col("_min")) | (F.col("prob") > F.col("_max"))
     checked = grid.withColumn("prob", F.when(outside, F.raise_error(F.lit("probability outside the curve")).cast("double"))
                               .otherwise(F.col("prob"))).drop("_min", "_max")
-    return interp_join(checked, "prob", curve, "prob", "pg", "pg", keys, False, (0.0, 1.0))
+    return interp_join(checked, "prob", curve, "prob", "pg", "pg", keys, True, (0.0, 1.0), order="pg")
 
 
 def density_2d(df: DataFrame, x: str, y: str, nbins: int, keys: Sequence[str] = ()) -> DataFrame:

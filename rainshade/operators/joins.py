@@ -2,13 +2,14 @@
 
 A lookup table is read once with a row limit (`resident`). Below the limit it becomes local rows with a
 broadcast hint, so a fact table is never shuffled to meet it; above it the table stays distributed, the
-join is a shuffled one and AQE splits skewed partitions. Interval lookups are equi joins on a cell number
-plus a residual filter, never a product of both sides.
+join is a shuffled one and AQE splits skewed partitions. Interval lookups are equi joins on a cell and a group of
+at most GROUP intervals, with a residual range filter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from rainshade.functions.calendar import drop_leap_day
 INF = float("inf")
 MAX_RESIDENT_ROWS = 200_000
 MAX_RESIDENT_BYTES = 64 * 2 ** 20
-MAX_CELL_ROWS = 1_000_000
+GROUP = 16
 
 
 def resident(table: DataFrame, max_rows: int = MAX_RESIDENT_ROWS) -> tuple[DataFrame, int | None]:
@@ -55,8 +56,7 @@ def strict_lookup(df: DataFrame, table: DataFrame, on: Sequence[str], value: str
     """Left join that fails the job when a key has no row in the table."""
     joined = df.join(lookup_side(table.withColumn("_hit", F.lit(True))), list(on), "left")
     message = F.concat(F.lit(f"no {value} for "), F.to_json(F.struct(*on)))
-    checked = F.when(F.col("_hit"), F.col(value)).otherwise(F.raise_error(message).cast(table.schema[value].dataType))
-    return joined.withColumn(value, checked).drop("_hit")
+    return joined.where(F.when(F.col("_hit"), True).otherwise(F.raise_error(message).cast("boolean"))).drop("_hit")
 
 
 def replace_lookup(df: DataFrame, table: DataFrame, key: str, value: str, out: str) -> DataFrame:
@@ -132,34 +132,63 @@ def table_domain(table: DataFrame, *columns: str) -> tuple[float, float]:
     return (a, b) if b > a else (a, a + 1.0)
 
 
-def _cell(x: Column, domain: tuple[float, float], cells: int) -> Column:
-    width = (domain[1] - domain[0]) / cells
-    scaled = (x.cast("double") - F.lit(domain[0])) / F.lit(width)
+def _cell(x: Column, low: Column, width: Column, cells: int) -> Column:
+    scaled = (x.cast("double") - low) / width
     return F.floor(F.greatest(F.least(scaled, F.lit(cells - 1.0)), F.lit(0.0))).cast("int")
 
 
+def _key_domains(table: DataFrame, columns: Sequence[str], keys: Sequence[str], cells: int) -> DataFrame:
+    """(keys, _from, _width): where the finite bounds of a key begin, and the width of one of its cells."""
+    ends = [F.col(c).cast("double") for c in columns]
+    finite = [F.when(F.abs(e) < INF, e) for e in ends]
+    low = F.min(F.least(*finite) if len(finite) > 1 else finite[0])
+    high = F.max(F.greatest(*finite) if len(finite) > 1 else finite[0])
+    span = table.groupBy(*keys).agg(low.alias("_from"), high.alias("_to"))
+    width = F.when(F.col("_to") > F.col("_from"), (F.col("_to") - F.col("_from")) / cells).otherwise(F.lit(1.0 / cells))
+    return span.select(*keys, F.coalesce("_from", F.lit(0.0)).alias("_from"), F.coalesce(width, F.lit(1.0 / cells)).alias("_width"))
+
+
 def interval_join(df: DataFrame, x: str, table: DataFrame, low: str, high: str, keys: Sequence[str] = (),
-                  domain: tuple[float, float] | None = None, cells: int = 1024, how: str = "inner") -> DataFrame:
-    """Join each row to the table interval [low, high) that holds x, within equal keys.
+                  domain: tuple[float, float] | None = None, cells: int = 1024) -> DataFrame:
+    """Each row of df once, with the table interval [low, high) of its keys that holds x.
 
-    The x axis is cut into equal cells over `domain`; each interval is listed once per cell it touches
-    (at most intervals + cells per key, kept under a million rows for a broadcast), then the lookup is a
-    hash join on (keys, cell) with a residual range filter. Infinite ends are clamped to the end cells.
+    Intervals of a key are disjoint and cover the axis. A null or NaN x gets null columns; a row whose keys the table
+    lacks fails the job. The x axis is cut into equal cells over `domain`, else over each key's own range; an interval is
+    listed once per cell it touches. The intervals of a cell are ranked into groups of GROUP, so a cell that holds much of
+    the table costs a row one search and one group, not the cell. Both steps are hash joins.
     """
     table, n = resident(table)
-    domain = domain or table_domain(table, low, high)
-    if n is not None and keys:
-        cells = max(1, min(cells, MAX_CELL_ROWS // max(table.select(*keys).distinct().count(), 1)))
-    listed = table.withColumn("_cell", F.explode(F.sequence(
-        _cell(F.col(low), domain, cells), _cell(F.col(high), domain, cells))))
-    listed = listed.withColumnsRenamed({low: "_low", high: "_high"})
-    probe = df.withColumn("_cell", _cell(F.col(x), domain, cells)).alias("p")
-    t = (listed if n is None else F.broadcast(listed)).alias("t")
-    cond = (F.col("p._cell") == F.col("t._cell")) & (F.col(f"p.{x}") >= F.col("t._low")) & (F.col(f"p.{x}") < F.col("t._high"))
-    for k in keys:
-        cond = cond & (F.col(f"p.{k}") == F.col(f"t.{k}"))
-    payload = [c for c in listed.columns if c not in (*keys, "_cell", "_low", "_high")]
-    return probe.join(t, cond, how).select(*[F.col(f"p.{c}") for c in df.columns], *[F.col(f"t.{c}") for c in payload])
+    if domain is None and keys:
+        spans = lookup_side(_key_domains(table, (low, high), keys, cells))
+        table, start, width = table.join(spans, list(keys)), F.col("_from"), F.col("_width")
+        probe = df.join(spans, list(keys), "left").withColumn("_cell", _cell(F.col(x), start, width, cells)).drop("_from", "_width")
+    else:
+        a, b = domain or table_domain(table, low, high)
+        start, width = F.lit(float(a)), F.lit((b - a) / cells)
+        probe = df.withColumn("_cell", _cell(F.col(x), start, width, cells))
+    listed = table.withColumn("_cell", F.explode(F.sequence(_cell(F.col(low), start, width, cells), _cell(F.col(high), start, width, cells))))
+    listed = listed.drop("_from", "_width").withColumnsRenamed({low: "_low", high: "_high"})
+    asked = F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    on = [*keys, "_cell"]
+    if n is None or n > GROUP:
+        order = Window.partitionBy(*on).orderBy("_low")
+        listed = listed.withColumn("_group", F.floor((F.row_number().over(order) - 1) / GROUP).cast("int"))
+        tops = listed.groupBy(*on, "_group").agg(F.min("_low").alias("_at")).groupBy(*on).agg(F.collect_list("_at").alias("_tops"))
+        # a group's number is the count of group starts at or below x, less one
+        probe = _meet(probe, tops, on, n).withColumn("_group", F.size(F.filter("_tops", lambda t: t <= F.col(x))) - 1).drop("_tops")
+        on = [*on, "_group"]
+    payload = [c for c in listed.columns if c not in (*on, "_low", "_high")]
+    p, t = probe.alias("p"), (listed if n is None else F.broadcast(listed)).withColumn("_hit", F.lit(True)).alias("t")
+    within = (F.col(f"p.{x}") >= F.col("t._low")) & ((F.col(f"p.{x}") < F.col("t._high")) | (F.col("t._high") == INF))
+    cond = reduce(lambda c, k: c & (F.col(f"p.{k}") == F.col(f"t.{k}")), on, within)
+    joined = p.join(t, cond, "left").select(*[F.col(f"p.{c}") for c in df.columns], *[F.when(asked, F.col(f"t.{c}")).alias(c) for c in payload], F.col("t._hit"))
+    message = F.concat(F.lit("no interval for "), F.to_json(F.struct(*keys, F.col(x).alias("x"))))
+    # a filter, so that no pruning of columns can lose the check
+    return joined.where(F.when(~asked | F.col("_hit"), True).otherwise(F.raise_error(message).cast("boolean"))).drop("_hit")
+
+
+def _meet(probe: DataFrame, tops: DataFrame, on: Sequence[str], n: int | None) -> DataFrame:
+    return probe.join(tops if n is None else F.broadcast(tops), list(on), "left").select(*probe.columns, "_tops")
 
 
 def nearest_intervals(table: DataFrame, key: str, order: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -187,8 +216,7 @@ def nearest_intervals(table: DataFrame, key: str, order: str, keys: Sequence[str
 def nearest_row(df: DataFrame, x: str, table: DataFrame, key: str, order: str, keys: Sequence[str] = (),
                 domain: tuple[float, float] | None = None, cells: int = 1024) -> DataFrame:
     """Row of the table whose key is nearest to x; first row in `order` on ties."""
-    return interval_join(df, x, nearest_intervals(table, key, order, keys), "_lo", "_hi", keys,
-                         domain or table_domain(table, key), cells)
+    return interval_join(df, x, nearest_intervals(table, key, order, keys), "_lo", "_hi", keys, domain, cells)
 
 
 def nearest_quantile(stories: DataFrame, mapper: DataFrame, rest: str = "rest", out: str = "rest_per") -> DataFrame:
@@ -207,38 +235,44 @@ def nearest_quantile(stories: DataFrame, mapper: DataFrame, rest: str = "rest",
     return mapped.drop("_r").unionByName(rest_of.select(*mapped.drop("_r").columns))
 
 
-def curve_segments(curve: DataFrame, x: str, y: str, keys: Sequence[str] = (), extrapolate: bool = True) -> DataFrame:
-    """Segments (_lo, _hi, x0, y0, width, slope) between neighbouring knots; equal x keeps the smallest y.
+def curve_segments(curve: DataFrame, x: str, y: str, keys: Sequence[str] = (), extrapolate: bool = True, order: str | None = None) -> DataFrame:
+    """Segments (_lo, _hi, x0, y0, y_at, width, slope) between neighbouring knots; they cover the axis.
 
-    End segments are open: extrapolated with their own slope, or held constant (clamped).
+    Knots of equal x keep their first and their last y in `order` (y itself by default): the segment to the left ends in the first, the
+    one to the right starts in the last, and y_at, the value at x0 itself, is the first where ends are extrapolated and the last where
+    they are held, as the two common interpolators have it. A curve of one x has a value there, and when extrapolated none elsewhere.
     """
-    knots = curve.groupBy(*keys, F.col(x).cast("double").alias("x0")).agg(F.min(F.col(y).cast("double")).alias("y0"))
+    by = F.col(order or y)
+    value = F.col(y).cast("double")
+    knots = curve.groupBy(*keys, F.col(x).cast("double").alias("x0")).agg(F.min_by(value, by).alias("_first_y"), F.max_by(value, by).alias("y0"))
     w = Window.partitionBy(*keys).orderBy("x0")
-    seg = knots.select(*keys, "x0", "y0", (F.lead("x0").over(w) - F.col("x0")).alias("width"),
-                       F.lead("x0").over(w).alias("_nx"), F.lead("y0").over(w).alias("_ny"),
-                       (F.row_number().over(w) == 1).alias("_first"), F.lead("x0", 2).over(w).isNull().alias("_last"))
-    slope = F.coalesce((F.col("_ny") - F.col("y0")) / F.col("width"), F.lit(0.0))
-    seg = seg.withColumn("slope", slope)
-    end = F.coalesce("_nx", F.lit(INF))
+    nx, ny = F.lead("x0").over(w), F.lead("_first_y").over(w)
+    seg = knots.select(*keys, "x0", "y0", "_first_y", nx.alias("_nx"), (nx - F.col("x0")).alias("width"), ((ny - F.col("y0")) / (nx - F.col("x0"))).alias("slope"),
+                       (F.row_number().over(w) == 1).alias("_first"), F.lead("x0", 2).over(w).isNull().alias("_last"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_knots"))
+    y_at = F.col("_first_y" if extrapolate else "y0").alias("y_at")
     if extrapolate:
-        return seg.where(F.col("_nx").isNotNull()).select(
-            *keys, "x0", "y0", "width", "slope", F.when(F.col("_first"), -INF).otherwise(F.col("x0")).alias("_lo"),
-            F.when(F.col("_last"), INF).otherwise(end).alias("_hi"))
-    inner = seg.select(*keys, "x0", "y0", "width", "slope", F.col("x0").alias("_lo"), end.alias("_hi"))
-    left = seg.where(F.col("_first")).select(*keys, "x0", "y0", F.lit(None).cast("double").alias("width"),
-                                             F.lit(0.0).alias("slope"), F.lit(-INF).alias("_lo"),
-                                             F.col("x0").alias("_hi"))
+        kept = seg.where(F.col("_nx").isNotNull() | (F.col("_knots") == 1))
+        return kept.select(*keys, "x0", "y0", y_at, "width", "slope", F.when(F.col("_first"), -INF).otherwise(F.col("x0")).alias("_lo"),
+                           F.when(F.col("_last"), INF).otherwise(F.col("_nx")).alias("_hi"))
+    inner = seg.select(*keys, "x0", "y0", y_at, "width", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.col("x0").alias("_lo"), F.coalesce("_nx", F.lit(INF)).alias("_hi"))
+    left = seg.where(F.col("_first")).select(*keys, "x0", F.col("_first_y").alias("y0"), F.col("_first_y").alias("y_at"), F.lit(None).cast("double").alias("width"),
+                                             F.lit(0.0).alias("slope"), F.lit(-INF).alias("_lo"), F.col("x0").alias("_hi"))
     return inner.unionByName(left)
 
 
 def interp_join(df: DataFrame, x: str, curve: DataFrame, curve_x: str, curve_y: str, out: str,
                 keys: Sequence[str] = (), extrapolate: bool = True, domain: tuple[float, float] | None = None,
-                cells: int = 1024) -> DataFrame:
-    """Piecewise-linear y(x) per key: ends extrapolated, or clamped as numpy's interp does."""
-    segs = curve_segments(curve, curve_x, curve_y, keys, extrapolate)
-    joined = interval_join(df, x, segs, "_lo", "_hi", keys, domain or table_domain(curve, curve_x), cells)
-    return (joined.withColumn(out, F.col("y0") + (F.col(x) - F.col("x0")) * F.col("slope"))
-            .drop("x0", "y0", "width", "slope"))
+                cells: int = 1024, order: str | None = None) -> DataFrame:
+    """Piecewise-linear y(x) per key, one row per row of df: ends extrapolated, or clamped as numpy's interp does.
+
+    A null x gives null and a NaN gives NaN; keys without a curve fail the job. `order` is the table order among equal x.
+    """
+    segs = curve_segments(curve, curve_x, curve_y, keys, extrapolate, order)
+    joined = interval_join(df, x, segs, "_lo", "_hi", keys, domain, cells)
+    # a slope of 0 times an infinite distance is no number
+    line = F.when(F.col("slope") == 0, F.col("y0")).otherwise(F.col("y0") + (F.col(x) - F.col("x0")) * F.col("slope"))
+    y = F.when(F.col(x) == F.col("x0"), F.col("y_at")).otherwise(line)
+    return joined.withColumn(out, F.when(F.isnan(F.col(x).cast("double")), F.lit(float("nan"))).otherwise(y)).drop("x0", "y0", "y_at", "width", "slope")
 
 
 def non_exceedance(df: DataFrame, growth: str, curve: DataFrame, out: str, keys: Sequence[str] = (),
@@ -316,7 +350,8 @@ def inverse_cdf_join(draws: DataFrame, u: str, items: DataFrame, weight: str, or
                      cells: int = 10_000, block: Column | None = None) -> DataFrame:
     """Item whose cumulative probability interval holds the draw u in [0, 1).
 
-    Draws are uniform over the cells, so no cell is hot even when one item holds a third of the weight.
+    Draws are uniform over the cells, so no cell is hot even when one item holds a third of the weight; and where a few items hold nearly
+    all of it, the many others share a few cells, whose groups keep a draw from meeting them all.
     """
     table = cumulative_intervals(items, weight, order, keys, block).drop(weight)
     return interval_join(draws, u, table, "_lo", "_hi", keys, (0.0, 1.0), cells)
@@ -339,12 +374,12 @@ def cdf_value(df: DataFrame, p: str, cdf: DataFrame, cdf_p: str, cdf_x: str, out
     if not literal_weights:
         return interp_join(df, p, cdf, cdf_p, cdf_x, out, keys, False, domain)
     segs = curve_segments(cdf, cdf_p, cdf_x, keys, False)
-    joined = interval_join(df, p, segs, "_lo", "_hi", keys, domain or table_domain(cdf, cdf_p))
+    joined = interval_join(df, p, segs, "_lo", "_hi", keys, domain)
     offset = F.col(p) - F.col("x0")
     inside = F.col("width").isNotNull() & (offset > 0)
     # swapping the weights mirrors the point inside its segment
     mirrored = F.col("y0") + (F.col("width") - offset) * F.col("slope")
-    return joined.withColumn(out, F.when(inside, mirrored).otherwise(F.col("y0"))).drop("x0", "y0", "width", "slope")
+    return joined.withColumn(out, F.when(inside, mirrored).otherwise(F.col("y0"))).drop("x0", "y0", "y_at", "width", "slope")
 
 
 def place_scenarios(scenarios: DataFrame, curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

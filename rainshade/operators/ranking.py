@@ -40,11 +40,11 @@ def spread_extremes(df: DataFrame, group: str, value: str, keys: Sequence[str] =
     """Per key the groups with least, greatest and nearest-to-mean population standard deviation."""
     sd = df.groupBy(*keys, group).agg(F.stddev_pop(value).alias("sd"))
     means = sd.groupBy(*keys).agg(F.avg("sd").alias("_m"))
-    joined = sd.join(means, list(keys))
+    # one row per key
+    joined = sd.join(F.broadcast(means), list(keys)) if keys else sd.withColumn("_m", F.avg("sd").over(Window.partitionBy()))
     near = F.min(F.struct(F.round(F.abs(F.col("sd") - F.col("_m")), 9), F.col(group).alias("g"))).getField("g")
     return joined.groupBy(*keys).agg(F.min(F.struct("sd", group)).getField(group).alias("least"),
-                                     F.max(F.struct(F.col("sd"), (-F.col(group)).alias("o"))).getField("o").alias("_o"),
-                                     near.alias("middle")).withColumn("greatest", -F.col("_o")).drop("_o")
+                                     F.min(F.struct((-F.col("sd")).alias("o"), F.col(group).alias("g"))).getField("g").alias("greatest"), near.alias("middle"))
 
 
 def sorted_impact_table(df: DataFrame, event: str = "event", value: str = "anomaly") -> DataFrame:

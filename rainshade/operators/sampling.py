@@ -80,6 +80,12 @@ def block_size(kind: str, block, u: Column) -> Column:
     raise ValueError("block kind must be single, list or truncnormal")
 
 
+def _every(joined: DataFrame, found: Column, message: str, *names: str) -> DataFrame:
+    """Rows of a left join; one without a partner fails the job. A filter, so that no pruning of columns can lose the check."""
+    text = F.concat(F.lit(message + " "), F.to_json(F.struct(*names)))
+    return joined.where(F.when(found.isNotNull(), True).otherwise(F.raise_error(text).cast("boolean")))
+
+
 def moving_block_bootstrap(arrays: DataFrame, sims: DataFrame, kind: str, block, sim_len: Column | int | None = None,
                            seed: int = 1, uniform: Uniform = hash_uniform, n_sizes: int = 50,
                            include_last_start: bool = False) -> DataFrame:
@@ -89,7 +95,7 @@ def moving_block_bootstrap(arrays: DataFrame, sims: DataFrame, kind: str, block,
     (the last legal start is left out unless asked for). The record joins by key (few rows), then slices
     are cut and joined inside the row: no explosion, no shuffle of simulations.
     """
-    joined = sims.join(lookup_side(arrays, MAX_ARRAYS), "key")
+    joined = _every(sims.join(lookup_side(arrays, MAX_ARRAYS), "key", "left"), F.col("record"), "no record for", "key")
     n = F.size("record")
     length = F.lit(sim_len) if isinstance(sim_len, int) else (n if sim_len is None else sim_len)
     group = F.pmod(F.col("sim"), F.lit(n_sizes))
@@ -180,7 +186,7 @@ def pull_sims(sims: DataFrame, requests: DataFrame, suffix: str = "mean", seed:
     ranks = ranks.withColumn("available", F.when(found > 0, found).otherwise(none))
     short = F.col("available") <= (1 - max_replacement) * F.col("n")
     if under_level == "raise":
-        short = F.when(short, F.raise_error(F.lit("too few unique simulations")).cast("boolean")).otherwise(F.lit(False))
+        ranks = ranks.where(F.when(short, F.raise_error(F.lit("too few unique simulations")).cast("boolean")).otherwise(F.lit(True)))
     elif under_level == "pass":
         short = F.lit(False)
     drawn = ranks.withColumn("short", short).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
@@ -199,9 +205,9 @@ def stitch_months(stories: DataFrame, pools: DataFrame, realisations: int, seed:
     dry = asked.where(F.col("month").isin(*dry_months))
     wet = asked.where(~F.col("month").isin(*dry_months))
     sizes = pools.groupBy("key").agg(F.max("n").alias("n"))
-    picked = (wet.join(lookup_side(sizes), "key").withColumn("member", draw_index(
-        uniform(seed, F.col("story_id"), F.col("seq"), F.col("realisation")), F.col("n")))
-        .join(lookup_side(pools.drop("n"), MAX_ARRAYS), ["key", "member"]))
+    sized = _every(wet.join(lookup_side(sizes), "key", "left"), F.col("n"), "no simulations for", "story_id", "key")
+    drawn = sized.withColumn("member", draw_index(uniform(seed, F.col("story_id"), F.col("seq"), F.col("realisation")), F.col("n")))
+    picked = _every(drawn.join(lookup_side(pools.drop("n"), MAX_ARRAYS), ["key", "member"], "left"), F.col("values"), "no simulation for", "key", "member")
     zeros = dry.withColumn("values", F.array_repeat(F.lit(0.0), month_days(F.col("month"))))
     cols = ["story_id", "realisation", "seq", "values"]
     both = picked.select(*cols).unionByName(zeros.select(*cols))
@@ -264,9 +270,6 @@ def draw_to_daily(picks: DataFrame, daily: DataFrame, year: str = "water_year")
     return picks.select("draw", "slot", year).join(lookup_side(daily), year)
 
 
-MAX_STATES = 1000
-
-
 def transition_intervals(transitions: DataFrame) -> DataFrame:
     """(month, from_state, to_state) with the interval [_lo, _hi) of a uniform that takes this step."""
     group = Window.partitionBy("month", "from_state")
@@ -287,14 +290,10 @@ def markov_paths(sims: DataFrame, transitions: DataFrame, start: str = "A-A", se
     paths are an error, so give more sims than n.
     """
     table, size = resident(transition_intervals(transitions))
-    first = table.where((F.col("month") == months[0]) & (F.col("from_state") == start)).orderBy("_lo").limit(MAX_STATES).collect()
-    if not first:
+    if table.where((F.col("month") == months[0]) & (F.col("from_state") == start)).isEmpty():
         raise ValueError(f"no transition from {start} in month {months[0]}")
-    # the first step leaves one known state, so its few ends are literals
-    ends = [(r["to_state"], min(r["_hi"], 1.0) - r["_lo"]) for r in first]
-    opening = F.transform(F.array(uniform(seed, F.col(sim), F.lit(0))), lambda u: weighted_choice(u, [e for e, _ in ends], [p for _, p in ends]))
-    paths = sims.withColumns({"_s0": F.lit(start), "_s1": opening[0]})
-    for i, m in list(enumerate(months))[1:]:
+    paths = sims.withColumn("_s0", F.lit(start))
+    for i, m in enumerate(months):
         step = table.where(F.col("month") == m).select(F.col("from_state").alias("_from"), F.col("to_state").alias(f"_s{i + 1}"), "_lo", "_hi")
         step = step if size is None else F.broadcast(step)
         paths = paths.withColumn("_u", uniform(seed, F.col(sim), F.lit(i))).join(

@@ -76,12 +76,15 @@ def bounded_suite(df: DataFrame, bounds: DataFrame, story: str = "story_id") ->
     """Stories whose every bounded value lies inside its inclusive limits; null limit = unbounded.
 
     df is long (story, site, mode, period, value); bounds is (site, mode, period, low, high). A missing
-    value fails its bound. Count of satisfied bounds per story is compared with the number of bounds.
+    value fails its bound; a bound with both limits null asks nothing, and without any bound all stories stay. Count of satisfied bounds per story is compared with the number of bounds.
     """
-    n_bounds = bounds.count()
+    real = bounds.where(F.col("low").isNotNull() | F.col("high").isNotNull())
+    n_bounds = real.count()
+    if not n_bounds:
+        return df.select(story).distinct()
     inside = ((F.col("low").isNull() | (F.col("value") >= F.col("low")))
               & (F.col("high").isNull() | (F.col("value") <= F.col("high"))) & F.col("value").isNotNull())
-    return (df.join(lookup_side(bounds), ["site", "mode", "period"]).groupBy(story)
+    return (df.join(lookup_side(real), ["site", "mode", "period"]).groupBy(story)
             .agg(F.count_if(inside).alias("_ok")).where(F.col("_ok") == n_bounds).drop("_ok"))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rainshade.functions.calendar import month_days
 from rainshade.operators.aggregates import attach_small, ranked_counts, resolve
@@ -139,6 +140,9 @@ def nyear_chunks(df: DataFrame, keys: Sequence[str], year: str, value: str, n: i
             .agg(F.sum(value).alias(f"{value}_{n}yr"), F.count(value).alias("_n")).where(F.col("_n") == n).drop("_n"))
 
 
+RUN = 65_536
+
+
 def flow_duration(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Values in ascending order beside the reversed average ranks as 100 x rank / (n + 1).
 
@@ -146,7 +150,9 @@ def flow_duration(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     of the value at the opposite end. Ranks come from `ranked_counts`, so a key of any size is spread out.
     """
     ranked = ranked_counts(df, keys, value)
-    rows = ranked.withColumn("order", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))))
+    # a value with many ties is listed in runs of bounded length, dealt out to other tasks
+    runs = ranked.withColumn("_at", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"), F.lit(RUN).cast("long")))).repartition(*keys, "_v", "_at")
+    rows = runs.withColumn("order", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + (RUN - 1), F.col("_hi"))))).drop("_at")
     ranks = rows.select(*keys, (F.col("_n") + 1 - F.col("order")).alias("order"), ((F.col("_lo") + 1 + F.col("_hi")) / 2).alias("_rank"))
     return (rows.select(*keys, "order", F.col("_v").alias(value), "_n").join(ranks, [*keys, "order"])
             .select(*keys, "order", value, (100 * F.col("_rank") / (F.col("_n") + 1)).alias("exceedance")))
@@ -253,16 +259,30 @@ def order_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
 
 
 def story_ids(df: DataFrame, order: str, prefix: str = "mrsl", blocks: int = 1024) -> DataFrame:
-    """Sequential ids mrsl-000000 by `order`, numbered in two levels so no task numbers every row."""
-    tagged = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(blocks)))
+    """Sequential ids mrsl-000000 by `order`, numbered in two levels so no task numbers every row.
+
+    Blocks are ranges of `order` between sampled splitters, so ids rise with it; equal values share a block and are numbered in any
+    order, null values come first.
+    """
+    splits = df.agg(F.percentile_approx(F.col(order), F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), 10 * blocks).alias("s")).first()["s"] if _numeric(df, order) else None
+    if splits is None:
+        marks = df.where(F.col(order).isNotNull()).select(order).distinct().orderBy(F.xxhash64(order)).limit(blocks).toPandas()[order]
+        splits = sorted(marks)
+    bounds = F.array(*[F.lit(x) for x in sorted(set(splits))]).cast(f"array<{df.schema[order].dataType.simpleString()}>")
+    tagged = df.withColumn("_b", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col(order)))))
     sizes = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    # one row per block
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_b", before.alias("_off"))
     local = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
-    return (tagged.withColumn("_i", local).join(offsets, "_b")
+    return (tagged.withColumn("_i", local).join(F.broadcast(offsets), "_b")
             .withColumn("ID", F.format_string(f"{prefix}-%06d", F.col("_off") + F.col("_i"))).drop("_b", "_i", "_off"))
 
 
+def _numeric(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.NumericType)
+
+
 def last_day_flag(df: DataFrame, keys: Sequence[str], date: str = "date", out: str = "last_day") -> DataFrame:
     """True where the next row is in another month; the last row is true."""
     following = F.lead(F.month(date)).over(series(keys, date))

@@ -63,8 +63,8 @@ def hydro_year_stats(df: DataFrame, scenario: Sequence[str] = ("scenario",), dat
     stats = daily.groupBy(*group).agg(*aggs)
     if require_full:
         whole = F.col("n_days").between(365, 366)
-        stats = stats.withColumn("n_days", F.when(whole, F.col("n_days")).otherwise(
-            F.raise_error(F.lit("hydro years must have 365 or 366 days")).cast("long")))
+        # a filter, so that no pruning of columns can lose the check
+        stats = stats.where(F.when(whole, True).otherwise(F.raise_error(F.lit("hydro years must have 365 or 366 days")).cast("boolean")))
     out = stats.withColumns({"malf_anomaly": C.MALF - F.col("alf"), "maf_anomaly": F.col("max_flow") - C.MAF,
                              "maf_malf_product": F.col("days_above_maf") * F.col("days_below_malf")})
     habitat = {f"{s}_wua": S.polynomial5(F.col("alf"), k, *C.HABITAT_RANGE) for s, k in C.HABITAT_COEFFICIENTS.items()}

@@ -68,12 +68,12 @@ def recalc_story_prob(stories: DataFrame, weather_prob: DataFrame, mappers: Data
              .withColumn("combo", S.combo_key(F.col("_prev"), F.col("precip_class")))
              .where((F.col("rest") > 0) & F.col("month").isin(*C.IRRIGATION_MONTHS)))
     regimes = mappers.select("regime").distinct()
-    # equal restrictions keep their smallest quantile
+    # of equal restrictions the last quantile stands for the value itself
     asked = keyed.select(story, "combo", "month", F.col("rest").cast("double").alias("rest"))
     names = [r["regime"] for r in regimes.orderBy("regime").collect()]
     asked = asked.withColumn("regime", F.explode(F.array(*[F.lit(n) for n in names])))
     curve = mappers.select("regime", "combo", "month", F.col("rest").alias("_r"), F.col("q").alias("_q"))
-    placed = J.interp_join(asked, "rest", curve, "_r", "_q", "q_new", ["regime", "combo", "month"], False, (0.0, 1.0), 256)
+    placed = J.interp_join(asked, "rest", curve, "_r", "_q", "q_new", ["regime", "combo", "month"], False, (0.0, 1.0), 256, "_q")
     tails = placed.groupBy(story, "regime").agg(F.sum(S.log10_safe(0.5 - F.abs(0.5 - F.col("q_new")))).alias("_tail"))
     base = weather_prob.withColumn("regime", F.explode(F.array(*[F.lit(n) for n in names])))
     return base.join(tails, [story, "regime"], "left").select(

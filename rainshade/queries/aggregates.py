@@ -157,8 +157,8 @@ def _(t):
 
 
 @query("a17_exceedance_at", with_("impact", extra=HIST) + """, cu AS (SELECT site, mode, centre AS pg, round(sum(share) OVER (PARTITION BY site, mode ORDER BY bin DESC), 12) AS prob FROM hist),
-kn AS (SELECT site, mode, prob, min(pg) AS pg FROM cu GROUP BY 1, 2, 3), seg AS (SELECT *, lead(prob) OVER w AS np, lead(pg) OVER w AS nx FROM kn WINDOW w AS (PARTITION BY site, mode ORDER BY prob))
-SELECT site, mode, i / 100e0 AS prob, round(pg + (i / 100e0 - prob) * (nx - pg) / (np - prob), 6) AS pg FROM seg JOIN range(1, 100) t(i) ON i / 100e0 >= prob AND i / 100e0 < np""")
+kn AS (SELECT site, mode, prob, min(pg) AS pa, max(pg) AS pg FROM cu GROUP BY 1, 2, 3), seg AS (SELECT *, lead(prob) OVER w AS np, lead(pa) OVER w AS nx FROM kn WINDOW w AS (PARTITION BY site, mode ORDER BY prob))
+SELECT site, mode, i / 100e0 AS prob, round(CASE WHEN i / 100e0 = prob THEN pa ELSE pg + (i / 100e0 - prob) * (nx - pg) / (np - prob) END, 6) AS pg FROM seg JOIN range(1, 100) t(i) ON i / 100e0 >= prob AND i / 100e0 < np""")
 def _(t):
     curve = A.exceedance_curve(tons(t), ["site", "mode"], "v", 0.5).withColumn("prob", F.round("prob", 12)).drop("bin")
     return rounded(A.exceedance_at(curve, ["site", "mode"], [i / 100 for i in range(1, 100)]).select("site", "mode", "prob", "pg"))
@@ -181,13 +181,13 @@ def _(t):
     return rounded(x, 8)
 
 
-@query("a20_joint_wet_dry", with_("weather") + """, j AS (SELECT month(a.date) AS month, a.rain AS s, b.rain AS b FROM weather a JOIN weather b ON a.date = b.date AND a.site = 1 AND b.site = 0)
-SELECT CAST(month AS INTEGER) AS month, round(avg(CASE WHEN b <> 0 THEN CASE WHEN s <> 0 THEN 1e0 ELSE 0e0 END END), 6) AS wet_given_wet, round(avg(CASE WHEN b <> 0 THEN CASE WHEN s = 0 THEN 1e0 ELSE 0e0 END END), 6) AS dry_given_wet,
-round(avg(CASE WHEN b = 0 THEN CASE WHEN s <> 0 THEN 1e0 ELSE 0e0 END END), 6) AS wet_given_dry, round(avg(CASE WHEN b = 0 THEN CASE WHEN s = 0 THEN 1e0 ELSE 0e0 END END), 6) AS dry_given_dry FROM j GROUP BY 1""")
+@query("a20_joint_wet_dry", with_("weather") + """, j AS (SELECT a.site, month(a.date) AS month, a.rain AS s, b.rain AS b FROM weather a JOIN weather b ON a.date = b.date AND a.site <> 0 AND b.site = 0)
+SELECT site, CAST(month AS INTEGER) AS month, round(avg(CASE WHEN b <> 0 THEN CASE WHEN s <> 0 THEN 1e0 ELSE 0e0 END END), 6) AS wet_given_wet, round(avg(CASE WHEN b <> 0 THEN CASE WHEN s = 0 THEN 1e0 ELSE 0e0 END END), 6) AS dry_given_wet,
+round(avg(CASE WHEN b = 0 THEN CASE WHEN s <> 0 THEN 1e0 ELSE 0e0 END END), 6) AS wet_given_dry, round(avg(CASE WHEN b = 0 THEN CASE WHEN s = 0 THEN 1e0 ELSE 0e0 END END), 6) AS dry_given_dry FROM j GROUP BY 1, 2""")
 def _(t):
-    a = t.weather.where("site = 1").select("date", F.col("rain").alias("s"))
+    a = t.weather.where("site <> 0").select("site", "date", F.col("rain").alias("s"))
     b = t.weather.where("site = 0").select("date", F.col("rain").alias("b"))
-    return rounded(A.joint_wet_dry(a.join(b, "date").withColumn("month", F.month("date")), "s", "b", ["month"]))
+    return rounded(A.joint_wet_dry(a.join(b, "date").withColumn("month", F.month("date")), "s", "b", ["site", "month"]))
 
 
 @query("a21_group_and_total", with_("impact") + """, i AS (SELECT story_id % 5 AS cluster, pg FROM impact)

@@ -6,7 +6,6 @@ by the calendar, or on stories whose number grows with the customers.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import cached_property
@@ -50,10 +49,10 @@ def text_date(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """A new folder in the cluster's shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="run-")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/rainshade-{uuid.uuid4().hex}"
 
 

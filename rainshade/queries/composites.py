@@ -223,15 +223,18 @@ def _(t):
     return rounded(text_date(RV.restriction_scenario(_nat(t).drop("f_rest", "take")).select("date", "regime", "f_rest", "take", "flow"), "date"))
 
 
-SPINE = """sd AS (SELECT CAST(unnest(generate_series(DATE '1995-07-01', DATE '2001-06-30', INTERVAL 1 DAY)) AS DATE) AS date),
+SPINE = """wy AS (SELECT year(min(date) - INTERVAL 6 MONTH) + 1 AS a, year(max(date) + INTERVAL 1 DAY - INTERVAL 6 MONTH) AS z FROM (SELECT date FROM flow UNION ALL SELECT date FROM record)),
+sd AS (SELECT CAST(unnest(generate_series(make_date(a, 7, 1), make_date(z, 6, 30), INTERVAL 1 DAY)) AS DATE) AS date FROM wy),
 sp AS (SELECT sd.date, last_value(f.flow IGNORE NULLS) OVER w AS flow, last_value(t.tmax IGNORE NULLS) OVER w AS temp FROM sd LEFT JOIN flow f ON f.date = sd.date LEFT JOIN record t ON t.date = sd.date WINDOW w AS (ORDER BY sd.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 sc AS (SELECT scenario, date, flow * k AS flow, temp FROM sp, (VALUES ('low', 0.75e0), ('high', 1.25e0)) v(scenario, k))"""
 
 
 def _scenarios(t):
-    """Two full daily scenarios from July 1995 to June 2001: gaps take the last known value."""
+    """Two full daily scenarios over the whole July years of the data: gaps take the last known value."""
     both = t.flow.select("date", "flow").join(t.record.select("date", F.col("tmax").alias("temp")), "date", "full")
-    full = J.date_spine(both.where(F.col("date").between("1995-07-01", "2001-06-30")), [], "date", "1995-07-01", "2001-06-30")
+    first = F.make_date(F.year(F.add_months(F.min("date"), -6)) + 1, F.lit(7), F.lit(1))
+    last = F.make_date(F.year(F.add_months(F.date_add(F.max("date"), 1), -6)), F.lit(6), F.lit(30))
+    full = both.agg(F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("date")).join(both, "date", "left")
     full = W.fill(W.fill(full, [], "date", "flow"), [], "date", "temp")
     ks = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(k).alias("k")) for n, k in (("low", 0.75), ("high", 1.25))]))
     return full.withColumn("_k", ks).select("_k.scenario", "date", (F.col("flow") * F.col("_k.k")).alias("flow"), "temp")
@@ -349,14 +352,17 @@ def _(t):
     return rounded(ST.failure_rate(_verified(t).withColumn("bad", F.col("mismatches") > 9)))
 
 
-FULLW = """fd AS (SELECT CAST(unnest(generate_series(DATE '1995-01-05', DATE '2001-10-31', INTERVAL 1 DAY)) AS DATE) AS date),
+FULLW = """fe AS (SELECT greatest((SELECT min(date) FROM record), (SELECT min(date) FROM rest)) AS a, least((SELECT max(date) FROM record), (SELECT max(date) FROM rest)) AS z),
+fd AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM fe),
 fw AS (SELECT fd.date, last_value(w.tmax IGNORE NULLS) OVER x AS tmax, last_value(w.rain IGNORE NULLS) OVER x AS rain, last_value(w.radn IGNORE NULLS) OVER x AS radn, last_value(r.f_rest IGNORE NULLS) OVER x AS f_rest FROM fd LEFT JOIN record w ON w.date = fd.date LEFT JOIN rest r ON r.date = fd.date
   WINDOW x AS (ORDER BY fd.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
 def _full_weather(t):
-    w = t.record.join(t.rest, "date", "full").where(F.col("date").between("1995-01-05", "2001-10-31"))
-    full = J.date_spine(w, [], "date", "1995-01-05", "2001-10-31")
+    # from the first to the last day that both tables reach
+    ends = [x.agg(F.min("date").alias("a"), F.max("date").alias("z")) for x in (t.record, t.rest)]
+    days = ends[0].unionByName(ends[1]).agg(F.explode(F.sequence(F.max("a"), F.min("z"), F.expr("interval 1 day"))).alias("date"))
+    full = days.join(t.record.join(t.rest, "date", "full"), "date", "left")
     for c in ("rain", "pet", "tmax", "tmin", "radn", "f_rest"):
         full = W.fill(full, [], "date", c)
     return date_parts(full)

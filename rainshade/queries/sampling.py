@@ -206,13 +206,16 @@ def _(t):
     return rounded(out.select("draw", "id_0", "id_1", "log10_prob"))
 
 
-@query("r11_expand_multi_year", with_("stories") + """, d AS (SELECT o_orderkey AS draw, s, CASE s WHEN 0 THEN x.story_id ELSE y.story_id END AS story_id FROM orders JOIN (SELECT DISTINCT grp, story_id FROM stories WHERE story_id % 10000 = 1996) x ON x.grp = o_custkey // 15
-  JOIN (SELECT DISTINCT grp, story_id FROM stories WHERE story_id % 10000 = 1998) y ON y.grp = o_custkey // 15, range(0, 2) t(s))
+@query("r11_expand_multi_year", with_("stories") + """, d AS (SELECT o_orderkey AS draw, s, CASE s WHEN 0 THEN x.story_id ELSE y.story_id END AS story_id FROM orders JOIN (SELECT DISTINCT grp, story_id FROM stories WHERE story_id % 10000 = (SELECT min(story_id % 10000) FROM stories)) x ON x.grp = o_custkey // 15
+  JOIN (SELECT DISTINCT grp, story_id FROM stories WHERE story_id % 10000 = (SELECT max(story_id % 10000) FROM stories)) y ON y.grp = o_custkey // 15, range(0, 2) t(s))
 SELECT draw, CAST(make_date(year + CAST(s AS INTEGER), month, 1) AS VARCHAR) AS date, state FROM d JOIN stories USING (story_id)""")
 def _(t):
     s = t.story_months
     o = t.table("orders").select(F.col("o_orderkey").alias("draw"), F.floor(F.col("o_custkey") / 15).alias("grp"))
-    a, b = (s.where(F.col("story_id") % 10000 == y).select("grp", F.col("story_id").alias(f"id_{i}")).distinct() for i, y in enumerate((1996, 1998)))
+    # each customer group's first season of the data with its last
+    season = F.col("story_id") % 10000
+    ends = s.agg(F.min(season), F.max(season)).first()
+    a, b = (s.where(season == y).select("grp", F.col("story_id").alias(f"id_{i}")).distinct() for i, y in enumerate(ends))
     chosen = o.join(a, "grp").join(b, "grp")
     dated = s.select("story_id", F.make_date("year", "month", F.lit(1)).alias("date"), "state")
     return R.expand_multi_year(chosen, dated, 2).select("draw", F.col("date").cast("string").alias("date"), "state")
@@ -242,11 +245,13 @@ def _(t):
     return rounded(inputs(t).groupBy("key").agg(F.count(F.lit(1)).alias("days"), F.sum("value").alias("total"), F.min("value").alias("low")))
 
 
-@query("r15_months_per_key", with_("rest", "classes") + """SELECT printf('m%02d-%s', month, CASE precip_class_prev WHEN 'D' THEN 'D' ELSE 'ND' END || '-' || CASE precip_class WHEN 'D' THEN 'D' ELSE 'ND' END) AS key, CAST(count(*) AS INTEGER) AS n_months FROM classes WHERE year * 12 + month BETWEEN 1995 * 12 + 2 AND 2001 * 12 + 10 GROUP BY 1""")
+@query("r15_months_per_key", with_("rest", "classes") + """SELECT printf('m%02d-%s', month, CASE precip_class_prev WHEN 'D' THEN 'D' ELSE 'ND' END || '-' || CASE precip_class WHEN 'D' THEN 'D' ELSE 'ND' END) AS key, CAST(count(*) AS INTEGER) AS n_months FROM classes WHERE year * 12 + month > (SELECT min(year(date) * 12 + month(date)) FROM rest) AND year * 12 + month < (SELECT max(year(date) * 12 + month(date)) FROM rest) GROUP BY 1""")
 def _(t):
     # the record with its missing days filled, whole months only
     from rainshade.operators.windows import fill
     whole = F.col("year") * 12 + F.col("month")
     full = fill(J.date_spine(t.rest), [], "date", "f_rest")
-    keep = t.rest_classes.where(whole.between(1995 * 12 + 2, 2001 * 12 + 10))
+    number = F.year("date") * 12 + F.month("date")
+    ends = t.rest.agg(F.min(number).alias("_a"), F.max(number).alias("_z"))
+    keep = t.rest_classes.join(F.broadcast(ends), (whole > F.col("_a")) & (whole < F.col("_z"))).drop("_a", "_z")
     return R.months_per_key(R.bootstrap_inputs(full, keep, by_pair=True))

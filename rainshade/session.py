@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: str | int = "*", app: str = "rainshade", shuffle_partitions: int | None = None,
                   checkpoint_dir: str | None = None) -> SparkSession:
-    """Build a local session with the settings the operators assume: UTC, AQE, skew joins, no UI."""
+    """Build a local session with the settings the operators assume: UTC, AQE, skew joins, no UI.
+
+    checkpoint_dir becomes spark.checkpoint.dir, the shared folder for tables that are written and read again; on one machine a
+    folder of that machine is shared, and one is made where neither the caller nor Spark's defaults name any.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -23,8 +28,10 @@ def local_session(cpus: str | int = "*", app: str = "rainshade", shuffle_partiti
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if checkpoint_dir and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(checkpoint_dir)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
     return spark
