@@ -67,6 +67,12 @@ def templates() -> list[tuple[str, str]]:
     return framed + [(f, s) for f, texts in SENTENCES.items() for s in texts]
 
 
+def pieces(text: str, size: int = 12, step: int = 3) -> list[str]:
+    """Runs of `size` words of a longer sentence, as licence texts come wrapped and cut."""
+    words = text.split()
+    return [" ".join(words[i:i + size]) for i in range(0, max(1, len(words) - size + step), step)] if len(words) > size else []
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words; digits, points, signs and hyphens inside a word stay, as in 2.0 or by-nc."""
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}.+-]+|[.]+(?=\\s|$)"), lambda w: w != "")
@@ -108,7 +114,7 @@ def fit(spark: SparkSession, background: DataFrame, rows: int = BACKGROUND) -> L
     plain = background.select("paragraph").filter(silent).orderBy(F.xxhash64("paragraph"), "paragraph").limit(rows).select(F.lit(UNKNOWN).alias("family"), "paragraph")
     known = templates()
     strange = [(UNKNOWN, frame.format(n)) for n in STRANGE for frame in FRAMES] + [(UNKNOWN, s) for s in PROSE]
-    made = spark.createDataFrame([*known, *[(f, t[:-1]) for f, t in known], *strange], "family string, paragraph string")
+    made = spark.createDataFrame([*known, *[(f, x) for f, t in known for x in (t[:-1], *pieces(t))], *strange], "family string, paragraph string")
     families = [UNKNOWN, *NAMES]
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1

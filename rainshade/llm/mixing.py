@@ -102,8 +102,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
     """
     celled = with_cells(docs, text_col, topic)
     cells = stored(celled.groupBy(*[F.col(f"_cell.{d}").alias(d) for d in dimensions]).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
-    done = stored(calibrated(rake(cells, targets or tempered(cells), passes), keep)).select(F.struct(*dimensions).alias("_of"), "probability")
+    done = stored(calibrated(rake(cells, targets or tempered(cells), passes), keep)).select(F.struct(*dimensions).alias("_of"), F.col("probability").alias("_share"))
     # the optimizer broadcasts the cells only while their files are small
     joined = celled.join(done, F.col("_cell") == F.col("_of"))
-    sampled = md5_uniform(seed, F.col(f"`{id_col}`")) < F.col("probability")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct("_cell.*", F.col("_tokens").alias("n_tokens"), "probability", sampled.alias("sampled")).alias("_mix"))
+    sampled = md5_uniform(seed, F.col(f"`{id_col}`")) < F.col("_share")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct("_cell.*", F.col("_tokens").alias("n_tokens"), F.col("_share").alias("probability"), sampled.alias("sampled")).alias("_mix"))

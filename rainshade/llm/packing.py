@@ -42,17 +42,17 @@ class WordTokenizer:
         others = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def _letters(self, word: str) -> bytes:
-        lower = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-        mapped = lower if word.isascii() else "".join(map(self.alphabet.__getitem__, lower.encode()))
-        return array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
     def _word(self, word: str) -> bytes:
         end = word[-1:] if word[-1:] in (".", ",") else ""
         base = word[:-1] if end else word
         # letters below U+0250 are composed and lower-cased alike by every Unicode version
-        if base.isalpha() and max(base) < "ɐ":
-            return self._letters(base) + (self._whole(end) if end else b"")
+        if base.isalpha() and max(base) < "\u0250":
+            lower = base.lower() if base.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", base))
+            # one capital there becomes a letter and a mark, which is no letter
+            if lower.isalpha():
+                mapped = lower if lower.isascii() else "".join(map(self.alphabet.__getitem__, lower.encode()))
+                ids = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+                return ids + self._whole(end) if end else ids
         return self._whole(word)
 
     def _whole(self, text: str) -> bytes:

@@ -1,19 +1,9 @@
-import random
-
 import pytest
+from texts import paragraphs, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, version long, content string, leader string, start long, probability double, fingerprint string, kept boolean, hash long"
 
 
-def words(seed: int, n: int) -> str:
-    rng = random.Random(seed)
-    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
-
-
-def paragraphs(seed: int, n: int) -> str:
-    return "\n".join(words(seed * 100 + i, 12).capitalize() + "." for i in range(n))
-
-
 @pytest.fixture(scope="session")
 def rows():
     """Texts with nulls, blanks, copies that differ in white space, near copies, shared passages, repeated rows and a long text."""
