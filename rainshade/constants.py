@@ -149,7 +149,17 @@ EVENT_QUANTILES = (50, 60, 75, 80, 90, 95, 99)
 # Days with rain that make a wet month (99 = never), dry thresholds and day counts.
 WET_DAYS_LIMIT = {1: 99, 2: 99, 3: 99, 4: 99, 5: 14, 6: 11, 7: 11, 8: 13, 9: 13, 10: 99, 11: 99, 12: 99}
 ROLLING_DRY_LIMITS = {4: 15, 5: 10, 8: 5, 9: 10}  # 10-day rain (mm) by month, other months never
-ROLLING_DRY_EASED = (0, 3, 5, 10)
+ROLLING_DRY_EASED = (0, 3, 5, 7, 10)
+ROLLING_DRY_LEVELS = {"zero": 0, "one": 1}  # the same limit in every month that has one
+WET_RAIN_THRESHOLDS = (5, 3, 1, 0)
+WET_DEFICIT_THRESHOLDS = (0, -5, -10)
+MONTH_RAIN_LIMITS = {1: 31, 2: 45, 3: 38, 4: 46, 5: 37, 6: -1, 7: -1, 8: 35, 9: 30, 10: 53, 11: 43, 12: 47}  # mm; -1 is never
+MONTH_RAIN_SHIFTS = {"lower_q": 0, "up_5": 5, "down_5": -5, "down_7": -7}  # in the shoulder months
+SHOULDER_MONTHS = (4, 5, 8, 9)  # tested by mean temperature, the others by the maximum
+SHOULDER_HOT_LIMITS = {4: 18, 5: 15, 8: 13, 9: 15}
+SHOULDER_HOT_SHIFTS = {"upper_q": 0, "2_less": -2, "5_less": -5, "7_less": -7}
+SHOULDER_HOT_DAYS = {"5day": 5, "7day": 7, "10day": 10, "15day": 15}
+OTHER_HOT_LIMIT, OTHER_HOT_DAYS = 25, 7
 HOT_THRESHOLDS = (20, 25, 28, 30, 35)
 COLD_THRESHOLDS = (0, 5, 7, 10, 12)
 DRY_ANOMALIES = (-5, -10, -12, -15, -17, -20)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,8 @@ def event_grid(kind: str) -> tuple[list[tuple[str, Column]], tuple[int, ...]]:
         pairs = ((0, -20), (-110, 0), (-110, -20))
     elif kind == "monthly_dry":
         pairs = tuple((0, a) for a in C.DRY_ANOMALIES)
+    elif kind == "wet":
+        return [(f"d_r{r}_smd{d}", (c("rain") >= r) & (c("smd") >= d)) for r in C.WET_RAIN_THRESHOLDS for d in C.WET_DEFICIT_THRESHOLDS], (7, 10, 14)
     elif kind == "restriction":
         return [(f"d_>{n}_rest", c("f_rest") >= t) for n, t in C.REST_THRESHOLDS.items()], (1, 5, 7, 10, 14)
     else:
@@ -80,64 +83,130 @@ def event_grid(kind: str) -> tuple[list[tuple[str, Column]], tuple[int, ...]]:
     return [(f"d_smd{s:03d}_sma{a:02d}", (c("smd") <= s) & (c("sma") <= a)) for s, a in pairs], (5, 7, 10, 14)
 
 
-def recurrence(flags: DataFrame, growth: DataFrame | None = None, years: int = C.RECORD_YEARS, keys: Sequence[str] = ()) -> DataFrame:
-    """Per event and month: count, probability and, given growth anomalies, their describe on the event months."""
+Growth = DataFrame | dict[str, DataFrame] | None
+
+
+def recurrence(flags: DataFrame, growth: Growth = None, years: int = C.RECORD_YEARS, keys: Sequence[str] = ()) -> DataFrame:
+    """Per event and month: count, probability and, given growth anomalies, their describe on the event months.
+
+    growth is one table of anomalies, or several by name, whose columns then end in the name.
+    """
     group = [*keys, "event", "month"]
     probs = A.occurrence(flags, group)
-    kept = A.drop_degenerate(probs, "event", years) if not keys else probs
-    if growth is None:
-        return kept
-    hits = flags.where("flag").join(growth, [*keys, "year", "month"])
-    return kept.join(A.describe_by(hits, group, "anomaly"), group, "left")
+    out = A.drop_degenerate(probs, "event", years) if not keys else probs
+    tables = growth if isinstance(growth, dict) else {} if growth is None else {"": growth}
+    for name, table in tables.items():
+        hits = flags.where("flag").join(table, [*keys, "year", "month"])
+        described = A.describe_by(hits, group, "anomaly")
+        if name:
+            described = described.withColumnsRenamed({c: f"{c}_{name}" for c in described.columns if c not in group})
+        out = out.join(described, group, "left")
+    return out
 
 
-def event_recurrence(daily: DataFrame, kind: str, growth: DataFrame | None = None, years: int = C.RECORD_YEARS) -> DataFrame:
-    """Flags of a threshold grid, monthly probability without the degenerate criteria, growth on event months.
+def event_years(flags: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The (event, month, year) list of every criterion that occurs."""
+    return flags.where("flag").select(*keys, "event", "month", "year").distinct()
 
-    daily needs year, month and the tested columns (tmax, tmean, smd and sma, or f_rest).
+
+def event_flags(daily: DataFrame, kind: str) -> DataFrame:
+    """Flag of each criterion of a threshold grid per (year, month).
+
+    daily needs year, month and the tested columns (tmax, tmean, rain and smd, smd and sma, or f_rest).
     """
     grid, ndays = event_grid(kind)
     if kind == "cold":
         daily = W.rolling(daily, ["site"] if "site" in daily.columns else [], "date", "tmean", 3, "mean", "tmean_3")
-    return recurrence(threshold_grid(daily, ["year", "month"], grid, ndays), growth, years)
+    return threshold_grid(daily, ["year", "month"], grid, ndays)
+
+
+def event_recurrence(daily: DataFrame, kind: str, growth: Growth = None, years: int = C.RECORD_YEARS) -> DataFrame:
+    """Monthly probability of a threshold grid without the degenerate criteria, growth on event months."""
+    return recurrence(event_flags(daily, kind), growth, years)
 
 
-def wet_day_recurrence(daily: DataFrame, limits: dict[int, int] | None = None, years: int = C.RECORD_YEARS) -> DataFrame:
+def wet_day_flags(daily: DataFrame, limits: dict[int, int] | None = None) -> DataFrame:
     """Months with at least the month's limit of days with rain above 0.01."""
     months = daily.groupBy("year", "month").agg(F.count_if(F.col("rain") > 0.01).alias("days"))
-    flags = months.select("year", "month", F.lit("org").alias("event"),
-                          (F.col("days") >= lookup(limits or C.WET_DAYS_LIMIT, F.col("month"))).alias("flag"))
-    return recurrence(flags, None, years)
+    return months.select("year", "month", F.lit("org").alias("event"), (F.col("days") >= lookup(limits or C.WET_DAYS_LIMIT, F.col("month"))).alias("flag"))
 
 
-def rolling_dry_recurrence(daily: DataFrame, day_limits: dict[str, dict[int, int]], rain_limits: dict[str, dict[int, float]] | None = None,
-                           keys: Sequence[str] = (), window: int = 10, years: int = C.RECORD_YEARS) -> DataFrame:
+def wet_day_recurrence(daily: DataFrame, limits: dict[int, int] | None = None, years: int = C.RECORD_YEARS, growth: Growth = None) -> DataFrame:
+    return recurrence(wet_day_flags(daily, limits), growth, years)
+
+
+def month_dry_flags(daily: DataFrame, limits: dict[str, dict[int, float]] | None = None) -> DataFrame:
+    """Months whose rain sum is at or below the month's limit; limits by name and month."""
+    limits = limits or {n: {m: v + (shift if m in C.SHOULDER_MONTHS else 0) for m, v in C.MONTH_RAIN_LIMITS.items()} for n, shift in C.MONTH_RAIN_SHIFTS.items()}
+    months = daily.groupBy("year", "month").agg(F.sum("rain").alias("total"))
+    each = [F.struct(F.lit(n).alias("event"), F.coalesce(F.col("total") <= lookup({m: float(v) for m, v in lim.items()}, F.col("month")), F.lit(False)).alias("flag")) for n, lim in limits.items()]
+    return months.select("year", "month", F.explode(F.array(*each)).alias("_e")).select("year", "month", "_e.*")
+
+
+def month_dry_recurrence(daily: DataFrame, limits: dict[str, dict[int, float]] | None = None, years: int = C.RECORD_YEARS, growth: Growth = None) -> DataFrame:
+    return recurrence(month_dry_flags(daily, limits), growth, years)
+
+
+def variable_hot_flags(daily: DataFrame, shifts: dict[str, float] | None = None, days: dict[str, int] | None = None) -> DataFrame:
+    """Months with enough hot days: by mean temperature and shifted limits in the shoulder months, by the maximum in the others.
+
+    An event is named `<limit>_<days>`; daily needs tmax and tmean.
+    """
+    month, shoulder = F.col("month"), F.col("month").isin(*C.SHOULDER_MONTHS)
+    tested = F.when(shoulder, F.col("tmean")).otherwise(F.col("tmax"))
+    limits = {n: {m: float(C.SHOULDER_HOT_LIMITS.get(m, C.OTHER_HOT_LIMIT) + (shift if m in C.SHOULDER_MONTHS else 0)) for m in range(1, 13)}
+              for n, shift in (shifts or C.SHOULDER_HOT_SHIFTS).items()}
+    counts = daily.groupBy("year", "month").agg(*[F.count_if(tested >= lookup(lim, month)).alias(f"_{i}") for i, lim in enumerate(limits.values())])
+    pairs = [F.struct(F.lit(f"{n}_{d}").alias("event"), (F.col(f"_{i}") >= F.when(shoulder, F.lit(k)).otherwise(F.lit(C.OTHER_HOT_DAYS))).alias("flag"))
+             for i, n in enumerate(limits) for d, k in (days or C.SHOULDER_HOT_DAYS).items()]
+    return counts.select("year", "month", F.explode(F.array(*pairs)).alias("_e")).select("year", "month", "_e.*")
+
+
+def variable_hot_recurrence(daily: DataFrame, years: int = C.RECORD_YEARS, growth: Growth = None) -> DataFrame:
+    return recurrence(variable_hot_flags(daily), growth, years)
+
+
+def rolling_rain_limits() -> dict[str, dict[int, float]]:
+    """The published limits of the trailing rain sum by name: eased by some mm, or one level."""
+    eased = {f"first-{k}" if k else "first": {m: v - k for m, v in C.ROLLING_DRY_LIMITS.items()} for k in C.ROLLING_DRY_EASED}
+    return eased | {n: dict.fromkeys(C.ROLLING_DRY_LIMITS, v) for n, v in C.ROLLING_DRY_LEVELS.items()}
+
+
+def rolling_dry_flags(daily: DataFrame, day_limits: dict[str, dict[int, int]], rain_limits: dict[str, dict[int, float]] | None = None,
+                      keys: Sequence[str] = (), window: int = 10) -> DataFrame:
     """Months with enough days whose trailing rain sum is at or below the month's limit.
 
     Both limits are by name and month; an event is named `<rain limit>_<day limit>`. A month without a
     rain limit can never be dry.
     """
-    rain_limits = rain_limits or {f"first-{k}" if k else "first": {m: v - k for m, v in C.ROLLING_DRY_LIMITS.items()} for k in C.ROLLING_DRY_EASED}
+    rain_limits = rain_limits or rolling_rain_limits()
     rolled = W.rolling(daily, keys, "date", "rain", window, "sum", "_roll")
     month = F.col("month")
     counts = rolled.groupBy("year", "month").agg(*[
         F.count_if(F.col("_roll") <= lookup({m: float(v) for m, v in lim.items()}, month)).alias(f"_{i}") for i, lim in enumerate(rain_limits.values())])
     pairs = [F.struct(F.lit(f"{r}_{d}").alias("event"), (F.col(f"_{i}") >= lookup(nd, month)).alias("flag"))
              for i, r in enumerate(rain_limits) for d, nd in day_limits.items()]
-    flags = counts.select("year", "month", F.explode(F.array(*pairs)).alias("_e")).select("year", "month", "_e.event", F.coalesce("_e.flag", F.lit(False)).alias("flag"))
-    return recurrence(flags, None, years)
+    return counts.select("year", "month", F.explode(F.array(*pairs)).alias("_e")).select("year", "month", "_e.event", F.coalesce("_e.flag", F.lit(False)).alias("flag"))
+
+
+def rolling_dry_recurrence(daily: DataFrame, day_limits: dict[str, dict[int, int]], rain_limits: dict[str, dict[int, float]] | None = None,
+                           keys: Sequence[str] = (), window: int = 10, years: int = C.RECORD_YEARS, growth: Growth = None) -> DataFrame:
+    return recurrence(rolling_dry_flags(daily, day_limits, rain_limits, keys, window), growth, years)
 
 
-def cumulative_restriction_recurrence(daily: DataFrame, ndays: Sequence[int] = (1, 5, 7, 10, 14, 21, 25, 29), years: int = C.RECORD_YEARS) -> DataFrame:
+def cumulative_restriction_flags(daily: DataFrame, ndays: Sequence[int] = (1, 5, 7, 10, 14, 21, 25, 29)) -> DataFrame:
     """Months whose restriction sum reaches a number of full days."""
     months = daily.groupBy("year", "month").agg(F.sum("f_rest").alias("total"))
-    flags = months.withColumn("nd", F.explode(F.array(*[F.lit(n) for n in ndays]))).select(
+    return months.withColumn("nd", F.explode(F.array(*[F.lit(n) for n in ndays]))).select(
         "year", "month", F.format_string("%02d", "nd").alias("event"), (F.col("total") >= F.col("nd")).alias("flag"))
-    return recurrence(flags, None, years)
 
 
-def spell_recurrence(daily: DataFrame, thresholds: dict[str, float] | None = None, con_days: Sequence[int] = (5, 7, 10),
-                     ndays: Sequence[int] = (5, 7, 10, 15, 20), keys: Sequence[str] = (), years: int = C.RECORD_YEARS) -> DataFrame:
+def cumulative_restriction_recurrence(daily: DataFrame, ndays: Sequence[int] = (1, 5, 7, 10, 14, 21, 25, 29), years: int = C.RECORD_YEARS, growth: Growth = None) -> DataFrame:
+    return recurrence(cumulative_restriction_flags(daily, ndays), growth, years)
+
+
+def spell_flags(daily: DataFrame, thresholds: dict[str, float] | None = None, con_days: Sequence[int] = (5, 7, 10),
+                ndays: Sequence[int] = (5, 7, 10, 15, 20), keys: Sequence[str] = ()) -> DataFrame:
     """Months with a spell of at least l days and at least nd restricted days in all."""
     frames = []
     for name, t in (thresholds or C.REST_THRESHOLDS).items():
@@ -147,10 +216,12 @@ def spell_recurrence(daily: DataFrame, thresholds: dict[str, float] | None = Non
         frames.append(summary.withColumn("_p", pairs).select(
             "year", "month", F.format_string(f"%dd_{name}_%dtot", "_p.l", "_p.nd").alias("event"),
             ((F.col("max_length") >= F.col("_p.l")) & (F.col("total_days") >= F.col("_p.nd"))).alias("flag")))
-    flags = frames[0]
-    for f in frames[1:]:
-        flags = flags.unionByName(f)
-    return recurrence(flags, None, years)
+    return reduce(DataFrame.unionByName, frames)
+
+
+def spell_recurrence(daily: DataFrame, thresholds: dict[str, float] | None = None, con_days: Sequence[int] = (5, 7, 10),
+                     ndays: Sequence[int] = (5, 7, 10, 15, 20), keys: Sequence[str] = (), years: int = C.RECORD_YEARS, growth: Growth = None) -> DataFrame:
+    return recurrence(spell_flags(daily, thresholds, con_days, ndays, keys), growth, years)
 
 
 def joint_recurrence(events: DataFrame, left: Sequence[str], right: Sequence[str], growth: DataFrame, years: int = C.RECORD_YEARS) -> DataFrame:

@@ -100,12 +100,67 @@ def _(t):
     return rounded(EV.event_recurrence(_smd(t), "monthly_dry", years=YEARS))
 
 
-@query("e2_restriction", with_("rest", extra=_recur_sql([(f"d_>{n}_rest", f"f_rest >= {v}e0") for n, v in (("half", 0.5), ("3/4", 0.75), ("full", 1.0))], (1, 5, 7, 10, 14), "rest")) + KEEP)
+WET = {m: 14 + m % 4 for m in range(1, 13)}
+WETGRID = [(f"d_r{r}_smd{d}", f"rain >= {r} AND smd >= {d}") for r in C.WET_RAIN_THRESHOLDS for d in C.WET_DEFICIT_THRESHOLDS]
+
+
+@query("e2_wet", with_("record", extra=ONE_SITE + Q2 + ",\n" + SMA + ",\nwd AS (SELECT s.date, s.smd, r.rain FROM sma s JOIN record r ON r.date = s.date),\n" + _recur_sql(WETGRID, (7, 10, 14), "wd"), recursive=True) + KEEP)
 def _(t):
-    return rounded(EV.event_recurrence(date_parts(t.rest), "restriction", years=YEARS))
+    x = _smd(t).join(t.record.select("date", "rain"), "date")
+    return rounded(EV.event_recurrence(x, "wet", years=YEARS))
 
 
-WET = {m: 14 + m % 4 for m in range(1, 13)}
+def _long_sql(names: dict[str, str], source: str) -> str:
+    """Check SQL of flags by name over months: probability, degenerate criteria dropped."""
+    union = " UNION ALL ".join(f"SELECT y, m, '{n}' AS event, coalesce({cond}, false) AS flag FROM {source}" for n, cond in names.items())
+    return f"""fl AS ({union}), pr AS (SELECT event, m, count(*) FILTER (flag) AS s, avg(CASE WHEN flag THEN 1e0 ELSE 0e0 END) AS p FROM fl GROUP BY 1, 2),
+kp AS (SELECT *, min(s) OVER (PARTITION BY event) AS lo, max(s) OVER (PARTITION BY event) AS hi FROM pr)"""
+
+
+def _by_month(limits: dict[int, float]) -> str:
+    return "CASE m " + " ".join(f"WHEN {m} THEN {v}" for m, v in limits.items()) + " END"
+
+
+# the record of the tables is wetter and warmer than the published limits are for
+WETTER, COOLER = 40, 12
+MONTHDRY = {n: f"v <= {WETTER} + " + _by_month({m: v + (shift if m in C.SHOULDER_MONTHS else 0) for m, v in C.MONTH_RAIN_LIMITS.items()}) for n, shift in C.MONTH_RAIN_SHIFTS.items()}
+HOTDAYS = {n: {m: C.SHOULDER_HOT_LIMITS.get(m, C.OTHER_HOT_LIMIT) + (s if m in C.SHOULDER_MONTHS else 0) for m in range(1, 13)} for n, s in C.SHOULDER_HOT_SHIFTS.items()}
+VARHOT = {f"{n}_{d}": f"d{i} >= CASE WHEN m IN {C.SHOULDER_MONTHS} THEN {k} ELSE {C.OTHER_HOT_DAYS} END" for i, n in enumerate(HOTDAYS) for d, k in C.SHOULDER_HOT_DAYS.items()}
+HOTSRC = f"""vd AS (SELECT year(date) AS y, month(date) AS m, CASE WHEN month(date) IN {C.SHOULDER_MONTHS} THEN (tmax + tmin) / 2 - {COOLER} ELSE tmax END AS v FROM record),
+hc AS (SELECT y, m, {', '.join(f"count(*) FILTER (v >= {_by_month(lim)}) AS d{i}" for i, lim in enumerate(HOTDAYS.values()))} FROM vd GROUP BY 1, 2),
+"""
+
+
+@query("e2_month_dry", with_("record", extra="rs AS (SELECT year(date) AS y, month(date) AS m, sum(rain) AS v FROM record GROUP BY 1, 2),\n" + _long_sql(MONTHDRY, "rs")) + KEEP)
+def _(t):
+    limits = {n: {m: WETTER + v + (shift if m in C.SHOULDER_MONTHS else 0) for m, v in C.MONTH_RAIN_LIMITS.items()} for n, shift in C.MONTH_RAIN_SHIFTS.items()}
+    return rounded(EV.month_dry_recurrence(_record(t), limits, YEARS))
+
+
+@query("e2_variable_hot", with_("record", extra=HOTSRC + _long_sql(VARHOT, "hc")) + KEEP)
+def _(t):
+    return rounded(EV.variable_hot_recurrence(_record(t).withColumn("tmean", F.col("tmean") - COOLER), YEARS))
+
+
+@query("e2_event_years", with_("record", extra=HOTSRC + _long_sql(VARHOT, "hc")) + "SELECT event, CAST(m AS INTEGER) AS month, CAST(y AS INTEGER) AS year FROM fl WHERE flag")
+def _(t):
+    return EV.event_years(EV.variable_hot_flags(_record(t).withColumn("tmean", F.col("tmean") - COOLER)))
+
+
+@query("e2_wet_days_growth", with_("record") + f""", d AS (SELECT year(date) AS y, month(date) AS m, count(*) FILTER (rain > 0.01e0) AS d, avg(radn) AS r, avg(tmax) AS t FROM record GROUP BY 1, 2),
+a AS (SELECT y, m, d >= 14 + m % 4 AS flag, r - avg(r) OVER (PARTITION BY m) AS irr, t - avg(t) OVER (PARTITION BY m) AS dry FROM d)
+SELECT 'org' AS event, CAST(m AS INTEGER) AS month, count(*) FILTER (flag) AS sum, count(irr) FILTER (flag) AS count_irr, round(avg(irr) FILTER (flag), 6) AS mean_irr, count(dry) FILTER (flag) AS count_dry, round(avg(dry) FILTER (flag), 6) AS mean_dry FROM a GROUP BY m""")
+def _(t):
+    x = _record(t)
+    months = x.groupBy("year", "month").agg(F.avg("radn").alias("r"), F.avg("tmax").alias("t"))
+    growth = {n: W.anomaly(months, ["month"], c).select("year", "month", "anomaly") for n, c in (("irr", "r"), ("dry", "t"))}
+    out = EV.wet_day_recurrence(x, WET, YEARS, growth)
+    return rounded(out.select("event", "month", "sum", *[F.coalesce(f"count_{n}", F.lit(0)).alias(f"count_{n}") for n in growth], *[f"mean_{n}" for n in growth]))
+
+
+@query("e2_restriction", with_("rest", extra=_recur_sql([(f"d_>{n}_rest", f"f_rest >= {v}e0") for n, v in (("half", 0.5), ("3/4", 0.75), ("full", 1.0))], (1, 5, 7, 10, 14), "rest")) + KEEP)
+def _(t):
+    return rounded(EV.event_recurrence(date_parts(t.rest), "restriction", years=YEARS))
 
 
 @query("e2_wet_days", with_("record") + f""", d AS (SELECT year(date) AS y, month(date) AS m, count(*) FILTER (rain > 0.01e0) AS d FROM record GROUP BY 1, 2)
