@@ -19,6 +19,23 @@ def _(t):
     return rounded(text_date(M.detrend_harmonic(y, ["site"], "rain", "driver", "day_no").select("site", "date", "rain"), "date"))
 
 
+@query("m1_normal_equations", with_("weather") + "SELECT DISTINCT site, CAST(i AS INTEGER) AS feature, 0e0 AS product FROM weather, range(0, 8) t(i)")
+def _(t):
+    """Residuals of the harmonic fit are orthogonal to each of its eight features."""
+    from pyspark.sql import Window
+    x = date_parts(t.weather.select("site", "date", "rain", "tmax"))
+    driver = x.groupBy("site", "year").agg(F.avg("tmax").alias("driver"))
+    y = x.join(driver, ["site", "year"]).withColumn("day_no", F.row_number().over(Window.partitionBy("site").orderBy("date")) - 1)
+    fit = M.harmonic_fit(y, ["site"], "rain", "driver", "day_no")
+    features = F.array(*M.harmonic_features(F.col("driver").cast("double"), F.col("day_no").cast("double")))
+    rows = y.where("rain <> 0").join(F.broadcast(fit), "site").withColumn("_x", features)
+    fitted = F.aggregate(F.zip_with("_x", "coefficients", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    long = rows.withColumn("_e", F.col("rain") - fitted).select("site", "rain", "_e", F.posexplode("_x").alias("feature", "v"))
+    product = F.sum(F.col("v") * F.col("_e")) / F.sum(F.abs(F.col("v") * F.col("rain")))
+    # a rounded zero may be a negative zero
+    return long.groupBy("site", "feature").agg((F.round(product, 5) + F.lit(0.0)).alias("product"))
+
+
 @query("m2_linear_fit", with_("weather") + """SELECT site, CAST(month(date) AS INTEGER) AS month, round(regr_slope(tmin, tmax), 6) AS slope, round(regr_intercept(tmin, tmax), 6) AS intercept, round(regr_r2(tmin, tmax), 6) AS r2, count(*) AS n FROM weather GROUP BY 1, 2""")
 def _(t):
     return rounded(M.linear_fit(date_parts(t.weather), "tmax", "tmin", ["site", "month"]))
@@ -48,6 +65,46 @@ def _(t):
     return comps.select("story_id", F.posexplode("pcs").alias("component", "score")).select("story_id", "component", r(F.abs("score"), 4).alias("score"))
 
 
+@query("m3_pca_total_variance", """WITH v AS (SELECT i, var_samp(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, (SELECT unnest(range(1, max(len(embedding)) + 1)) AS i FROM embeddings) GROUP BY i)
+SELECT CAST(count(*) AS BIGINT) AS components, round(sum(v), 4) AS variance, 1e0 AS explained FROM v""")
+def _(t):
+    """All components together carry the variance of the vectors."""
+    df, cols = _vectors(t)
+    comps, explained = M.pca(df, cols, len(cols))
+    scores = comps.select(F.posexplode("pcs").alias("c", "score")).groupBy("c").agg(F.var_samp("score").alias("v"))
+    total = scores.agg(F.count(F.lit(1)).alias("components"), F.round(F.sum("v"), 4).alias("variance"))
+    return total.withColumn("explained", F.lit(round(explained.agg(F.max("cumulative")).first()[0], 6)))
+
+
+def _clustered(rows, n_pcs):
+    """Rows, clusters, and rows that lie nearer to another cluster's mean than to their own by over a tenth of the distance."""
+    dims = [F.col("pcs")[i] for i in range(n_pcs)]
+    x = rows.select("cluster", *[d.alias(f"d{i}") for i, d in enumerate(dims)])
+    means = x.groupBy("cluster").agg(F.array(*[F.avg(f"d{i}") for i in range(n_pcs)]).alias("m"))
+    # one row per cluster
+    centres = F.broadcast(means.agg(F.collect_list(F.struct("cluster", "m")).alias("cs")).withColumn("_one", F.lit(1)))
+    point = F.array(*[f"d{i}" for i in range(n_pcs)])
+
+    def distance(m):
+        return F.sqrt(F.aggregate(F.zip_with(point, m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    y = x.withColumn("_one", F.lit(1)).join(centres, "_one").withColumn("ds", F.transform("cs", lambda c: F.struct(c["cluster"].alias("c"), distance(c["m"]).alias("d"))))
+    own = F.filter("ds", lambda d: d["c"] == F.col("cluster"))[0]["d"]
+    best = F.array_min(F.transform("ds", lambda d: d["d"]))
+    return y.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters"), F.count_if(own > best * 1.1 + 1e-9).alias("misplaced"))
+
+
+@query("m4_kmeans_nearest", "SELECT count(*) AS n, CAST(5 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced FROM embeddings")
+def _(t):
+    df, cols = _vectors(t)
+    return _clustered(M.kmeans(M.pca(df, cols, 3)[0], 5), 3)
+
+
+@query("m5_hierarchical_totals", "SELECT count(*) AS n, CAST(6 AS BIGINT) AS clusters FROM embeddings")
+def _(t):
+    df, cols = _vectors(t)
+    return _clustered(M.hierarchical_clusters(M.pca(df, cols, 8)[0], 6), 8).select("n", "clusters")
+
+
 @query("m4_kmeans")
 def _(t):
     df, cols = _vectors(t)

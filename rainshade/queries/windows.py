@@ -164,7 +164,7 @@ def _(t):
     return text_date(x.select("site", "date", "order"), "date")
 
 
-@query("w18_story_ids")
+@query("w18_story_ids", with_("impact") + "SELECT story_id, pg, printf('mrsl-%06d', row_number() OVER (ORDER BY story_id) - 1) AS ID FROM impact")
 def _(t):
     return W.story_ids(t.impact.select("story_id", "pg"), "story_id")
 

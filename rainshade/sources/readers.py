@@ -50,12 +50,22 @@ STORY_SCHEMA = T.StructType([
 
 
 def read_story_dir(spark: SparkSession, path: str, schema: T.StructType = STORY_SCHEMA, pattern: str = r"([^/]+)\.csv$") -> DataFrame:
-    """One small CSV per story; id and good/bad come from the file path. Spark packs many files per task.
+    """One small CSV per story, columns by the names in each file's header; id and good/bad come from the file path.
 
+    Files of several layouts may lie in one folder: columns are found by name, others (an unnamed index, say) are passed over, and a
+    file without one of the names fails the job. A story is a few dozen lines, so a file is one row; fields hold no commas.
     pattern has one group, the id; a folder name such as `story=rsl-000001bad` can carry it as well.
     """
-    df = spark.read.csv(path, schema=schema, header=True).select(*schema.names, F.regexp_extract(
-        "_metadata.file_path", pattern, 1).alias("story_id"))
+    files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("_lines"), F.col("_metadata.file_path").alias("_file"))
+    header = files.withColumn("_names", F.transform(F.split(F.col("_lines")[0], ","), lambda n: F.trim(n)))
+    rows = header.select("_file", "_names", F.explode(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))).alias("_line")).where(F.trim("_line") != "")
+    fields = F.split("_line", ",", -1)
+
+    def named(f: T.StructField):
+        at = F.array_position("_names", f.name).cast("int")
+        missing = F.raise_error(F.concat(F.lit(f"no column {f.name} in "), F.col("_file"))).cast("string")
+        return F.nullif(F.when(at > 0, F.element_at(fields, at)).otherwise(missing), F.lit("")).cast(f.dataType).alias(f.name)
+    df = rows.select(*[named(f) for f in schema.fields], F.regexp_extract("_file", pattern, 1).alias("story_id"))
     return df.withColumn("irr_type", F.nullif(F.regexp_extract("story_id", "(good|bad)", 1), F.lit("")))
 
 
