@@ -369,6 +369,16 @@ def _(t):
     return rounded(out["mass"])
 
 
+@query("e11_subcluster_totals", with_("stories") + """, k AS (SELECT story_id FROM stories WHERE site = 'oxford' AND mode = 'irrigated' GROUP BY 1 HAVING sum(pg) >= 5000)
+SELECT CAST(count(DISTINCT story_id) AS BIGINT) AS stories, 1e0 AS share FROM k""")
+def _(t):
+    """The clusters hold every chosen story once and share all of its probability."""
+    s = t.story_months
+    bounds = t.spark.createDataFrame([("oxford", "irrigated", "yr1", 5000.0, None)], "site string, mode string, period string, low double, high double")
+    mass = ST.storyline_subclusters(s, s.select("story_id", "site", "mode", "month", "pg"), t.impact.select("story_id", "log10_prob"), bounds, None, 4)["mass"]
+    return rounded(mass.agg(F.sum("size").alias("stories"), F.sum("share").alias("share")))
+
+
 @query("e12_scenario_limits", with_("stories") + """, m AS (SELECT site, mode, month, avg(pg) AS m FROM stories WHERE month NOT IN (6,7,8) AND mode <> 'dryland' GROUP BY 1, 2, 3)
 SELECT site, mode, printf('m%02d', month) AS period, round(m - CASE WHEN m * 0.2e0 < 5 THEN 300e0 ELSE m * 0.2e0 END, 5) AS low, round(m + CASE WHEN m * 0.2e0 < 5 THEN 300e0 ELSE m * 0.2e0 END, 5) AS high FROM m""")
 def _(t):

@@ -31,7 +31,9 @@ def local_session(cpus: str | int = "*", app: str = "rainshade", shuffle_partiti
     if checkpoint_dir:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
+        # the setting is read when a context starts
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-")).getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
     return spark
