@@ -318,8 +318,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = dealt.mapInArrow(_shared, f"doc_id {kind}, mark long")
     whole = copies.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     lists = stored(shared.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")).join(whole, "doc_id", "left_anti"))
-    # both joins deal the texts out by id, so they share one exchange
-    asked = content.join(lists, "doc_id", "left").filter("marks is not null").select("doc_id", "version", "content", "marks")
+    # both joins are left joins that deal the same columns out by id, so they share one exchange of the texts
+    asked = content.join(lists.hint("merge"), "doc_id", "left").select("doc_id", "version", "content", "marks")
     met = asked.mapInArrow(contexts, f"mark long, doc_id {kind}, place long, bytes binary").repartition("mark").sortWithinPartitions("mark")
     spans = met.mapInArrow(repeats, f"doc_id {kind}, tag long, start long, end long")
     everything = copies.select("doc_id", "tag", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (3, 1, 2))],
                                              names=["doc_id", "version", "content", "n_bytes", "n_removed", "n_spans"])
 
-    return (content.join(by_id, "doc_id", "left").select("doc_id", "version", "content", "spans")
+    return (content.join(by_id.hint("merge"), "doc_id", "left").select("doc_id", "version", "content", "spans")
             .mapInArrow(cut, f"doc_id {kind}, version long, content binary, n_bytes long, n_removed long, n_spans long"))
 
 
