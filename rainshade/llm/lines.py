@@ -68,12 +68,12 @@ def chunks(texts: DataFrame, window: int = WINDOW, average: int = AVERAGE_LINES,
 def _compared(texts: DataFrame, members: DataFrame) -> DataFrame:
     """members (doc_id, version, start, n_bytes, hash) with `first`, the smallest (doc_id, version, start) of the hash, and `same`.
 
-    A document's chunks are cut out of it in one place; first occurrences are repeated once for every COPIES_PER_FIRST members.
+    A document's chunks are cut out of it in one place, by a shuffled join at every size of the lists; first occurrences are repeated once for every COPIES_PER_FIRST members.
     """
     groups = members.groupBy("hash").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("members"))
     wanted = members.join(groups.filter("members > 1"), "hash").select("doc_id", "version", F.struct("start", "n_bytes", "hash", "first", F.ceil(F.col("members") / COPIES_PER_FIRST).cast("int").alias("salts")).alias("c"))
     lists = wanted.groupBy("doc_id", "version").agg(F.collect_list("c").alias("cs"))
-    held = texts.alias("t").join(lists.alias("l"), same_document("t", "l")).select(F.col("t.doc_id"), F.col("t.version"), F.encode("text", "utf-8").alias("content"), "cs")
+    held = texts.alias("t").join(lists.hint("merge").alias("l"), same_document("t", "l")).select(F.col("t.doc_id"), F.col("t.version"), F.encode("text", "utf-8").alias("content"), "cs")
     pieces = held.select("doc_id", "version", F.inline(F.transform("cs", lambda c: F.struct(
         c["start"].alias("start"), c["n_bytes"].alias("n_bytes"), c["hash"].alias("hash"), c["first"].alias("first"), c["salts"].alias("salts"),
         F.substring(F.col("content"), c["start"].cast("int") + 1, c["n_bytes"].cast("int")).alias("piece")))))
@@ -128,6 +128,6 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(kept, pa.string()), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4))],
                                              names=["doc_id", "version", "text", "n_lines", "n_removed_lines", "n_removed_chunks", "n_removed_bytes"])
 
-    held = (texts.alias("t").join(lists.alias("l"), same_document("t", "l"), "left")
+    held = (texts.alias("t").join(lists.hint("merge").alias("l"), same_document("t", "l"), "left")
             .select(F.col("t.doc_id").alias("doc_id"), F.col("t.version").alias("version"), F.encode("text", "utf-8").alias("content"), "gone"))
     return held.mapInArrow(run, f"doc_id {kind}, version long, text string, n_lines long, n_removed_lines long, n_removed_chunks long, n_removed_bytes long")
