@@ -2,14 +2,12 @@
 
 Terms are lower-case words weighted by their count. For sample k of a term of weight w, with r and c from Gamma(2, 1) and
 beta from U(0, 1), all fixed by a hash of (term, k): t = floor(ln w / r + beta) and ln a = ln c - r * (t - beta + 1).
-Gamma values are read from STEPS equally likely quantiles, so a row needs one hash and no logarithm per sample.
 The pair (term, t) of the smallest a is the sample; two documents agree in it with the probability
 sum(min) / sum(max) of their weights, the generalised Jaccard similarity.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +17,6 @@ from rainshade.llm.common import WHITE, keyed_texts, stored
 
 SAMPLES = 32
 EMPTY = 2 ** 63 - 1
-STEPS = 1024
 
 
 def words(text: Column) -> Column:
@@ -30,44 +27,31 @@ def words(text: Column) -> Column:
     return F.split(text, " ")
 
 
-def gamma_quantiles(steps: int = STEPS) -> list[float]:
-    """Gamma(2, 1) at the middles of equally likely steps: 1 - (1 + x) e^-x = p by Newton's method."""
-    out, x = [], 0.01
-    for i in range(steps):
-        p = (i + 0.5) / steps
-        for _ in range(60):
-            x = max(x - (1 - (1 + x) * math.exp(-x) - p) / max(x * math.exp(-x), 1e-12), x / 4)
-        out.append(x)
-    return out
+def _uniform(h: Column, shift: int) -> Column:
+    """21 of the hash's bits as a number in (0, 1)."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) * F.lit(2.0 ** -21)
 
 
-def _constants(values: list[float]) -> Column:
-    """A foldable array column, which is one literal in the plan."""
-    return F.from_json(F.lit("[" + ",".join(f"{x:.12g}" for x in values) + "]"), "array<double>")
-
-
-def _sample(term: Column, log_weight: Column, k: int, r_table: Column, log_c_table: Column) -> Column:
+def _sample(term: Column, log_weight: Column, k: int) -> Column:
     """ln a in the high half and a hash of (term, t) in the low half of one long, so that min() picks the sample.
 
-    One hash of (term, k) gives r and ln c by their quantile steps and beta from 32 other bits.
+    Two hashes of (term, k) give five uniforms; Gamma(2, 1) is the negative logarithm of the product of two.
     """
-    h = F.xxhash64(term, F.lit(k))
-    r = F.get(r_table, F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-    log_c = F.get(log_c_table, F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-    beta = h.bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(2.0 ** -32)
+    h, g = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    r = -F.log(_uniform(h, 0) * _uniform(h, 21))
+    log_c = F.log(-F.log(_uniform(g, 0) * _uniform(g, 21)))
+    beta = _uniform(h, 42)
     t = F.floor(log_weight / r + beta)
     log_a = log_c - r * (t - beta + 1)
-    # fixed point in steps of 2^-24: ln a stays inside +-127 for weights up to e^100
+    # fixed point in steps of 2^-24: ln a stays inside +-127 for weights up to e^60
     return F.shiftleft((log_a * F.lit(2.0 ** 24)).cast("long"), 32) + term.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _minima(counted: DataFrame, keys: list[str], samples: int) -> DataFrame:
     """keys + s0..s{n-1}: the smallest sample of every (keys) group over rows of (_term, _weight)."""
-    gamma = gamma_quantiles()
-    r, log_c = _constants(gamma), _constants([math.log(x) for x in gamma])
     # the logarithm of weight 0 is null, which min() passes over
     logged = counted.withColumn("_lw", F.log(F.col("_weight").cast("double")))
-    return logged.groupBy(*keys).agg(*[F.min(_sample(F.col("_term"), F.col("_lw"), k, r, log_c)).alias(f"s{k}") for k in range(samples)])
+    return logged.groupBy(*keys).agg(*[F.min(_sample(F.col("_term"), F.col("_lw"), k)).alias(f"s{k}") for k in range(samples)])
 
 
 def fingerprint_text(samples: list[Column]) -> Column:
