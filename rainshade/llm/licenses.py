@@ -105,13 +105,16 @@ def _certainty(probability: Column, unknown: int) -> Column:
 
 
 def fit(spark: SparkSession, background: DataFrame, rows: int = BACKGROUND) -> LicenceModel:
-    """Fit on the templates, strange licences, and at most `rows` lines of the background, those with the smallest hash.
+    """Fit on the templates, strange licences, and at most `rows` lines of the background: of each remainder of their hash the least.
 
     Lines that speak of licences or copyright are no background. A quarter of all rows, by hash, only calibrates.
     """
     lower = F.lower("paragraph")
     silent = ~(F.contains(lower, F.lit("licen")) | F.contains(lower, F.lit("copyright")) | F.contains(lower, F.lit("warrant")) | F.contains(lower, F.lit("permission")))
-    plain = background.select("paragraph").filter(silent).orderBy(F.xxhash64("paragraph"), "paragraph").limit(rows).select(F.lit(UNKNOWN).alias("family"), "paragraph")
+    hashed = background.select("paragraph").filter(silent).withColumn("_hash", F.xxhash64("paragraph"))
+    # one line for each of `rows` remainders of the hash: a sum per task, no sort of all lines
+    firsts = hashed.groupBy(F.pmod("_hash", F.lit(rows)).alias("_no")).agg(F.min("_hash").alias("_first"))
+    plain = hashed.join(F.broadcast(firsts), F.col("_hash") == F.col("_first")).select(F.lit(UNKNOWN).alias("family"), "paragraph").distinct()
     known = templates()
     strange = [(UNKNOWN, frame.format(n)) for n in STRANGE for frame in FRAMES] + [(UNKNOWN, s) for s in PROSE]
     made = spark.createDataFrame([*known, *[(f, x) for f, t in known for x in (t[:-1], *pieces(t))], *strange], "family string, paragraph string")
