@@ -111,6 +111,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     One row per document: doc_id, version, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The last
     floor(n_chars / 4) code points give way to the first as many (or all) of the next document in ascending (id, version); after
     the last comes the first. Null text counts as empty; a table of one document is its own next. Repeated rows are one document.
+    near_edited and near_next are means over the samples, with a standard error of sqrt(p (1 - p) / samples): up to 0.09 with 32 samples.
     """
     keys = ["_id", "version"]
     numbered = stored(next_documents(docs, id_col, text_col))
