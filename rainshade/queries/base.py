@@ -162,17 +162,22 @@ class Tables:
 
     @cached_property
     def rest_classes(self) -> DataFrame:
-        """(year, month, temp_class, precip_class, precip_class_prev, regime) by the distance from the record's mean."""
+        """(year, month, temp_class, precip_class, precip_class_prev, regime): thirds of each calendar month by rank.
+
+        Ranks stay apart however close the means of a large table lie, so every calendar month of two years or more has a dry
+        month and another.
+        """
         from pyspark.sql import Window
         m = self.record.groupBy(F.year("date").alias("year"), F.month("date").alias("month")).agg(
             binary(F.avg((F.col("tmax") + F.col("tmin")) / 2)).alias("tmean"), binary(F.avg("rain")).alias("rain"))
+        calendar = Window.partitionBy("month")
+
+        def third(value: str, low: str, high: str) -> Column:
+            rank, n = F.row_number().over(calendar.orderBy(value, "year")) - 1, F.count(F.lit(1)).over(calendar)
+            return F.when(3 * rank < n, low).when(3 * rank >= 2 * n, high).otherwise("A")
+        out = m.withColumns({"precip_class": third("rain", "D", "W"), "temp_class": third("tmean", "C", "H")})
         # one row per month of one record
-        record = Window.partitionBy(F.lit(1))
-        rain, tmean = F.col("rain") / F.avg("rain").over(record), F.col("tmean") / F.avg("tmean").over(record)
-        p = F.when(rain <= 0.93, "D").when(rain >= 1.07, "W").otherwise("A")
-        t = F.when(tmean <= 0.99, "C").when(tmean >= 1.01, "H").otherwise("A")
-        w = record.orderBy("year", "month")
-        out = m.withColumns({"precip_class": p, "temp_class": t})
+        w = Window.partitionBy(F.lit(1)).orderBy("year", "month")
         return out.select("year", "month", "temp_class", "precip_class", F.lag("precip_class", 1, "A").over(w).alias("precip_class_prev"),
                           S.regime_index(F.col("temp_class"), F.col("precip_class")).alias("regime"))
 
@@ -216,9 +221,10 @@ mapper AS (SELECT combo, CAST(i AS DOUBLE) / 100e0 AS q, month, m * k * CAST(i A
   (VALUES ('D-D', 1e0), ('D-ND', 0.75e0), ('ND-D', 0.5e0), ('ND-ND', 0.25e0)) c(combo, k), range(1, 100) t(i))""",
     "impact": """impact AS (SELECT story_id, irr_type, site, mode, round(-sum(0.3e0 + rest_per / 10e0), 6) AS log10_prob,
   sum(pg) AS pg, count(*) AS n_months FROM stories GROUP BY 1, 2, 3, 4)""",
-    "classes": """cl_rel AS (SELECT *, rain / avg(rain) OVER () AS rr, tmean / avg(tmean) OVER () AS tr FROM rmonths),
-cl_base AS (SELECT *, CASE WHEN rr <= 0.93e0 THEN 'D' WHEN rr >= 1.07e0 THEN 'W' ELSE 'A' END AS precip_class,
-  CASE WHEN tr <= 0.99e0 THEN 'C' WHEN tr >= 1.01e0 THEN 'H' ELSE 'A' END AS temp_class FROM cl_rel),
+    "classes": """cl_rel AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY rain, year) - 1 AS rr, row_number() OVER (PARTITION BY month ORDER BY tmean, year) - 1 AS tr,
+  count(*) OVER (PARTITION BY month) AS n FROM rmonths),
+cl_base AS (SELECT *, CASE WHEN 3 * rr < n THEN 'D' WHEN 3 * rr >= 2 * n THEN 'W' ELSE 'A' END AS precip_class,
+  CASE WHEN 3 * tr < n THEN 'C' WHEN 3 * tr >= 2 * n THEN 'H' ELSE 'A' END AS temp_class FROM cl_rel),
 classes AS (SELECT year, month, temp_class, precip_class, lag(precip_class, 1, 'A') OVER (ORDER BY year, month) AS precip_class_prev,
   CASE temp_class WHEN 'C' THEN 0 WHEN 'A' THEN 3 ELSE 6 END + CASE precip_class WHEN 'W' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS regime FROM cl_base)""",
 }
