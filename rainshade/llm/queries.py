@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rainshade.llm.common import keyed_texts, same_document, without_white
 from rainshade.llm.exact import exact_duplicates
-from rainshade.llm import html, licenses, lines, mixing, packing, quality, suffixes
+from rainshade.llm import html, licenses, lines, mixing, packing, quality, search, spelling, suffixes, urls
 from rainshade.llm.fingerprints import edited_fingerprints
 from rainshade.llm.simhash import near_duplicates
 
@@ -137,3 +137,51 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("content", 256).alias("kept_sha256"))
+
+
+@_query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+l AS (SELECT r, doc_id, len(terms) AS n, terms FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM l),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT item_id, term, count(*) AS c FROM i GROUP BY 1, 2),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM l) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3, 4),
+w AS (SELECT term, CAST(floor(1000 * ln((2e0 * nn + 2) / (2e0 * count(*) + 1))) AS BIGINT) AS w FROM p, total GROUP BY term, nn),
+s AS (SELECT item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nn) // ll))))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), total GROUP BY 1, 2, 3),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
+"""
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+# (host, path, verdict)
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@_query
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+ORACLES["op13_url_rules"] = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rhost, rpath, verdict) AS (VALUES {", ".join(repr(r) for r in URL_RULES)}),
+f AS (SELECT r, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS no
+      FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM f WHERE no = 1) USING (r)
+"""
