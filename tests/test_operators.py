@@ -452,7 +452,7 @@ def test_task_functions_run_without_the_package(tmp_path):
     import sys
 
     from pyspark import cloudpickle
-    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps((Q._bucket, M._solve)))
-    code = "import pickle, pandas as pd, numpy as np; b, s = pickle.load(open('f.bin', 'rb')); print(b(np.array([1.0]), np.array([2.0]), 150.0, 1.0, 0.0073, 1.0)[2], s(pd.Series([[1.0]]), pd.Series([[3.0]]))[0])"
+    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps((M._model_matrices, M._solve)))
+    code = "import pickle, pandas as pd, numpy as np; m, s = pickle.load(open('f.bin', 'rb')); print(m(pd.Series([[2.0]]), pd.Series([[1.0]]))['a'][0], s(pd.Series([[1.0]]), pd.Series([[3.0]]))[0])"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
-    assert out.returncode == 0 and "[2.0] [3.]" in out.stdout, out.stderr
+    assert out.returncode == 0 and "[0.5] [3.]" in out.stdout, out.stderr
