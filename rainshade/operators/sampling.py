@@ -20,6 +20,7 @@ from rainshade.operators.aggregates import value_bin
 from rainshade.operators.joins import inverse_cdf_join, lookup_side, resident
 
 
+MAX_STEPS = 20_000  # rows of a transition table that becomes a constant
 MAX_ARRAYS = 2000  # rows that carry a whole record, at most about 1,500 values each
 
 
@@ -285,21 +286,37 @@ def markov_paths(sims: DataFrame, transitions: DataFrame, start: str = "A-A", se
                  sim: str = "sim") -> DataFrame:
     """12-month state paths from July: each step by the transition column of the month it leaves.
 
-    Eleven lookups by (state, interval) in a table of at most 972 rows, all in one stage. Duplicate paths
-    keep their smallest sim (combined map-side); with n, the n smallest sims are kept and too few unique
-    paths are an error, so give more sims than n.
+    The steps of all months become one constant, a list of cumulative probabilities per (month, state), so a path is one fold over its
+    months inside its row: no join and no shuffle. Duplicate paths keep their smallest sim (combined map-side); with n, the n smallest
+    sims are kept and too few unique paths are an error, so give more sims than n. The fixed table is bounded by MAX_STEPS rows;
+    a state that a month cannot leave ends the job.
     """
-    table, size = resident(transition_intervals(transitions))
-    if table.where((F.col("month") == months[0]) & (F.col("from_state") == start)).isEmpty():
+    rows = transition_intervals(transitions.where(F.col("month").isin(*months))).select("month", "from_state", "to_state", "_hi").limit(MAX_STEPS + 1).collect()
+    if len(rows) > MAX_STEPS:
+        raise ValueError(f"more than {MAX_STEPS} steps: the table of a month's states is not a small one")
+    names = sorted({r["from_state"] for r in rows} | {r["to_state"] for r in rows} | {start})
+    number = {s: i for i, s in enumerate(names)}
+    steps: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    for r in rows:
+        steps.setdefault((months.index(r["month"]), number[r["from_state"]]), []).append((r["_hi"], number[r["to_state"]]))
+    if (0, number[start]) not in steps:
         raise ValueError(f"no transition from {start} in month {months[0]}")
-    paths = sims.withColumn("_s0", F.lit(start))
-    for i, m in enumerate(months):
-        step = table.where(F.col("month") == m).select(F.col("from_state").alias("_from"), F.col("to_state").alias(f"_s{i + 1}"), "_lo", "_hi")
-        step = step if size is None else F.broadcast(step)
-        paths = paths.withColumn("_u", uniform(seed, F.col(sim), F.lit(i))).join(
-            step, (F.col(f"_s{i}") == F.col("_from")) & (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_from", "_lo", "_hi", "_u")
-    steps = [f"_s{i}" for i in range(len(months) + 1)]
-    paths = paths.withColumn("states", F.array(*steps)).drop(*steps)
+    # one row of doubles and one of states per (month, state), in the order of the intervals
+    cells = [sorted(steps.get((m, s), [])) for m in range(len(months)) for s in range(len(names))]
+    ends = F.array(*[F.lit([hi for hi, _ in c] or [0.0]) for c in cells])
+    targets = F.array(*[F.lit([to for _, to in c] or [-1]) for c in cells])
+    draws = F.array(*[uniform(seed, F.col(sim), F.lit(i)) for i in range(len(months))])
+
+    def step(path: Column, u: Column) -> Column:
+        i = F.size(path) - 1
+        cell = i * len(names) + F.get(path, i)
+        # the last interval's end is 2, so every draw has one where the state can be left at all
+        below = F.size(F.filter(F.get(ends, cell), lambda hi: hi <= u))
+        return F.concat(path, F.array(F.get(F.get(targets, cell), below)))
+    walked = F.aggregate(draws, F.array(F.lit(number[start])), step)
+    state = F.array(*[F.lit(x) for x in names])
+    stuck = F.raise_error(F.lit("a path reached a state that has no transition in its month")).cast("string")
+    paths = sims.withColumn("states", F.transform(walked, lambda s: F.coalesce(F.get(state, s), stuck)))
     if not unique:
         return paths
     others = [c for c in paths.columns if c not in ("states", sim)]

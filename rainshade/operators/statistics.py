@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rainshade.functions.special import digamma, student_t_p
+from rainshade.operators.aggregates import value_bin
+
 YEAR_LENGTH = 365.25
 
 
@@ -116,8 +120,8 @@ def kmeans_sweep(components: DataFrame, ks: Sequence[int] = range(5, 15), n_pcs:
     return components.sparkSession.createDataFrame(rows, "k int, cost double")
 
 
-def hierarchical_clusters(components: DataFrame, k: int, n_pcs: int = 15, seed: int = 1) -> DataFrame:
-    """Divisive clusters on up to 15 components: linear in rows where an agglomerative tree is quadratic.
+def bisecting_clusters(components: DataFrame, k: int, n_pcs: int = 15, seed: int = 1) -> DataFrame:
+    """Divisive clusters on up to 15 components: linear in rows.
 
     Components are centred on 0, and Spark splits a cluster by a step proportional to its centre's length,
     so all are moved by the same constant first; distances do not change.
@@ -129,6 +133,101 @@ def hierarchical_clusters(components: DataFrame, k: int, n_pcs: int = 15, seed:
     return model.transform(vec).drop("_v")
 
 
+MAX_LEAVES = 2000
+
+
+def ward_tree(n: np.ndarray, centre: np.ndarray) -> list[tuple[float, int, int]]:
+    """Merges (cost, a, b) of Ward's method over weighted points, cheapest first; a cluster goes by its smallest point. Quadratic in the points.
+
+    The cost of a merge is the growth of the sum of squares, n_a n_b / (n_a + n_b) |c_a - c_b|^2; merged costs follow by Lance and Williams. A chain of nearest
+    neighbours ends in a pair that are each other's nearest, which any order of merging would merge too.
+    """
+    m, weight = len(n), n.astype(float).copy()
+    cost = np.empty((m, m))
+    for i in range(m):
+        cost[i] = weight[i] * weight / (weight[i] + weight) * ((centre - centre[i]) ** 2).sum(axis=1)
+    np.fill_diagonal(cost, np.inf)
+    alive, chain, merges = np.ones(m, bool), [], []
+    for _ in range(m - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            a = chain[-1]
+            row = cost[a]
+            b = int(row.argmin())
+            # of equal costs the one before in the chain, so that it ends
+            if len(chain) > 1 and row[chain[-2]] <= row[b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        merges.append((float(cost[a, b]), min(a, b), max(a, b)))
+        keep, gone = merges[-1][1:]
+        others = alive.copy()
+        others[[keep, gone]] = False
+        w, wa, wb = weight[others], weight[keep], weight[gone]
+        new = ((wa + w) * cost[keep, others] + (wb + w) * cost[gone, others] - w * cost[keep, gone]) / (wa + wb + w)
+        cost[keep, others] = cost[others, keep] = new
+        cost[gone, :] = cost[:, gone] = np.inf
+        weight[keep], alive[gone] = wa + wb, False
+    return sorted(merges, key=lambda x: x[0])
+
+
+def ward_labels(n: np.ndarray, centre: np.ndarray, k: int) -> np.ndarray:
+    """Cluster number of every weighted point after all but k - 1 merges; numbers follow falling weight, then the first coordinates of the centre."""
+    up = np.arange(len(n))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return int(i)
+    for _, a, b in ward_tree(n, centre)[:max(len(n) - k, 0)]:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    group = np.array([root(i) for i in range(len(n))])
+    order = sorted(set(group.tolist()), key=lambda g: (-n[group == g].sum(), (n[group == g, None] * centre[group == g]).sum(axis=0).tolist()))
+    number = {g: i for i, g in enumerate(order)}
+    return np.array([number[g] for g in group.tolist()])
+
+
+def hierarchical_clusters(components: DataFrame, k: int, n_pcs: int = 15, seed: int = 1, max_leaves: int = MAX_LEAVES) -> DataFrame:
+    """Ward's agglomerative clusters on up to 15 components: components with a `cluster`, 0 the largest.
+
+    Up to max_leaves distinct rows the result is Ward's own. Beyond, rows are first condensed to cluster features (number, sum) of max_leaves k-means
+    centres, combined map-side, and Ward's method merges those, weighted by their rows: rows of one feature stay together, and what that can cost is
+    `condensed_share`, the share of the sum of squares that lies inside the features. The tree is made by one task of max_leaves rows at most.
+    """
+    width = min(n_pcs, len(components.select("pcs").first()["pcs"]))
+    point = F.transform(F.slice("pcs", 1, width), lambda x: x + F.lit(0.0))
+    rows = components.withColumn("_p", point)
+    if components.select(point.alias("_p")).distinct().limit(max_leaves + 1).count() <= max_leaves:
+        keyed = rows.withColumn("_leaf", F.to_json(F.struct("_p")))
+    else:
+        vec = _component_vectors(rows, width)
+        leaf = KMeans(k=max_leaves, seed=seed, featuresCol="_v", predictionCol="_at", maxIter=10, initSteps=2).fit(vec).transform(vec)
+        keyed = leaf.withColumn("_leaf", F.col("_at").cast("string")).drop("_at", "_v")
+    features = keyed.groupBy("_leaf").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("_p")[i]) for i in range(width)]).alias("centre"))
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_leaf", ignore_index=True)
+        return pd.DataFrame({"_leaf": pdf["_leaf"], "cluster": ward_labels(pdf["n"].to_numpy(), np.array(pdf["centre"].tolist()), k)})
+    # at most max_leaves rows
+    labels = features.groupBy().applyInPandas(tree, "_leaf string, cluster int")
+    return keyed.join(F.broadcast(labels), "_leaf").drop("_leaf", "_p")
+
+
+def condensed_share(components: DataFrame, n_pcs: int = 15, seed: int = 1, max_leaves: int = MAX_LEAVES) -> float:
+    """Share of the sum of squares that hierarchical_clusters cannot split: 0 up to max_leaves distinct rows."""
+    width = min(n_pcs, len(components.select("pcs").first()["pcs"]))
+    if components.select(F.slice("pcs", 1, width)).distinct().limit(max_leaves + 1).count() <= max_leaves:
+        return 0.0
+    vec = _component_vectors(components, width)
+    model = KMeans(k=max_leaves, seed=seed, featuresCol="_v", maxIter=10, initSteps=2).fit(vec)
+    total = components.agg(*[(F.var_pop(F.col("pcs")[i]) * F.count(F.lit(1))).alias(f"v{i}") for i in range(width)]).first()
+    return float(model.summary.trainingCost) / (sum(total) or 1.0)
+
+
 def mutual_info_discrete(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (),
                          fold_negative: bool = False) -> DataFrame:
     """Mutual information in nats of each discrete feature with the target, overall or per key.
@@ -160,16 +259,138 @@ def mutual_info_continuous(df: DataFrame, features: Sequence[str], target: str,
     return mutual_info_discrete(df.withColumns(binned), features, target, keys)
 
 
+NEIGHBOURS = 3
+UNIT = 2 ** 32  # whole numbers to a standard deviation: differences and comparisons of them are exact
+
+
+def _long_pairs(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, feature, x, y, c): distinct pairs in units of each column's own standard deviation, with their number."""
+    rows = df.select(*keys, F.col(target).cast("double").alias("_t"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("_s")).select(*keys, "_s.feature", "_s.v", "_t")
+    rows = rows.where(F.col("v").isNotNull() & F.col("_t").isNotNull() & ~F.isnan("v") & ~F.isnan("_t"))
+    group = [*keys, "feature"]
+    sizes = rows.groupBy(*group).agg(F.stddev_pop("v").alias("_sv"), F.stddev_pop("_t").alias("_st"), F.avg("v").alias("_mv"), F.avg("_t").alias("_mt"))
+
+    def whole(x: str, mean: str, spread: str) -> Column:
+        return F.when(F.col(spread) > 0, F.round((F.col(x) - F.col(mean)) / F.col(spread) * UNIT)).otherwise(0.0).cast("long")
+    scaled = null_safe_join(rows, sizes, group).select(*group, whole("v", "_mv", "_sv").alias("x"), whole("_t", "_mt", "_st").alias("y"))
+    return scaled.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("c"))
+
+
+def null_safe_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where a null equals a null; the columns come from a."""
+    right = b.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[c for c in b.columns if c not in on])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)])
+    return a.join(right, same, how).drop(*[f"_on{i}" for i in range(len(on))])
+
+
+LEVELS = range(0, 54, 2)  # logarithms of the sides of squares; the last one holds every whole number of less than 2^52
+ORIGIN = 2 ** 51
+
+
+def neighbour_distances(points: DataFrame, keys: Sequence[str], k: int = NEIGHBOURS) -> DataFrame:
+    """points (keys, x, y, c) with `eps`: the distance to the k-th nearest other point in the larger of the two differences, exact; null where a key has no more than k.
+
+    x and y are whole numbers of less than 2^51, c repeats of a point. The plane is cut into squares of side 2^s for s = 0, 2 .. 52, each level's squares made of
+    sixteen of the level below. A point searches at the lowest level at which its own square holds more than k points: its k-th neighbour is nearer
+    than the side, so the square and the eight around it hold it. At most k points of each of a square's sixteen parts search
+    there, so a point is met by a bounded number of others per level however dense its surroundings are.
+    """
+    level = F.explode(F.lit(list(LEVELS))).alias("s")
+    cells = points.select(*keys, "x", "y", "c", level).select(*keys, "c", F.col("s"), square_of("x").alias("i"), square_of("y").alias("j"))
+    counts = cells.groupBy(*keys, "s", "i", "j").agg(F.sum("c").alias("n")).where(F.col("n") > k)
+    at = points.select(*keys, "x", "y", "c", level).withColumns({"i": square_of("x"), "j": square_of("y")})
+    asking = (null_safe_join(at, counts, [*keys, "s", "i", "j"], "left_semi").groupBy(*keys, "x", "y", "c").agg(F.min("s").alias("s")))
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("_n")
+    around = asking.select(*keys, "x", "y", "s", step).select(*keys, "x", "y", "s", (square_of("x") + F.col("_n.a")).alias("i"), (square_of("y") + F.col("_n.b")).alias("j"))
+    # only squares that someone searches in go on
+    searched = around.select(*keys, "s", "i", "j").distinct()
+    others = null_safe_join(at, searched, [*keys, "s", "i", "j"], "left_semi").select(*keys, "s", "i", "j", F.col("x").alias("ox"), F.col("y").alias("oy"), "c")
+    met = null_safe_join(around, others, [*keys, "s", "i", "j"])
+    itself = (F.col("ox") == F.col("x")) & (F.col("oy") == F.col("y"))
+    far = F.greatest(F.abs(F.col("ox") - F.col("x")), F.abs(F.col("oy") - F.col("y")))
+    near = met.select(*keys, "x", "y", far.alias("d"), (F.col("c") - itself.cast("int")).alias("c")).where("c > 0")
+    # a limit on ranks keeps the nearest k rows of each task before anything is shuffled
+    own = Window.partitionBy(*keys, "x", "y").orderBy("d")
+    nearest = near.withColumn("no", F.row_number().over(own)).where(F.col("no") <= k).withColumn(
+        "upto", F.sum("c").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    eps = nearest.where(F.col("upto") >= k).groupBy(*keys, "x", "y").agg(F.min("d").alias("eps"))
+    return null_safe_join(points, eps, [*keys, "x", "y"], "left")
+
+
+def square_of(v: str) -> Column:
+    """Number of the square of side 2^s along one axis."""
+    return F.call_function("shiftright", F.col(v) + ORIGIN, F.col("s"))
+
+
+def mutual_info_neighbours(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (), k: int = NEIGHBOURS) -> DataFrame:
+    """Mutual information in nats of continuous features with a continuous target by k nearest neighbours (Kraskov and others, 2004, first estimator).
+
+    One row (keys, feature, mi): digamma(n) + digamma(k) less the means of digamma(a + 1) and digamma(b + 1), where a and b count the other rows that lie nearer than the
+    k-th neighbour along the feature and along the target (equal to the row itself where that distance is 0); at least 0. Columns are in standard deviations, rounded to
+    2^-32, and no noise is added to ties. Rows with a null or not-a-number are left out; groups of no more than k rows have a null mi.
+
+    Neighbours are found by squares (`neighbour_distances`). The counts are ranks: distances become two bounds of a value, and a running sum
+    in two levels over values and bounds tells how many values lie below each; no row is paired with the rows it counts.
+    """
+    group = [*keys, "feature"]
+    points = _long_pairs(df, features, target, keys)
+    points = neighbour_distances(points, group, k)
+    name = F.to_json(F.struct(*group))
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("v")) for a in ("x", "y")])).alias("_a")
+    held = points.select(*group, "eps", "c", "x", "y", axes).select(*group, "eps", "c", "x", "y", "_a.axis", "_a.v", F.concat(name, F.col("_a.axis")).alias("key"))
+    # nearer than eps: above v - eps and below v + eps; at distance 0 the value itself
+    low = F.when(F.col("eps") > 0, F.struct(F.lit("z").alias("side"), (F.col("v") - F.col("eps")).alias("b"))).otherwise(F.struct(F.lit("a").alias("side"), F.col("v").alias("b")))
+    high = F.when(F.col("eps") > 0, F.struct(F.lit("a").alias("side"), (F.col("v") + F.col("eps")).alias("b"))).otherwise(F.struct(F.lit("z").alias("side"), F.col("v").alias("b")))
+    asked = held.where(F.col("eps").isNotNull()).withColumns({"low": low, "high": high})
+    bounds = asked.select("key", F.explode(F.array("low", "high")).alias("_b")).select("key", "_b.side", F.col("_b.b").alias("b")).distinct()
+    below = counts_below(held.groupBy("key", F.col("v").alias("value")).agg(F.sum("c").alias("c")), bounds)
+
+    def rank(which: str) -> DataFrame:
+        return below.select("key", F.col("side").alias(f"_s{which}"), F.col("b").alias(f"_b{which}"), F.col("n").alias(f"n_{which}"))
+    counted = (asked.withColumns({"_slow": F.col("low.side"), "_blow": F.col("low.b"), "_shigh": F.col("high.side"), "_bhigh": F.col("high.b")})
+               .join(rank("low"), ["key", "_slow", "_blow"]).join(rank("high"), ["key", "_shigh", "_bhigh"]))
+    # the row itself is among them, so a + 1 is the difference
+    psi = counted.select(*group, "axis", "c", digamma(F.col("n_high") - F.col("n_low")).alias("psi"))
+    means = psi.groupBy(*group).agg((F.sum(F.col("c") * F.col("psi")) / F.sum(F.when(F.col("axis") == "x", F.col("c")))).alias("_m"))
+    sizes = points.groupBy(*group).agg(F.sum("c").alias("_n"))
+    mi = digamma(F.col("_n")) + digamma(F.lit(k)) - F.col("_m")
+    return null_safe_join(sizes, means, group, "left").select(*group, F.when(F.col("_m").isNotNull(), F.greatest(mi, F.lit(0.0))).alias("mi"))
+
+
+def counts_below(values: DataFrame, bounds: DataFrame) -> DataFrame:
+    """bounds (key, side, b) with n: values of the key below b (side 'a') or not above it (side 'z'); values is (key, value, c) with c repeats of a value.
+
+    Values and bounds share one order: a running sum over bins of values, then one inside each bin. A bound counts nothing itself.
+    """
+    rows = values.select("key", F.col("value").alias("_x"), F.lit(None).cast("string").alias("side"), F.lit(1).alias("_place"), "c").unionByName(
+        bounds.select("key", F.col("b").alias("_x"), "side", F.when(F.col("side") == "a", 0).otherwise(2).alias("_place"), F.lit(0).cast("long").alias("c")))
+    rows = rows.withColumn("_b", value_bin(F.col("_x") / UNIT))
+    bins = rows.groupBy("key", "_b").agg(F.sum("c").alias("_s"))
+    before = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bins.select("key", "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("key", "_b").orderBy("_x", "_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.withColumn("_in", F.sum("c").over(inside)).where(F.col("side").isNotNull())
+    return running.join(offsets, ["key", "_b"]).select("key", "side", F.col("_x").alias("b"), (F.col("_off") + F.col("_in")).alias("n"))
+
+
 def t_test(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
-    """Two-sample t with pooled variance: t, degrees of freedom and both means."""
+    """Two-sample t with pooled variance: t, degrees of freedom, the two-sided probability p, and both means.
+
+    Fewer than three values, or no spread and equal means, give null t and p; other means without any spread give p = 0.
+    """
     def side(v, f) -> Column:
         return f(F.when(F.col(group) == v, F.col(value)))
     s = df.agg(side(a, F.avg).alias("mean_a"), side(b, F.avg).alias("mean_b"), side(a, F.var_samp).alias("_va"),
                side(b, F.var_samp).alias("_vb"), side(a, F.count).alias("_na"), side(b, F.count).alias("_nb"))
     dof = F.col("_na") + F.col("_nb") - 2
-    pooled = ((F.col("_na") - 1) * F.col("_va") + (F.col("_nb") - 1) * F.col("_vb")) / dof
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(pooled * (1 / F.col("_na") + 1 / F.col("_nb")))
-    return s.select(t.alias("t"), dof.alias("df"), "mean_a", "mean_b")
+    pooled = ((F.col("_na") - 1) * F.coalesce("_va", F.lit(0.0)) + (F.col("_nb") - 1) * F.coalesce("_vb", F.lit(0.0))) / F.when(dof > 0, dof)
+    spread = F.sqrt(pooled * (1 / F.col("_na") + 1 / F.col("_nb")))
+    gap = F.col("mean_a") - F.col("mean_b")
+    t = F.when(spread > 0, gap / spread).when((spread == 0) & (gap != 0), F.signum(gap) * float("inf"))
+    out = s.select(t.alias("t"), dof.alias("df"), "mean_a", "mean_b")
+    p = F.when(F.abs("t") == float("inf"), 0.0).otherwise(student_t_p(F.col("t"), F.col("df")))
+    return out.select("t", "df", p.alias("p"), "mean_a", "mean_b")
 
 
 def _model_matrices(m0: pd.Series, m1: pd.Series) -> pd.DataFrame:

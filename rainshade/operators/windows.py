@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rainshade.functions.calendar import month_days
-from rainshade.operators.aggregates import attach_small, ranked_counts, resolve
+from rainshade.operators.aggregates import attach_small, quantiles, ranked_counts, resolve
 from rainshade.operators.joins import interp_join, lookup_side
 
 Fun = str | Callable[[Column], Column]
@@ -192,6 +192,40 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], order: str, value: str,
     return (wide.unpivot(list(keys), [str(i) for i in range(lags)], "lag", "r").withColumn("lag", F.col("lag").cast("int")))
 
 
+def lag_correlations(values: Column, lags: int) -> Column:
+    """Pearson r of x[t] and x[t+l] for l = 0..lags-1 of an array without nulls; null where a side has no spread or fewer than two values."""
+    def centred(v: Column) -> Column:
+        mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+        return F.transform(v, lambda x: x - mean)
+
+    def total(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+
+    def one(lag: Column) -> Column:
+        n = F.size(values) - lag
+        early, late = F.slice(values, F.lit(1), F.greatest(n, F.lit(0))), F.slice(values, lag + 1, F.greatest(n, F.lit(0)))
+
+        def r(pair: Column) -> Column:
+            a, b = pair["a"], pair["b"]
+            cross = total(F.zip_with(a, b, lambda x, y: x * y))
+            return cross / F.sqrt(total(F.transform(a, lambda x: x * x)) * total(F.transform(b, lambda x: x * x)))
+        spread = (n > 1) & (F.array_min(early) < F.array_max(early)) & (F.array_min(late) < F.array_max(late))
+        return F.when(spread, F.transform(F.array(F.struct(centred(early).alias("a"), centred(late).alias("b"))), r)[0])
+    return F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), one)
+
+
+def autocorrelation_bands(series: DataFrame, keys: Sequence[str], values: str, lags: int, probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """(keys, lag, q, r): quantiles of the lag correlations over all series of a key; series has one row per series with its array of values.
+
+    All lags of a series come from its own array, so nothing is paired by a join; only (key, lag, r) is ranked. Series without spread
+    at a lag do not count there; missing values are left out of their series first.
+    """
+    # one array per row, so that the filter is not repeated for every lag
+    clean = series.select(*keys, F.filter(F.col(values), lambda x: x.isNotNull() & ~F.isnan(x)).alias("_v"))
+    rows = clean.select(*keys, F.posexplode(lag_correlations(F.col("_v"), lags)).alias("lag", "r")).where(F.col("r").isNotNull())
+    return quantiles(rows, [*keys, "lag"], "r", probs).withColumnRenamed("value", "r")
+
+
 def anomaly(df: DataFrame, keys: Sequence[str], value: str, fun: str = "mean", years: tuple[int, int] | None = None,
             year: str = "year", out: str = "anomaly") -> DataFrame:
     """value - group mean (or median) and the relative anomaly; the mean may use only some years.

@@ -54,6 +54,24 @@ def _(t):
     return s.select("sim", "key", "mean", "top")
 
 
+LAGS = 6
+BANDS = f"""mon AS (SELECT key, r.date, v, row_number() OVER (PARTITION BY key, year(date) ORDER BY date) AS pos, 'input' AS source, CAST(year(date) AS BIGINT) AS sim FROM inp r),
+vv AS (SELECT source, sim, key, pos, v FROM mon UNION ALL SELECT 'sim', sim, key, pos, v FROM vals),
+pr AS (SELECT a.source, a.sim, a.key, l AS lag, corr(a.v, b.v) AS r FROM range(0, {LAGS}) t(l), vv a JOIN vv b ON a.source = b.source AND a.sim = b.sim AND a.key = b.key AND b.pos = a.pos + l GROUP BY ALL),
+qs AS (SELECT unnest([0.05e0, 0.25e0, 0.5e0, 0.75e0, 0.95e0]) AS q)"""
+
+
+@query("w14_autocorrelation_bands", with_("rest", "classes", extra=INPUTS + ",\n" + SIMS + ",\n" + BANDS) + """SELECT source, key, CAST(lag AS INTEGER) AS lag, q,
+  round(CASE q WHEN 0.05 THEN quantile_cont(r, 0.05) WHEN 0.25 THEN quantile_cont(r, 0.25) WHEN 0.5 THEN quantile_cont(r, 0.5) WHEN 0.75 THEN quantile_cont(r, 0.75) ELSE quantile_cont(r, 0.95) END, 6) AS r
+FROM pr, qs WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY source, key, lag, q""")
+def _(t):
+    from rainshade.operators.windows import autocorrelation_bands
+    # a record's months of one key are its series
+    months = R.series_arrays(inputs(t).withColumn("key", F.concat_ws("|", "key", "year"))).select(F.split_part("key", F.lit("|"), F.lit(1)).alias("key"), F.col("record").alias("values"))
+    both = months.select(F.lit("input").alias("source"), "key", "values").unionByName(sims(t).select(F.lit("sim").alias("source"), "key", "values"))
+    return rounded(autocorrelation_bands(both, ["source", "key"], "values", LAGS))
+
+
 PULL = f"""st AS (SELECT sim, key, avg(v) AS mean FROM vals GROUP BY 1, 2), req AS (SELECT c_custkey AS request, printf('m%02d-ND', CAST(c_custkey % 12 + 1 AS INTEGER)) AS key, 0.48e0 + (c_custkey % 5) / 100e0 AS target FROM customer),
 ok AS (SELECT request, sim, mean, row_number() OVER (PARTITION BY request ORDER BY mean, sim) - 1 AS k, count(*) OVER (PARTITION BY request) AS n FROM req JOIN st ON st.key = req.key AND mean >= target - 0.05e0 AND mean <= target + 0.05e0),
 av AS (SELECT DISTINCT request, n FROM ok), dr AS (SELECT request, n, d, CAST(least(floor({u_sql(9, 'request', 'd')} * n), n - 1) AS BIGINT) AS k FROM av, range(0, 3) t(d))"""

@@ -149,11 +149,44 @@ def _(t):
     return rounded(M.mutual_info_continuous(t.table("lineitem").select("l_extendedprice", "l_returnflag"), ["l_extendedprice"], "l_returnflag"))
 
 
-@query("m8_t_test", with_("weather") + """, a AS (SELECT site, year(date) AS y, sum(rain) AS v FROM weather GROUP BY 1, 2), s AS (SELECT avg(v) FILTER (site = 0) AS ma, avg(v) FILTER (site = 1) AS mb, var_samp(v) FILTER (site = 0) AS va, var_samp(v) FILTER (site = 1) AS vb, count(*) FILTER (site = 0) AS na, count(*) FILTER (site = 1) AS nb FROM a)
-SELECT round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)), 6) AS t, na + nb - 2 AS df, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b FROM s""")
+def _neighbours_sql(source: str, features, y: str, keys: str, k: int = 3) -> str:
+    """All pairs of a group: the k-th smallest larger difference of a row, and the rows nearer than it along each axis."""
+    long = " UNION ALL ".join(f"SELECT {keys} AS g, '{f}' AS feature, CAST({f} AS DOUBLE) AS v, CAST({y} AS DOUBLE) AS t FROM {source}" for f in features)
+    psi = ("ln({n} + 8) - 0.5e0 / ({n} + 8) - 1e0 / 12 / pow({n} + 8, 2) + 1e0 / 120 / pow({n} + 8, 4) - 1e0 / 252 / pow({n} + 8, 6) + 1e0 / 240 / pow({n} + 8, 8)"
+           " - list_sum(list_transform(range(0, 8), lambda i: 1e0 / ({n} + i)))")
+    return f"""lg AS ({long}), st AS (SELECT g, feature, avg(v) AS mv, avg(t) AS mt, stddev_pop(v) AS sv, stddev_pop(t) AS st FROM lg GROUP BY 1, 2),
+pt AS (SELECT row_number() OVER () AS i, l.g, l.feature, CAST(round((v - mv) / sv * 4294967296) AS BIGINT) AS x, CAST(round((t - mt) / st * 4294967296) AS BIGINT) AS y FROM lg l JOIN st s ON l.g = s.g AND l.feature = s.feature),
+ds AS (SELECT a.i, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), {k}) AS d FROM pt a JOIN pt b ON a.g = b.g AND a.feature = b.feature AND a.i <> b.i GROUP BY 1),
+ep AS (SELECT pt.*, d[{k}] AS e FROM pt JOIN ds USING (i)),
+nr AS (SELECT a.i, a.g, a.feature, count(*) FILTER (CASE WHEN a.e > 0 THEN abs(a.x - b.x) < a.e ELSE a.x = b.x END) AS nx, count(*) FILTER (CASE WHEN a.e > 0 THEN abs(a.y - b.y) < a.e ELSE a.y = b.y END) AS ny
+  FROM ep a JOIN pt b ON a.g = b.g AND a.feature = b.feature GROUP BY 1, 2, 3),
+tt AS (SELECT g, feature, count(*) AS n, avg({psi.format(n='nx')}) + avg({psi.format(n='ny')}) AS m FROM nr GROUP BY 1, 2)
+SELECT g AS {keys.split(' ')[-1]}, feature, round(greatest({psi.format(n='n')} + {psi.format(n=str(k))} - m, 0e0), 6) AS mi FROM tt"""
+
+
+@query("m7_mutual_info_neighbours", with_("months", extra=_neighbours_sql("months", ["tmean", "rain"], "pet", "site")))
+def _(t):
+    return rounded(M.mutual_info_neighbours(t.months, ["tmean", "rain"], "pet", ["site"]))
+
+
+@query("m7_neighbours_by_month", "WITH oo AS (SELECT CAST(month(o_orderdate) AS INTEGER) AS month, o_totalprice AS price, day(o_orderdate) AS day, o_orderkey % 997 + o_totalprice / 1000 AS score FROM orders),\n"
+       + _neighbours_sql("oo", ["price", "day"], "score", "month"))
+def _(t):
+    o = t.table("orders").select(F.month("o_orderdate").alias("month"), F.col("o_totalprice").alias("price"), F.dayofmonth("o_orderdate").alias("day"),
+                                 (F.col("o_orderkey") % 997 + F.col("o_totalprice") / 1000).alias("score"))
+    return rounded(M.mutual_info_neighbours(o, ["price", "day"], "score", ["month"]))
+
+
+@query("m8_t_test", with_("weather") + """, a AS (SELECT site, year(date) AS y, sum(rain) AS v FROM weather GROUP BY 1, 2), s AS (SELECT avg(v) FILTER (site = 0) AS ma, avg(v) FILTER (site = 1) AS mb, var_samp(v) FILTER (site = 0) AS va, var_samp(v) FILTER (site = 1) AS vb, count(*) FILTER (site = 0) AS na, count(*) FILTER (site = 1) AS nb FROM a),
+q AS (SELECT (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)) AS t, na + nb - 2 AS df, ma, mb FROM s),
+-- for whole degrees of freedom the probability is a finite sum over powers of the cosine
+h AS (SELECT *, atan(t / sqrt(df)) AS h FROM q), j AS (SELECT unnest(range(0, (df - df % 2) // 2)) AS j, df % 2 AS odd, h FROM h),
+c AS (SELECT j, odd, h, exp(sum(CASE WHEN j = 0 THEN 0e0 WHEN odd = 1 THEN ln(2e0 * j / (2 * j + 1)) ELSE ln((2e0 * j - 1) / (2 * j)) END) OVER (ORDER BY j)) AS c FROM j),
+a2 AS (SELECT sum(CASE WHEN odd = 1 THEN 2 / pi() * sin(h) * c * pow(cos(h), 2 * j + 1) ELSE sin(h) * c * pow(cos(h), 2 * j) END) AS v FROM c)
+SELECT round(t, 6) AS t, df, round(1 - abs(v + CASE WHEN df % 2 = 1 THEN 2 / pi() * h ELSE 0e0 END), 9) AS p, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b FROM h, a2""")
 def _(t):
     a = t.weather.groupBy("site", F.year("date").alias("year")).agg(F.sum("rain").alias("v"))
-    return rounded(M.t_test(a, "v", "site", 0, 1))
+    return M.t_test(a, "v", "site", 0, 1).select(r("t").alias("t"), "df", r("p", 9).alias("p"), r("mean_a").alias("mean_a"), r("mean_b").alias("mean_b"))
 
 
 VARS = ("tmax", "tmin", "radn", "pet")
