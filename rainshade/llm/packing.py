@@ -24,54 +24,91 @@ GROUP_TOKENS = 1 << 20
 END_ID = 2
 # attention beside the rest of a layer: a token costs 1, and its attention to a full sequence costs as much again
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
+
+
+# marks that end a word and are cut off before it is looked up; no apostrophe, and no bracket that begins a special token
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that splits words at white space and lower-cases them; each word is encoded once while it is cached.
 
-    Words of letters go straight to the BPE model in its byte alphabet; all others take the tokenizer's whole path.
+    Words of letters go straight to the BPE model in its byte alphabet, and marks after the letters are a piece of their own; all other words take the
+    tokenizer's whole path. Words are kept in two generations, so that full caches forget only what has not been used for a while.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
-        self.model, self.cache, self.limit = self.whole.model, {}, cache_words
+        self.model, self.limit = self.whole.model, cache_words
+        self.words, self.older = _Words(self._word), {}
+        self.bases, self.marks = {}, {}
         # byte alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def _word(self, word: str) -> bytes:
-        end = word[-1:] if word[-1:] in (".", ",") else ""
-        base = word[:-1] if end else word
+        known = self.older.get(word)
+        if known is not None:
+            return known
+        base = word.rstrip(MARKS)
         # letters below U+0250 are composed and lower-cased alike by every Unicode version
         if base.isalpha() and max(base) < "\u0250":
             lower = base.lower() if base.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", base))
+            ids = self.bases.get(lower)
             # one capital there becomes a letter and a mark, which is no letter
-            if lower.isalpha():
+            if ids is None and lower.isalpha():
                 mapped = lower if lower.isascii() else "".join(map(self.alphabet.__getitem__, lower.encode()))
-                ids = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-                return ids + self._whole(end) if end else ids
+                ids = self.bases[lower] = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            if ids is not None:
+                end = word[len(base):]
+                return ids + self._marks(end) if end else ids
         return self._whole(word)
 
+    def _marks(self, end: str) -> bytes:
+        ids = self.marks.get(end)
+        if ids is None:
+            ids = self._whole(end)
+            # runs of marks are few, but nothing says how long they are
+            if len(end) < 16 and len(self.marks) < 10_000:
+                self.marks[end] = ids
+        return ids
+
     def _whole(self, text: str) -> bytes:
         return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > self.limit:
-            cache.clear()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = self._word(w)
-        return b"".join([cache[w] for w in words])
+        if len(self.words) > self.limit // 2:
+            self.older, self.words = dict(self.words), _Words(self._word)
+        if len(self.bases) > self.limit // 2:
+            self.bases.clear()
+        # without special tokens and beyond Latin-1 a text may be lower-cased first, which leaves fewer words
+        if "<|" not in text and _latin(text):
+            text = text.lower()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Words(dict):
+    """Ids by word; a word that is not there yet is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
 
 
 def _tokenizer(path: str) -> WordTokenizer:

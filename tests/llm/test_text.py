@@ -2,6 +2,7 @@
 
 import array
 import collections
+import random
 import hashlib
 import re
 import zlib
@@ -49,6 +50,22 @@ def test_packing(spark, rows, empty):
     assert packing.pack(empty, PATH).collect() == []
 
 
+def test_ids_of_odd_words_equal_the_tokenizer():
+    whole, fast = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH, cache_words=200)
+    rng = random.Random(4)
+    letters = "abcdefghijABCDEFéÉàñßŸœÆıIİ"
+    marks = packing.MARKS + "'<>|" + "0123456789½²日本х́\u0301\u200b\u00a0\x1c\t\r\x0b"
+    for n in range(4000):
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            w = "".join(rng.choice(letters) for _ in range(rng.randint(0, 6)))
+            kind = rng.randrange(5)
+            tail = "".join(rng.choice(packing.MARKS if kind < 3 else marks) for _ in range(rng.choice([0, 0, 1, 1, 2, 5, 20])))
+            words.append(w + tail + ("".join(rng.choice(letters) for _ in range(3)) if kind == 4 else ""))
+        text = "".join(w + rng.choice([" ", "  ", "\n", " "]) for w in words) + rng.choice(["", "don't", "we'll.", "<|endoftext|>", "a<|startoftext|>b"])
+        assert array.array("I", fast.encode(text)).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_of_repeated_rows_and_null_ids(docs, rows):
     got = packing.pack(docs, PATH)
     assert {r["doc_id"] for r in got.collect()} == {d for d, _ in rows}
