@@ -298,9 +298,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = texts.schema["doc_id"].dataType.simpleString()
     content = texts.select("doc_id", "version", F.encode("text", "utf-8").alias("content"))
     owned = content.filter("doc_id is not null")
-    same = owned.filter(F.octet_length("content") >= width).select("doc_id", "version", F.sha2("content", 256).alias("digest"))
+    same = stored(owned.filter(F.octet_length("content") >= width).select("doc_id", "version", F.sha2("content", 256).alias("digest")).distinct())
     first = same.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    copies = stored(same.join(first, "digest").filter("doc_id > first").select("doc_id", F.col("version").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")).distinct())
+    copies = stored(same.join(first, "digest").filter("doc_id > first").select("doc_id", "version"))
+    # an id is left out of the search only where all of its texts are copies: shorter texts hold no string
+    texts_of = same.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_texts"))
+    whole = copies.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(texts_of, "doc_id").filter("n = n_texts").select("doc_id")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _marks(batches, width, k)
@@ -316,13 +319,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = F.col("mark").bitwiseAND(F.lit(1)) == 1
     dealt = found.repartition(F.when(known, F.xxhash64("doc_id", "mark")).otherwise(F.col("mark"))).sortWithinPartitions("mark")
     shared = dealt.mapInArrow(_shared, f"doc_id {kind}, mark long")
-    whole = copies.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     lists = stored(shared.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")).join(whole, "doc_id", "left_anti"))
     # both joins are left joins that deal the same columns out by id, so they share one exchange of the texts
     asked = content.join(lists.hint("merge"), "doc_id", "left").select("doc_id", "version", "content", "marks")
     met = asked.mapInArrow(contexts, f"mark long, doc_id {kind}, place long, bytes binary").repartition("mark").sortWithinPartitions("mark")
     spans = met.mapInArrow(repeats, f"doc_id {kind}, tag long, start long, end long")
-    everything = copies.select("doc_id", "tag", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
+    everything = copies.select("doc_id", F.col("version").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
     by_id = spans.unionByName(everything).groupBy("doc_id").agg(F.collect_set(F.struct("tag", "start", "end")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,6 +78,15 @@ def test_suffix_repeats(docs, rows):
     assert any(x[2] and x[4] for x in got)
 
 
+def test_suffix_repeats_where_a_copy_shares_its_id(spark):
+    a, b = "".join(f"{i:03d}" for i in range(30)), "".join(chr(97 + i * 7 % 26) + str(i) for i in range(40))
+    rows = [(1, a), (2, b), (3, a), (3, f"x {b} y"), (4, b), (4, b), (5, a), (5, "short"), (5, None), (6, a + b), (6, a)]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["content"])) for r in
+           suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(got) == sorted(brute_repeats(rows))
+    assert sum(r[2] for r in got if r[0] == 3) == len(a) + len(b)
+
+
 def test_suffix_repeats_in_small_blocks(spark, monkeypatch):
     # strings of two letters repeat everywhere, and slices and blocks end inside groups
     rng = np.random.default_rng(3)
