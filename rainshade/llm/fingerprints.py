@@ -87,13 +87,12 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_no, _id, version, doc_id, n_chars, copies, next_no): documents numbered in ascending id; after the last comes the first.
+    """(row_no, _id, version, doc_id, n_chars, next_no): documents numbered in ascending id; after the last comes the first.
 
-    Only keys are sorted: ranges are numbered within themselves and then shifted by the sizes of the ranges before. copies is the
-    number of rows that repeat the document.
+    Only keys are sorted: ranges are numbered within themselves and then shifted by the sizes of the ranges before.
     """
     texts = _row_keys(docs, id_col, text_col)
-    keys = texts.groupBy("_id", "version", "doc_id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.char_length("text").cast("long")).alias("n_chars"))
+    keys = texts.groupBy("_id", "version", "doc_id").agg(F.min(F.char_length("text").cast("long")).alias("n_chars"))
     spread = stored(keys.repartitionByRange("doc_id", "version").withColumn("part", F.spark_partition_id()))
     # one row per range, so one task is enough
     up_to = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,7 +101,7 @@ def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rank = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "version")) - 1
     row_no = (F.col("rank") + F.col("before")).cast("long")
     return (spread.withColumn("rank", rank).join(F.broadcast(sizes), "part")
-            .select(row_no.alias("row_no"), "_id", "version", "doc_id", "n_chars", "copies", F.pmod(row_no + 1, F.col("total")).alias("next_no")))
+            .select(row_no.alias("row_no"), "_id", "version", "doc_id", "n_chars", F.pmod(row_no + 1, F.col("total")).alias("next_no")))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -117,29 +116,28 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     numbered = stored(next_documents(docs, id_col, text_col))
     asked = numbered.select(F.col("next_no").alias("row_no"), F.col("_id").alias("for_id"), F.col("version").alias("for_version"),
                             F.floor(F.col("n_chars") / 4).cast("int").alias("need"))
-    texts = _row_keys(docs, id_col, text_col).select(*keys, "text")
+    # repeated rows end here, in the exchange that the joins need anyway
+    texts = _row_keys(docs, id_col, text_col).select(*keys, "text").repartition(*keys).dropDuplicates(keys)
     starts = (texts.join(numbered.join(asked, "row_no"), keys)
-              .select(F.col("for_id").alias("_id"), F.col("for_version").alias("version"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("start"),
-                      F.col("copies").alias("next_copies")))
-    own = texts.join(numbered.select(*keys, "copies", "n_chars"), keys)
+              .select(F.col("for_id").alias("_id"), F.col("for_version").alias("version"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("start")))
+    own = texts.join(numbered.select(*keys, "n_chars"), keys)
     q = F.floor(F.col("n_chars") / 4).cast("int")
     head = F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - q)
-    both = own.join(starts, keys).select(*keys, (F.col("copies") * F.col("next_copies")).alias("rows"), "text", head.alias("head"),
+    both = own.join(starts, keys).select(*keys, "text", head.alias("head"),
                                          F.concat(head, F.col("start")).alias("edited"))
     # words wholly before the cut are in both texts, so they are listed once
-    listed = both.select(*keys, "rows", F.unhex(F.sha2("edited", 256)).alias("sha"), words(F.col("text")).alias("w"), words(F.col("edited")).alias("e"),
+    listed = both.select(*keys, F.unhex(F.sha2("edited", 256)).alias("sha"), words(F.col("text")).alias("w"), words(F.col("edited")).alias("e"),
                          F.greatest(F.size(words(F.col("head"))) - 1, F.lit(0)).alias("c"))
     tail = lambda a: F.slice(F.col(a), F.col("c") + 1, F.greatest(F.size(a) - F.col("c"), F.lit(0)))
     parts = F.array(F.struct(F.lit(3).alias("side"), F.slice("w", F.lit(1), F.col("c")).alias("words")),
                     F.struct(F.lit(1).alias("side"), tail("w").alias("words")), F.struct(F.lit(2).alias("side"), tail("e").alias("words")))
-    terms = (listed.select(*keys, "rows", "sha", F.inline(parts)).select(*keys, "rows", "sha", "side", F.explode("words").alias("_word"))
-             .select(*keys, "rows", "sha", "side", F.xxhash64("_word").alias("_term"), (F.col("_word") != "").cast("int").alias("n")))
-    counted = terms.groupBy(*keys, "sha", "rows", "_term").agg(F.sum(F.col("n") * F.col("side").bitwiseAND(F.lit(1))).alias("n1"),
+    terms = (listed.select(*keys, "sha", F.inline(parts)).select(*keys, "sha", "side", F.explode("words").alias("_word"))
+             .select(*keys, "sha", "side", F.xxhash64("_word").alias("_term"), (F.col("_word") != "").cast("int").alias("n")))
+    counted = terms.groupBy(*keys, "sha", "_term").agg(F.sum(F.col("n") * F.col("side").bitwiseAND(F.lit(1))).alias("n1"),
                                                        F.sum(F.col("n") * F.shiftright("side", 1)).alias("n2"))
     # a term of equal weight in both texts is sampled once for both
-    w1, w2 = F.col("n1") / F.col("rows"), F.col("n2") / F.col("rows")
-    sided = F.when(F.col("n1") == F.col("n2"), F.array(F.struct(F.lit(3).alias("side"), w1.alias("_weight")))).otherwise(
-        F.array(F.struct(F.lit(1).alias("side"), w1.alias("_weight")), F.struct(F.lit(2).alias("side"), w2.alias("_weight"))))
+    sided = F.when(F.col("n1") == F.col("n2"), F.array(F.struct(F.lit(3).alias("side"), F.col("n1").alias("_weight")))).otherwise(
+        F.array(F.struct(F.lit(1).alias("side"), F.col("n1").alias("_weight")), F.struct(F.lit(2).alias("side"), F.col("n2").alias("_weight"))))
     weighted = counted.select(*keys, "sha", "_term", F.inline(sided))
     minima = _minima(weighted, [*keys, "sha", "side"], samples)
     of = lambda side, k: F.min(F.when(F.col("side").bitwiseAND(F.lit(side)) != 0, F.col(f"s{k}")))

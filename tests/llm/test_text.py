@@ -2,6 +2,7 @@
 
 import array
 import collections
+import math
 import random
 import hashlib
 import re
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rainshade.llm import fingerprints, html, packing
@@ -163,6 +165,35 @@ def test_edited_fingerprints(docs, rows, empty):
     assert fingerprints.edited_fingerprints(empty).collect() == []
 
 
+def test_edited_fingerprints_of_many_repeats(spark):
+    # two documents in many rows each: one result a document, the same as without the repeats, and no row meets its copies
+    rows = [(1, "one two three four five six"), (2, "two three seven eight " * 4)]
+    once = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    many = fingerprints.edited_fingerprints(spark.createDataFrame(rows * 3000, "doc_id long, text string").repartition(6)).collect()
+    assert sorted(once) == sorted(many) and len(many) == 2
+
+
+def test_samples_by_hand(spark):
+    # the published draws, term by term in plain Python, from the same uniforms
+    weights = {"a": 1, "b": 4, "c": 9, "d": 2}
+    text = " ".join(w for w, n in weights.items() for _ in range(n))
+    got = fingerprints.document_fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["fingerprint"]
+    frame = spark.createDataFrame([(w, n, k) for w, n in weights.items() for k in range(fingerprints.SAMPLES)], "w string, n int, k int")
+    term = F.xxhash64("w")
+    hashes = frame.select("w", "n", "k", term.alias("term"), F.xxhash64(term, 2 * F.col("k")).alias("h"), F.xxhash64(term, 2 * F.col("k") + 1).alias("g")).collect()
+    best = {}
+    for r in hashes:
+        def uniform(h, shift):
+            return (((h & (2 ** 64 - 1)) >> shift & 0x1FFFFF) + 0.5) / 2 ** 21
+        rate, beta = -math.log(uniform(r["h"], 0) * uniform(r["h"], 21)), uniform(r["h"], 42)
+        c = -math.log(uniform(r["g"], 0) * uniform(r["g"], 21))
+        t = math.floor(math.log(r["n"]) / rate + beta)
+        # a = c / (y exp(r)) with y = exp(r (t - beta))
+        a = c / (math.exp(rate * (t - beta)) * math.exp(rate))
+        best[r["k"]] = min(best.get(r["k"], (math.inf, 0)), (a, (r["term"] ^ t) & 0xFFFFFFFF))
+    assert got == "".join(f"{best[k][1]:08x}" for k in range(fingerprints.SAMPLES))
+
+
 def test_collision_rate_is_the_weighted_similarity(spark):
     rng = np.random.default_rng(8)
     rows, want = [], []
