@@ -48,13 +48,25 @@ def same_document(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.version") == F.col(f"{b}.version"))
 
 
+def spare_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that df does not have, however its case is read: the wanted ones with underscores in front."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_documents(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs whose (doc_id, version) is in keep, each document once, with the columns of docs."""
+    """Rows of docs whose (doc_id, version) is in keep, each document once, with the columns of docs whatever their names."""
     key = version(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    left = docs.withColumn("_version", key)
-    right = keep.select(F.col("doc_id").alias("_keep_id"), F.col("version").alias("_keep_version")).distinct()
-    on = left[f"`{id_col}`"].eqNullSafe(right["_keep_id"]) & (left["_version"] == right["_keep_version"])
-    return left.join(right, on, "left_semi").dropDuplicates([id_col, "_version"]).drop("_version")
+    own, other, at = spare_names(docs, "_version", "_keep_version", "_keep_id")
+    left = docs.withColumn(own, key)
+    right = keep.select(F.col("doc_id").alias(at), F.col("version").alias(other)).distinct()
+    on = left[f"`{id_col}`"].eqNullSafe(right[at]) & (left[own] == right[other])
+    return left.join(right, on, "left_semi").dropDuplicates([id_col, own]).drop(own)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

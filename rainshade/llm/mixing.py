@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainshade.functions.draws import md5_uniform
-from rainshade.llm.common import WHITE, stored
+from rainshade.llm.common import WHITE, spare_names, stored
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
@@ -83,27 +83,31 @@ def calibrated(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     return raked.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("rate") * scale)).otherwise(F.lit(1.0)))
 
 
-def with_cells(docs: DataFrame, text_col: str = "text", topic: Column | None = None, source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """docs with a struct `_cell` of source, lang and topic (null as empty) and `_tokens`."""
+def with_cells(docs: DataFrame, text_col: str = "text", topic: Column | None = None, source_col: str = "source", lang_col: str = "lang", cell: str = "_cell", tokens: str = "_tokens") -> DataFrame:
+    """docs with a struct `cell` of source, lang and topic (null as empty) and a column `tokens`."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    counted = docs.withColumn("_tokens", token_count(text))
-    return counted.withColumn("_cell", F.struct(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"),
-                                                F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"),
-                                                F.coalesce(topic if topic is not None else topic_of(text, F.col("_tokens")), F.lit("")).alias("topic")))
+    counted = docs.withColumn(tokens, token_count(text))
+    return counted.withColumn(cell, F.struct(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"),
+                                             F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"),
+                                             F.coalesce(topic if topic is not None else topic_of(text, F.col(tokens)), F.lit("")).alias("topic")))
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
-        topic: Column | None = None, passes: int = PASSES, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """docs with a struct `_mix`: source, lang, topic, n_tokens, probability, sampled. No row is dropped here.
+        topic: Column | None = None, passes: int = PASSES, dimensions: Sequence[str] = DIMENSIONS, name: str = "_mix") -> DataFrame:
+    """docs with a struct column `name`: source, lang, topic, n_tokens, probability, sampled. No row is dropped here.
 
     targets maps source, lang and topic to (value, share); by default shares are tempered. Whether a row is sampled depends only on
     (seed, id), so repeated rows share their fate. Null text counts as empty, and documents without tokens in cells without any stay;
-    null source or language is the value ''. An empty table gives no rows; columns of docs are kept whatever their names.
+    null source or language is the value ''. An empty table gives no rows; columns of docs are kept whatever
+    their names, and `name` must be a new one.
     """
-    celled = with_cells(docs, text_col, topic)
-    cells = stored(celled.groupBy(*[F.col(f"_cell.{d}").alias(d) for d in dimensions]).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
-    done = stored(calibrated(rake(cells, targets or tempered(cells), passes), keep)).select(F.struct(*dimensions).alias("_of"), F.col("probability").alias("_share"))
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs already has a column {name}")
+    cell, tokens, of, share = spare_names(docs, "_cell", "_tokens", "_of", "_share")
+    celled = with_cells(docs, text_col, topic, cell=cell, tokens=tokens)
+    cells = stored(celled.groupBy(*[F.col(f"{cell}.{d}").alias(d) for d in dimensions]).agg(F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("documents")))
+    done = stored(calibrated(rake(cells, targets or tempered(cells), passes), keep)).select(F.struct(*dimensions).alias(of), F.col("probability").alias(share))
     # the optimizer broadcasts the cells only while their files are small
-    joined = celled.join(done, F.col("_cell") == F.col("_of"))
-    sampled = md5_uniform(seed, F.col(f"`{id_col}`")) < F.col("_share")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct("_cell.*", F.col("_tokens").alias("n_tokens"), F.col("_share").alias("probability"), sampled.alias("sampled")).alias("_mix"))
+    joined = celled.join(done, F.col(cell) == F.col(of))
+    sampled = md5_uniform(seed, F.col(f"`{id_col}`")) < F.col(share)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(f"{cell}.*", F.col(tokens).alias("n_tokens"), F.col(share).alias("probability"), sampled.alias("sampled")).alias(name))

@@ -133,8 +133,11 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, per_grade: int = PER
 def scored(docs: DataFrame, model: QualityModel | None, grade: int, text_col: str = "text", name: str = "_quality") -> DataFrame:
     """docs with a struct column: expected grade and tail probability P(grade >= given one); both null without a model.
 
-    Null text is scored as empty. Each row is scored by itself, so repeated rows, null ids and other columns stay as they are.
+    Null text is scored as empty. Each row is scored by itself, so repeated rows, null ids and other columns stay as they are; `name` must be
+    a new one.
     """
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs already has a column {name}")
     if model is None:
         return docs.withColumn(name, F.struct(F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability")))
     shared = docs.sparkSession.sparkContext.broadcast(model)

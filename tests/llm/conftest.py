@@ -1,7 +1,7 @@
 import pytest
 from texts import paragraphs, words
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, version long, content string, leader string, start long, probability double, fingerprint string, kept boolean, hash long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, version long, content string, leader string, start long, probability double, fingerprint string, kept boolean, hash long, _tokens int, _version string, _quality int, _mix int, _cell string, _of int, _share double, _id string"
 
 
 @pytest.fixture(scope="session")
@@ -20,7 +20,7 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     langs, sources = ["en", "de", None], ["a", "a", "b", None]
-    data = [(d, t, langs[i % 3], sources[i % 4], len(t or ""), 1, "c", "l", 5, 0.5, "f", True, 9) for i, (d, t) in enumerate(rows)]
+    data = [(d, t, langs[i % 3], sources[i % 4], len(t or ""), 1, "c", "l", 5, 0.5, "f", True, 9, 77, "v", 3, 4, "c", 6, 0.1, "i") for i, (d, t) in enumerate(rows)]
     return spark.createDataFrame(data, SCHEMA).repartition(3)
 
 

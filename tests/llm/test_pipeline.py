@@ -24,7 +24,7 @@ needs_data = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_registered():
     names = entry.queries()
     assert [n for n in names if re.match(r"op\d+_", n)] == list(queries.QUERIES) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
@@ -32,7 +32,8 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     out = compare(name, queries.QUERIES[name](spark, str(DATA)), con, queries.ORACLES[name])
     assert out.startswith("ok"), out
 
@@ -76,6 +77,15 @@ def test_run_over_odd_and_empty_tables(spark, tmp_path, docs, empty):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path, docs):
+    odd_tables(spark, tmp_path / "odd", docs)
+    frame = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        frame = corpus_pipeline.stored(stage(spark, frame, str(tmp_path / "odd")))
+        assert frame.columns == docs.columns
+        assert frame.select("_tokens", "_version", "_quality", "_mix", "_cell").distinct().collect() == [(77, "v", 3, 4, "c")]
+
+
 def test_the_rest_works_without_the_text_package(tmp_path):
     import subprocess
     root = Path(__file__).resolve().parents[2]

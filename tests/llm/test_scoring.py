@@ -42,18 +42,18 @@ def test_held_out_accuracy(spark, model):
 
 
 def test_scores_of_odd_rows(docs, empty, model):
-    got = quality.scored(docs, model, 2)
-    assert got.columns == [*docs.columns, "_quality"] and got.count() == docs.count()
-    assert got.filter("_quality.tail_probability is null or _quality.tail_probability not between 0 and 1").count() == 0
-    assert quality.scored(empty, model, 2).count() == 0
+    got = quality.scored(docs, model, 2, name="q")
+    assert got.columns == [*docs.columns, "q"] and got.count() == docs.count()
+    assert got.filter("q.tail_probability is null or q.tail_probability not between 0 and 1").count() == 0
+    assert quality.scored(empty, model, 2, name="q").count() == 0
     # null and empty text are scored alike
-    assert got.filter("doc_id in (40, 41)").select("_quality").distinct().count() == 1
+    assert got.filter("doc_id in (40, 41)").select("q").distinct().count() == 1
 
 
 def test_no_ratings_keep_everything(spark, docs):
     none = spark.createDataFrame([(1, 0)], "doc_id long, grade int")
     assert quality.fit(docs, none, 3) is None
-    assert quality.scored(docs, None, 2).filter(quality.selected()).count() == docs.count()
+    assert quality.scored(docs, None, 2, name="q").filter(quality.selected("q")).count() == docs.count()
 
 
 def test_gradient_of_the_cumulative_link_model():
@@ -96,10 +96,16 @@ def test_raking_meets_its_targets(spark):
 
 
 def test_mix_of_odd_rows(docs, empty):
-    got = mixing.mix(docs)
-    assert got.columns == [*docs.columns, "_mix"] and got.count() == docs.count()
-    assert got.filter("_mix.sampled is null or _mix.probability not between 0 and 1").count() == 0
-    assert got.filter("doc_id = 50").select("_mix.sampled").distinct().count() == 1
-    assert mixing.mix(empty).count() == 0
-    counted = {r["doc_id"]: r["n_tokens"] for r in got.filter("doc_id between 40 and 47").select("doc_id", "_mix.n_tokens").collect()}
+    got = mixing.mix(docs, name="mixed")
+    assert got.columns == [*docs.columns, "mixed"] and got.count() == docs.count()
+    assert got.filter("mixed.sampled is null or mixed.probability not between 0 and 1").count() == 0
+    assert got.filter("doc_id = 50").select("mixed.sampled").distinct().count() == 1
+    assert mixing.mix(empty, name="mixed").count() == 0
+    counted = {r["doc_id"]: r["n_tokens"] for r in got.filter("doc_id between 40 and 47").select("doc_id", "mixed.n_tokens").collect()}
     assert counted == {40: 0, 41: 0, 42: 0, 43: 1, 44: 7, 45: 1, 46: 1, 47: 1}
+    # columns of the operators' own names come back as they were
+    assert got.select("_tokens", "_version", "_quality", "_mix", "_cell", "_of", "_share").distinct().collect() == [(77, "v", 3, 4, "c", 6, 0.1)]
+    with pytest.raises(ValueError):
+        mixing.mix(docs)
+    with pytest.raises(ValueError):
+        quality.scored(docs, None, 2)
