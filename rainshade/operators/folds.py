@@ -24,12 +24,13 @@ def _bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _day(date: str) -> Column:
-    """A day as (d, r, e); missing and not-a-number are null."""
+def _day(date: str, carry: Sequence[str] = ()) -> Column:
+    """A day as (d, r, e) and a struct x of carried columns; missing and not-a-number are null."""
     def number(c: str) -> Column:
         x = F.col(c).cast("double")
         return F.when(~F.isnan(x), x)
-    return F.struct(F.col(date).alias("d"), number("rain").alias("r"), number("pet").alias("e"))
+    rest = [F.struct(*carry).alias("x")] if carry else []
+    return F.struct(F.col(date).alias("d"), number("rain").alias("r"), number("pet").alias("e"), *rest)
 
 
 def _uptake(water: Column, e: Column, a: float, p: float) -> Column:
@@ -144,13 +145,18 @@ def soil_moisture_deficit(df: DataFrame, keys: Sequence[str], date: str = "date"
 
 
 def soil_moisture_deficit_monthly(df: DataFrame, keys: Sequence[str], date: str = "date", capacity: float = SOIL_CAPACITY,
-                                  month_start: dict[int, float] | None = None, a: float = 0.0073, p: float = 1.0) -> DataFrame:
-    """The same bucket restarted on day 1 of each month at a fixed deficit; parallel over (series, year, month)."""
+                                  month_start: dict[int, float] | None = None, a: float = 0.0073, p: float = 1.0, carry: Sequence[str] = ()) -> DataFrame:
+    """The same bucket restarted on day 1 of each month at a fixed deficit; parallel over (series, year, month).
+
+    Columns named in `carry` (of types with an order) pass through, so that no join brings them back.
+    """
     begin = lookup({m: float(v) for m, v in (month_start or MONTH_START_DEFICIT).items()}, F.month("_first"))
     months = (df.groupBy(*keys, F.year(date).alias("_y"), F.month(date).alias("_m"))
-              .agg(F.array_sort(F.collect_list(_day(date))).alias("_days"), F.min(date).alias("_first")))
-    folded = months.withColumn("_o", F.explode(_fold(F.col("_days"), begin + capacity, capacity, a, p)))
-    return folded.select(*keys, F.col("_o.d").alias(date), *[F.col(f"_o.{c}").alias(c) for c in ("rain", "pet", "smd", "drain", "aet")])
+              .agg(F.array_sort(F.collect_list(_day(date, carry))).alias("_days"), F.min(date).alias("_first")))
+    folded = _fold(F.col("_days"), begin + capacity, capacity, a, p)
+    both = months.withColumn("_b", F.explode(F.zip_with("_days", folded, lambda day, out: F.struct(day.alias("i"), out.alias("o")))))
+    return both.select(*keys, F.col("_b.o.d").alias(date), *[F.col(f"_b.o.{c}").alias(c) for c in ("rain", "pet", "smd", "drain", "aet")],
+                       *[F.col(f"_b.i.x.{c}").alias(c) for c in carry])
 
 
 def soil_moisture_anomaly(smd: DataFrame, keys: Sequence[str], date: str = "date", years: tuple[int, int] | None = (1981, 2010),

@@ -5,27 +5,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainshade import constants as C
 from rainshade.functions import scalars as S
-from rainshade.functions.calendar import date_parts, lookup, month_days
+from rainshade.functions.calendar import date_parts, lookup, month_days, nonleap_doy
 from rainshade.operators import aggregates as A
 from rainshade.operators import windows as W
-from rainshade.operators.folds import soil_moisture_anomaly, soil_moisture_deficit_monthly
+from rainshade.operators.folds import soil_moisture_deficit_monthly
 from rainshade.operators.joins import lookup_side
 from rainshade.operators.ranking import intersect_months, joint_probability
 from rainshade.operators.shape import threshold_grid
 
 
 def monthly_weather(weather: DataFrame, keys: Sequence[str] = ("site",), start_deficit: dict | None = None) -> DataFrame:
-    """Daily weather to monthly means of tmean, soil-moisture anomaly, rain and evaporation."""
-    smd = soil_moisture_deficit_monthly(weather.select(*keys, "date", "rain", "pet"), keys, month_start=start_deficit)
-    sma = soil_moisture_anomaly(smd, keys, years=None).select(*keys, "date", "smd", "sma")
-    temps = weather.select(*keys, "date", ((F.col("tmax") + F.col("tmin")) / 2).alias("tmean"))
-    daily = date_parts(temps.join(sma, [*keys, "date"]))
-    return A.monthly(daily, ["tmean", "sma", "smd"], "mean", [*keys, "year", "month"])
+    """Daily weather to monthly means of tmean, soil-moisture anomaly and deficit.
+
+    The series are dealt out by their keys once. Months, days of the year and months again are finer than the keys, so the fold, the
+    means per day of the year and the monthly means need no exchange of their own.
+    """
+    dealt = weather.select(*keys, "date", "rain", "pet", ((F.col("tmax") + F.col("tmin")) / 2).alias("tmean"))
+    if keys:
+        dealt = dealt.repartition(*keys)
+    daily = soil_moisture_deficit_monthly(dealt, keys, month_start=start_deficit, carry=["tmean"]).withColumn("doy", nonleap_doy(F.col("date")))
+    level = F.avg("smd").over(Window.partitionBy(*keys, "doy"))
+    return A.monthly(date_parts(daily.withColumn("sma", F.col("smd") - level)), ["tmean", "sma", "smd"], "mean", [*keys, "year", "month"])
 
 
 def class_codes(tmean: Column, t_low: Column, t_high: Column, sma: Column, s_low: Column, s_high: Column) -> tuple[Column, Column]:
@@ -39,15 +44,20 @@ def classify(months: DataFrame, limits: DataFrame | None = None, keys: Sequence[
              moisture: str = "sma") -> DataFrame:
     """Monthly classes with codes and previous codes; limits may come from another record."""
     limit_keys = [*keys, "month"]
-    lim = limits if limits is not None else A.class_limits(months, [temp, moisture], keys=limit_keys)
-    joined = months.join(lim.select(*[k for k in limit_keys if k in lim.columns], *[f"{v}_{s}" for v in (temp, moisture) for s in ("low", "high")]),
-                         [k for k in limit_keys if k in lim.columns])
+    names = [f"{v}_{s}" for v in (temp, moisture) for s in ("low", "high")]
+    if limits is None:
+        # a calendar month of a series has one row per year
+        own = Window.partitionBy(*limit_keys)
+        joined = months.withColumns({f"{v}_{s}": F.percentile(v, q).over(own) for v in (temp, moisture) for s, q in (("low", 0.25), ("high", 0.75))})
+    else:
+        by = [k for k in limit_keys if k in limits.columns]
+        joined = months.join(limits.select(*by, *names), by)
     t, p = class_codes(*[F.col(c) for c in (temp, f"{temp}_low", f"{temp}_high", moisture, f"{moisture}_low", f"{moisture}_high")])
     coded = joined.withColumns({"temp": t, "precip": p, "_t": F.col("year") * 12 + F.col("month")})
     lagged = W.lag_state(coded, keys, "_t", {"temp": 0, "precip": 0})
     return (lagged.withColumns({"temp_class": S.strip_class(S.recode_temp(F.col("temp"))), "precip_class": S.strip_class(S.recode_precip(F.col("precip")))})
             .withColumn("state", S.state_key(F.col("temp_class"), F.col("precip_class")))
-            .drop("_t", *[f"{v}_{s}" for v in (temp, moisture) for s in ("low", "high")]))
+            .drop("_t", *names))
 
 
 def classify_months(weather: DataFrame, limits: DataFrame | None = None, keys: Sequence[str] = ("site",)) -> DataFrame:

@@ -205,3 +205,18 @@ def test_paths_have_no_join(spark):
     dead = trans.where("not (month = 9 and from_state = 'H-D')")
     with pytest.raises(Exception, match="no transition in its month"):
         R.markov_paths(sims, dead, seed=5, unique=False).collect()
+
+
+def test_event_classes_read_the_weather_once(spark):
+    from rainshade.plans import events as EV
+    from rainshade.queries.base import Tables
+    import os
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    df = EV.classify_months(Tables(spark, folder).weather)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan
+    assert len(tracker.getJobIdsForGroup()) <= before + 1  # the schema of the file, and nothing else
