@@ -7,15 +7,19 @@ in one task; `percentile` is used only where a group is bounded by the calendar.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainshade.constants import RECORD_YEARS, SITE_MODES, TARGET_RANGES
 from rainshade.functions import scalars as S
 from rainshade.functions.calendar import month_days
-from rainshade.operators.joins import interp_join, lookup_side
+from rainshade.operators.joins import interp_join, lookup_side, resident
 from rainshade.operators.shape import long_to_wide
 
 Agg = Callable[[Column], Column]
@@ -36,6 +40,75 @@ def resolve(fun: str | Agg) -> Agg:
     return AGGREGATES[fun]
 
 
+@dataclass(frozen=True)
+class UserAggregate:
+    """A user's aggregate as four functions on a state, a list of numbers of fixed length.
+
+    zero() is the state of no values, update(state, values) takes in a numpy array, merge(a, b) joins two states and finish(state) gives the result.
+    merge must not care about order, as tasks end in any order.
+    """
+
+    zero: Callable[[], Sequence[float]]
+    update: Callable[[Sequence[float], np.ndarray], Sequence[float]]
+    merge: Callable[[Sequence[float], Sequence[float]], Sequence[float]]
+    finish: Callable[[Sequence[float]], float | None]
+
+
+HELD_KEYS = 100_000
+
+
+def user_aggregate(df: DataFrame, keys: Sequence[str], value: str, fun: UserAggregate, out: str = "value") -> DataFrame:
+    """(keys, out): a user's aggregate of a value per key; nulls and not-a-numbers are left out, and a key of nothing else gets finish(zero()).
+
+    Every task keeps one state per key and sends states, not values: a key of any size reaches its last task as one short row per task. A task that
+    meets over HELD_KEYS keys sends what it holds and goes on. An empty table gives no rows.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    names = list(keys)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[tuple, Sequence[float]] = {}
+
+        def flush() -> pd.DataFrame:
+            frame = pd.DataFrame(list(states), columns=names, dtype=object)
+            frame["_state"] = [[float(x) for x in s] for s in states.values()]
+            return frame
+        for pdf in batches:
+            groups = pdf.groupby(names, dropna=False, sort=False)["_v"] if names else [((), pdf["_v"])]
+            for key, values in groups:
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                clean = values.to_numpy(float)
+                states[key] = fun.update(states.get(key, fun.zero()), clean[~np.isnan(clean)])
+            if len(states) > HELD_KEYS:
+                yield flush()
+                states = {}
+        if states:
+            yield flush()
+
+    def final(states: pd.Series) -> float:
+        done = fun.zero()
+        for s in states:
+            done = fun.merge(done, list(s))
+        return fun.finish(done)
+    parts = rows.mapInPandas(partial, f"{kinds}{', ' if kinds else ''}_state array<double>")
+    merged = F.pandas_udf(_typed(final), "double")
+    return parts.groupBy(*keys).agg(merged("_state").alias(out))
+
+
+def _typed(final: Callable[[pd.Series], float]) -> Callable[[pd.Series], float]:
+    """The hints of a grouped aggregate, which a nested function under postponed annotations does not carry."""
+    def run(states):
+        return final(states)
+    run.__annotations__ = {"states": pd.Series, "return": float}
+    return run
+
+
+# n and the sum of logarithms; a value of 0 or less has no geometric mean
+GEOMETRIC_MEAN = UserAggregate(lambda: (0.0, 0.0), lambda s, v: (s[0] + len(v), s[1] + float(np.log(v).sum())) if (v > 0).all() else (float("nan"), 0.0),
+                               lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: None if not s[0] > 0 else math.exp(s[1] / s[0]))
+
+
 def monthly(df: DataFrame, values: Sequence[str], fun: str | Agg = "mean", keys: Sequence[str] = ("year", "month")) -> DataFrame:
     """Monthly sum or mean, NaN skipped."""
     f = resolve(fun)
@@ -92,14 +165,54 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, wanted: Callab
     return near.select(*keys, "_v", "_c", "_n", hi.alias("_hi")).withColumn("_lo", F.col("_hi") - F.col("_c"))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per key as rows (keys, q, value), for groups of any size."""
+def refined_counts(df: DataFrame, keys: Sequence[str], value: str, wanted: Callable[[Column, Column, Column], Column], bins_per_efold: int = 256) -> DataFrame:
+    """ranked_counts for wanted ranks alone, by histograms that are refined where a wanted rank lies.
+
+    The first pass counts rows per bin of values, the second counts FINE equal parts of the bins that hold a wanted rank, the third moves the values of
+    the wanted parts and ranks them. Bins, parts and their bounds combine map-side, and the bins and parts to go on with are broadcast after a check
+    of their size; so no other row reaches an exchange. Where too many bins are wanted (many small keys), values are ranked at once.
+    The input is read once per pass: store it first where it is dear.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, (v + F.lit(0.0)).alias("_v")).withColumn("_b", value_bin(F.col("_v"), bins_per_efold))
+
+    def offsets(sums: DataFrame, within: Sequence[str], by: str, before: Column) -> DataFrame:
+        run = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return sums.withColumn("_off", before + F.coalesce(F.sum("_s").over(run), F.lit(0)))
+
+    def needed(sums: DataFrame) -> tuple[DataFrame, int | None]:
+        return resident(sums.where(wanted(F.col("_off"), F.col("_off") + F.col("_s"), F.col("_n"))))
+    bins = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_s"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    total = F.sum("_s").over(Window.partitionBy(*keys))
+    chosen, size = needed(offsets(bins, keys, "_b", F.lit(0)).withColumn("_n", total))
+    if size is None:
+        return ranked_counts(df, keys, value, wanted)
+    in_bins = rows.join(F.broadcast(chosen.drop("_s")), [*keys, "_b"])
+    width = F.col("_most") - F.col("_least")
+    part = F.when(width > 0, F.floor(F.least((F.col("_v") - F.col("_least")) / width * FINE, F.lit(FINE - 1.0)))).otherwise(F.lit(0)).cast("int")
+    in_bins = in_bins.withColumn("_p", F.coalesce(part, F.lit(0)))
+    parts = in_bins.groupBy(*keys, "_b", "_p").agg(F.count(F.lit(1)).alias("_s"), F.first("_off").alias("_from"), F.first("_n").alias("_n"))
+    chosen, size = needed(offsets(parts, [*keys, "_b"], "_p", F.col("_from")).select(*keys, "_b", "_p", "_off", "_s", "_n"))
+    if size is None:
+        return ranked_counts(df, keys, value, wanted)
+    near = in_bins.drop("_n", "_off").join(F.broadcast(chosen.select(*keys, "_b", "_p", F.col("_off").alias("_start"), "_n")), [*keys, "_b", "_p"])
+    counts = near.groupBy(*keys, "_b", "_p", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_start").alias("_start"), F.first("_n").alias("_n"))
+    inner = Window.partitionBy(*keys, "_b", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hi = F.col("_start") + F.sum("_c").over(inner)
+    return counts.select(*keys, "_v", "_c", "_n", hi.alias("_hi")).withColumn("_lo", F.col("_hi") - F.col("_c"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], refine: bool = False) -> DataFrame:
+    """Exact linear-interpolated quantiles per key as rows (keys, q, value), for groups of any size.
+
+    refine suits large tables that are cheap to read again: three passes, but only values near a quantile are shuffled (`refined_counts`).
+    """
     wanted = F.array(*[F.lit(float(q)) for q in probs])
 
     def position(q: Column, n: Column) -> Column:
         return q * (n - 1)
 
-    ranked = ranked_counts(df, keys, value, lambda start, end, n: F.exists(
+    ranked = (refined_counts if refine else ranked_counts)(df, keys, value, lambda start, end, n: F.exists(
         wanted, lambda q: (F.floor(position(q, n)) < end) & (F.ceil(position(q, n)) >= start)))
 
     def inside(rank: Column) -> Column:
@@ -115,12 +228,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     return picked.select(*keys, "q", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias("value"))
 
 
-def describe_by(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """count, mean, sample std, min, percentiles, max per key; percentile columns are named p25, p50 ..."""
+def describe_by(df: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float] = (0.25, 0.5, 0.75), refine: bool = False) -> DataFrame:
+    """count, mean, sample std, min, percentiles, max per key; percentile columns are named p25, p50 ...; refine as for `quantiles`."""
     base = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"),
                                  F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     names = {q: f"p{round(q * 100):02d}" for q in percentiles}
-    wide = (quantiles(df, keys, value, percentiles).groupBy(*keys)
+    wide = (quantiles(df, keys, value, percentiles, refine).groupBy(*keys)
             .agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for q, n in names.items()]))
     return base.join(wide, list(keys), "left").select(*keys, "count", "mean", "std", "min", *names.values(), "max")
 
@@ -143,10 +256,10 @@ def class_limits(months: DataFrame, values: Sequence[str], low: float = 0.25, hi
 
 
 def quantile_table(df: DataFrame, value: str = "rest", keys: Sequence[str] = ("combo", "month"),
-                   combos: Sequence[str] = ("D-D", "D-ND", "ND-D", "ND-ND"), months: Sequence[int] = (9, 10, 11, 12, 1, 2, 3, 4)) -> DataFrame:
+                   combos: Sequence[str] = ("D-D", "D-ND", "ND-D", "ND-ND"), months: Sequence[int] = (9, 10, 11, 12, 1, 2, 3, 4), refine: bool = False) -> DataFrame:
     """99 quantiles of monthly restriction per (class combo, month); groups without data give 0, zeros 1e-8."""
     probs = [i / 100 for i in range(1, 100)]
-    found = quantiles(df.where(F.col(keys[1]).isin(*months)), keys, value, probs)
+    found = quantiles(df.where(F.col(keys[1]).isin(*months)), keys, value, probs, refine)
     grid = (df.sparkSession.range(1, 100).select((F.col("id") / 100).alias("q"))
             .withColumn(keys[0], F.explode(F.array(*[F.lit(c) for c in combos])))
             .withColumn(keys[1], F.explode(F.array(*[F.lit(m) for m in months]))))
@@ -156,9 +269,9 @@ def quantile_table(df: DataFrame, value: str = "rest", keys: Sequence[str] = ("c
     return full.select(*keys, "q", F.when(F.abs(v) <= 1e-8, 1e-8).otherwise(v).alias("rest"))
 
 
-def percentile_curve(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Percentiles 0..100 of annual growth per key, NaN skipped."""
-    out = quantiles(df, keys, value, [i / 100 for i in range(101)])
+def percentile_curve(df: DataFrame, keys: Sequence[str], value: str, refine: bool = False) -> DataFrame:
+    """Percentiles 0..100 of annual growth per key, NaN skipped; refine as for `quantiles`."""
+    out = quantiles(df, keys, value, [i / 100 for i in range(101)], refine)
     return out.select(*keys, F.round(F.col("q") * 100).cast("int").alias("percentile"), "value")
 
 
@@ -171,8 +284,8 @@ def months_by_class(events: DataFrame, columns: Sequence[str]) -> DataFrame:
     return events.groupBy(*columns).agg(F.array_sort(F.collect_set("month")).alias("months"))
 
 
-def median_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    return quantiles(df, keys, value, [0.5]).select(*keys, F.col("value").alias(out))
+def median_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "median", refine: bool = False) -> DataFrame:
+    return quantiles(df, keys, value, [0.5], refine).select(*keys, F.col("value").alias(out))
 
 
 def count_days(df: DataFrame, keys: Sequence[str], conditions: dict[str, Column]) -> DataFrame:

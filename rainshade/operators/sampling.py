@@ -20,6 +20,7 @@ from rainshade.operators.aggregates import value_bin
 from rainshade.operators.joins import inverse_cdf_join, lookup_side, resident
 
 
+MAX_MODES = 1000
 MAX_STEPS = 20_000  # rows of a transition table that becomes a constant
 MAX_ARRAYS = 2000  # rows that carry a whole record, at most about 1,500 values each
 
@@ -233,6 +234,29 @@ def nyear_suite(draws: DataFrame, suite: DataFrame, nyr: int, values: Sequence[s
     return joined.groupBy(*keys, draw).agg(F.sum(log10p).alias(log10p), *[F.sum(v).alias(v) for v in values])
 
 
+def nyear_suite_by_mode(draws: DataFrame, suite: DataFrame, nyr: int, values: Sequence[str] = ("pg",), seed: int = 1, uniform: Uniform = hash_uniform, draw: str = "draw",
+                        story: str = "story_id", keys: Sequence[str] = ("site", "mode"), mode: str = "mode", block: Column | None = None) -> DataFrame:
+    """(keys, draw, log10_prob_dryland, log10_prob_irrigated, values): nyr weighted draws per site and mode, summed.
+
+    suite is (story, keys, log10_prob_dryland, log10_prob_irrigated, values), one row per story, site and mode; a story with a null among them is left out
+    of that site and mode. Stories of the dryland mode are drawn by the dryland probability, those of irrigated and storage modes by the irrigated one; both probabilities are
+    summed over what is drawn. All modes use the same uniforms. `values` may be the months of a year as well as its total. There are at most
+    MAX_MODES sites and modes.
+    """
+    prob = ["log10_prob_dryland", "log10_prob_irrigated"]
+    whole = suite.select(story, *keys, *prob, *values).dropna()
+    modes = whole.select(*keys).distinct().limit(MAX_MODES + 1).collect()
+    if len(modes) > MAX_MODES:
+        raise ValueError(f"more than {MAX_MODES} sites and modes")
+    weight = F.when(F.col(mode) == "dryland", F.col(prob[0])).otherwise(F.col(prob[1]))
+    items = whole.withColumn("_w", S.pow10(weight)).where(weight > S.NEG_INF)
+    slots = draws.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(nyr - 1)))).withColumn("_u", uniform(seed, F.col(draw), F.col("slot")))
+    each = F.explode(F.array(*[F.struct(*[F.lit(m[k]).alias(k) for k in keys]) for m in modes])) if modes else F.explode(F.array().cast(suite.select(F.struct(*keys)).schema[0].dataType.simpleString().join(("array<", ">"))))
+    dealt = slots.withColumn("_m", each).select(draw, "_u", *[F.col(f"_m.{k}").alias(k) for k in keys])
+    joined = inverse_cdf_join(dealt, "_u", items, "_w", story, keys, block=block)
+    return joined.groupBy(*keys, draw).agg(*[F.sum(c).alias(c) for c in (*prob, *values)])
+
+
 def nyear_probability(picks: DataFrame, prob: DataFrame, draw: str = "draw", story: str = "story_id") -> DataFrame:
     """Sum of per-story log-probability under other regimes per (regime, draw)."""
     return (picks.select(draw, story).join(prob, story).groupBy("regime", draw)

@@ -161,26 +161,23 @@ def flow_duration(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def percentile_of_score(df: DataFrame, keys: Sequence[str], value: str, threshold: float, nearest: bool = True) -> DataFrame:
     """Mean-rank percentile of a threshold per key and |threshold - value at that percentile|.
 
-    percentile = (count below + count at or below + [threshold present]) x 50 / n. The value at the
-    percentile needs two order statistics, found by rank among the distinct values of the key.
+    percentile = (count below + count at or below + [threshold present]) x 50 / n. Its place among the sorted values lies between the last value below the
+    threshold and the first one above it, so both values next to that place are among these two and the threshold: one aggregation, no sort.
     """
-    v, t = F.col(value), F.lit(float(threshold))
-    totals = (df.where(v.isNotNull()).groupBy(*keys)
-              .agg(F.count_if(v < t).alias("_lt"), F.count_if(v <= t).alias("_le"), F.count(F.lit(1)).alias("_m")))
+    v, t = F.col(value).cast("double"), F.lit(float(threshold))
+    totals = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys)
+              .agg(F.count_if(v < t).alias("_lt"), F.count_if(v <= t).alias("_le"), F.count(F.lit(1)).alias("_m"),
+                   F.max(F.when(v < t, v)).alias("_below"), F.min(F.when(v > t, v)).alias("_above")))
     present = (F.col("_le") > F.col("_lt")).cast("int")
     out = totals.withColumn("percentile", (F.col("_lt") + F.col("_le") + present) * 50.0 / F.col("_m"))
     if not nearest:
         return out.select(*keys, "percentile")
     pos = F.col("percentile") / 100 * (F.col("_m") - 1)
-    wanted = out.select(*keys, "percentile", F.floor(pos).alias("_k"), F.ceil(pos).alias("_k2"), (pos - F.floor(pos)).alias("_f"))
-    joined = attach_small(ranked_counts(df, keys, value), wanted, keys)
-
-    def at(k: str) -> Column:
-        return F.max(F.when((F.col(k) >= F.col("_lo")) & (F.col(k) < F.col("_hi")), F.col("_v")))
-    picked = joined.groupBy(*keys).agg(F.first("percentile").alias("percentile"), at("_k").alias("_a"),
-                                       at("_k2").alias("_z"), F.first("_f").alias("_f"))
-    back = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
-    return picked.select(*keys, "percentile", F.abs(t - back).alias("error"))
+
+    def at(rank: Column) -> Column:
+        return F.when(rank < F.col("_lt"), F.col("_below")).when(rank < F.col("_le"), t).otherwise(F.col("_above"))
+    back = at(F.floor(pos)) + (at(F.ceil(pos)) - at(F.floor(pos))) * (pos - F.floor(pos))
+    return out.select(*keys, "percentile", F.abs(t - back).alias("error"))
 
 
 def autocorrelation(df: DataFrame, keys: Sequence[str], order: str, value: str, lags: int) -> DataFrame:

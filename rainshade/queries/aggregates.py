@@ -26,7 +26,7 @@ def _(t):
   min(o_totalprice) AS min, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.75), 4) AS p75,
   max(o_totalprice) AS max FROM orders GROUP BY 1, 2""")
 def _(t):
-    return rounded(A.describe_by(t.table("orders").withColumn("month", F.month("o_orderdate")), ["o_orderstatus", "month"], "o_totalprice"), 4)
+    return rounded(A.describe_by(t.table("orders").withColumn("month", F.month("o_orderdate")), ["o_orderstatus", "month"], "o_totalprice", refine=True), 4)
 
 
 @query("a4_occurrence", with_("weather") + """SELECT site, CAST(month(date) AS INTEGER) AS month, count(*) FILTER (rain > 0.01e0) AS sum, round(avg(CASE WHEN rain > 0.01e0 THEN 1e0 ELSE 0e0 END), 6) AS prob FROM weather GROUP BY 1, 2""")

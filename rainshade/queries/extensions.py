@@ -26,6 +26,12 @@ def _(t):
     return rounded(site_mode_table(t.story_months, ["pg"], lambda c: F.sqrt(F.avg(c * c)), ["site", "mode", "month"]))
 
 
+@query("x2_user_aggregate", "SELECT o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS year, round(exp(avg(ln(o_totalprice))), 4) AS value FROM orders GROUP BY 1, 2")
+def _(t):
+    o = t.table("orders").select("o_orderpriority", F.year("o_orderdate").alias("year"), "o_totalprice")
+    return rounded(A.user_aggregate(o, ["o_orderpriority", "year"], "o_totalprice", A.GEOMETRIC_MEAN), 4)
+
+
 @query("x3_resample_function", with_("weather") + "SELECT site, CAST(CAST(date_trunc('month', date) AS DATE) AS VARCHAR) AS period, round(sum(rain), 6) AS rain FROM weather GROUP BY 1, 2")
 def _(t):
     return rounded(text_date(W.resample(t.weather, ["site"], "date", "rain", "1M", "sum"), "period"))

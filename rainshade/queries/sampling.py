@@ -119,6 +119,20 @@ def _(t):
     return out.select("draw", r("log10_prob", 5).alias("log10_prob"), r("pg", 4).alias("pg"))
 
 
+@query("r5_nyear_suite_by_mode", with_("impact", extra=f"""by_mode AS (SELECT story_id, site, m.mode, log10_prob AS dry, CASE WHEN story_id % 7 = 0 THEN NULL ELSE log10_prob * 1.25e0 END AS irr, pg * f AS pg FROM impact, (VALUES ('dryland', 0.5e0), ('irrigated', 1e0), ('store400', 0.75e0)) m(mode, f)),
+pm AS (SELECT *, pow(10, CASE WHEN mode = 'dryland' THEN dry ELSE irr END) AS w FROM by_mode WHERE irr IS NOT NULL),
+cm AS (SELECT *, sum(w) OVER (PARTITION BY site, mode ORDER BY story_id) / sum(w) OVER (PARTITION BY site, mode) AS hi, row_number() OVER (PARTITION BY site, mode ORDER BY story_id DESC) = 1 AS last FROM pm),
+km AS (SELECT * REPLACE (CASE WHEN last THEN 2e0 ELSE hi END AS hi), coalesce(lag(hi) OVER (PARTITION BY site, mode ORDER BY story_id), 0e0) AS lo FROM cm),
+d AS (SELECT c_custkey AS draw, {u_sql(13, 'c_custkey', 's')} AS u FROM customer, range(0, 3) t(s))""") + """SELECT site, mode, draw, round(sum(dry), 5) AS log10_prob_dryland, round(sum(irr), 5) AS log10_prob_irrigated, round(sum(pg), 4) AS pg FROM d JOIN km ON u >= lo AND u < hi GROUP BY 1, 2, 3""")
+def _(t):
+    factors = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(f).alias("f")) for m, f in (("dryland", 0.5), ("irrigated", 1.0), ("store400", 0.75))])).alias("_m")
+    suite = t.impact.select("story_id", "site", "log10_prob", "pg", factors).select(
+        "story_id", "site", "_m.mode", F.col("log10_prob").alias("log10_prob_dryland"),
+        F.when(F.col("story_id") % 7 != 0, F.col("log10_prob") * 1.25).alias("log10_prob_irrigated"), (F.col("pg") * F.col("_m.f")).alias("pg"))
+    out = R.nyear_suite_by_mode(t.table("customer").select(F.col("c_custkey").alias("draw")), suite, 3, seed=13, uniform=md5_uniform, block=F.floor(F.col("story_id") / 100000))
+    return out.select("site", "mode", "draw", r("log10_prob_dryland", 5).alias("log10_prob_dryland"), r("log10_prob_irrigated", 5).alias("log10_prob_irrigated"), r("pg", 4).alias("pg"))
+
+
 @query("r6_nyear_probability", with_("impact", extra=CUM) + f""", d AS (SELECT o_orderkey AS draw, {u_sql(11, 'o_orderkey', 's')} AS u FROM orders, range(0, 3) t(s)), g(regime, f) AS (VALUES ('current', 1e0), ('eco_both', 1.5e0))
 SELECT regime, draw, round(sum(log10_prob * f), 5) AS log10_prob FROM d JOIN k ON u >= lo AND u < hi, g GROUP BY 1, 2""")
 def _(t):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,20 +20,43 @@ RESTRICTION_SCHEMA = T.StructType([
     T.StructField("year", T.IntegerType())])
 
 
+def _without_banner(skip: int):
+    """Drop the first skip + 1 lines of every file from lines that come with their file and the place of their split in it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen, goes_on = None, 0, False
+
+        def check() -> None:
+            if goes_on and seen <= skip:
+                raise ValueError(f"the first {skip} lines of {at[0]} do not end in its first split")
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for i, (file, start, end, size) in enumerate(zip(*(b.column(c).to_pylist() for c in ("file", "start", "end", "size")))):
+                if (file, start) != at:
+                    check()
+                    at, seen, goes_on = (file, start), 0, start == 0 and end < size
+                if start == 0:
+                    seen += 1
+                    keep[i] = seen > skip + 1
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([b.column("value").filter(pa.array(keep))], names=["value"])
+        check()
+    return run
+
+
 def read_banner_csv(spark: SparkSession, path: str, schema: T.StructType, skip: int | None = None, comment: str | None = None) -> DataFrame:
     """CSV with free text before its header.
 
-    comment='#': Spark skips those lines itself. skip=n: the first n lines of each file are dropped by
-    position with the header; lines are split by Spark, one file per task as positions need whole files.
-    Columns match the schema by position, so an unnamed index column gets the schema's name.
+    comment='#': Spark skips those lines itself. skip=n: the first n lines of each file are dropped by position with the header. Files are
+    read in splits like any text; only the split at a file's start counts its lines, and fails where a longer file's banner does not end in it.
+    A quoted field never spans lines. Columns match the schema by position, so an unnamed index column gets the schema's name; empty files have no rows.
     """
     if skip is None:
         return spark.read.csv(path, schema=schema, header=True, comment=comment, enforceSchema=True)
-    files = spark.read.text(path, wholetext=True)
-    # a quoted field never spans lines here; one file is one small report
-    lines = files.select(F.posexplode(F.split("value", "\r?\n")).alias("_i", "_line"))
-    body = lines.where((F.col("_i") > skip) & (F.trim("_line") != ""))
-    return body.select(F.from_csv("_line", schema.simpleString()[len("struct<"):-1].replace(":", " ")).alias("r")).select("r.*")
+    place = F.col("_metadata")
+    lines = spark.read.text(path).select("value", place["file_path"].alias("file"), place["file_block_start"].alias("start"),
+                                         (place["file_block_start"] + place["file_block_length"]).alias("end"), place["file_size"].alias("size"))
+    body = lines.mapInArrow(_without_banner(skip), "value string").where(F.trim("value") != "")
+    return body.select(F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " ")).alias("r")).select("r.*")
 
 
 def read_restriction_record(spark: SparkSession, paths: dict[str, str], version: str) -> DataFrame:
