@@ -6,6 +6,7 @@ is repeated on another executor. Simulations are built map-side from small array
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 
@@ -327,8 +328,9 @@ def markov_paths(sims: DataFrame, transitions: DataFrame, start: str = "A-A", se
         raise ValueError(f"no transition from {start} in month {months[0]}")
     # one row of doubles and one of states per (month, state), in the order of the intervals
     cells = [sorted(steps.get((m, s), [])) for m in range(len(months)) for s in range(len(names))]
-    ends = F.array(*[F.lit([hi for hi, _ in c] or [0.0]) for c in cells])
-    targets = F.array(*[F.lit([to for _, to in c] or [-1]) for c in cells])
+    # each as one literal, which is parsed once while the plan is made
+    ends = F.from_json(F.lit(json.dumps([[hi for hi, _ in c] for c in cells])), "array<array<double>>")
+    targets = F.from_json(F.lit(json.dumps([[to for _, to in c] for c in cells])), "array<array<int>>")
     draws = F.array(*[uniform(seed, F.col(sim), F.lit(i)) for i in range(len(months))])
 
     def step(path: Column, u: Column) -> Column:
@@ -338,7 +340,7 @@ def markov_paths(sims: DataFrame, transitions: DataFrame, start: str = "A-A", se
         below = F.size(F.filter(F.get(ends, cell), lambda hi: hi <= u))
         return F.concat(path, F.array(F.get(F.get(targets, cell), below)))
     walked = F.aggregate(draws, F.array(F.lit(number[start])), step)
-    state = F.array(*[F.lit(x) for x in names])
+    state = F.from_json(F.lit(json.dumps(names)), "array<string>")
     stuck = F.raise_error(F.lit("a path reached a state that has no transition in its month")).cast("string")
     paths = sims.withColumn("states", F.transform(walked, lambda s: F.coalesce(F.get(state, s), stuck)))
     if not unique:

@@ -26,7 +26,7 @@ def inputs(t):
 
 def sims(t):
     """One simulation per order, keyed by its month and a class."""
-    o = t.table("orders")
+    o = t.dealt("orders", "o_orderkey", "o_custkey", "o_orderdate")
     state = F.when(F.col("o_custkey") % 2 == 0, "D").otherwise("ND")
     base = o.select(F.col("o_orderkey").alias("sim"), F.format_string("m%02d-%s", F.month("o_orderdate"), state).alias("key"), F.month("o_orderdate").alias("_m"))
     from rainshade.functions.calendar import month_days
@@ -114,7 +114,7 @@ k AS (SELECT story_id, log10_prob, pg, coalesce(lag(hi) OVER (ORDER BY story_id)
 @query("r5_nyear_suite", with_("impact", extra=CUM) + f""", d AS (SELECT o_orderkey AS draw, {u_sql(11, 'o_orderkey', 's')} AS u FROM orders, range(0, 3) t(s))
 SELECT draw, round(sum(log10_prob), 5) AS log10_prob, round(sum(pg), 4) AS pg FROM d JOIN k ON u >= lo AND u < hi GROUP BY 1""")
 def _(t):
-    draws = t.table("orders").select(F.col("o_orderkey").alias("draw"))
+    draws = t.dealt("orders", "o_orderkey").select(F.col("o_orderkey").alias("draw"))
     out = R.nyear_suite(draws, t.impact.select("story_id", "log10_prob", "pg"), 3, seed=11, uniform=md5_uniform, block=F.floor(F.col("story_id") / 100000))
     return out.select("draw", r("log10_prob", 5).alias("log10_prob"), r("pg", 4).alias("pg"))
 
@@ -185,7 +185,7 @@ walk(sim, i, s, path) AS (SELECT {key}, 0, 'A-A', ['A-A'] FROM {source} UNION AL
 
 @query("r8_markov_paths", with_("stories", "transitions", extra=_paths_sql("orders", "o_orderkey", 8), recursive=True) + "SELECT min(sim) AS sim, array_to_string(path, ' ') AS states FROM walk WHERE i = 11 GROUP BY 2")
 def _(t):
-    s = t.table("orders").select(F.col("o_orderkey").alias("sim"))
+    s = t.dealt("orders", "o_orderkey").select(F.col("o_orderkey").alias("sim"))
     return R.markov_paths(s, t.transitions, seed=8, uniform=md5_uniform).select("sim", F.concat_ws(" ", "states").alias("states"))
 
 
@@ -220,7 +220,7 @@ rows AS (SELECT weather, irrigation, seq, (seq + 6) % 12 + 1 AS month, 2024 + CA
 k AS (SELECT *, CASE lag(precip_class, 1, 'A') OVER (PARTITION BY weather, irrigation ORDER BY seq) WHEN 'D' THEN 'D' ELSE 'ND' END || '-' || CASE precip_class WHEN 'D' THEN 'D' ELSE 'ND' END AS combo FROM rows)
 SELECT weather, irrigation, CAST(k.month AS INTEGER) AS month, CAST(year AS INTEGER) AS year, temp_class, precip_class, rest_per, CASE WHEN k.month IN (5,6,7,8) THEN 0e0 ELSE m.rest END AS rest FROM k LEFT JOIN mapper m ON m.combo = k.combo AND m.month = k.month AND round(m.q * 100) = round(rest_per * 100)""")
 def _(t):
-    c = t.table("customer").select(F.col("c_custkey").alias("sim"))
+    c = t.dealt("customer", "c_custkey").select(F.col("c_custkey").alias("sim"))
     paths = R.markov_paths(c, t.transitions, seed=8, uniform=md5_uniform, unique=False).withColumnRenamed("sim", "weather")
     suites = R.irrigation_suites(c, True, seed=2, uniform=md5_uniform).withColumnRenamed("sim", "irrigation")
     pairs = t.table("orders").select(F.col("o_custkey").alias("weather"), F.floor(F.col("o_orderkey") / 10).alias("irrigation"))
