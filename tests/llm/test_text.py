@@ -6,6 +6,7 @@ import math
 import random
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -107,7 +108,7 @@ def test_page_text(spark, empty):
         assert r["n_chars"] == len(r["text"])
     # what stands at one place of most pages of the host is template, in the article too
     want = {i: "\n".join([f"Title {i} & more", f"First {i} part.", f"Second text {i}", *[f"More {i} {j}" for j in range(i % 4)]]) for i in range(12)}
-    want |= {20: "Head\nOnly one page.\na\nb", 21: "", 22: "", 23: "cut off tag &am", 24: "in main"}
+    want |= {20: "Head\nOnly one page.\na\nb", 21: "", 22: "", 23: "cut off tag &am", 24: "in main\noutside"}
     assert {k: v[0] for k, v in got.items()} == want and len(got[3]) == 2
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
@@ -131,6 +132,52 @@ def test_tree_matching():
     assert len(html.align(deep, tree("<div>" * 2500 + "y"))) == 2501
 
 
+def test_tree_matching_against_recursion():
+    # the published recursion over all pairs of children, without shortcuts for equal ends or runs
+    rng = random.Random(6)
+
+    def page(depth):
+        tag = rng.choice(["div", "ul", "b", "i"])
+        return f"<{tag}>" + "".join(page(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)) + f"</{tag}>"
+
+    def most(a, b):
+        if a.label != b.label:
+            return 0
+        rows = [[0] * (len(b.children) + 1)]
+        for x in a.children:
+            row = [0]
+            for j, y in enumerate(b.children):
+                row.append(max(row[j], rows[-1][j + 1], rows[-1][j] + most(x, y)))
+            rows.append(row)
+        return 1 + rows[-1][-1]
+    equal = 0
+    for _ in range(300):
+        a, b = html.parse(page(3))[0], html.parse(page(3))[0]
+        for x in (a, b):
+            html._shapes(x, [0])
+        got, want = len(html.align(a, b)), most(a, b)
+        # neighbours of one shape are matched as one run, which may cost a few elements
+        assert got <= want and got >= 0.7 * want
+        equal += got == want
+    assert equal > 240
+
+
+def test_long_lists_of_mixed_children():
+    rng = random.Random(2)
+
+    def tree(page):
+        root = html.parse(page)[0]
+        html._shapes(root, [0])
+        return root
+    kinds = ["<p>x</p>", "<ul><li>a</li></ul>", "<div><i>y</i></div>", "<table><tr><td>z</td></tr></table>", "<div><b>q</b><i>r</i></div>"]
+    rows = [rng.choice(kinds) for _ in range(30_000)]
+    a, b = tree("<div>" + "".join(rows) + "</div>"), tree("<div>" + "".join(r for r in rows if rng.random() < 0.98) + "</div>")
+    start = time.process_time()
+    matched = html.align(a, b)
+    assert time.process_time() - start < 10
+    assert len(matched) > 0.6 * b.size and len(set(matched.values())) == len(matched)
+
+
 def counts(text):
     return collections.Counter(w for w in re.split("[ \t-\r]", (text or "").lower()) if w)
 
