@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from rainshade.llm import common, exact, lines, simhash, suffixes
+from texts import words
 
 STRIP = re.compile(r"[\x20\x09-\x0D]")
 
@@ -113,36 +114,83 @@ def test_difference_cover_owner():
     assert suffixes.least_owner(text, starts, owner).tolist() == [least[text[s:s + 50].tobytes()] for s in starts]
 
 
-def brute_lines(rows):
+def brute_lines(rows, chunks_of):
+    """(doc, kept text, lines and bytes removed): every later occurrence of a chunk goes, but for lines of a first occurrence in the same text that it begins in."""
     seen, out = {}, []
-    for d, t in distinct(rows):
-        c = (t or "").encode()
-        kept, gone = [], [0, 0]
-        for s, size, n in lines.cut_lines(c):
-            body = c[s:s + size].removesuffix(b"\n")
-            if n >= 2 and body in seen:
-                gone[0] += n
-                gone[1] += size
+    for at, (d, t) in enumerate(distinct(rows)):
+        text = t or ""
+        lines_ = text.split("\n")
+        if lines_[-1] == "":
+            lines_.pop()
+        gone = set()
+        for first, last in chunks_of(lines_):
+            body = tuple(lines_[first:last + 1])
+            if body in seen:
+                doc, end = seen[body]
+                gone.update(range(max(first, end + 1) if doc == at else first, last + 1))
             else:
-                kept.append(c[s:s + size])
-                if n >= 2:
-                    seen[body] = d
-        out.append((d, b"".join(kept).decode(), *gone))
+                seen[body] = (at, last)
+        kept = "".join(x + ("\n" if i < len(lines_) - 1 or text.endswith("\n") else "") for i, x in enumerate(lines_) if i not in gone)
+        out.append((d, kept, len(gone), len(text.encode()) - len(kept.encode())))
     return out
 
 
-def test_line_chunks(docs, rows):
-    got = {(r["doc_id"], r["text"], r["n_removed_lines"], r["n_removed_bytes"]) for r in lines.remove_repeated_lines(docs).collect()}
-    assert got == set(brute_lines(rows)) and any(r[2] for r in got)
+def neighbours(lines_):
+    return [(i, i + 1) for i in range(len(lines_) - 1)]
+
+
+def anchored(lines_, window, share):
+    """Bounds of chunks by the definition: anchors are windows of lines with a small hash, a chunk goes from the start of one to the end of the next."""
+    def value(i):
+        total = 0
+        for x in lines_[i - window + 1:i + 1]:
+            total = (total * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(x.encode())) % 2 ** 64
+        return total >> 32
+    anchors = [i for i in range(window - 1, len(lines_)) if value(i) < int(share * 2 ** 32)]
+    starts = [0] + [i - window + 1 for i in anchors]
+    ends = anchors + ([len(lines_) - 1] if lines_ and (not anchors or anchors[-1] != len(lines_) - 1) else [])
+    return [(s, e) for s, e in zip(starts, ends) if e > s]
+
+
+def shared_texts():
+    # passages of two to six lines in a third of the texts, lines that repeat one another, and many copies of one text
+    rng = np.random.default_rng(6)
+    passages = ["\n".join(words(9000 + 10 * i + j, 14) for j in range(2 + i % 5)) for i in range(25)]
+    rows = []
+    for i in range(150):
+        parts = [words(20_000 + 50 * i + j, 8) for j in range(int(rng.integers(1, 8)))]
+        if i % 3 == 0:
+            parts.insert(int(rng.integers(0, len(parts) + 1)), passages[int(rng.integers(0, 25))])
+        rows.append((i, "\n".join(parts) + ("\n" if i % 4 == 0 else "")))
+    rows += [(300 + i, passages[3]) for i in range(300)]
+    rows += [(700, "x\nx\nx\nx\nx"), (701, "x\nx"), (702, "a\nb\na\nb\na\nb"), (703, "\n\n\n"), (704, "one line"), (705, "b\na"), (706, "x\r\nx\r\n")]
+    return rows
+
+
+@pytest.mark.parametrize("window, share", [(1, 1.0), (1, 31 / 32), (1, 0.5), (2, 0.7), (3, 0.4)])
+def test_line_chunks(spark, docs, rows, window, share):
+    bounds = neighbours if (window, share) == (1, 1.0) else lambda x: anchored(x, window, share)
+    mine = shared_texts()
+    for frame, data in ((docs, rows), (spark.createDataFrame(mine, "doc_id long, text string").repartition(5), mine)):
+        got = {(r["doc_id"], r["text"], r["n_removed_lines"], r["n_removed_bytes"]) for r in lines.remove_repeated_lines(frame, window=window, share=share).collect()}
+        assert got == set(brute_lines(data, bounds)) and (any(r[2] for r in got) or data is rows)
+
+
+def test_recall_of_shared_lines(spark):
+    # against all pairs of neighbouring lines that stand in an earlier place too
+    mine = shared_texts()
+    want = {r[0]: r[2] for r in brute_lines(mine, neighbours)}
+    got = {r["doc_id"]: r["n_removed_lines"] for r in lines.remove_repeated_lines(spark.createDataFrame(mine, "doc_id long, text string")).collect()}
+    assert all(got[d] <= want[d] for d in want) and sum(got.values()) >= 0.9 * sum(want.values())
 
 
 def test_line_chunk_bounds_move_with_the_text():
     body = [f"line {i * i} of the shared part" for i in range(60)]
     a = "\n".join(body).encode()
     b = "\n".join(["something", "put in", "before", *body]).encode()
-    cut = lambda c: {c[s:s + n] for s, n, _ in lines.cut_lines(c)}
-    assert len(cut(a) & cut(b)) >= len(cut(a)) - 3
-    assert b"".join(b[s:s + n] for s, n, _ in lines.cut_lines(b)) == b and lines.cut_lines(b"") == []
+    cut = lambda c: {c[s:s + n].rstrip(b"\n") for s, n, _ in lines.cut_lines(c, 2, 0.3)}
+    assert len(cut(a) & cut(b)) >= len(cut(a)) - 2 and len(cut(a)) > 10
+    assert lines.cut_lines(b"") == [] and lines.cut_lines(b"one") == [] and lines.cut_lines(b"a\nb") == [(0, 3, 2)]
 
 
 def brute_simhash(text, n_words=4):
