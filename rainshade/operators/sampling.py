@@ -439,17 +439,19 @@ def sample_size_study(ensemble: DataFrame, sizes: Sequence[int], resamples: int,
                       value: str = "value", seed: int = 1, uniform: Uniform = hash_uniform, relative_from: float = 10.0) -> DataFrame:
     """Error of the mean of m resamples of size n against the full mean, relative where the mean is at least 10.
 
-    ensemble is (keys, member 0..N-1, value). Picks are joined by member number; each (key, n, resample)
-    is one map-side combined mean.
+    ensemble is (keys, member, value) with members of any numbers; nulls are left out. The ensemble is read once: a key's members become one array in
+    order of member, and a resample is one fold over its n draws in that array. No draw becomes a row, and none is joined; what is shuffled is
+    the ensemble, and a mean per (key, n, resample). An array holds the realisations of one key.
     """
-    full = ensemble.groupBy(*keys).agg(F.avg(value).alias("full_mean"), F.count(value).alias("_n"))
-    plan = full.withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes])))
-    plan = plan.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    plan = plan.withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    u = uniform(seed, *[F.col(k) for k in keys], F.col("n"), F.col("resample"), F.col("_d"))
-    picks = plan.withColumn("member", draw_index(u, F.col("_n")))
-    means = (picks.join(ensemble, [*keys, "member"]).groupBy(*keys, "n", "resample")
-             .agg(F.avg(value).alias("_m"), F.first("full_mean").alias("full_mean")))
+    held = F.array_sort(F.collect_list(F.struct("member", F.col(value).cast("double").alias("v"))))
+    arrays = ensemble.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("full_mean"), F.transform(held, lambda x: x["v"]).alias("_v"))
+    plan = arrays.withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes]))).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+
+    def pick(total: Column, d: Column) -> Column:
+        u = uniform(seed, *[F.col(k) for k in keys], F.col("n"), F.col("resample"), d)
+        return total + F.get(F.col("_v"), draw_index(u, F.size("_v")).cast("int"))
+    total = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), pick)
+    means = plan.select(*keys, "n", "resample", "full_mean", (total / F.col("n")).alias("_m"))
     diff = F.abs(F.col("_m") - F.col("full_mean"))
     error = F.when(F.abs(F.col("full_mean")) >= relative_from, diff / F.abs(F.col("full_mean"))).otherwise(diff)
     return means.withColumn("error", error).groupBy(*keys, "n").agg(F.avg("error").alias("mean_error"), F.max("error").alias("max_error"))

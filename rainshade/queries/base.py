@@ -111,17 +111,21 @@ class Tables:
 
     @cached_property
     def story_months(self) -> DataFrame:
-        """Storylines: a group of 15 customers and a July-June season; one row per month with an order."""
+        """Storylines: a group of 15 customers and a July-June season, twelve months each; a month without an order is an average one."""
         o = self.table("orders")
         y, m = F.year("o_orderdate"), F.month("o_orderdate")
-        g = o.groupBy((F.floor(F.col("o_custkey") / 15)).alias("grp"), y.alias("year"), m.alias("month")).agg(
+        g = o.groupBy((F.floor(F.col("o_custkey") / 15)).alias("grp"), season_year(y, m).alias("season"), m.alias("month")).agg(
             binary(F.avg("o_totalprice") / 1000.7).alias("_t"), binary(F.avg(F.col("o_orderkey") % 997)).alias("_p"),
             (F.min("o_orderkey") % 99 + 1).alias("_q"), (F.round(F.avg("o_totalprice") / 201.7 * 4, 0) / 4).alias("pg"))
+        found = F.map_from_entries(F.collect_list(F.struct("month", F.struct("_t", "_p", "_q", "pg").alias("v"))))
+        whole = g.groupBy("grp", "season").agg(found.alias("_f")).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+        whole = whole.withColumn("_v", F.col("_f")[F.col("month")])
+        s = whole.select("grp", "season", "month", (F.col("season") + (F.col("month") < 7).cast("int")).alias("year"), "_v._t", "_v._p",
+                         F.coalesce("_v._q", (F.col("grp") * 7 + F.col("season") * 3 + F.col("month") * 13) % 99 + 1).alias("_q"), F.coalesce("_v.pg", F.lit(900.0)).alias("pg"))
         temp = F.when(F.col("_t") >= 310, "H").when(F.col("_t") <= 190, "C").otherwise("A")
         precip = F.when(F.col("_p") >= 620, "W").when(F.col("_p") <= 380, "D").otherwise("A")
-        season = season_year(F.col("year"), F.col("month"))
         rest_per = F.col("_q") / 100
-        return g.select((F.col("grp") * 10000 + season).alias("story_id"), "grp", "year", "month",
+        return s.select((F.col("grp") * 10000 + F.col("season")).alias("story_id"), "grp", "year", "month",
                         season_order(F.col("month")).alias("seq"), temp.alias("temp_class"), precip.alias("precip_class"),
                         F.concat_ws("-", temp, precip).alias("state"), rest_per.alias("rest_per"),
                         F.when(F.col("month").isin(5, 6, 7, 8), 0.0).otherwise(rest_per / 2).alias("rest"), "pg",
@@ -158,7 +162,7 @@ class Tables:
 
     @cached_property
     def impact(self) -> DataFrame:
-        """One row per complete story: log-probability and annual growth."""
+        """One row per story of twelve months: log-probability and annual growth."""
         s = self.story_months
         return s.groupBy("story_id", "irr_type", "site", "mode").agg(
             F.round(-F.sum(F.lit(0.3) + F.col("rest_per") / 10), 6).alias("log10_prob"), F.sum("pg").alias("pg"),
@@ -203,12 +207,14 @@ CTES = {
   FROM lineitem GROUP BY 1)""",
     "months": """months AS (SELECT site, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
   round((avg((tmax + tmin) / 2)) * 1024, 0) / 1024e0 AS tmean, round((avg(rain)) * 1024, 0) / 1024e0 AS rain, round((avg(pet)) * 1024, 0) / 1024e0 AS pet FROM weather GROUP BY 1, 2, 3)""",
-    "stories": """story_agg AS (SELECT o_custkey // 15 AS grp, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+    "stories": """story_agg AS (SELECT o_custkey // 15 AS grp, year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS season, month(o_orderdate) AS month,
   round((avg(o_totalprice) / 1000.7e0) * 1024, 0) / 1024e0 AS t, round((avg(o_orderkey % 997)) * 1024, 0) / 1024e0 AS p, min(o_orderkey) % 99 + 1 AS q,
   round(avg(o_totalprice) / 201.7e0 * 4, 0) / 4e0 AS pg FROM orders GROUP BY 1, 2, 3),
-stories_c AS (SELECT *, CASE WHEN t >= 310 THEN 'H' WHEN t <= 190 THEN 'C' ELSE 'A' END AS temp_class,
-  CASE WHEN p >= 620 THEN 'W' WHEN p <= 380 THEN 'D' ELSE 'A' END AS precip_class,
-  year - CASE WHEN month < 7 THEN 1 ELSE 0 END AS season FROM story_agg),
+stories_c AS (SELECT k.grp, CAST(k.season AS INTEGER) AS season, CAST(m AS INTEGER) AS month, CAST(k.season + CASE WHEN m < 7 THEN 1 ELSE 0 END AS INTEGER) AS year,
+  coalesce(a.q, (k.grp * 7 + k.season * 3 + m * 13) % 99 + 1) AS q, coalesce(a.pg, 900e0) AS pg,
+  CASE WHEN t >= 310 THEN 'H' WHEN t <= 190 THEN 'C' ELSE 'A' END AS temp_class,
+  CASE WHEN p >= 620 THEN 'W' WHEN p <= 380 THEN 'D' ELSE 'A' END AS precip_class
+  FROM (SELECT DISTINCT grp, season FROM story_agg) k CROSS JOIN range(1, 13) r(m) LEFT JOIN story_agg a ON a.grp = k.grp AND a.season = k.season AND a.month = m),
 stories AS (SELECT grp * 10000 + season AS story_id, grp, year, month, (month + 5) % 12 AS seq, temp_class, precip_class,
   temp_class || '-' || precip_class AS state, CAST(q AS DOUBLE) / 100e0 AS rest_per,
   CASE WHEN month IN (5,6,7,8) THEN 0e0 ELSE CAST(q AS DOUBLE) / 100e0 / 2e0 END AS rest, pg,
