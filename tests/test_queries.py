@@ -38,3 +38,22 @@ def test_query_equals_sql(spark, con, name):
 def test_entry_and_registry(spark):
     assert len(entry.entry(spark).columns) == 8
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 180
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_every_key_has_a_record_at_any_size(spark, folder):
+    # means draw together as rows grow, and limits set by value would leave a month without a dry or another class
+    from rainshade.queries.base import Tables
+    path = DATA.parent / folder
+    if not path.exists():
+        pytest.skip("no such test tables")
+    classes = Tables(spark, str(path)).rest_classes.groupBy("month").pivot("precip_class").count().collect()
+    assert len(classes) == 12 and all(r["D"] and r["W"] and r["A"] for r in classes)
+
+
+@pytest.mark.parametrize("name", ["r1_moving_block_bootstrap", "r2_sim_statistic", "r3_pull_sims", "x1_simulation_function"])
+def test_resampling_runs_on_the_large_folder(spark, name):
+    path = DATA.parent / "sf0.1"
+    if not path.exists():
+        pytest.skip("no such test tables")
+    entry.queries()[name](spark, str(path)).write.format("noop").mode("overwrite").save()
