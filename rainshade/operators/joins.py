@@ -286,11 +286,14 @@ def non_exceedance(df: DataFrame, growth: str, curve: DataFrame, out: str, keys:
 
 def map_storyline_rest(stories: DataFrame, mapper: DataFrame, q: str = "rest", out: str = "rest",
                        story: str = "story_id", seq: str = "seq") -> DataFrame:
-    """Restriction of each month from its quantile, previous class (first = A) and month; months 5-8 give 0."""
+    """Restriction of each month from its quantile, previous class (first = A) and month; months 5-8 give 0.
+
+    Stories that come with precip_class_prev need no window, and so no exchange by story.
+    """
     w = Window.partitionBy(story).orderBy(seq)
-    keyed = (stories.withColumn("precip_class_prev", F.lag("precip_class", 1, "A").over(w))
-             .withColumns({"combo": S.combo_key(F.col("precip_class_prev"), F.col("precip_class")),
-                           "_q": F.bround(F.col(q) * 100, 0).cast("int")}))
+    led = stories if "precip_class_prev" in stories.columns else stories.withColumn("precip_class_prev", F.lag("precip_class", 1, "A").over(w))
+    keyed = (led.withColumns({"combo": S.combo_key(F.col("precip_class_prev"), F.col("precip_class")),
+                              "_q": F.bround(F.col(q) * 100, 0).cast("int")}))
     table = mapper.select("combo", F.bround(F.col("q") * 100, 0).cast("int").alias("_q"), "month", F.col("rest").alias("_r"))
     joined = keyed.join(lookup_side(table), ["combo", "_q", "month"], "left")
     return joined.withColumn(out, F.when(F.col("month").isin(*UNMAPPED_MONTHS), 0.0).otherwise(F.col("_r"))).drop("_q", "_r")

@@ -390,16 +390,19 @@ def random_suite(paths: DataFrame, suites: DataFrame, pairs: DataFrame) -> DataF
     """Unique (weather, irrigation) pairs as 12-row stories labelled from July 2024.
 
     paths is (weather, states), suites (irrigation, rest), pairs (weather, irrigation). Map the quantiles
-    with map_storyline_rest afterwards.
+    with map_storyline_rest afterwards; each month brings the class of the month before from its path, so that needs no window.
     """
     unique = pairs.dropDuplicates(["weather", "irrigation"])
     joined = unique.join(paths, "weather").join(suites, "irrigation")
-    rows = joined.select("weather", "irrigation", F.posexplode(F.arrays_zip("states", "rest")).alias("seq", "_m"))
+    before = F.concat(F.array(F.lit("A-A")), F.slice("states", F.lit(1), F.size("states") - 1)).alias("before")
+    rows = joined.select("weather", "irrigation", "states", "rest", before).select(
+        "weather", "irrigation", F.posexplode(F.arrays_zip("states", "rest", "before")).alias("seq", "_m"))
     month = F.pmod(F.col("seq") + 6, F.lit(12)) + 1
     return rows.select("weather", "irrigation", "seq", month.alias("month"),
                        (F.lit(2024) + (F.col("seq") > 5).cast("int")).alias("year"),
                        F.split_part("_m.states", F.lit("-"), F.lit(1)).alias("temp_class"),
                        F.split_part("_m.states", F.lit("-"), F.lit(2)).alias("precip_class"),
+                       F.split_part("_m.before", F.lit("-"), F.lit(2)).alias("precip_class_prev"),
                        F.col("_m.rest").alias("rest_per"))
 
 

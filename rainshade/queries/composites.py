@@ -568,8 +568,8 @@ def _(t):
     return rounded(G.abandonment_differences(runs, t.rest, [], "run0", "radn"))
 
 
-def _weather_stats(t):
-    return WX.weather_statistics(t.record, t.rest_classes, rain_bins=50)
+def _weather_stats(t, name):
+    return WX.weather_statistics(t.record, t.rest_classes, rain_bins=50, only=[name])[name]
 
 
 @query("e24_persistence", with_("record", "classes", extra="""f AS (SELECT date, rain = 0 AS dry FROM record), c AS (SELECT *, CASE WHEN lag(dry) OVER (ORDER BY date) <> dry THEN 1 ELSE 0 END AS ch FROM f),
@@ -577,7 +577,7 @@ sp AS (SELECT *, sum(ch) OVER (ORDER BY date) AS spell FROM c), st AS (SELECT *,
 n AS (SELECT month, regime, dry, streak, count(*) AS n FROM j GROUP BY ALL), k AS (SELECT *, row_number() OVER w - 1 AS rn, max(streak) OVER (PARTITION BY month, regime, dry) AS top FROM n WINDOW w AS (PARTITION BY month, regime, dry ORDER BY streak)), u AS (SELECT * FROM k WHERE streak = rn AND streak < top)""") + """
 SELECT month, regime, CAST(dry AS INTEGER) AS dry, CAST(streak AS INTEGER) AS streak, n, round(least(1e0, nx / CAST(n AS DOUBLE)), 6) AS p FROM (SELECT *, lead(n) OVER (PARTITION BY month, regime, dry ORDER BY streak) AS nx FROM u) WHERE nx IS NOT NULL""")
 def _(t):
-    return rounded(_weather_stats(t)["persistence"].withColumn("dry", F.col("dry").cast("int")))
+    return rounded(_weather_stats(t, "persistence").withColumn("dry", F.col("dry").cast("int")))
 
 
 @query("e24_rain_cdf", with_("record", "classes", extra="""j AS (SELECT c.month, c.regime, rain FROM record w JOIN classes c ON c.year = year(w.date) AND c.month = month(w.date) WHERE rain <> 0), b0 AS (SELECT month, regime, min(rain) AS a, max(rain) AS z, count(*) AS n FROM j GROUP BY 1, 2),
@@ -585,16 +585,16 @@ b AS (SELECT month, regime, CASE WHEN a = z THEN a - 0.5e0 ELSE a END AS a, CASE
 c AS (SELECT j.month, j.regime, CAST(least(floor((rain - a) / (z - a) * 50), 49) AS INTEGER) AS bin, count(*) AS c FROM j JOIN b ON b.month = j.month AND b.regime = j.regime GROUP BY 1, 2, 3), g AS (SELECT *, unnest(range(0, 50)) AS bin FROM b)""") + """
 SELECT g.month, g.regime, CAST(g.bin AS INTEGER) AS bin, a + (g.bin + 0.5e0) * ((z - a) / 50) AS centre, round(CAST(sum(coalesce(c, 0)) OVER (PARTITION BY g.month, g.regime ORDER BY g.bin) AS DOUBLE) / n, 8) AS cdf FROM g LEFT JOIN c ON c.month = g.month AND c.regime = g.regime AND c.bin = g.bin""")
 def _(t):
-    x = _weather_stats(t)["rain_cdf"]
+    x = _weather_stats(t, "rain_cdf")
     return x.withColumn("cdf", F.round("cdf", 8))
 
 
 @query("e24_variable_cdf")
 def _(t):
-    return rounded(_weather_stats(t)["cdf"].withColumn("dry", F.col("dry").cast("int")))
+    return rounded(_weather_stats(t, "cdf").withColumn("dry", F.col("dry").cast("int")))
 
 
 @query("e24_lag_matrices")
 def _(t):
-    m = _weather_stats(t)["matrices"]
+    m = _weather_stats(t, "matrices")
     return m.select("month", "regime", F.posexplode("m0").alias("cell", "m0")).withColumn("m0", F.round("m0", 6))
