@@ -17,6 +17,9 @@ from rainshade.operators.shape import bounded_suite, long_to_wide, require_rows,
 from rainshade.plans.events import class_codes
 
 
+MAX_REGIMES = 1000
+
+
 def story_log10_prob(stories: DataFrame, transitions: DataFrame, initial: DataFrame, irr_prob_from_zero: bool = False,
                      add_irr_prob: bool = True, story: str = "story_id") -> DataFrame:
     """log10 probability per story: first state, every step out of months other than 5-7, and restriction tails.
@@ -70,7 +73,9 @@ def recalc_story_prob(stories: DataFrame, weather_prob: DataFrame, mappers: Data
     regimes = mappers.select("regime").distinct()
     # of equal restrictions the last quantile stands for the value itself
     asked = keyed.select(story, "combo", "month", F.col("rest").cast("double").alias("rest"))
-    names = [r["regime"] for r in regimes.orderBy("regime").collect()]
+    names = [r["regime"] for r in regimes.orderBy("regime").limit(MAX_REGIMES + 1).collect()]
+    if len(names) > MAX_REGIMES:
+        raise ValueError(f"more than {MAX_REGIMES} regimes")
     asked = asked.withColumn("regime", F.explode(F.array(*[F.lit(n) for n in names])))
     curve = mappers.select("regime", "combo", "month", F.col("rest").alias("_r"), F.col("q").alias("_q"))
     placed = J.interp_join(asked, "rest", curve, "_r", "_q", "q_new", ["regime", "combo", "month"], False, (0.0, 1.0), 256, "_q")
