@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ WINDOW = 1
 ANCHOR_SHARE = 31 / 32
 MIN_LINES = 2
 COPIES_PER_FIRST = 256
+# bits of the filter that keeps texts without repeated chunks from being dealt out for the comparison
+FILTER_BITS = 1 << 24
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 
@@ -54,21 +57,38 @@ def cut_lines(content: bytes, window: int = WINDOW, share: float = ANCHOR_SHARE,
 
 
 def chunks(texts: DataFrame, window: int = WINDOW, share: float = ANCHOR_SHARE, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, version, start, n_bytes, n_lines, hash) of every chunk; the hash leaves out a line end at the chunk's end."""
+    """(doc_id, version, start, n_bytes, hash) of every chunk; the hash leaves out a line end at the chunk's end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, found = [], []
             for i, content in enumerate(b.column("content").to_pylist()):
-                for s, size, n in cut_lines(content, window, share, min_lines):
+                for s, size, _ in cut_lines(content, window, share, min_lines):
                     rows.append(i)
-                    found.append((s, size, n, xxhash.xxh64_intdigest(content[s:s + size].removesuffix(b"\n")) - (1 << 63)))
+                    found.append((s, size, xxhash.xxh64_intdigest(content[s:s + size].removesuffix(b"\n")) - (1 << 63)))
             take = pa.array(rows, pa.int32())
-            cols = [pa.array([x[k] for x in found], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("version").take(take), *cols], names=["doc_id", "version", "start", "n_bytes", "n_lines", "hash"])
+            cols = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("version").take(take), *cols], names=["doc_id", "version", "start", "n_bytes", "hash"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     content = texts.select("doc_id", "version", F.encode("text", "utf-8").alias("content"))
-    return content.mapInArrow(run, f"doc_id {kind}, version long, start long, n_bytes long, n_lines long, hash long")
+    return content.mapInArrow(run, f"doc_id {kind}, version long, start long, n_bytes long, hash long")
+
+
+def _listed(texts: DataFrame, lists: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Texts whose document may be in lists: a filter of fixed size over hashes of the keys, so it lets all of them pass and, while they are few, hardly any other.
+
+    It only spares an exchange; the join that follows decides.
+    """
+    at = F.pmod(F.xxhash64("doc_id", "version"), F.lit(bits))
+    # rows of 4 KiB, bits / 32,768 of them at most; buckets and their bits count from 1
+    rows = lists.select((at + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    words = np.zeros(bits // 64, np.int64)
+    for r in rows:
+        first = (r["bucket"] - 1) * 512
+        words[first:first + 512] = np.frombuffer(bytes(r["bits"]), "<i8")
+    table = F.from_json(F.lit("[" + ",".join(map(str, words.tolist())) + "]"), "array<bigint>")
+    word = F.get(table, F.shiftright(at, 6).cast("int"))
+    return texts.filter(F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
 
 
 def _compared(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -76,17 +96,19 @@ def _compared(texts: DataFrame, members: DataFrame) -> DataFrame:
 
     A document's chunks are cut out of it in one place, by a shuffled join at every size of the lists; first occurrences are repeated once for every COPIES_PER_FIRST members.
     """
-    groups = members.groupBy("hash").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("members"))
-    wanted = members.join(groups.filter("members > 1"), "hash").select("doc_id", "version", F.struct("start", "n_bytes", "hash", "first", F.ceil(F.col("members") / COPIES_PER_FIRST).cast("int").alias("salts")).alias("c"))
-    lists = wanted.groupBy("doc_id", "version").agg(F.collect_list("c").alias("cs"))
-    held = texts.alias("t").join(lists.hint("merge").alias("l"), same_document("t", "l")).select(F.col("t.doc_id"), F.col("t.version"), F.encode("text", "utf-8").alias("content"), "cs")
+    # hashes that occur once end here; what follows is dealt out by the hash already
+    repeated = members.join(members.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "hash")
+    groups = repeated.groupBy("hash").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"))
+    wanted = repeated.join(groups, "hash").select("doc_id", "version", F.struct("start", "n_bytes", "hash", "first", F.ceil(F.col("members") / COPIES_PER_FIRST).cast("int").alias("salts")).alias("c"))
+    lists = stored(wanted.groupBy("doc_id", "version").agg(F.collect_set("c").alias("cs")))
+    held = _listed(texts, lists).alias("t").join(lists.hint("merge").alias("l"), same_document("t", "l")).select(F.col("t.doc_id"), F.col("t.version"), F.encode("text", "utf-8").alias("content"), "cs")
     pieces = held.select("doc_id", "version", F.inline(F.transform("cs", lambda c: F.struct(
         c["start"].alias("start"), c["n_bytes"].alias("n_bytes"), c["hash"].alias("hash"), c["first"].alias("first"), c["salts"].alias("salts"),
         F.substring(F.col("content"), c["start"].cast("int") + 1, c["n_bytes"].cast("int")).alias("piece")))))
     # a chunk at the end of a text has no line end
     pieces = pieces.withColumn("piece", F.when(F.substring("piece", -1, 1) == F.lit(b"\n"), F.substring(F.col("piece"), F.lit(1), F.octet_length("piece") - 1)).otherwise(F.col("piece")))
     own = F.struct("doc_id", "version", "start")
-    first = pieces.filter(own == F.col("first")).select("hash", F.col("piece").alias("first_piece"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    first = pieces.filter(own == F.col("first")).select("hash", F.col("piece").alias("first_piece"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).dropDuplicates(["hash", "salt"])
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "version", "start"), F.col("salts")).cast("int"))
     return salted.join(first, ["hash", "salt"]).select("doc_id", "version", "start", "n_bytes", "hash", "first", F.octet_length("piece").alias("body"), (F.col("piece") == F.col("first_piece")).alias("same"))
 
@@ -116,7 +138,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     are separate, and so may repeat each other. An empty table gives no rows; other columns are ignored.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    cut = stored(chunks(texts, window, share, min_lines)).distinct()
+    cut = stored(chunks(texts, window, share, min_lines))
     gone = repeated_chunks(texts, cut)
     lists = gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "n_bytes"))).alias("gone"))
     kind = texts.schema["doc_id"].dataType.simpleString()
