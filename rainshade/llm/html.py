@@ -7,13 +7,14 @@ adverts, forms and the like.
 
 from __future__ import annotations
 
-import bisect
+import functools
 import html
+import math
 import re
 import sys
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,8 +24,9 @@ from rainshade.llm.common import stored
 
 CONSTANT_SHARE = 0.6
 CONSTANT_PAGES = 5
-# pairs of child runs up to which two lists are matched by a full table; longer lists are first tied at children of equal shape
-TABLE_PAIRS = 250_000
+# pairs of child runs up to which a table is filled cell by cell, beyond by whole rows: the same table; and numbers that one alignment holds to save work
+CELLS = 4096
+HELD = 20_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -197,7 +199,7 @@ def _shapes(node: Node, count: list[int]) -> None:
 
 
 def align(page: Node, exemplar: Node) -> dict[int, int]:
-    """Simple tree matching: page element -> exemplar element, the largest match that keeps labels, order and ancestry."""
+    """Simple tree matching: page element -> exemplar element, the largest match that keeps labels, order and ancestry; lists of any length are matched by their whole table."""
     weights: dict[tuple[int, int], int] = {}
     # a page may nest its elements deeper than Python's default limit
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))
@@ -223,55 +225,87 @@ def align(page: Node, exemplar: Node) -> dict[int, int]:
                 out.append([x])
         return out
 
-    def rising(found: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The longest row of pairs, given by rising first place, whose second places rise too."""
-        ends, chain = [], []
-        for i, j in found:
-            at = bisect.bisect_left(ends, j, key=lambda e: e[0])
-            ends[at:at + 1] = [(j, i, ends[at - 1] if at else None)]
-        link = ends[-1] if ends else None
-        while link:
-            chain.append((link[1], link[0]))
-            link = link[2]
-        return chain[::-1]
-
-    def tied(x: list[list[Node]], y: list[list[Node]]) -> list[tuple[int, int]]:
-        """Runs of equal shapes in the same order: those whose next few neighbours occur once in both lists, or else the k-th of a shape with the k-th."""
-        for width in (12, 5):
-            own, other = ([tuple((r[0].shape, len(r)) for r in z[i:i + width]) for i in range(len(z) - width + 1)] for z in (x, y))
-            seen, there = Counter(own), Counter(other)
-            at = {w: j for j, w in enumerate(other)}
-            chain = rising((i, at[w]) for i, w in enumerate(own) if seen[w] == 1 and there[w] == 1)
-            if chain:
-                return chain
-        places: dict[int, list[int]] = {}
-        for j, v in enumerate(y):
-            places.setdefault(v[0].shape, []).append(j)
-        left = {shape: iter(js) for shape, js in places.items()}
-        kth = ((i, next(left.get(u[0].shape, iter(())), -1)) for i, u in enumerate(x))
-        return rising((i, j) for i, j in kth if j >= 0)
+    def rows_of(x: list[list[Node]], y: list[list[Node]]) -> tuple[int, int, list[tuple[int, np.ndarray]], Callable]:
+        """Last number of the table, gap, every gap-th row and a function for the rows between. A row is its first place and its numbers.
+
+        Only places that a best match can pass are filled: what comes before and after a place is worth no more than the lighter side of
+        either, so a place may fall short of the lighter list by no more than the best match does. A first round finds a match, whose
+        shortfall bounds that of the best; the numbers on best matches, and so the match, are those of the full table.
+        """
+        own, other = (np.concatenate(([0], np.cumsum([u[0].size * len(u) for u in z]))) for z in (x, y))
+        least = int(min(own[-1], other[-1]))
+        number: dict[int, int] = {}
+        at = np.array([number.setdefault(v[0].shape, len(number)) for v in y])
+        first = {number[v[0].shape]: v[0] for v in reversed(y)}
+        kinds, sizes = [first[k] for k in range(len(first))], np.array([len(v) for v in y])
+        known: dict[tuple[int, int], np.ndarray] = {}
+        gap = math.isqrt(len(x)) + 1
+
+        def gain(u: list[Node]) -> np.ndarray:
+            found = known.get((u[0].shape, len(u)))
+            if found is None:
+                by_kind = np.array([weight(u[0], v) if u[0].label == v.label else 0 for v in kinds])
+                found = np.concatenate(([0], by_kind[at] * np.minimum(sizes, len(u))))
+                if len(known) * len(y) < HELD:
+                    known[u[0].shape, len(u)] = found
+            return found
+
+        def row_after(slack: int, i: int, last: tuple[int, np.ndarray], most: int) -> tuple[int, np.ndarray]:
+            lo = int(np.searchsorted(other, own[i] - (own[-1] - least) - slack))
+            hi = min(int(np.searchsorted(other, own[i] + (other[-1] - least) + slack, "right")) - 1, most)
+            if i == 0:
+                return lo, np.zeros(hi - lo + 1, np.int64)
+            held = np.full(hi - lo + 2, -1 << 60)
+            begin, end = max(lo - 1, last[0]), min(hi, last[0] + len(last[1]) - 1)
+            if begin <= end:
+                held[begin - lo + 1:end - lo + 2] = last[1][begin - last[0]:end - last[0] + 1]
+            row = np.maximum(held[1:], held[:-1] + gain(x[i - 1])[lo:hi + 1])
+            return lo, np.maximum.accumulate(row, out=row)
+
+        slack = least // 16
+        while True:
+            last = row_after(slack, 0, None, len(y))
+            marks = [last]
+            for i in range(1, len(x) + 1):
+                last = row_after(slack, i, last, len(y))
+                if i % gap == 0:
+                    marks.append(last)
+            best = int(last[1][-1])
+            if least - max(best, 0) <= slack:
+                return best, gap, marks, functools.partial(row_after, slack)
+            slack = least - max(best, 0)
 
     def pairs(x: list[list[Node]], y: list[list[Node]]) -> list[tuple[int, int]]:
-        """Matched runs of two lists: by a table, or between runs of equal shapes where the table would be too large."""
-        if len(x) * len(y) <= TABLE_PAIRS:
-            rows, i, j, found = table(x, y), len(x), len(y), []
+        """Matched runs of two lists, walked back through their table. Of a large one every gap-th row is held and the rows between are made again."""
+        found, j = [], len(y)
+        if len(x) * len(y) <= CELLS:
+            gap, marks, row_after = len(x), [None], None
+        else:
+            _, gap, marks, row_after = rows_of(x, y)
+        for begin in range((len(x) - 1) // gap * gap, -1, -gap):
+            if row_after is None:
+                rows = [(0, row) for row in table(x, y)]
+            else:
+                rows = [marks[begin // gap]]
+                for i in range(begin + 1, min(begin + gap, len(x)) + 1):
+                    rows.append(row_after(i, rows[-1], j))
+            i = len(rows) - 1
             while i and j:
-                if rows[i][j] == rows[i - 1][j]:
+                (lo, row), (lo_above, above) = rows[i], rows[i - 1]
+                if lo_above <= j < lo_above + len(above) and row[j - lo] == above[j - lo_above]:
                     i -= 1
-                elif rows[i][j] == rows[i][j - 1]:
+                elif j > lo and row[j - lo] == row[j - lo - 1]:
                     j -= 1
                 else:
-                    found.append((i - 1, j - 1))
+                    found.append((begin + i - 1, j - 1))
                     i, j = i - 1, j - 1
-            return found[::-1]
-        found, s, t = [], 0, 0
-        for i, j in [*tied(x, y), (len(x), len(y))]:
-            if s < i and t < j and (i - s) * (j - t) <= TABLE_PAIRS:
-                found.extend((s + u, t + v) for u, v in pairs(x[s:i], y[t:j]))
-            if i < len(x):
-                found.append((i, j))
-            s, t = i + 1, j + 1
-        return found
+        return found[::-1]
+
+    def total(x: list[list[Node]], y: list[list[Node]]) -> int:
+        """The last number of the table."""
+        if not x or not y:
+            return 0
+        return table(x, y)[-1][-1] if len(x) * len(y) <= CELLS else rows_of(x, y)[0]
 
     def table(x: list[list[Node]], y: list[list[Node]]) -> list[list[int]]:
         rows = [[0] * (len(y) + 1)]
@@ -290,13 +324,18 @@ def align(page: Node, exemplar: Node) -> dict[int, int]:
             return a.size
         if not a.children or not b.children:
             return 1
-        key = (a.no, b.no)
-        if key not in weights:
+        # elements of one shape weigh the same
+        key = (a.shape, b.shape)
+        found = weights.get(key)
+        if found is None:
             s, p, q = middle(a, b)
-            x, y = runs(a.children[s:p]), runs(b.children[s:q])
-            inner = table(x, y)[-1][-1] if len(x) * len(y) <= TABLE_PAIRS else sum(weight(x[i][0], y[j][0]) * min(len(x[i]), len(y[j])) for i, j in pairs(x, y))
-            weights[key] = 1 + sum(c.size for c in a.children[:s]) + sum(c.size for c in a.children[p:]) + inner
-        return weights[key]
+            inner = total(runs(a.children[s:p]), runs(b.children[s:q]))
+            found = 1 + sum(c.size for c in a.children[:s]) + sum(c.size for c in a.children[p:]) + inner
+            # a weight that is not held is found again
+            if len(weights) > HELD // 10:
+                weights.clear()
+            weights[key] = found
+        return found
 
     out, todo = {}, [(page, exemplar)]
     while todo:

@@ -2,6 +2,7 @@
 
 import array
 import collections
+import itertools
 import math
 import random
 import hashlib
@@ -178,6 +179,41 @@ def test_long_lists_of_mixed_children():
     assert len(matched) > 0.6 * b.size and len(set(matched.values())) == len(matched)
 
 
+def test_long_lists_are_matched_by_the_whole_table(monkeypatch):
+    rng = random.Random(4)
+
+    def tree(rows):
+        root = html.parse("<main>" + "".join(rows) + "</main>")[0]
+        html._shapes(root, [0])
+        return root
+    kinds = ["<p>x</p>", "<ul><li>a</li></ul>", "<div><i>y</i></div>", "<div><b>q</b><i>r</i><u>s</u></div>", "<ul><li>a</li><li><b>c</b></li></ul>"]
+    rows = [kinds[0]]
+    while len(rows) < 700:
+        rows.append(rng.choice([k for k in kinds if k != rows[-1]]))
+    # the best match of these lists is not one between children of equal shape only
+    a, b = tree(rows + [kinds[1]]), tree([kinds[2], *rows[300:], *rows[:300], kinds[3]])
+    got = html.align(a, b)
+    assert len(set(got.values())) == len(got)
+
+    def runs(node):
+        return [list(g) for _, g in itertools.groupby(node.children[0].children, key=lambda c: c.shape)]
+    x, y, last = runs(a), runs(b), [0] * (len(runs(b)) + 1)
+    assert len(x) * len(y) > 250_000
+    weight = {(u[0].shape, v[0].shape): len(html.align(u[0], v[0])) if u[0].label == v[0].label else 0 for u in x for v in y}
+    for u in x:
+        row = [0]
+        for j, v in enumerate(y):
+            row.append(max(row[j], last[j + 1], last[j] + weight[u[0].shape, v[0].shape] * min(len(u), len(v))))
+        last = row
+    # the elements around the lists are the root and the main element
+    assert len(got) == 2 + last[-1]
+    monkeypatch.setattr(html, "CELLS", 10 ** 9)
+    assert html.align(a, b) == got
+    monkeypatch.setattr(html, "CELLS", 0)
+    monkeypatch.setattr(html, "HELD", 0)
+    assert html.align(a, b) == got
+
+
 def counts(text):
     return collections.Counter(w for w in re.split("[ \t-\r]", (text or "").lower()) if w)
 
