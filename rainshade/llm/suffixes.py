@@ -22,7 +22,12 @@ from rainshade.llm.common import keyed_texts, stored
 WIDTH = 50
 K = 16
 SLICE_BYTES = 1 << 20
-BLOCK_BYTES = 4 << 20
+# sorting takes about a hundred times a block's bytes, in each of an executor's Python workers
+BLOCK_BYTES = 1 << 20
+# marks are hashes of 40 bits: fewer bytes to move, and a rare clash only lets strings meet that are not equal
+MARK = np.uint64((1 << 40) - 1)
+# strings whose owners are looked up at once
+BLOCK_STRINGS = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -76,7 +81,7 @@ def _runs(contents: list[bytes], width: int, k: int) -> Iterator[tuple[np.ndarra
             n = np.diff(np.append(start, len(minima)))
             ok = whole[start]
             start, n = start[ok], n[ok]
-            yield doc[start] + lo, (minima[start] >> np.uint64(2)).view(np.int64) << 1, start, n, lo, joined
+            yield doc[start] + lo, (minima[start] & MARK).view(np.int64) << 1, start, n, lo, joined
         lo = hi
 
 
@@ -186,6 +191,7 @@ def least_owner(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, width:
     word2 = t[:-1] << np.uint64(8) | t[1:]
     word4 = word2[:-2] << np.uint64(16) | word2[2:]
     word8 = word4[:-4] << np.uint64(32) | word4[4:]
+    del word4
     n = len(text)
     need = np.zeros(n + 80, bool)
     for shift in (0, 1, 2, 24, 25, 26):
@@ -217,38 +223,44 @@ def least_owner(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, width:
     return out
 
 
-def _covered(t: pa.Table, width: int) -> pa.RecordBatch:
+def _covered(t: pa.Table, width: int, block_strings: int = BLOCK_STRINGS) -> Iterator[pa.RecordBatch]:
     """(doc_id, tag, start, end) of the bytes in strings that a smaller document has too, for whole groups of one mark."""
-    contexts, ids = t.column("bytes").to_pylist(), t.column("doc_id").combine_chunks()
+    ids = t.column("doc_id").combine_chunks()
     order_of, doc = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
     place = t.column("place").to_numpy()
     # equal contexts are sorted once, for their least document
     number: dict[bytes, int] = {}
-    which = np.fromiter((number.setdefault(c, len(number)) for c in contexts), np.int64, len(contexts))
+    which = np.fromiter((number.setdefault(c, len(number)) for chunk in t.column("bytes").chunks for c in chunk.to_pylist()), np.int64, t.num_rows)
     least = np.full(len(number), len(order_of), np.int64)
     np.minimum.at(least, which, doc)
     sizes = np.fromiter(map(len, number), np.int64, len(number))
     text = np.frombuffer(b"".join(number), np.uint8)
+    del number
     n = sizes - width + 1
     first = np.cumsum(n) - n
     inside = np.arange(n.sum()) - np.repeat(first, n)
     starts = np.repeat(np.cumsum(sizes) - sizes, n) + inside
     owner = least_owner(text, starts, np.repeat(least, n), width)
-    # the strings of every occurrence
-    m = n[which]
-    begin = np.cumsum(m) - m
-    j = np.arange(m.sum()) - np.repeat(begin, m)
-    hit = owner[np.repeat(first[which], m) + j] < np.repeat(doc, m)
-    row = np.repeat(np.arange(len(which)), m)
-    edge = np.ones(len(hit), bool)
-    edge[1:] = (hit[1:] != hit[:-1]) | (row[1:] != row[:-1])
-    s = np.flatnonzero(edge)
-    e = np.append(s[1:], len(hit)) - 1
-    s, e = s[hit[s]], e[hit[s]]
-    at = row[s]
-    start = (place[at] >> 32) + j[s]
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(place[at] & np.int64(0xFFFFFFFF)), pa.array(start), pa.array((place[at] >> 32) + j[e] + width)],
-                                      names=["doc_id", "tag", "start", "end"])
+    # the strings of every occurrence, some rows at a time: a passage of many documents has few contexts and many rows
+    upto = np.cumsum(n[which])
+    lo = 0
+    while lo < len(which):
+        hi = max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + block_strings, "right")), lo + 1)
+        m = n[which[lo:hi]]
+        begin = np.cumsum(m) - m
+        j = np.arange(m.sum()) - np.repeat(begin, m)
+        hit = owner[np.repeat(first[which[lo:hi]], m) + j] < np.repeat(doc[lo:hi], m)
+        row = np.repeat(np.arange(lo, hi), m)
+        edge = np.ones(len(hit), bool)
+        edge[1:] = (hit[1:] != hit[:-1]) | (row[1:] != row[:-1])
+        s = np.flatnonzero(edge)
+        e = np.append(s[1:], len(hit)) - 1
+        s, e = s[hit[s]], e[hit[s]]
+        at = row[s]
+        start = (place[at] >> 32) + j[s]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(place[at] & np.int64(0xFFFFFFFF)), pa.array(start), pa.array((place[at] >> 32) + j[e] + width)],
+                                         names=["doc_id", "tag", "start", "end"])
+        lo = hi
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -264,11 +276,11 @@ def _repeats(batches: Iterator[pa.RecordBatch], width: int, block_bytes: int = B
         mark = t.column("mark").to_numpy()
         cut = int(np.searchsorted(mark, mark[-1], "left"))
         if cut:
-            yield _covered(t.slice(0, cut), width)
+            yield from _covered(t.slice(0, cut), width)
         rest = t.slice(cut)
         held, size = rest.to_batches(), rest.nbytes if not cut else 0
     if held and sum(b.num_rows for b in held):
-        yield _covered(pa.Table.from_batches(held), width)
+        yield from _covered(pa.Table.from_batches(held), width)
 
 
 def _cut(content: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -319,13 +331,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = F.col("mark").bitwiseAND(F.lit(1)) == 1
     dealt = found.repartition(F.when(known, F.xxhash64("doc_id", "mark")).otherwise(F.col("mark"))).sortWithinPartitions("mark")
     shared = dealt.mapInArrow(_shared, f"doc_id {kind}, mark long")
-    lists = stored(shared.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")).join(whole, "doc_id", "left_anti"))
+    # dealt out first: sets on their way take three times the bytes of their rows
+    lists = stored(shared.repartition("doc_id").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")).join(whole, "doc_id", "left_anti"))
     # both joins are left joins that deal the same columns out by id, so they share one exchange of the texts
     asked = content.join(lists.hint("merge"), "doc_id", "left").select("doc_id", "version", "content", "marks")
     met = asked.mapInArrow(contexts, f"mark long, doc_id {kind}, place long, bytes binary").repartition("mark").sortWithinPartitions("mark")
     spans = met.mapInArrow(repeats, f"doc_id {kind}, tag long, start long, end long")
     everything = copies.select("doc_id", F.col("version").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
-    by_id = spans.unionByName(everything).groupBy("doc_id").agg(F.collect_set(F.struct("tag", "start", "end")).alias("spans"))
+    by_id = spans.unionByName(everything).repartition("doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("tag", "start", "end")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

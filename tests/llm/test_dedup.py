@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -114,6 +116,24 @@ def test_difference_cover_owner():
     assert suffixes.least_owner(text, starts, owner).tolist() == [least[text[s:s + 50].tobytes()] for s in starts]
 
 
+def test_suffix_sorting_holds_little_at_once():
+    # many marks, and one passage that many documents share
+    rng = np.random.default_rng(8)
+    n = 60_000
+    marks = np.sort(np.concatenate((rng.integers(0, 4000, n), np.full(n, 4000))))
+    texts = [rng.integers(97, 123, 64, dtype=np.uint8).tobytes() for _ in range(4000)]
+    content = [texts[m] + b"%08d" % i if m < 4000 else b"p" + texts[7] for i, m in enumerate(marks.tolist())]
+    whole = pa.RecordBatch.from_arrays([pa.array(marks), pa.array(np.arange(2 * n)), pa.array(np.arange(2 * n) % 100 << 32), pa.array(content, pa.binary())], names=["mark", "doc_id", "place", "bytes"])
+    found = 0
+    tracemalloc.start()
+    for b in suffixes._repeats((whole.slice(i, 5000) for i in range(0, 2 * n, 5000)), 50):
+        found += b.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # every document but the first of a mark repeats the context's common part
+    assert found == 2 * n - len(set(marks.tolist())) and peak < 120e6
+
+
 def brute_lines(rows, chunks_of):
     """(doc, kept text, lines and bytes removed): every later occurrence of a chunk goes, but for lines of a first occurrence in the same text that it begins in."""
     seen, out = {}, []
