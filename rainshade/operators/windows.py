@@ -6,8 +6,10 @@ partition is bounded by the calendar: a century of days is 36,525 rows. Every wi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,26 +191,23 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], order: str, value: str,
     return (wide.unpivot(list(keys), [str(i) for i in range(lags)], "lag", "r").withColumn("lag", F.col("lag").cast("int")))
 
 
-def lag_correlations(values: Column, lags: int) -> Column:
-    """Pearson r of x[t] and x[t+l] for l = 0..lags-1 of an array without nulls; null where a side has no spread or fewer than two values."""
-    def centred(v: Column) -> Column:
-        mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-        return F.transform(v, lambda x: x - mean)
-
-    def total(v: Column) -> Column:
-        return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-
-    def one(lag: Column) -> Column:
-        n = F.size(values) - lag
-        early, late = F.slice(values, F.lit(1), F.greatest(n, F.lit(0))), F.slice(values, lag + 1, F.greatest(n, F.lit(0)))
-
-        def r(pair: Column) -> Column:
-            a, b = pair["a"], pair["b"]
-            cross = total(F.zip_with(a, b, lambda x, y: x * y))
-            return cross / F.sqrt(total(F.transform(a, lambda x: x * x)) * total(F.transform(b, lambda x: x * x)))
-        spread = (n > 1) & (F.array_min(early) < F.array_max(early)) & (F.array_min(late) < F.array_max(late))
-        return F.when(spread, F.transform(F.array(F.struct(centred(early).alias("a"), centred(late).alias("b"))), r)[0])
-    return F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), one)
+def _lag_correlations(batches: Iterator[pa.RecordBatch], keys: Sequence[str], lags: int) -> Iterator[pa.RecordBatch]:
+    """(keys, lag, r): Pearson r of x[t] and x[t+l] for l = 0..lags-1 of every array of a batch; none where a side has no spread or fewer than two values."""
+    for b in batches:
+        lists = b.column("_v")
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        # series of one length, such as the same month's of many years, are one matrix
+        for n in np.unique(sizes[sizes > 1]).tolist():
+            rows = np.flatnonzero(sizes == n)
+            values = flat[starts[rows, None] + np.arange(n)]
+            for lag in range(min(lags, n - 1)):
+                early, late = values[:, :n - lag], values[:, lag:]
+                spread = (early.min(axis=1) < early.max(axis=1)) & (late.min(axis=1) < late.max(axis=1))
+                x, y = (v[spread] - v[spread].mean(axis=1, keepdims=True) for v in (early, late))
+                found = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+                at = pa.array(rows[spread])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in keys), pa.array(np.full(len(at), lag, np.int32)), pa.array(found)], names=[*keys, "lag", "r"])
 
 
 def autocorrelation_bands(series: DataFrame, keys: Sequence[str], values: str, lags: int, probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
@@ -217,10 +216,13 @@ def autocorrelation_bands(series: DataFrame, keys: Sequence[str], values: str, l
     All lags of a series come from its own array, so nothing is paired by a join; only (key, lag, r) is ranked. Series without spread
     at a lag do not count there; missing values are left out of their series first.
     """
-    # one array per row, so that the filter is not repeated for every lag
-    clean = series.select(*keys, F.filter(F.col(values), lambda x: x.isNotNull() & ~F.isnan(x)).alias("_v"))
-    rows = clean.select(*keys, F.posexplode(lag_correlations(F.col("_v"), lags)).alias("lag", "r")).where(F.col("r").isNotNull())
-    return quantiles(rows, [*keys, "lag"], "r", probs).withColumnRenamed("value", "r")
+    clean = series.select(*keys, F.filter(F.col(values).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x)).alias("_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _lag_correlations(batches, keys, lags)
+
+    schema = T.StructType([*(clean.schema[k] for k in keys), T.StructField("lag", T.IntegerType()), T.StructField("r", T.DoubleType())])
+    return quantiles(clean.mapInArrow(run, schema), [*keys, "lag"], "r", probs).withColumnRenamed("value", "r")
 
 
 def anomaly(df: DataFrame, keys: Sequence[str], value: str, fun: str = "mean", years: tuple[int, int] | None = None,

@@ -181,6 +181,16 @@ def test_correlation_bands(spark):
     assert W.autocorrelation_bands(df.limit(0), ["key"], "v", 5).count() == 0
 
 
+def test_lag_correlations_are_not_interpreted_value_by_value(spark):
+    df = spark.range(1000).select(F.lit("a").alias("key"), F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.sin(i * (F.col("id") + 1))).alias("v"))
+    bands = W.autocorrelation_bands(df, ["key"], "v", 6, (0.5,))
+    plan = bands._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
+    v = np.sin(np.arange(1, 31) * np.arange(1, 1001)[:, None])
+    want = [np.median([np.corrcoef(x[:30 - i], x[i:])[0, 1] for x in v]) for i in range(6)]
+    assert [r["r"] for r in bands.orderBy("lag").collect()] == pytest.approx(want, abs=1e-9)
+
+
 def test_paths_have_no_join(spark):
     rng = random.Random(1)
     states = ["A-A", "A-D", "H-D", "C-W"]
