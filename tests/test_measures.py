@@ -70,6 +70,38 @@ def test_neighbours_meet_few_others(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("tile, size", [(20, 16), (300, 40)])
+def test_neighbours_across_tiles_and_bins(spark, monkeypatch, tile, size):
+    # tiles and bins of a few points, so that circles and ranges reach into others, also from tiles of fewer points than neighbours
+    monkeypatch.setattr(M, "TILE", tile)
+    monkeypatch.setattr(M, "BIN", size)
+    monkeypatch.setattr(M, "LEAF", 8)
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for g, n in {"a": 700, None: 150, "few": 2}.items():
+        y = np.round(rng.normal(size=n), 2)
+        shapes = {"x": y + rng.normal(size=n), "tied": np.where(rng.random(n) < 0.6, 1.0, rng.exponential(size=n).round(1)), "far": rng.normal(size=n) ** 9, "flat": np.ones(n)}
+        rows += [(g, *map(float, v)) for v in zip(*shapes.values(), y)]
+        for name, v in shapes.items():
+            want[(g, name)] = pairwise_information(v, y) if n > 3 else None
+    df = spark.createDataFrame(rows, "g string, x double, tied double, far double, flat double, y double").repartition(3)
+    got = {(r["g"], r["feature"]): r["mi"] for r in M.mutual_info_neighbours(df, ["x", "tied", "far", "flat"], "y", ["g"]).collect()}
+    assert set(got) == set(want)
+    for key, v in want.items():
+        assert got[key] is None if v is None else got[key] == pytest.approx(v, abs=1e-9), key
+
+
+def test_points_of_neighbours_are_not_repeated(spark, monkeypatch):
+    # a point is held a few times however many sizes of squares the plane has
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(3000, 2))], "x double, y double")
+    points, grouped, plain = M._long_pairs(df, ["x"], "y", []), [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: grouped.append(self) or plain(self, *c))
+    found = M.neighbour_distances(points, ["feature"], 3)
+    monkeypatch.undo()
+    assert found.count() == 3000 and grouped and max(g.count() for g in grouped) <= 3000
+
+
 def plain_ward(x, k):
     """Labels by trying all pairs before every merge."""
     groups = [[i] for i in range(len(x))]
