@@ -73,14 +73,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges: root is the smallest node it is connected with.
 
     Each round takes the smallest label among the neighbours and follows the label's own label, so the number of
-    rounds grows with the logarithm of the longest chain. Only minima per node are kept; no neighbour list is built.
+    rounds grows with the logarithm of the longest chain. Only minima per node are kept; no neighbour list is built. Then an edge goes on
+    between the labels of its ends, and a label that was given up keeps an edge to the one taken for it: edges inside a group fall
+    together after the first round, however many there are.
     """
     pairs = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
                    .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    label = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
+
+    def both() -> DataFrame:
+        return pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+    label = stored(both().groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
     while True:
-        near = (both.join(label, both["v"] == label["node"]).groupBy(F.col("u").alias("n")).agg(F.min("root").alias("m")))
+        to = both()
+        near = (to.join(label, to["v"] == label["node"]).groupBy(F.col("u").alias("n")).agg(F.min("root").alias("m")))
         step = label.join(near, label["node"] == near["n"], "left").select("node", "root", F.least("root", "m").alias("next"))
         up = label.select(F.col("node").alias("p"), F.col("root").alias("pr"))
         new = stored(step.join(up, step["next"] == up["p"], "left")
@@ -88,3 +94,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         label = new.select("node", "root")
         if new.filter("root <> old").isEmpty():
             return label
+        ends = [label.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("u", "v")]
+        moved = pairs.join(ends[0], "u").join(ends[1], "v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
+        pairs = stored(moved.unionByName(new.select(F.col("root").alias("u"), F.col("old").alias("v"))).filter("u <> v").distinct())
