@@ -262,3 +262,18 @@ def test_event_classes_read_the_weather_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan
     assert len(tracker.getJobIdsForGroup()) <= before + 1  # the schema of the file, and nothing else
+
+
+def test_subclusters_compute_the_stories_once(spark):
+    # what follows the features reads them: neither the choice of stories nor their classes are computed again for components, leaves and clusters
+    from rainshade.plans import stories as ST
+    rng = np.random.default_rng(5)
+    stories = spark.createDataFrame([(i, m, *rng.choice(["W", "A", "D"], 1).tolist(), *rng.choice(["C", "A", "H"], 1).tolist(), float(rng.random()), "oxford", "irrigated", 100.0 if i < 60 else 10.0)
+                                     for i in range(80) for m in range(1, 13)], "story_id long, month int, precip_class string, temp_class string, rest double, site string, mode string, pg double")
+    probs = stories.select("story_id", F.lit(-2.0).alias("log10_prob")).distinct()
+    bounds = spark.createDataFrame([("oxford", "irrigated", "yr1", 1000.0, None)], "site string, mode string, period string, low double, high double")
+    out = ST.storyline_subclusters(stories, stories.select("story_id", "site", "mode", "month", "pg"), probs, bounds, None, 3)
+    assert {r["story_id"] for r in out["clusters"].collect()} == set(range(60)) and sum(r["size"] for r in out["mass"].collect()) == 60
+    assert "precip_class" not in out["clusters"]._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError, match="empty"):
+        ST.storyline_subclusters(stories, stories.select("story_id", "site", "mode", "month", "pg"), probs, bounds.withColumn("low", F.lit(1e9)), None, 3)
