@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
+BROADCAST_ROWS = 250_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -25,6 +26,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, n: int | None = None) -> DataFrame:
+    """A stored table as a side of joins: above BROADCAST_ROWS rows it is sorted and never broadcast, as Spark sizes it by its compressed files."""
+    return df.hint("merge") if (df.count() if n is None else n) > BROADCAST_ROWS else df
+
+
 def version(text: Column) -> Column:
     """With the id this names a document: rows equal in id and text are one document, returned once."""
     return F.xxhash64(text)
@@ -84,6 +90,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
     label = stored(both().groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
+    n = label.count()
+    label = bounded(label, n)
     while True:
         to = both()
         near = (to.join(label, to["v"] == label["node"]).groupBy(F.col("u").alias("n")).agg(F.min("root").alias("m")))
@@ -91,7 +99,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = label.select(F.col("node").alias("p"), F.col("root").alias("pr"))
         new = stored(step.join(up, step["next"] == up["p"], "left")
                      .select("node", F.coalesce(F.least("next", "pr"), "next").alias("root"), F.col("root").alias("old")))
-        label = new.select("node", "root")
+        label = bounded(new.select("node", "root"), n)
         if new.filter("root <> old").isEmpty():
             return label
         ends = [label.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("u", "v")]

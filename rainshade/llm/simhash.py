@@ -163,7 +163,8 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     rows = prints.select("fingerprint", F.posexplode(masks).alias("table", "mask")).select(
         "fingerprint", "table", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key"))
     sizes = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = stored(rows.join(sizes, ["table", "key"]))
+    # Spark takes the rows exploded over the masks for as small as the prints and would broadcast them
+    met = stored(rows.join(sizes.hint("merge"), ["table", "key"]))
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fingerprint"), blocks).cast("int")
     small = met.filter(F.col("n") <= block).select("fingerprint", "table", "key", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"))

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from rainshade.llm import common, exact, lines, simhash, suffixes
+from rainshade.llm.common import stored
 from texts import words
 
 STRIP = re.compile(r"[\x20\x09-\x0D]")
@@ -270,6 +271,22 @@ def test_links_connect_chains_and_dense_groups(spark, block):
     assert [roots.get(p, p) for p in prints] == brute_components([(p, p) for p in prints])
 
 
+def test_exploded_prints_and_many_labels_are_not_broadcast(spark, monkeypatch):
+    rng, plans = np.random.default_rng(4), {simhash: [], common: []}
+    prints = sorted({int(x) ^ b for x in rng.integers(0, 2 ** 62, 200) for b in (0, 1, 6)})
+    for module, seen in plans.items():
+        monkeypatch.setattr(module, "stored", lambda df, seen=seen: seen.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100, raising=False)
+    frame = stored(spark.createDataFrame([(p,) for p in prints], "fingerprint long"))
+    found = common.components(simhash.links(frame))
+    roots = {r["node"]: r["root"] for r in found.collect()}
+    assert [roots.get(p, p) for p in prints] == brute_components([(p, p) for p in prints])
+    # the hint of the labels holds for joins of the caller too
+    plans[common].append(frame.join(found, frame["fingerprint"] == found["node"], "left")._jdf.queryExecution().executedPlan().toString())
+    for seen in plans.values():
+        assert any("SortMergeJoin" in p for p in seen) and not any("BroadcastHashJoin" in p for p in seen)
+
+
 @pytest.mark.parametrize("run", [exact.exact_duplicates, suffixes.remove_repeats, lines.remove_repeated_lines, simhash.near_duplicates])
 def test_empty_tables(empty, run):
     assert run(empty).collect() == []
