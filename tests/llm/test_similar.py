@@ -73,6 +73,40 @@ def test_near_stage_takes_the_covering_masks(spark, monkeypatch):
     assert corpus_pipeline.near_stage(spark, df, "").count() and asked == [["fingerprint"]]
 
 
+# two texts of similarity 0.8 whose fingerprints differ in 91 of 256 bits
+FAR = "w72889 w6053 w30398 w72192 w378 w937 w618 w83723 w164262"
+
+
+def test_similar_texts_with_far_fingerprints_are_linked(spark):
+    a, b = (similar.shingles(t.encode()) for t in (FAR, FAR.rsplit(" ", 1)[0]))
+    assert similar.similarity(a, b) == 0.8 and np.bitwise_count(similar._prints(a) ^ similar._prints(b)).sum() > similar.RADIUS
+    df = spark.createDataFrame([(7, FAR), (3, FAR.rsplit(" ", 1)[0]), (5, FAR.split(" ", 1)[1] + " more words at the end")], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, "").collect()} == {3, 5}
+
+
+@pytest.mark.parametrize("blocks, radius", [((2048, 512), -1), ((3, 2), -1), ((3, 2), 30)])
+def test_every_pair_is_found_whatever_the_fingerprints_say(spark, monkeypatch, blocks, radius):
+    monkeypatch.setattr(similar, "RADIUS", radius)
+    rows, want = near_rows(), brute(near_rows())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df, block=blocks[0], exact_block=blocks[1]).collect()}
+    assert got == want
+
+
+def test_least_shared_is_a_bound():
+    rng, tight = np.random.default_rng(9), 0
+    for _ in range(2000):
+        n, gone, new = int(rng.integers(1, 120)), int(rng.integers(0, 12)), int(rng.integers(0, 12))
+        both = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        a, b = np.unique(both), np.unique(np.concatenate((both[gone:], rng.integers(0, 1 << 62, new).astype(np.uint64))))
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if len(b) and similar.similarity(a, b) >= 0.8:
+            need, shared = int(similar.least_shared(np.array(len(a)), np.array(len(b)), 0.8)), len(np.intersect1d(similar.prefix(a, *none, 0.8), similar.prefix(b, *none, 0.8)))
+            assert 1 <= need <= shared
+            tight += need == shared
+    assert tight and similar.least_shared(np.array([5, 4, 3, 300]), np.array([3, 5, 3, 300]), 0.8).tolist() == [0, 1, 1, 28]
+
+
 def test_prefixes_of_similar_sets_meet_in_any_order():
     rng = np.random.default_rng(3)
     for _ in range(300):
